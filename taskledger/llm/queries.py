@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .common import table
 from .simhash_dedup import near_duplicates
+from .toxicity import toxicity
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -17,3 +18,8 @@ def query(f):
 @query
 def op1_simhash_dedup(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), radius=3, words=3)
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
