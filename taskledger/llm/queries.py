@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
+from .bpe import round_trip_digests
 from .common import table
 from .simhash_dedup import near_duplicates
 from .toxicity import toxicity
@@ -23,3 +26,8 @@ def op1_simhash_dedup(spark, sf_dir):
 @query
 def op4_toxicity(spark, sf_dir):
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op2_bpe(spark, sf_dir):
+    return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
