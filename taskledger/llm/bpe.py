@@ -27,8 +27,8 @@ from .common import cut_lineage, ids_and_texts
 
 #: Mean bytes of a chunk, as a power of two; bytes that the hash sees; how far a cut moves to white space.
 CHUNK_BITS, SEEN, REACH = 9, 8, 256
-#: Words whose encodings a Python worker keeps.
-MAX_WORDS = 200_000
+#: Words whose encodings a Python worker keeps before it starts anew.
+MAX_WORDS = 400_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = b" \t\n\r\x0b\x0c"
 
@@ -93,7 +93,7 @@ class Codec:
     def learn(self, words: set[bytes]) -> None:
         """Encodes the words that aren't known, many in one text: white space keeps them apart."""
         new = sorted(words - self.known.keys())
-        if len(self.known) + len(new) > MAX_WORDS:
+        if new and len(self.known) > MAX_WORDS:
             self.known.clear()
             new = sorted(words)
         for at in range(0, len(new), 5_000):
