@@ -92,7 +92,7 @@ class Codec:
 
     def learn(self, words: set[bytes]) -> None:
         """Encodes the words that aren't known, many in one text: white space keeps them apart."""
-        new = sorted(words - self.known.keys())
+        new = sorted(w for w in words if w not in self.known)
         if new and len(self.known) > MAX_WORDS:
             self.known.clear()
             new = sorted(words)
