@@ -6,6 +6,7 @@ import public_tokenizers
 
 from .bpe import round_trip_digests
 from .common import table
+from .mixing import mix
 from .simhash_dedup import near_duplicates
 from .toxicity import toxicity
 
@@ -31,3 +32,39 @@ def op4_toxicity(spark, sf_dir):
 @query
 def op2_bpe(spark, sf_dir):
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query
+def op7_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op7_mixing"] = r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    md5('7:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as key
+  from documents),
+s as (select source, cast(sum(size) as bigint) as source_size from d group by source),
+r as (
+  select *, row_number() over (order by source asc nulls last) as rank, source_size * cast(2 as double) as most,
+    case (row_number() over (order by source asc nulls last) - 1) % 3 when 0 then cast(5 as double) when 1 then cast(2 as double) else cast(1 as double) end as weight
+  from s),
+l as (
+  select *, row_number() over (order by most / weight, source asc nulls last) as turn, (sum(source_size) over () * cast(1.5 as double)
+      - coalesce(sum(most) over (order by most / weight, source asc nulls last rows between unbounded preceding and 1 preceding), 0))
+    / (sum(weight) over () - coalesce(sum(weight) over (order by most / weight, source asc nulls last rows between unbounded preceding and 1 preceding), 0)) as level
+  from r),
+t as (
+  select source, source_size, least(most, coalesce(arg_min(level, case when level <= most / weight then turn end) over () * weight, most)) as target from l),
+g as (
+  select *, cast(floor(target + 0.5) as bigint) as goal,
+    case when source_size > 0 then cast(floor(target + 0.5) as bigint) // source_size else 0 end as passes from t),
+k as (select source, key, sum(size) as words, count(*) as n from d group by source, key),
+p as (select *, sum(words) over (partition by source order by key) - words as start from k)
+select d.doc_id, cast(d.size as bigint) as size, g.source_size, g.target,
+  cast(g.passes * d.size + case
+    when p.start + p.words <= goal - passes * source_size then d.size
+    when p.start <= goal - passes * source_size then (goal - passes * source_size - p.start) // p.n
+    else 0 end as bigint) as taken
+from d join g on d.source is not distinct from g.source join p on d.source is not distinct from p.source and d.key = p.key
+"""
