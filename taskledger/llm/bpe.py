@@ -203,8 +203,8 @@ def shared_encodings(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             rows = []
             for packed, cuts, owned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                wanted = {(k["h1"], k["h2"]) for k in owned}
-                for chunk in pieces(zstandard.decompress(packed), cuts):
+                wanted = {(k["h1"], k["h2"]) for k in owned or ()}
+                for chunk in pieces(zstandard.decompress(packed), cuts) if wanted else ():
                     if (key := chunk_key(chunk)) in wanted:
                         wanted.discard(key)
                         rows.append((*key, tool.encode(chunk)))
@@ -216,7 +216,8 @@ def shared_encodings(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     each = cut_lineage(texts.mapInArrow(occurrences, "doc_id long, h1 long, h2 long").groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")))
     shared = cut_lineage(each.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("doc_id").alias("owner")).where("n > 1").drop("n"))
     owned = shared.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("owned"))  # bounded by the owner's text
-    once = whole.join(owned, "doc_id").select("packed", "cuts", "owned").mapInArrow(encode_owned, "h1 long, h2 long, ids binary")
+    # a left join like that of the texts with `known`, so that Spark shuffles `whole` once for both
+    once = whole.join(owned, "doc_id", "left").select("packed", "cuts", "owned").mapInArrow(encode_owned, "h1 long, h2 long, ids binary")
     once = once.groupBy("h1", "h2").agg(F.first("ids").alias("ids"))  # rows may repeat a doc_id
     known = each.join(once, ["h1", "h2"]).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "ids")).alias("found"))
     return whole, known
