@@ -7,6 +7,7 @@ import public_tokenizers
 from .bpe import round_trip_digests
 from .common import table
 from .mixing import mix
+from .secrets import secret_spans
 from .simhash_dedup import near_duplicates
 from .toxicity import toxicity
 
@@ -68,3 +69,8 @@ select d.doc_id, cast(d.size as bigint) as size, g.source_size, g.target,
     else 0 end as bigint) as taken
 from d join g on d.source is not distinct from g.source join p on d.source is not distinct from p.source and d.key = p.key
 """
+
+
+@query
+def op5_secrets(spark, sf_dir):
+    return secret_spans(table(spark, sf_dir, "documents"))
