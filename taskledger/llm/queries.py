@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from .ann import neighbours
 from .bpe import round_trip_digests
 from .common import table
+from .fingerprints import edited_likeness
 from .mixing import mix
 from .secrets import secret_spans
 from .simhash_dedup import near_duplicates
@@ -74,3 +76,13 @@ from d join g on d.source is not distinct from g.source join p on d.source is no
 @query
 def op5_secrets(spark, sf_dir):
     return secret_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_fingerprints(spark, sf_dir):
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_nearest(spark, sf_dir):
+    return neighbours(table(spark, sf_dir, "embeddings"))
