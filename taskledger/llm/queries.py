@@ -8,6 +8,7 @@ from .ann import neighbours
 from .bpe import round_trip_digests
 from .common import table
 from .fingerprints import edited_likeness
+from .html import extract_articles
 from .mixing import mix
 from .secrets import secret_spans
 from .simhash_dedup import near_duplicates
@@ -86,3 +87,8 @@ def op10_fingerprints(spark, sf_dir):
 @query
 def op8_nearest(spark, sf_dir):
     return neighbours(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op6_html(spark, sf_dir):
+    return extract_articles(table(spark, sf_dir, "pages"))
