@@ -9,9 +9,11 @@ from .bpe import round_trip_digests
 from .common import table
 from .fingerprints import edited_likeness
 from .html import extract_articles
+from .lm import cross_entropy_difference
 from .mixing import mix
 from .secrets import secret_spans
 from .simhash_dedup import near_duplicates
+from .substring import remove_repeats
 from .toxicity import toxicity
 
 QUERIES: dict = {}
@@ -92,3 +94,13 @@ def op8_nearest(spark, sf_dir):
 @query
 def op6_html(spark, sf_dir):
     return extract_articles(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_substring_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_lm_scores(spark, sf_dir):
+    return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
