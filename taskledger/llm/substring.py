@@ -10,7 +10,10 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import repeat
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -20,56 +23,77 @@ from .common import ids_and_texts
 
 #: Sentences and words that a run has at least.
 SPAN, LEAST_WORDS = 3, 20
-#: A sentence of more words is cut after each word whose hash is the least of the NEAR words before and after it (and after each eighth of equal ones): alike wherever it stands.
-LONGEST, NEAR = 12, 3
+#: A sentence of more words is cut after each word whose hash is the least of the NEAR words before and after it (and after each EQUAL equal ones): alike wherever it stands.
+LONGEST, NEAR, EQUAL = 12, 3, 8
 
-_SENTENCE = re.compile(r"[^\n]*?(?:[.!?…。！？]+[\"'”’)\]]*(?=\s)|$|(?=\n))\s*", re.M)
-_WORD = re.compile(r"\s*\S+\s*|\s+")
+_WORD = re.compile(r"\S+\s*")
+_END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*(?=\s)|\n")
 _LEAST_ID = -(1 << 63)
-
-
-def sentences(text: str) -> list[str]:
-    """Pieces that make up the text: each ends after its mark and white space, at a line's end, or, if long, after a word that its hash chooses."""
-    out = []
-    for found in _SENTENCE.finditer(text):
-        piece = found[0]
-        if not piece:
-            continue
-        if piece.count(" ") < LONGEST:
-            out.append(piece)
-            continue
-        words = _WORD.findall(piece)
-        keys = [xxhash.xxh3_64_intdigest(w.strip().lower()) for w in words]
-        begin = run = 0
-        for i, key in enumerate(keys):
-            run = run + 1 if i and key == keys[i - 1] else 0
-            if run % 8 == 7 or key <= min(keys[max(0, i - NEAR) : i + 1]) and key < min(keys[i + 1 : i + 1 + NEAR], default=key):
-                out.append("".join(words[begin : i + 1]))
-                begin = i + 1
-        if begin < len(words):
-            out.append("".join(words[begin:]))
-    return out
-
-
-def spans(pieces: list[str]) -> list[tuple[int, int, int, int]]:
-    """(first piece, piece after the last, hash, length) of each run; letter case and white space don't count."""
-    plain = [p.lower().split() for p in pieces]
-    out = []
-    end = words = 0
-    for i, first in enumerate(plain):
-        while end < len(plain) and (words < LEAST_WORDS or end - i < SPAN):
-            words += len(plain[end])
-            end += 1
-        if words < LEAST_WORDS or end - i < SPAN:
-            break
-        raw = " ".join([w for p in plain[i:end] for w in p]).encode()
-        out.append((i, end, xxhash.xxh3_64_intdigest(raw) - (1 << 63), len(raw)))
-        words -= len(first)
-    return out
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_MIX = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+@dataclass
+class Spans:
+    """A text's sentences as ends in characters, and its runs: first sentence, sentence after the last, and hash."""
+
+    ends: np.ndarray
+    first: np.ndarray
+    after: np.ndarray
+    hashes: np.ndarray
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+def spans(text: str) -> Spans:
+    """Letter case and white space don't count for a run's hash, which is a polynomial in the hashes of its words."""
+    whole = _WORD.findall(text)
+    n = len(whole)
+    none = np.empty(0, np.int64)
+    if not n:
+        return Spans(none, none, none, none)
+    keys = np.fromiter(map(xxhash.xxh3_64_intdigest, text.lower().split(), repeat(0)), np.uint64, n)
+    ends = np.cumsum(np.fromiter(map(len, whole), np.int64, n))
+    ends += len(text) - ends[-1]  # white space before the first word
+    closes = np.zeros(n, bool)
+    closes[-1] = True
+    marks = np.fromiter((m.start() for m in _END.finditer(text)), np.int64)
+    at = np.searchsorted(ends, marks, side="right")
+    closes[at[at < n]] = True
+    # words of sentences that are too long are cut at local minima
+    last = np.flatnonzero(closes)
+    sizes = np.diff(last, prepend=-1)
+    long = np.repeat(sizes > LONGEST, sizes)
+    if long.any():
+        least = np.ones(n, bool)
+        for step in range(1, NEAR + 1):
+            least[step:] &= keys[step:] <= keys[:-step]
+            least[:-step] &= keys[:-step] < keys[step:]
+        new = np.ones(n, bool)
+        new[1:] = keys[1:] != keys[:-1]
+        run = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        closes |= long & (least | (run % EQUAL == EQUAL - 1))
+        last = np.flatnonzero(closes)
+    starts = np.concatenate([[0], last[:-1] + 1])  # first word of each sentence
+    bounds = np.append(starts, n)
+    # a run ends with the first sentence by which it has enough words and sentences
+    first = np.arange(len(starts))
+    after = np.maximum(np.searchsorted(bounds, starts + LEAST_WORDS), first + SPAN)
+    first = first[after <= len(starts)]
+    after = after[: len(first)]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(keys * _powers(_BASE, n), dtype=np.uint64)])
+    hashed = (sums[bounds[after]] - sums[starts[first]]) * _powers(_INVERSE, n)[starts[first]]
+    hashed = (hashed ^ (hashed >> np.uint64(29))) * _MIX
+    return Spans(ends[last], first, after, hashed.view(np.int64))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, n_sentences, n_removed) of every row: text without the sentences that a repeated run covers.
+    """(doc_id, text, n_removed) of every row: text without the sentences that a repeated run covers, and how many these are.
 
     Rows that share a doc_id count as one document and each keeps what is first there; a null
     doc_id is before all others. Null and empty texts are empty. What remains is unchanged, its
@@ -78,29 +102,39 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            ids, hashes, again = [], [], []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows += {(doc_id, h, n) for *_, h, n in spans(sentences(text.as_py()))}
-            a, b, c = zip(*rows) if rows else ((), (), ())
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int32())], names=["doc_id", "h", "n"])
+                found, n = np.unique(spans(text.as_py()).hashes, return_counts=True)
+                ids.append(np.full(len(found), doc_id, np.int64))
+                hashes.append(found)
+                again.append(n > 1)
+            if ids:
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, hashes, again)], names=["doc_id", "h", "again"])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, again in zip(*(c.to_pylist() for c in batch.columns)):
-                pieces = sentences(text)
-                known = {(r["h"], r["n"]) for r in again or ()}
-                gone: set[int] = set()
-                for i, end, h, n in spans(pieces):
-                    if (h, n) in known:
-                        gone.update(range(i, end))
-                    else:
-                        known.add((h, n))
-                out.append((None if doc_id == _LEAST_ID else doc_id, "".join(p for i, p in enumerate(pieces) if i not in gone), len(pieces), len(gone)))
-            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["doc_id", "text", "n_sentences", "n_removed"])
+            for doc_id, text, inner, foreign in zip(*(c.to_pylist() for c in batch.columns)):
+                removed = 0
+                if inner or foreign:
+                    found = spans(text)
+                    repeated = np.isin(found.hashes, np.array(foreign or [], np.int64))
+                    earlier = np.ones(len(found.hashes), bool)
+                    earlier[np.unique(found.hashes, return_index=True)[1]] = False
+                    gone = np.zeros(len(found.ends) + 1, np.int64)
+                    hit = repeated | earlier
+                    np.add.at(gone, found.first[hit], 1)
+                    np.add.at(gone, found.after[hit], -1)
+                    keep = np.cumsum(gone)[:-1] == 0
+                    removed = int((~keep).sum())
+                    begins = np.concatenate([[0], found.ends[:-1]])
+                    text = "".join(text[a:b] for a, b in zip(begins[keep].tolist(), found.ends[keep].tolist())) if removed else text
+                out.append((None if doc_id == _LEAST_ID else doc_id, text, removed))
+            yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["doc_id", "text", "n_removed"])
 
     texts = ids_and_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_LEAST_ID)))
-    runs = texts.mapInArrow(emit, "doc_id long, h long, n int")
-    shared = runs.groupBy("h", "n").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    later = runs.join(shared, ["h", "n"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("h", "n")).alias("again"))  # bounded by the document's text
-    return texts.join(later, "doc_id", "left").select("doc_id", "text", "again").mapInArrow(clean, "doc_id long, text string, n_sentences long, n_removed long")
+    runs = texts.mapInArrow(emit, "doc_id long, h long, again boolean")
+    shared = runs.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("within")).where("first < last or within").select("h", "first")
+    # what a document holds again: of its own runs, or of those that an earlier document has; bounded by its text
+    later = runs.join(shared, "h").groupBy("doc_id").agg(F.max("again").alias("inner"), F.collect_set(F.when(F.col("doc_id") > F.col("first"), F.col("h"))).alias("foreign"))
+    return texts.join(later, "doc_id", "left").select("doc_id", "text", "inner", "foreign").mapInArrow(clean, "doc_id long, text string, n_removed long")
