@@ -1,6 +1,536 @@
-"""Registered queries of the ledger operators, with the SQL that states the same result."""
+"""Registered queries of the ledger operators over the task views, with the SQL that states the same result."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.expressions import backoff_window
+from .operators import fold, keys as keyed, reads, transitions as move
+from .plans import apply_changes
+from .schema import LEASE_EXPIRED, TASK_COLUMNS
+from .sources.fixtures import NOW_EARLY, NOW_LATE, NOW_MID, commands, outcomes, task_keys, tasks
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+LEASE_MS, LIMIT, WORKER = 30_000, 64, "worker_new"
+#: A task and a key that all scale factors have.
+TASK, KEY = "task_00000000000000000000000001", "cust:1"
+
+# --- SQL of the views
+
+_T0 = "epoch_us(o_orderdate) // 1000"
+_ID = "concat('task_', lpad(cast(o_orderkey as varchar), 26, '0'))"
+_VIEWS = f"""
+with t as (
+  select {_ID} as id,
+    case o_custkey % 4 when 0 then 'embed' when 1 then 'render' when 2 then 'summarize' else 'reindex' end as name,
+    case substring(o_orderpriority, 1, 1) when '1' then 'rpc' when '2' then 'gpu' when '3' then 'jobs' else 'default' end as queue,
+    st as status,
+    concat('{{"order":', cast(o_orderkey as varchar), ',"cust":', cast(o_custkey as varchar), '}}') as payload,
+    case when st = 'succeeded' then concat('{{"ok":true,"order":', cast(o_orderkey as varchar), '}}') end as result,
+    case when st = 'failed' then '{{"type":"TaskError","code":"task_error","message":"boom","retryable":false,"details":{{}}}}' end as error,
+    '{{}}' as metadata,
+    case when st = 'succeeded' then cast(1.0 as double) when st in ('running', 'failed') then cast((o_orderkey % 10) / 10.0 as double) end as progress,
+    case when st in ('running', 'failed') then 'half' end as message,
+    case when st = 'queued' then cast(o_orderkey % 2 as int) else cast(1 + o_orderkey % 3 as int) end as attempt,
+    3 as max_attempts,
+    6 - cast(substring(o_orderpriority, 1, 1) as int) as priority,
+    case when st in ('running', 'succeeded', 'failed') then concat('worker_', cast(o_orderkey % 16 as varchar)) end as worker_id,
+    case when st = 'running' then t0 + 1000 * (o_orderkey % 60) end as lease_until_ms,
+    t0 + (o_orderkey % 5) * 86400000 as run_at_ms,
+    case when st = 'running' and o_orderkey % 7 = 0 then t0 + 500 end as cancel_requested_at_ms,
+    cast(null as varchar) as parent_id,
+    concat('task_', lpad(cast(o_orderkey - o_orderkey % 8 as varchar), 26, '0')) as root_id,
+    concat('corr_', cast(o_custkey as varchar)) as correlation_id,
+    t0 as created_at_ms, t0 + 60000 as updated_at_ms,
+    case when st in ('succeeded', 'failed', 'canceled') then t0 + 60000 end as completed_at_ms
+  from (select *, {_T0} as t0,
+    case o_orderstatus when 'O' then 'queued' when 'P' then 'running'
+      else case when o_orderkey % 10 = 0 then 'canceled' when o_orderkey % 10 < 4 then 'failed' else 'succeeded' end end as st
+    from orders)),
+k as (
+  select concat('cust:', cast(o_custkey as varchar)) as key, {_ID} as task_id
+  from (select *, row_number() over (partition by o_custkey order by o_orderdate desc, o_orderkey desc) as rn from orders) where rn = 1),
+o as (
+  select {_ID} as id, concat('worker_', cast(o_orderkey % 16 as varchar)) as worker,
+    concat('{{"n":', cast(o_orderkey as varchar), '}}') as result,
+    case when o_orderkey % 3 = 0 then 'done' end as message,
+    case when o_orderkey % 2 = 0 then cast(0.75 as double) end as progress,
+    '{{"type":"ValueError","code":"handler_error","message":"bad","retryable":true,"details":{{}}}}' as error,
+    o_orderkey % 4 <> 0 as retryable, 1000 * (o_orderkey % 7) as delay_ms
+  from orders where o_orderkey % 10 <> 9)"""
+
+
+def _sql(body: str) -> str:
+    return f"{_VIEWS}\n{body}"
+
+
+def _changed(source: str, **values: str) -> str:
+    """SELECT of all task columns of `source`, whose tasks are named t, with some in place."""
+    return "select " + ", ".join(f"{values.get(c, f't.{c}')} as {c}" for c in TASK_COLUMNS) + f" from {source}"
+
+
+def query(sql: str | None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = _sql(sql)
+        return f
+
+    return register
+
+
+def _owned(now: int) -> str:
+    return f"t join o on t.id = o.id where t.status = 'running' and t.worker_id = o.worker and t.lease_until_ms > {now}"
+
+
+# --- views and point reads
+
+
+@query("select * from t")
+def tasks_view(spark, d):
+    return tasks(spark, d)
+
+
+@query("select * from k")
+def keys_view(spark, d):
+    return task_keys(spark, d)
+
+
+@query(f"select * from t where id = '{TASK}'")
+def get(spark, d):
+    return reads.get(tasks(spark, d), TASK)
+
+
+@query(f"select id, status from t where id = '{TASK}'")
+def get_status(spark, d):
+    return reads.get_status(tasks(spark, d), TASK)
+
+
+@query(f"select task_id from k where key = '{KEY}'")
+def get_key(spark, d):
+    return reads.get_key(task_keys(spark, d), KEY)
+
+
+@query(f"select t.* from k join t on k.task_id = t.id where k.key = '{KEY}'")
+def get_by_key(spark, d):
+    return reads.get_by_key(tasks(spark, d), task_keys(spark, d), KEY)
+
+
+@query(f"select t.id, t.status from k join t on k.task_id = t.id where k.key = '{KEY}'")
+def get_status_by_key(spark, d):
+    return reads.get_status_by_key(tasks(spark, d), task_keys(spark, d), KEY)
+
+
+@query("select k.key, t.* from k join t on k.task_id = t.id")
+def current_tasks(spark, d):
+    return reads.current_tasks(tasks(spark, d), task_keys(spark, d))
+
+
+_PAGE = "order by created_at_ms desc, id desc limit"
+
+
+@query(f"select * from t where status = 'failed' {_PAGE} 100")
+def list_status(spark, d):
+    return reads.list_tasks(tasks(spark, d), status="failed")
+
+
+@query(f"select * from t where queue = 'gpu' {_PAGE} 100")
+def list_queue(spark, d):
+    return reads.list_tasks(tasks(spark, d), queue="gpu")
+
+
+@query(f"select * from t where name = 'embed' {_PAGE} 100")
+def list_name(spark, d):
+    return reads.list_tasks(tasks(spark, d), name="embed")
+
+
+@query(f"select * from t where root_id = 'task_00000000000000000000000008' {_PAGE} 100")
+def list_chain(spark, d):
+    return reads.list_tasks(tasks(spark, d), root_id="task_00000000000000000000000008")
+
+
+@query(f"select * from t where correlation_id = 'corr_7' {_PAGE} 100")
+def list_correlation(spark, d):
+    return reads.list_tasks(tasks(spark, d), correlation_id="corr_7")
+
+
+@query(f"select * from t {_PAGE} 50 offset 200")
+def list_page(spark, d):
+    return reads.list_tasks(tasks(spark, d), limit=50, offset=200)
+
+
+# --- claims and leases
+
+
+def _claim_sql(where: str, source: str = "t", now: int = NOW_MID, limit: int = LIMIT) -> str:
+    first = f"(select * from {source} where status = 'queued' and run_at_ms <= {now} and {where} order by priority desc, run_at_ms, id limit {limit}) t"
+    return _changed(first, status="'running'", worker_id=f"'{WORKER}'", lease_until_ms=str(now + LEASE_MS), attempt="attempt + 1", updated_at_ms=str(now))
+
+
+@query(_claim_sql("queue in ('rpc', 'gpu')"))
+def claim_list(spark, d):
+    return move.claim(tasks(spark, d), WORKER, NOW_MID, LEASE_MS, LIMIT, ["rpc", "gpu"])
+
+
+@query(_claim_sql("queue = 'jobs'"))
+def claim_one_queue(spark, d):
+    return move.claim(tasks(spark, d), WORKER, NOW_MID, LEASE_MS, LIMIT, ["jobs"])
+
+
+@query(_claim_sql("name = 'render'"))
+def claim_one_name(spark, d):
+    return move.claim(tasks(spark, d), WORKER, NOW_MID, LEASE_MS, LIMIT, names=["render"])
+
+
+@query(_claim_sql("queue = 'gpu' and name = 'embed'"))
+def claim_one_queue_one_name(spark, d):
+    return move.claim(tasks(spark, d), WORKER, NOW_MID, LEASE_MS, LIMIT, ["gpu"], ["embed"])
+
+
+@query(_claim_sql("true", now=NOW_EARLY))
+def claim_not_due(spark, d):
+    return move.claim(tasks(spark, d), WORKER, NOW_EARLY, LEASE_MS, LIMIT)
+
+
+@query(_claim_sql("false"))
+def claim_empty_names(spark, d):
+    return move.claim(tasks(spark, d), WORKER, NOW_MID, LEASE_MS, LIMIT, names=[])
+
+
+@query(f"select exists(select 1 from t where status = 'queued' and run_at_ms <= {NOW_MID} and queue = 'rpc') or exists(select 1 from t where status = 'running' and lease_until_ms <= {NOW_MID}) as claimable")
+def claimable_probe(spark, d):
+    return reads.claimable_probe(tasks(spark, d), NOW_MID, ["rpc"])
+
+
+_F, _R = "t.cancel_requested_at_ms is not null", "t.cancel_requested_at_ms is null and t.attempt < t.max_attempts"
+_RECOVERED = _changed(
+    f"t where t.status = 'running' and t.lease_until_ms <= {NOW_MID}",
+    status=f"case when {_F} then 'canceled' when {_R} then 'queued' else 'failed' end",
+    error=f"case when not ({_F}) and not ({_R}) then '{LEASE_EXPIRED}' else t.error end",
+    progress=f"case when {_R} then null else t.progress end",
+    message=f"case when {_R} then null else t.message end",
+    worker_id=f"case when {_R} then null else t.worker_id end",
+    lease_until_ms="cast(null as bigint)",
+    run_at_ms=f"case when {_R} then {NOW_MID} else t.run_at_ms end",
+    completed_at_ms=f"case when {_R} then t.completed_at_ms else {NOW_MID} end",
+    updated_at_ms=str(NOW_MID),
+)
+
+
+@query(_RECOVERED)
+def recover_leases(spark, d):
+    return move.recover_leases(tasks(spark, d), NOW_MID)
+
+
+_AFTER = f", r as ({_RECOVERED}), a as (select * from t where id not in (select id from r) union all select * from r) "
+
+
+@query(_AFTER + _claim_sql("queue in ('rpc', 'jobs')", "a", limit=500))
+def claim_session(spark, d):
+    return move.claim_session(tasks(spark, d), WORKER, NOW_MID, LEASE_MS, 500, ["rpc", "jobs"])
+
+
+# --- owned writes
+
+
+@query(_changed(_owned(NOW_EARLY), lease_until_ms=str(NOW_EARLY + LEASE_MS), updated_at_ms=str(NOW_EARLY)))
+def heartbeat(spark, d):
+    return move.heartbeat(tasks(spark, d), outcomes(spark, d).select("id", "worker"), NOW_EARLY, LEASE_MS)
+
+
+@query(f"select t.id, t.cancel_requested_at_ms is not null as cancel_requested from {_owned(NOW_EARLY)}")
+def heartbeat_batch(spark, d):
+    return move.heartbeat_batch(tasks(spark, d), outcomes(spark, d).select("id", "worker"), NOW_EARLY, LEASE_MS)
+
+
+@query(_changed(_owned(NOW_EARLY), progress="coalesce(o.progress, t.progress)", updated_at_ms=str(NOW_EARLY)))
+def progress_value(spark, d):
+    return move.report_progress(tasks(spark, d), outcomes(spark, d).select("id", "worker", "progress", F.lit(None).cast("string").alias("message")), NOW_EARLY)
+
+
+@query(_changed(_owned(NOW_EARLY), message="coalesce(o.message, t.message)", updated_at_ms=str(NOW_EARLY)))
+def progress_message(spark, d):
+    return move.report_progress(tasks(spark, d), outcomes(spark, d).select("id", "worker", F.lit(None).cast("double").alias("progress"), "message"), NOW_EARLY)
+
+
+_SETTLED = dict(lease_until_ms="cast(null as bigint)", completed_at_ms=str(NOW_EARLY), updated_at_ms=str(NOW_EARLY))
+
+
+@query(_changed(_owned(NOW_EARLY), status="'succeeded'", result="o.result", progress="cast(1.0 as double)", message="coalesce(o.message, t.message)", **_SETTLED))
+def succeed(spark, d):
+    return move.succeed(tasks(spark, d), outcomes(spark, d).select("id", "worker", "result", "message"), NOW_EARLY)
+
+
+@query(
+    _changed(
+        _owned(NOW_EARLY), status=f"case when {_F} then 'canceled' else 'succeeded' end", result=f"case when {_F} then t.result else o.result end", progress=f"case when {_F} then t.progress else cast(1.0 as double) end", **_SETTLED
+    )
+)
+def complete(spark, d):
+    return move.complete(tasks(spark, d), outcomes(spark, d).select("id", "worker", "result"), NOW_EARLY)
+
+
+def _fail_sql(retryable: str) -> str:
+    again = f"({_R} and {retryable})"
+    return _changed(
+        _owned(NOW_EARLY),
+        status=f"case when {_F} then 'canceled' when {again} then 'queued' else 'failed' end",
+        error="o.error",
+        progress=f"case when {again} then null else t.progress end",
+        message=f"case when {again} then null else t.message end",
+        worker_id=f"case when {again} then null else t.worker_id end",
+        lease_until_ms="cast(null as bigint)",
+        run_at_ms=f"case when {again} then {NOW_EARLY} + o.delay_ms else t.run_at_ms end",
+        completed_at_ms=f"case when {again} then null else {NOW_EARLY} end",
+        updated_at_ms=str(NOW_EARLY),
+    )
+
+
+@query(_fail_sql("o.retryable"))
+def fail_retryable(spark, d):
+    return move.fail(tasks(spark, d), outcomes(spark, d).select("id", "worker", "error", "retryable", "delay_ms"), NOW_EARLY)
+
+
+@query(_fail_sql("false"))
+def fail_permanent(spark, d):
+    return move.fail(tasks(spark, d), outcomes(spark, d).select("id", "worker", "error", F.lit(False).alias("retryable"), "delay_ms"), NOW_EARLY)
+
+
+@query(f"select o.id, o.worker from o where not exists (select 1 from t where t.id = o.id and t.status = 'running' and t.worker_id = o.worker and t.lease_until_ms > {NOW_EARLY})")
+def lost_lease(spark, d):
+    return move.lost_leases(tasks(spark, d), outcomes(spark, d).select("id", "worker"), NOW_EARLY)
+
+
+# --- cancel, retry, purge
+
+
+@query(
+    _changed(
+        "t where t.status in ('queued', 'running')",
+        status="case when t.status = 'queued' then 'canceled' else t.status end",
+        cancel_requested_at_ms=f"case when t.status = 'queued' then t.cancel_requested_at_ms else {NOW_MID} end",
+        completed_at_ms=f"case when t.status = 'queued' then {NOW_MID} else t.completed_at_ms end",
+        updated_at_ms=str(NOW_MID),
+    )
+)
+def cancel(spark, d):
+    return move.cancel(tasks(spark, d), NOW_MID)
+
+
+def _retry_sql(where: str, attempt: str = "t.attempt") -> str:
+    empty = {c: f"cast(null as {k})" for c, k in (("error", "varchar"), ("progress", "double"), ("message", "varchar"), ("worker_id", "varchar"), ("lease_until_ms", "bigint"), ("cancel_requested_at_ms", "bigint"), ("completed_at_ms", "bigint"))}
+    return _changed(f"t where t.status in ('failed', 'canceled') and {where}", status="'queued'", attempt=attempt, run_at_ms=str(NOW_MID), updated_at_ms=str(NOW_MID), **empty)
+
+
+@query(_retry_sql("true"))
+def retry(spark, d):
+    return move.retry(tasks(spark, d), NOW_MID)
+
+
+@query(_retry_sql("true", "0"))
+def retry_reset(spark, d):
+    return move.retry(tasks(spark, d), NOW_MID, reset_attempts=True)
+
+
+@query(_retry_sql("t.id in (select task_id from k where key like 'cust:%5')"))
+def retry_by_key(spark, d):
+    wanted = task_keys(spark, d).where(F.col("key").like("cust:%5"))
+    return move.retry(tasks(spark, d), NOW_MID, keyed.ids_of(task_keys(spark, d), wanted))
+
+
+def _purge_sql(where: str = "true", now: int = NOW_MID, older: int = 86_400_000) -> str:
+    return f"select id from t where status in ('succeeded', 'failed', 'canceled') and completed_at_ms < {now - older} and {where} order by completed_at_ms, id limit 1000"
+
+
+@query(_purge_sql())
+def purge(spark, d):
+    return move.purge(tasks(spark, d), NOW_MID, 86_400_000)
+
+
+@query(_purge_sql("status = 'failed'"))
+def purge_status(spark, d):
+    return move.purge(tasks(spark, d), NOW_MID, 86_400_000, status="failed")
+
+
+@query(_purge_sql("queue = 'rpc'"))
+def purge_queue(spark, d):
+    return move.purge(tasks(spark, d), NOW_MID, 86_400_000, queue="rpc")
+
+
+@query(_purge_sql("name = 'embed'"))
+def purge_name(spark, d):
+    return move.purge(tasks(spark, d), NOW_MID, 86_400_000, name="embed")
+
+
+@query(f"select k.* from k where task_id in ({_purge_sql(now=NOW_LATE, older=0).replace('limit 1000', 'limit 100000')})")
+def purge_cascade(spark, d):
+    return move.purged_keys(task_keys(spark, d), move.purge(tasks(spark, d), NOW_LATE, 0, limit=100_000))
+
+
+@query(f"select distinct id from t where status in ('succeeded', 'failed', 'canceled') and ((queue = 'rpc' and completed_at_ms < {NOW_MID - 1000}) or (queue = 'jobs' and status = 'failed' and completed_at_ms < {NOW_MID - 10**10}) or completed_at_ms < {NOW_MID - 10**11})")
+def retention_rules(spark, d):
+    rules = [(1000, "rpc", None, None), (10**10, "jobs", "failed", None), (10**11, None, None, None)]
+    return move.purge_by_rules(tasks(spark, d), spark.createDataFrame(rules, "older_than_ms long, queue string, status string, name string"), NOW_MID)
+
+
+# --- statistics
+
+_STATUSES = "(values ('queued'), ('running'), ('succeeded'), ('failed'), ('canceled')) s(status)"
+
+
+@query(f"select q.queue, s.status, count(t.id) as n from (select distinct queue from t) q cross join {_STATUSES} left join t on t.queue = q.queue and t.status = s.status group by all")
+def stats(spark, d):
+    return reads.stats(tasks(spark, d))
+
+
+@query(f"select 'none' as queue, s.status, count(t.id) as n from {_STATUSES} left join t on t.queue = 'none' and t.status = s.status group by all")
+def stats_one_queue(spark, d):
+    return reads.stats(tasks(spark, d), "none")
+
+
+@query("select queue, " + ", ".join(f"count(*) filter (where status = '{s}') as {s}" for s in ("queued", "running", "succeeded", "failed", "canceled")) + " from t group by queue")
+def stats_pivot(spark, d):
+    return reads.stats_wide(tasks(spark, d))
+
+
+@query("select cast(2000 - count(*) as bigint) as headroom from (select 1 from t where queue = 'default' and status = 'queued' limit 2000)")
+def queue_depth(spark, d):
+    return reads.queue_depth(tasks(spark, d), "default", 2000)
+
+
+@query("select id, name, cast((row_number() over (partition by name order by priority desc, run_at_ms, id) - 1) // case name when 'embed' then 256 when 'render' then 8 else 1 end as bigint) as chunk from t where status = 'running'")
+def deliveries(spark, d):
+    return reads.deliveries(tasks(spark, d).where("status = 'running'"), {"embed": 256, "render": 8})
+
+
+@query(
+    f"select id, name, place from (select *, row_number() over (partition by name order by priority desc, run_at_ms, id) as place from t where status = 'queued' and run_at_ms <= {NOW_MID} and name in ('embed', 'render')) where place <= case name when 'embed' then 256 else 16 end"
+)
+def quota_draws(spark, d):
+    return reads.claim_by_quota(tasks(spark, d), {"embed": 256, "render": 16}, NOW_MID)
+
+
+@query("select id, cast(least(30000, 1000 * pow(2, greatest(0, attempt - 1))) as bigint) as window_ms from t")
+def backoff(spark, d):
+    return tasks(spark, d).select("id", backoff_window(F.col("attempt"), 1000, 30_000).alias("window_ms"))
+
+
+@query("select name, cast(sum(strlen(payload)) as bigint) as bytes, count(*) as n from t group by name")
+def payload_bytes(spark, d):
+    return reads.payload_sizes(tasks(spark, d))
+
+
+@query(f"select queue, count(*) as n, {NOW_MID} - min(run_at_ms) as oldest_ms from t where status = 'queued' and run_at_ms <= {NOW_MID} group by queue")
+def backlog_age(spark, d):
+    return reads.backlog_age(tasks(spark, d), NOW_MID)
+
+
+@query("select status, attempt, count(*) as n from t group by status, attempt")
+def attempts_histogram(spark, d):
+    return reads.attempts_histogram(tasks(spark, d))
+
+
+# --- keys
+
+
+
+def submissions(spark: SparkSession, d: str) -> DataFrame:
+    """(seq, key, new_id): line items as submissions under the key of their part's number, in an order without ties."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.concat(F.lit("cust:"), F.col("l_partkey").cast("string")).alias("key"), *[F.col(c).alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")])
+    parts = [c for c in rows.columns if c != "key"]
+    seq = F.struct(*parts)
+    return rows.select("key", seq.alias("seq"), F.concat_ws("-", F.lit("new"), *[F.col(c).cast("decimal(18,2)").cast("string") for c in parts]).alias("new_id"))
+
+
+_SEQ = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+_NEW_ID = "concat_ws('-', 'new', " + ", ".join(f"cast(cast({c} as decimal(18,2)) as varchar)" for c in _SEQ.split(", ")) + ")"
+_DECIDED = f"""
+, s as (select concat('cust:', cast(l_partkey as varchar)) as key, {_NEW_ID} as new_id, {_SEQ} from lineitem),
+c as (select k.key, t.id as cur, t.status as cur_status from k join t on t.id = k.task_id),
+n as (select s.key, s.new_id, c.cur, c.cur_status, row_number() over w as rn, lag(new_id) over w as prev, first_value(new_id) over w as head
+  from s left join c on c.key = s.key window w as (partition by s.key order by {_SEQ}))
+"""
+
+
+def _decided_sql(stays: str, repeat: str) -> str:
+    found = f"case when {stays} then cur else head end"
+    decision = f"case when rn = 1 and not ({stays}) then 'insert' else '{repeat}' end"
+    to = found if repeat == "return" else f"case when {decision} = 'insert' then new_id end"
+    return f"{_DECIDED} select key, new_id, {decision} as decision, {to} as task_id, cast(null as varchar) as cancels from n"
+
+
+def _submitted(spark: SparkSession, d: str, conflict: str) -> DataFrame:
+    return keyed.resolve(submissions(spark, d), task_keys(spark, d), tasks(spark, d), conflict).drop("seq")
+
+
+@query(_decided_sql("coalesce(cur_status in ('queued', 'running'), false)", "return"))
+def submit_reuse(spark, d):
+    return _submitted(spark, d, "reuse")
+
+
+@query(_decided_sql("coalesce(cur_status in ('queued', 'running', 'succeeded'), false)", "return"))
+def submit_reuse_succeeded(spark, d):
+    return _submitted(spark, d, "reuse-succeeded")
+
+
+@query(_decided_sql("cur is not null", "reject"))
+def submit_reject(spark, d):
+    return _submitted(spark, d, "reject")
+
+
+@query(f"{_DECIDED} select key, new_id, 'insert' as decision, new_id as task_id, case when rn > 1 then prev when cur_status in ('queued', 'running') then cur end as cancels from n")
+def submit_replace(spark, d):
+    return _submitted(spark, d, "replace")
+
+
+_INSERTED = dict(
+    id="t.new_id", name="'embed'", queue="'default'", status="'queued'", payload="'{}'", result="cast(null as varchar)", error="cast(null as varchar)", metadata="'{}'", progress="cast(null as double)", message="cast(null as varchar)", attempt="0",
+    max_attempts="3", priority="0", worker_id="cast(null as varchar)", lease_until_ms="cast(null as bigint)", run_at_ms=str(NOW_MID), cancel_requested_at_ms="cast(null as bigint)", parent_id="cast(null as varchar)", root_id="t.new_id",
+    correlation_id="cast(null as varchar)", created_at_ms=str(NOW_MID), updated_at_ms=str(NOW_MID), completed_at_ms="cast(null as bigint)",
+)
+
+
+@query(f", t2 as (select {_NEW_ID} as new_id from lineitem) " + _changed("t2 t", **_INSERTED))
+def submit_insert(spark, d):
+    rows = submissions(spark, d).select(F.col("new_id").alias("id"), F.lit("embed").alias("name"), F.lit("{}").alias("payload"))
+    return move.insert_tasks(rows, NOW_MID)
+
+
+@query(
+    f"select coalesce(p.key, k.key) as key, coalesce(p.task_id, k.task_id) as task_id, coalesce(case when k.key is not null then {NOW_EARLY} end, {NOW_MID}) as created_at_ms, case when p.key is not null then {NOW_MID} else {NOW_EARLY} end as updated_at_ms"
+    " from k full join (select concat('cust:', cast(c_custkey as varchar)) as key, concat('new_', cast(c_custkey as varchar)) as task_id from customer where c_custkey % 3 = 0) p on p.key = k.key"
+)
+def upsert_key(spark, d):
+    keys = task_keys(spark, d).withColumns({"created_at_ms": F.lit(NOW_EARLY).cast("long"), "updated_at_ms": F.lit(NOW_EARLY).cast("long")})
+    new = spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 3 = 0").selectExpr("concat('cust:', cast(c_custkey as string)) as key", "concat('new_', cast(c_custkey as string)) as task_id")
+    return keyed.upsert_keys(keys, new, NOW_MID)
+
+
+# --- versions and folds
+
+
+@query(f", r as ({_RECOVERED}) select status, count(*) as n, cast(sum(updated_at_ms) as bigint) as updated from (select * from t where id not in (select id from r) union all select * from r) group by status")
+def next_version(spark, d):
+    rows = tasks(spark, d)
+    return apply_changes(rows, move.recover_leases(rows, NOW_MID)).groupBy("status").agg(F.count("*").alias("n"), F.sum("updated_at_ms").alias("updated"))
+
+
+@query(f", r as ({_RECOVERED}) select case when status = 'queued' then 'queued' else 'done' end as reason, queue, id from r")
+def change_feed(spark, d):
+    rows = tasks(spark, d)
+    return reads.change_feed(rows, apply_changes(rows, move.recover_leases(rows, NOW_MID)))
+
+
+@query(None)
+def command_fold(spark, d):
+    log = commands(spark, d)
+    start = log.select("id").distinct().selectExpr(
+        "id", "'queued' as status", "0 as attempt", "3 as max_attempts", "cast(null as string) as worker_id", "cast(null as bigint) as lease_until_ms", "0L as run_at_ms", "cast(null as bigint) as cancel_requested_at_ms",
+        "cast(null as double) as progress", "cast(null as bigint) as completed_at_ms", "0L as updated_at_ms",
+    )
+    return fold.fold_commands(start, log, lease_ms=86_400_000)
