@@ -115,6 +115,10 @@ def _whole_ball_variants(fps: DataFrame, radius: int) -> DataFrame:
     return parts[0].union(parts[1]) if len(parts) == 2 else parts[0]
 
 
+def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a ^ b).view(np.uint64))  # of a negative number numpy counts the absolute value's bits
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
 
@@ -131,8 +135,8 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     Every link is verified. All pairs in a sparse neighbourhood are links; in a crowded one (more
     than WINDOW fingerprints on a variant) a spanning subset is.
     """
-    fps = fps.select("fp").distinct()
     parts = partitions(fps)
+    fps = fps.select("fp").distinct().repartition(parts, "fp")  # few bytes, but many variants: not for a few tasks
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for old, place, (variant, fp) in sorted_runs(batches, ["variant", "fp"], WINDOW + 1):
@@ -140,7 +144,7 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
             for step in range(1, min(WINDOW, int(place.max())) + 1):
                 i = np.flatnonzero(place >= step)
                 i = i[i >= max(old, step)]
-                near = i[np.bitwise_count(fp[i] ^ fp[i - step]) <= radius]
+                near = i[_differing(fp[i], fp[i - step]) <= radius]
                 found.append(_pairs(fp[near - step], fp[near]))
             many = np.flatnonzero(place > WINDOW)
             many = many[many >= old]
@@ -162,7 +166,7 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
             has = np.where(first >= 0, far[first] == 0, centre is not None and centre[0] == variant[0])
             i = np.flatnonzero(has & (place > 0))
             i = i[i >= old]
-            ok = i[np.bitwise_count(fp[i] ^ of[i]) <= radius]
+            ok = i[_differing(fp[i], of[i]) <= radius]
             centre = (int(variant[-1]), int(of[-1])) if has[-1] else None
             if len(ok):
                 yield _as_links([_pairs(of[ok], fp[ok])], [])
