@@ -1,8 +1,9 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred for each host.
 
-A page becomes a stream of tags (with class and id) and text slots. Equal groups that follow each
-other fold into a repeated group. Streams of a host are aligned one after the other: what both
-have stays, what only one has becomes optional, and what is repeated in one is repeated. The
+A page becomes a stream of elements (with class and id) and text slots. Elements and groups of them
+that follow each other again fold into a repeated group. Streams of a host are aligned one after
+the other: what both have stays, what only one has becomes optional, and what is repeated in one
+is repeated. The
 wrapper's text slots, known by the path of elements that they stand in, are the article's or are
 not; pages are then read slot by slot.
 """
@@ -45,8 +46,8 @@ _MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+
 _SPLIT = re.compile(r"[^a-z]+")
 
 SLOT = "#"
-#: Tokens of a repeated group, at most.
-LONGEST_GROUP = 48
+#: Items of a repeated group, and elements within each other, at most.
+LONGEST_GROUP, DEEPEST = 8, 64
 #: Tasks that a host's streams are aligned in before their wrappers meet.
 SALTS = 16
 #: Up to so many characters all wrappers are broadcast; beyond, pages are joined to them by host.
@@ -109,54 +110,59 @@ def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
             yield f"/{name}", tuple(path), ""
 
 
-# --- wrappers: sequences of signatures, slots, and ["+", sequence] or ["?", sequence]
+# --- wrappers: sequences of slots, elements ["e", signature, sequence], and groups ["+", sequence] or ["?", sequence]
 
 
 def fold(items: list) -> list:
-    """The sequence with groups that repeat at once folded, shortest groups first, until none is left."""
-    changed = True
-    while changed:
-        changed = False
-        for size in range(1, min(LONGEST_GROUP, len(items) // 2) + 1):
-            out, i = [], 0
-            while i < len(items):
-                group, j = items[i : i + size], i + size
-                while len(group) == size and items[j : j + size] == group:
-                    j += size
-                if j > i + size:
-                    plain = size == 1 and isinstance(group[0], list) and group[0][0] == "+"
-                    out.append(group[0] if plain else ["+", group])
-                    i, changed = j, True
-                elif size == 1 or len(group) == size and out and isinstance(out[-1], list) and out[-1] == ["+", group]:
-                    if out and out[-1] == ["+", group]:
-                        i, changed = i + size, True
-                    else:
-                        out.append(items[i])
-                        i += 1
-                else:
-                    out.append(items[i])
-                    i += 1
-            items = out
-    return items
+    """The sequence with what repeats at once folded: elements of one signature first, then groups of several, the shortest first."""
+    out: list = []
+    for item in items:
+        if out and _key(item) == _key(out[-1]) != SLOT and _single(item) and _single(out[-1]):
+            out[-1] = _both(["+", [out[-1]]] if out[-1][0] == "e" else out[-1], item)
+        elif not (out and item == SLOT == out[-1]):
+            out.append(item)
+    for size in range(2, min(LONGEST_GROUP, len(out) // 2) + 1):
+        i = 0
+        while i + 2 * size <= len(out):
+            if list(map(_key, out[i : i + size])) == list(map(_key, out[i + size : i + 2 * size])):
+                group = align(out[i : i + size], out[i + size : i + 2 * size])
+                out[i : i + 2 * size] = [group[0] if len(group) == 1 and group[0][0] == "+" else ["+", group]]
+                while list(map(_key, out[i + 1 : i + 1 + size])) == list(map(_key, group)):
+                    group = align(group, out[i + 1 : i + 1 + size])
+                    out[i : i + 1 + size] = [["+", group]]
+            i += 1
+    return out
+
+
+def _single(item) -> bool:
+    return item != SLOT and (item[0] == "e" or len(item[1]) == 1)
 
 
 def _key(item) -> str:
-    """What two items must share to be put on each other: a repeated or optional group goes with what it begins with."""
-    while isinstance(item, list):
+    """What two items must share to be put on each other: a group goes with what it begins with."""
+    while item[0] in "+?" and item != SLOT:
         item = item[1][0]
-    return item
+    return SLOT if item == SLOT else item[1]
 
 
 def _both(a, b):
     """One item for two with equal keys."""
     if a == b:
         return a
-    kinds = {x[0] for x in (a, b) if isinstance(x, list)}
-    body = align(*(x[1] if isinstance(x, list) else [x] for x in (a, b)))
-    if "+" in kinds:
-        body = ["+", body]
-        return ["?", [body]] if "?" in kinds else body
-    return ["?", body]
+    if a[0] == b[0] == "e":
+        return ["e", a[1], align(a[2], b[2])]
+    repeated = optional = False
+    bodies = []
+    for x in (a, b):
+        while x != SLOT and x[0] in "+?":
+            repeated, optional = repeated or x[0] == "+", optional or x[0] == "?"
+            if len(x[1]) > 1:
+                break
+            x = x[1][0]
+        bodies.append(x[1] if x != SLOT and x[0] in "+?" else [x])
+    body = [_both(bodies[0][0], bodies[1][0])] if len(bodies[0]) == len(bodies[1]) == 1 else align(*bodies)
+    body = [["+", body]] if repeated else body
+    return ["?", body] if optional else body[0] if len(body) == 1 else ["?", body]
 
 
 def align(a: list, b: list) -> list:
@@ -170,58 +176,58 @@ def align(a: list, b: list) -> list:
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
     out: list = []
-    lone: list = []
-
-    def leave() -> None:
-        if lone:
-            out.append(lone[0] if len(lone) == 1 and isinstance(lone[0], list) and lone[0][0] == "?" else ["?", lone[:]])
-            lone.clear()
-
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and ka[i] == kb[j]:
-            leave()
             out.append(_both(a[i], b[j]))
             i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            lone.append(a[i])
-            i += 1
+            continue
+        if j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
+            lone, i = a[i], i + 1
         else:
-            lone.append(b[j])
-            j += 1
-    leave()
-    return fold(out)
+            lone, j = b[j], j + 1
+        out.append(lone if lone[0] == "?" else ["?", [lone]])
+    return out
 
 
 def skeleton(page: str) -> list:
-    """A page's folded stream. Slots of white space only, and inline tags, are left out."""
-    out = []
-    for sig, _, text in walk(page):
-        if sig == SLOT:
-            if text.strip() and (not out or out[-1] != SLOT):
-                out.append(SLOT)
-        elif sig.lstrip("/").split(".")[0] in BLOCK:
-            out.append(sig)
-    return fold(out)
+    """A page's elements of blocks and its slots, folded. Slots of white space only, and inline tags, are left out; elements deeper than DEEPEST are left to their path."""
+    root: list = []
+    open_: list[tuple[tuple[str, ...], list]] = [((), root)]  # paths of blocks, and what stands in them
+
+    def close() -> None:
+        _, inside = open_.pop()
+        inside[:] = fold(inside)
+
+    for sig, path, text in walk(page):
+        at = tuple(p for p in path if p.split(".")[0] in BLOCK)[:DEEPEST]
+        opens = sig != SLOT and sig[0] != "/" and sig.split(".")[0] in BLOCK and len(at) <= DEEPEST
+        parent = at[:-1] if opens else at
+        while len(open_[-1][0]) > len(parent) or open_[-1][0] != parent[: len(open_[-1][0])]:
+            close()
+        if opens and len(path) <= DEEPEST:
+            inside: list = []
+            open_[-1][1].append(["e", sig, inside])
+            open_.append((at, inside))
+        elif sig == SLOT and text.strip() and open_[-1][0] == at and (not open_[-1][1] or open_[-1][1][-1] != SLOT):
+            open_[-1][1].append(SLOT)
+    while len(open_) > 1:
+        close()
+    return fold(root)
 
 
 def slots(wrapper: list) -> dict[str, bool]:
     """Whether each path of block elements at which the wrapper has a slot is the article's."""
     found: set[tuple[str, ...]] = set()
 
-    def go(items: list, path: tuple[str, ...]) -> tuple[str, ...]:
+    def go(items: list, path: tuple[str, ...]) -> None:
         for item in items:
-            if isinstance(item, list):
-                path = go(item[1], path)
-            elif item == SLOT:
+            if item == SLOT:
                 found.add(path)
-            elif item[0] == "/":
-                names = [p.split(".")[0] for p in path]
-                if item[1:] in names:
-                    path = path[: len(names) - 1 - names[::-1].index(item[1:])]
-            elif item.split(".")[0] not in VOID:
-                path = (*path, item) if item.split(".")[0] != "p" or not path or path[-1].split(".")[0] != "p" else (*path[:-1], item)
-        return path
+            elif item[0] == "e":
+                go(item[2], (*path, item[1]))
+            else:
+                go(item[1], path)
 
     go(wrapper, ())
     has_main = any(p.split(".")[0] in MAIN or "main" in p.split(".")[1:] for path in found for p in path)
