@@ -154,12 +154,13 @@ def mixed_documents(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) ->
 
     _place orders a shard at random; write with repartition("_shard") and sortWithinPartitions("_shard", "_place").
     """
-    rows = _planned(docs, shards, seed)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # apart from the columns made here
+    rows = _planned(docs.select("doc_id", "source", "text", row), shards, seed)
     words = F.when(F.col("_last") == F.col("_size"), F.col("text")).otherwise(F.array_join(F.slice(F.split(F.regexp_replace("text", r"^[\x20\x09-\x0D]+", ""), r"[\x20\x09-\x0D]+"), 1, F.col("_last").cast("int")), " "))
     rows = rows.withColumn("_pass", F.explode(F.sequence(F.lit(0), F.col("_plan.passes").cast("int")))).where((F.col("_pass") < F.col("_plan.passes")) | (F.col("_last") > 0))
     # the hash has permuted the blocks: shards take their runs of them, pass after pass
     block = F.col("_pass") * BLOCKS + F.conv(F.substring("_key", 1, BLOCK_DIGITS), 16, 10).cast("long")
     shard = F.size(F.filter("_plan.ends", lambda end: end <= block))
-    kept = {c: F.col(c) for c in docs.columns}
+    kept = {c: F.col(f"row.`{c}`") for c in docs.columns}
     kept["text"] = F.when(F.col("_pass") < F.col("_plan.passes"), F.col("text")).otherwise(words)
     return rows.select(*[v.alias(k) for k, v in kept.items()], shard.alias("_shard"), F.xxhash64(F.lit(seed), "_key", "_pass").alias("_place"))

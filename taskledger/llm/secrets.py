@@ -129,7 +129,8 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs, all columns, with MASK for every span in text, overlapping ones as one; n_chars, if there, is the new length. A null text stays null."""
-    found = find_spans(docs, F.col("text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # apart from the columns made here
+    found = find_spans(docs.select(row, F.col("text").alias("text")), F.col("text"))
 
     def step(state: Column, span: Column) -> Column:
         gap = F.substring(F.col("text"), state["at"] + 1, F.greatest(span["start"] - state["at"], F.lit(0)))
@@ -140,6 +141,6 @@ def redact(docs: DataFrame) -> DataFrame:
     empty = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     masked = F.aggregate("_spans", empty, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))))
     text = F.when(F.size("_spans") > 0, masked).otherwise(F.col("text"))
-    columns = {c: F.col(c) for c in docs.columns} | {"text": text.alias("text")}
-    out = found.select(*columns.values())
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": text}
+    out = found.select(*[v.alias(c) for c, v in columns.items()])
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
