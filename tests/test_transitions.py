@@ -1,0 +1,177 @@
+"""Rules of the state machine, one by one, on small tables."""
+
+import json
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from taskledger.functions import documents
+from taskledger.functions.expressions import backoff_delay, backoff_window
+from taskledger.operators import keys as keyed, reads, transitions as move
+from taskledger.plans import apply_changes, drop_purged, read_version, write_version
+from taskledger.schema import CONFLICTS, KEY_SCHEMA, LEASE_EXPIRED, TASK_COLUMNS, TASK_SCHEMA
+
+NOW = 1_000_000
+
+
+@pytest.fixture
+def table(spark):
+    def build(*rows):
+        blank = dict(name="x", queue="default", status="queued", payload="{}", metadata="{}", attempt=0, max_attempts=3, priority=0, run_at_ms=0, created_at_ms=0, updated_at_ms=0)
+        full = [blank | {"id": f"t{i}"} | r for i, r in enumerate(rows)]
+        return spark.createDataFrame([tuple(r.get(c) for c in TASK_COLUMNS) for r in full], TASK_SCHEMA)
+
+    return build
+
+
+def running(**more):
+    return dict(status="running", worker_id="w", lease_until_ms=NOW + 1, attempt=1) | more
+
+
+def one(df):
+    found = df.collect()
+    assert len(found) == 1
+    return found[0]
+
+
+def write(spark, **columns):
+    names = list(columns)
+    return spark.createDataFrame([tuple(columns.values())], ", ".join(f"{n} {'boolean' if n == 'retryable' else 'long' if n == 'delay_ms' else 'double' if n == 'progress' else 'string'}" for n in names))
+
+
+def test_claim_order_and_filters(table):
+    t = table(dict(priority=0, run_at_ms=5), dict(priority=5), dict(priority=0, run_at_ms=3), dict(run_at_ms=NOW + 1), dict(queue="q", name="y"))
+    assert {r.id for r in move.claim(t, "w", NOW, 10, 2).collect()} == {"t1", "t4"}
+    r = one(move.claim(t, "w", NOW, 10, 5, ["q"], ["y"]))
+    assert (r.status, r.worker_id, r.lease_until_ms, r.attempt, r.updated_at_ms) == ("running", "w", NOW + 10, 1, NOW)
+    assert move.claim(t, "w", NOW, 10, 5, names=[]).count() == 0 and move.claim(t, "w", NOW, 10, 5).count() == 4
+
+
+@pytest.mark.parametrize("lease, owned", [(NOW, False), (NOW + 1, True)])
+def test_ownership_is_strict(spark, table, lease, owned):
+    t = table(running(lease_until_ms=lease))
+    beat = write(spark, id="t0", worker="w")
+    assert move.heartbeat(t, beat, NOW, 50).count() == int(owned)
+    assert move.lost_leases(t, beat, NOW).count() == int(not owned)
+    assert move.recover_leases(t, NOW).count() == int(not owned)
+    assert move.heartbeat(t, write(spark, id="t0", worker="other"), NOW, 50).count() == 0
+
+
+def test_complete_and_cancel(spark, table):
+    out = write(spark, id="t0", worker="w", result="1")
+    r = one(move.complete(table(running(progress=0.5)), out, NOW))
+    assert (r.status, r.result, r.progress, r.lease_until_ms, r.completed_at_ms, r.worker_id) == ("succeeded", "1", 1.0, None, NOW, "w")
+    r = one(move.complete(table(running(progress=0.5, cancel_requested_at_ms=5)), out, NOW))
+    assert (r.status, r.result, r.progress, r.lease_until_ms) == ("canceled", None, 0.5, None)
+    r = one(move.succeed(table(running(cancel_requested_at_ms=5, message="m")), out.withColumn("message", F.lit(None).cast("string")), NOW))
+    assert (r.status, r.message) == ("succeeded", "m")
+
+
+def test_fail_branches(spark, table):
+    bad = write(spark, id="t0", worker="w", error="e", retryable=True, delay_ms=7)
+    r = one(move.fail(table(running(progress=0.5, message="m")), bad, NOW))
+    assert (r.status, r.error, r.progress, r.message, r.worker_id, r.run_at_ms, r.completed_at_ms) == ("queued", "e", None, None, None, NOW + 7, None)
+    for state, failure, status in ((running(attempt=3), bad, "failed"), (running(), bad.withColumn("retryable", F.lit(False)), "failed"), (running(cancel_requested_at_ms=1), bad, "canceled")):
+        r = one(move.fail(table(state), failure, NOW))
+        assert (r.status, r.error, r.completed_at_ms, r.worker_id, r.lease_until_ms) == (status, "e", NOW, "w", None)
+
+
+def test_recover_branches(table):
+    t = table(running(lease_until_ms=5, message="m"), running(lease_until_ms=5, attempt=3, message="m"), running(lease_until_ms=5, cancel_requested_at_ms=3))
+    a, b, c = sorted(move.recover_leases(t, NOW).collect(), key=lambda r: r.id)
+    assert (a.status, a.error, a.message, a.worker_id, a.run_at_ms, a.completed_at_ms) == ("queued", None, None, None, NOW, None)
+    assert (b.status, b.error, b.message, b.worker_id, b.completed_at_ms) == ("failed", LEASE_EXPIRED, "m", "w", NOW)
+    assert (c.status, c.error, c.completed_at_ms) == ("canceled", None, NOW) and json.loads(LEASE_EXPIRED)["code"] == "lease_expired"
+
+
+def test_cancel_and_retry(spark, table):
+    t = table({}, running(cancel_requested_at_ms=1), dict(status="failed", error="e", attempt=3, result="r", worker_id="w", completed_at_ms=4), dict(status="succeeded"))
+    a, b = sorted(move.cancel(t, NOW).collect(), key=lambda r: r.id)
+    assert (a.status, a.cancel_requested_at_ms, a.completed_at_ms) == ("canceled", None, NOW) and (b.status, b.cancel_requested_at_ms) == ("running", NOW)
+    r = one(move.retry(t, NOW))
+    assert (r.status, r.error, r.attempt, r.result, r.worker_id, r.completed_at_ms, r.run_at_ms) == ("queued", None, 3, "r", None, None, NOW)
+    assert one(move.retry(t, NOW, write(spark, id="t2"), reset_attempts=True)).attempt == 0 and move.retry(t, NOW, write(spark, id="t3")).count() == 0
+
+
+def test_progress_keeps_what_is_null(spark, table):
+    t = table(running(progress=0.5, message="m"))
+    r = one(move.report_progress(t, write(spark, id="t0", worker="w", progress=0.75, message=None), NOW))
+    assert (r.progress, r.message) == (0.75, "m")
+
+
+def test_purge_arguments_and_cascade(spark, table):
+    t = table(dict(status="failed", completed_at_ms=10), dict(status="succeeded", completed_at_ms=NOW - 5), {})
+    assert [r.id for r in move.purge(t, NOW, 5).collect()] == ["t0"]
+    for bad in (dict(older_than_ms=-1), dict(older_than_ms=0, limit=0), dict(older_than_ms=0, status="queued")):
+        with pytest.raises(ValueError):
+            move.purge(t, NOW, **bad)
+    keys = spark.createDataFrame([("a", "t0", 0, 0), ("b", "t2", 0, 0)], KEY_SCHEMA)
+    left, pointers = drop_purged(t, keys, move.purge(t, NOW, 0))
+    assert left.count() == 1 and [r.key for r in pointers.collect()] == ["b"]
+
+
+def reference_submit(state, seq, conflict):
+    """One by one, in plain Python: state is {key: (id, status)}; returns the decisions."""
+    out = []
+    for key, new in seq:
+        cur = state.get(key)
+        active = cur is not None and cur[1] in ("queued", "running")
+        if cur is not None and conflict == "reject":
+            out.append((new, "reject", None, None))
+        elif active and conflict in ("reuse", "reuse-succeeded") or cur is not None and conflict == "reuse-succeeded" and cur[1] == "succeeded":
+            out.append((new, "return", cur[0], None))
+        else:
+            out.append((new, "insert", new, cur[0] if conflict == "replace" and active else None))
+            state[key] = (new, "queued")
+    return out
+
+
+@pytest.mark.parametrize("conflict", CONFLICTS)
+def test_keyed_submission_in_order(spark, table, conflict):
+    t = table({}, running(), dict(status="succeeded"), dict(status="failed"), dict(status="canceled"))
+    keys = spark.createDataFrame([(f"k{i}", f"t{i}", 0, 0) for i in range(5)] + [("gone", "purged", 0, 0)], KEY_SCHEMA)
+    seq = [(k, f"n{n}") for n, k in enumerate([*(f"k{i}" for i in range(5)), "gone", "free"] * 3)]
+    subs = spark.createDataFrame([(n, k, i) for n, (k, i) in enumerate(seq)], "seq int, key string, new_id string")
+    got = sorted((r.new_id, r.decision, r.task_id, r.cancels) for r in keyed.resolve(subs, keys, t, conflict).collect())
+    assert got == sorted(reference_submit({f"k{i}": (f"t{i}", s) for i, s in enumerate(("queued", "running", "succeeded", "failed", "canceled"))}, seq, conflict))
+    with pytest.raises(ValueError):
+        keyed.resolve(subs, keys, t, "other")
+
+
+def test_reads(spark, table):
+    t = table(*[dict(queue="q", created_at_ms=i) for i in range(5)])
+    assert [r.id for r in reads.list_tasks(t, queue="q", limit=2, offset=1).collect()] == ["t3", "t2"]
+    for bad in (dict(status="lost"), dict(limit=-1), dict(offset=-1)):
+        with pytest.raises(ValueError):
+            reads.list_tasks(t, **bad)
+    assert one(reads.queue_depth(t, "q", 3)).headroom == 0 and one(reads.queue_depth(t, "q", 9)).headroom == 4 and one(reads.queue_depth(t, "none", 0)).headroom == 0
+    assert one(reads.claimable_probe(t.limit(0), NOW)).claimable is False and one(reads.claimable_probe(t, NOW, [])).claimable is False
+
+
+def test_documents(spark):
+    value = {"a": None, "nested": {"x": [1, 2, 3]}, "u": "café — 日本語", "empty": {}, "arr": []}
+    assert json.loads(documents.dump(value)) == value and " " not in documents.dump({"a": [1, 2]})
+    for bad in (math.nan, math.inf, {1, 2}):
+        with pytest.raises((TypeError, ValueError)):
+            documents.dump(bad)
+    ids = [documents.new_id(ms) for ms in (1, 2, 10**12)]
+    assert ids == sorted(ids) and all(len(i) == 31 and i.startswith("task_") for i in ids)
+    rows = spark.createDataFrame([("{}",), ("{",), (None,)], "j string")
+    assert [r.ok for r in rows.select(documents.is_json("j").alias("ok")).collect()] == [True, False, True]
+
+
+def test_backoff(spark):
+    rows = spark.range(1, 8).select(F.col("id").cast("int").alias("n"))
+    got = rows.select(backoff_window(F.col("n"), 1000, 30_000).alias("w"), backoff_delay(F.col("n"), 1000, 30_000, F.lit(0.5)).alias("d"), backoff_window(F.col("n"), 0, 9).alias("z")).collect()
+    assert [r.w for r in got] == [1000, 2000, 4000, 8000, 16000, 30000, 30000] and [r.d for r in got][:2] == [750, 1500] and {r.z for r in got} == {0}
+
+
+def test_versions(spark, table, tmp_path):
+    t = table({}, running(), dict(status="failed"))
+    write_version(t, str(tmp_path), 0)
+    assert read_version(spark, str(tmp_path), 0, TASK_SCHEMA, "live").count() == 2
+    write_version(apply_changes(read_version(spark, str(tmp_path), 0, TASK_SCHEMA), move.retry(t, NOW)), str(tmp_path), 1)
+    assert read_version(spark, str(tmp_path), 1, TASK_SCHEMA, "live").count() == 3
+    with pytest.raises(Exception):
+        write_version(t, str(tmp_path), 1)
