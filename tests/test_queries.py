@@ -1,6 +1,7 @@
 """Every ledger query against its SQL in DuckDB."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from taskledger.queries import ORACLE_SQL, QUERIES
@@ -19,7 +20,7 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value:
+    if pd.isna(value):
         return None
     return float(value) if isinstance(value, (int, float)) and not isinstance(value, bool) else value
 
