@@ -25,7 +25,7 @@ from .common import cut_lineage, ids_and_texts, partitions
 BITS, BYTES = 128, 16
 SEED = 42
 #: Differing bits within which fingerprints are near, and blocks that they are cut into.
-RADIUS, BLOCKS = 12, 16
+RADIUS, BLOCKS = 6, 8
 #: A term's weight grows with its words' letters up to so many.
 MAX_LETTERS = 16
 
