@@ -110,7 +110,8 @@ class Codec:
     def encode(self, text: bytes) -> bytes:
         """Ids of a text, packed."""
         words = text.split()
-        self.learn(set(words))
+        if not all(map(self.known.__contains__, words)):
+            self.learn(set(words))
         return b"".join(map(self.known.__getitem__, words))
 
     def unpack(self, packed: bytes) -> np.ndarray:
@@ -200,16 +201,19 @@ def shared_encodings(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
 
     def encode_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
-        for batch in batches:
-            rows = []
-            for packed, cuts, owned in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                wanted = {(k["h1"], k["h2"]) for k in owned or ()}
-                for chunk in pieces(zstandard.decompress(packed), cuts) if wanted else ():
-                    if (key := chunk_key(chunk)) in wanted:
-                        wanted.discard(key)
-                        rows.append((*key, tool.encode(chunk)))
-            a, b, c = zip(*rows) if rows else ((), (), ())
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.binary())], names=["h1", "h2", "ids"])
+        for whole_batch in batches:
+            for at in range(0, whole_batch.num_rows, 256):
+                batch = whole_batch.slice(at, 256)
+                found: dict[tuple[int, int], bytes] = {}
+                for packed, cuts, owned in zip(*(c.to_pylist() for c in batch.columns)):
+                    wanted = {(k["h1"], k["h2"]) for k in owned or ()}
+                    for chunk in pieces(zstandard.decompress(packed), cuts) if wanted else ():
+                        if (key := chunk_key(chunk)) in wanted:
+                            found[key] = chunk
+                tool.learn({w for chunk in found.values() for w in chunk.split()})
+                keys = list(found)
+                ids = [tool.encode(chunk) for chunk in found.values()]
+                yield pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(ids, pa.binary())], names=["h1", "h2", "ids"])
 
     texts = ids_and_texts(docs)
     whole = texts.mapInArrow(cut_up, "doc_id long, packed binary, cuts array<int>")
