@@ -27,8 +27,8 @@ from .common import cut_lineage, ids_and_texts
 
 #: Mean bytes of a chunk, as a power of two; bytes that the hash sees; how far a cut moves to white space.
 CHUNK_BITS, SEEN, REACH = 9, 8, 256
-#: Words whose encodings a Python worker keeps before it starts anew.
-MAX_WORDS = 400_000
+#: Words whose encodings a Python worker keeps before it starts anew, and their bytes.
+MAX_WORDS, MAX_HELD = 400_000, 50_000_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = b" \t\n\r\x0b\x0c"
 
@@ -86,6 +86,7 @@ class Codec:
         self.tokens = [self.library.id_to_token(i) or "" for i in range(size)]
         self.digits = [str(i) for i in range(size)]
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
@@ -93,8 +94,9 @@ class Codec:
     def learn(self, words: set[bytes]) -> None:
         """Encodes the words that aren't known, many in one text: white space keeps them apart."""
         new = sorted(w for w in words if w not in self.known)
-        if new and len(self.known) > MAX_WORDS:
+        if new and (len(self.known) > MAX_WORDS or self.held > MAX_HELD):
             self.known.clear()
+            self.held = 0
             new = sorted(words)
         for at in range(0, len(new), 5_000):
             part = [w.decode() for w in new[at : at + 5_000]]
@@ -106,6 +108,7 @@ class Codec:
                 while k < len(ids) and offsets[k][1] <= end:
                     k += 1
                 self.known[raw] = self._pack(ids[first:k])
+                self.held += len(raw) + 2 * (k - first)
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text, packed."""
@@ -131,46 +134,59 @@ class Codec:
                     j += 1
             text = b"".join(chunks[i:j])
             ids = self.encode(text) if encoded[i] is None else encoded[i]
-            while j < len(chunks) and text[-1] not in _SPACES and chunks[j][0] not in _SPACES:
-                text, ids = self._repaired(text, ids, chunks[j], encoded[j])
-                j += 1
+            if j < len(chunks) and text[-1] not in _SPACES and chunks[j][0] not in _SPACES:
+                tail = text[max(text.rfind(b) for b in _SPACE_BYTES) + 1 :].decode()
+                while j < len(chunks) and text[-1] not in _SPACES and chunks[j][0] not in _SPACES:
+                    text = chunks[j]
+                    kept, ids, tail = self._repaired(tail, ids, text, encoded[j])
+                    out.append(kept)
+                    j += 1
             out.append(ids)
             i = j
         return b"".join(out)
 
-    def _repaired(self, left: bytes, left_ids: bytes, right: bytes, right_ids: bytes | None) -> tuple[bytes, bytes]:
-        """(text, ids) of left and right put together where a pre-token may cross the join.
+    def _starts(self, words: list[int | None]) -> list[int]:
+        """Places of the first token of each pre-token."""
+        return [k for k, w in enumerate(words) if not k or w is None or w != words[k - 1]]
+
+    def _repaired(self, tail: str, left_ids: bytes, right: bytes, right_ids: bytes | None) -> tuple[bytes, bytes, str]:
+        """(ids that stand, ids from there to the end of right, tail) where a pre-token may cross the join.
 
-        Pre-tokens are found from left to right without looking back: what starts where one starts
-        is encoded as if the text began there, and all but the last one before a join stand.
+        tail: the end of the text so far, from the start of one of its pre-tokens on. Pre-tokens are
+        found from left to right without looking back: what starts where one starts is encoded as
+        if the text began there, and all but the last one before a join stand.
         """
-        run = left[max(left.rfind(bytes([b])) for b in _SPACES) + 1 :]
-        tail = self.library.encode(run.decode(), add_special_tokens=False)
-        starts = [k for k, w in enumerate(tail.word_ids) if not k or w is None or w != tail.word_ids[k - 1]]
-        if not starts:
-            return left + right, left_ids + (self.encode(right) if right_ids is None else right_ids)
-        k = starts[-1]
-        from_last = run.decode()[tail.offsets[k][0] :]
-        kept = left_ids[: len(left_ids) - (len(tail.ids) - k) * self.dtype.itemsize]
+        own = self.library.encode(tail, add_special_tokens=False)
         whole = right.decode()
         if right_ids is None:
             right_ids = self.encode(right)
+        if not own.ids:
+            return left_ids, right_ids, _last_run(whole)
+        k = self._starts(own.word_ids)[-1]
+        from_last = tail[own.offsets[k][0] :]
+        kept = left_ids[: len(left_ids) - (len(own.ids) - k) * self.dtype.itemsize]
         width = 64
         while True:
             head = whole[:width]
             window = self.library.encode(from_last + head, add_special_tokens=False)
             if width >= len(whole):
-                return left + right, kept + self._pack(window.ids)
+                return kept, self._pack(window.ids), _last_run(whole, from_last)
             alone = self.library.encode(head, add_special_tokens=False)
-            # starts of pre-tokens, but for the last, which the window's end may cut
-            ours = {o[0] - len(from_last): n for n, (o, w) in enumerate(zip(window.offsets, window.word_ids)) if n and w != window.word_ids[n - 1] and w != window.word_ids[-1]}
-            theirs = {o[0]: n for n, (o, w) in enumerate(zip(alone.offsets, alone.word_ids)) if n and w != alone.word_ids[n - 1] and w != alone.word_ids[-1]}
-            if both := sorted(p for p in ours.keys() & theirs.keys() if p > 0):
-                p = both[0]
-                return left + right, kept + self._pack(window.ids[: ours[p]]) + right_ids[theirs[p] * self.dtype.itemsize :]
+            # starts of pre-tokens that both have, but for the last, which the window's end may cut
+            ours = {window.offsets[n][0] - len(from_last): n for n in self._starts(window.word_ids)[:-1]}
+            theirs = {alone.offsets[n][0]: n for n in self._starts(alone.word_ids)[:-1]}
+            if both := [p for p in theirs if p > 0 and p in ours]:
+                p = min(both)
+                return kept, self._pack(window.ids[: ours[p]]) + right_ids[theirs[p] * self.dtype.itemsize :], _last_run(whole[p:])
             width *= 2
 
 
+def _last_run(text: str, before: str = "") -> str:
+    """What stands after the last ASCII white space of before and text."""
+    at = max(text.rfind(chr(b)) for b in _SPACES)
+    return text[at + 1 :] if at >= 0 else before + text
+
+
 @cache
 def codec(path: str) -> Codec:
     """One for each Python worker."""
