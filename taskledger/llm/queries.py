@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from . import secrets
 from .ann import neighbours
 from .bpe import round_trip_digests
 from .common import table
@@ -81,6 +82,57 @@ def op5_secrets(spark, sf_dir):
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
+def _secrets_sql() -> str:
+    """Spans of each pattern from the lengths of its matches and of what stands between them; windows of candidates one by one."""
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    def any_case(word: str) -> str:
+        return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+    names = "|".join(map(any_case, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = quoted(rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    access, hexadecimal, candidate = map(quoted, (secrets.ACCESS, secrets.HEX, secrets.CANDIDATE))
+
+    def located(pattern: str, kind: int, keep: str) -> str:
+        between, matches = f"string_split_regex(x, {pattern})", f"regexp_extract_all(x, {pattern})"
+        return f"""
+  select doc, {kind} as kind, s as "start", s + length(m) as "end", m from (
+    select doc, m, cast(i - 1 as int) as i, (list_sum(list_transform(b[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(a[1:i - 1], lambda g: length(g))), 0))::bigint as s
+    from (select doc, a, b, unnest(a) as m, unnest(range(1, len(a) + 1)) as i from (select doc, {matches} as a, {between} as b from d) where len(a) > 0)) where {keep}"""
+
+    classes = " ".join(f"when regexp_full_match(m, {quoted(p)}) then {bits}" for p, bits in secrets.CLASSES)
+    known = " or ".join(f"regexp_full_match(m, {quoted(p)})" for p in secrets.ALLOW)
+    n = secrets.WINDOW
+    return f"""
+with d as (select row_number() over () as doc, doc_id, coalesce(text, '') as x from documents),
+base as ({located(assign, 0, f"length(regexp_extract(m, {assign}, 2)) >= {secrets.ASSIGN_VALUE}")}
+  union all {located(access, 1, "true")}
+  union all {located(hexadecimal, 2, "true")}),
+runs as (select *, case {classes} else 9.0 end as bound from ({located(candidate, 3, f"regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and not ({known})")})),
+windows as (
+  select doc, "start", bound, i, list_sum(list_transform(list_distinct(string_split(w, '')), lambda c: (length(w) - length(replace(w, c, ''))) * log2(length(w) - length(replace(w, c, ''))))) as total
+  from (select doc, "start", bound, i, m[i + 1:i + {n}] as w from (select *, unnest(range(0, length(m) - {n - 1})) as i from runs))),
+dense as (
+  select doc, 3 as kind, "start" + min(i) as "start", "start" + max(i) + {n} as "end" from windows
+  where {n} * log2({n}) - total >= bound * {n} - 1e-9 group by doc, windows."start"),
+extra as (select * from dense e where not exists (select 1 from base b where b.doc = e.doc and b."start" < e."end" and e."start" < b."end")),
+names as (select * from (values (0, 'assign'), (1, 'access'), (2, 'hex'), (3, 'entropy')) t(kind, name)),
+every as (select doc, kind, "start", "end" from base union all select doc, kind, "start", "end" from extra),
+lists as (
+  select doc, count(*) filter (where kind = 0) as n_assign, count(*) filter (where kind = 1) as n_access, count(*) filter (where kind = 2) as n_hex,
+    string_agg(name || ':' || "start" || ':' || "end", ',' order by "start", kind) filter (where kind < 3) as base_spans,
+    string_agg(name || ':' || "start" || ':' || "end", ',' order by "start", kind) as spans
+  from every join names using (kind) group by doc)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base_spans, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join lists using (doc)
+"""
+
+
+ORACLE_SQL["op5_secrets"] = _secrets_sql()
+
+
 @query
 def op10_fingerprints(spark, sf_dir):
     return edited_likeness(table(spark, sf_dir, "documents"))

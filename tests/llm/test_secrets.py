@@ -4,7 +4,10 @@ import random
 import re
 from collections import Counter
 
+import duckdb
+
 from taskledger.llm import secrets as S
+from taskledger.llm.queries import ORACLE_SQL
 
 from .conftest import ODD
 
@@ -78,3 +81,13 @@ def test_redacted_text(docs):
 def test_no_python_in_the_plan(docs):
     plan = S.secret_spans(docs([(1, "x")]))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan.replace("PythonRDD", "") and "Arrow" not in plan
+
+
+def test_sql_states_the_same(docs):
+    rows = [*ODD, *enumerate(texts(), 100)]
+    db = duckdb.connect()
+    db.execute("create table documents (doc_id bigint, text varchar)")
+    db.executemany("insert into documents values (?, ?)", rows)
+    want = db.sql(f"select doc_id, n_assign, n_access, n_hex, base_sha256, spans from ({ORACLE_SQL['op5_secrets']})").fetchall()
+    got = [(r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in S.secret_spans(docs(rows)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
