@@ -112,12 +112,12 @@ def source_plans(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Dat
     cut = reached(near, "key", "rest", F.col("start")).select(F.col("s").alias("rank"), F.col("key").alias("cut"), F.floor((F.col("rest") - F.col("from")) / F.col("n")).alias("part"))
     plans = goals.join(cut, "rank", "left")
     last = F.when(F.col("rest") > 0, F.conv(F.substring("cut", 1, BLOCK_DIGITS), 16, 10).cast("long") + 1).otherwise(0)
-    plans = plans.withColumn("quota", F.col("passes") * BLOCKS + F.coalesce(last, F.lit(0)))
+    plans = cut_lineage(plans.withColumn("quota", F.col("passes") * BLOCKS + F.coalesce(last, F.lit(0))))  # a row a source, read twice
 
     def quotas(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat([*batches])
-        if len(rows):
-            rows = rows.sort_values("rank", ignore_index=True)
+        rows = [b for b in batches if len(b)]
+        if rows:
+            rows = pd.concat(rows).sort_values("rank", ignore_index=True)
             rows["ends"] = split_tree(rows["quota"].to_numpy(), shards, seed).cumsum(1).tolist()
             yield rows
 
