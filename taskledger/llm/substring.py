@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts
+from .common import ids_and_texts, written
 
 #: Sentences and words that a run has at least.
 SPAN, LEAST_WORDS = 3, 20
@@ -133,7 +133,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["doc_id", "text", "n_removed"])
 
     texts = ids_and_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_LEAST_ID)))
-    runs = texts.mapInArrow(emit, "doc_id long, h long, again boolean")
+    runs = written(texts.mapInArrow(emit, "doc_id long, h long, again boolean"), "runs")
     shared = runs.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("within")).where("first < last or within").select("h", "first")
     # what a document holds again: of its own runs, or of those that an earlier document has; bounded by its text
     later = runs.join(shared, "h").groupBy("doc_id").agg(F.max("again").alias("inner"), F.collect_set(F.when(F.col("doc_id") > F.col("first"), F.col("h"))).alias("foreign"))
