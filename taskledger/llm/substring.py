@@ -1,8 +1,9 @@
 """Substring deduplication by sliding spans of sentences.
 
-From every sentence on, the shortest run of at least SPAN consecutive sentences with LEAST_WORDS
-words is hashed; runs that several documents have are found by one join over all documents, and
-the sentences that any run but the first covers go. The first is that of the smallest doc_id, and
+From every sentence on, and up to every sentence, the shortest run of at least SPAN consecutive
+sentences with LEAST_WORDS words is hashed, so that runs cover a passage from its first whole
+sentence to its last; runs that several documents have are found by one join over all documents,
+and the sentences that any run but the first covers go. The first is that of the smallest doc_id, and
 there the earliest place.
 """
 
@@ -36,7 +37,7 @@ _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 @dataclass
 class Spans:
-    """A text's sentences as ends in characters, and its runs: first sentence, sentence after the last, and hash."""
+    """A text's sentences as ends in characters, and its runs in order of place: first sentence, sentence after the last, and hash."""
 
     ends: np.ndarray
     first: np.ndarray
@@ -86,6 +87,14 @@ def spans(text: str) -> Spans:
     after = np.maximum(np.searchsorted(bounds, starts + LEAST_WORDS), first + SPAN)
     first = first[after <= len(starts)]
     after = after[: len(first)]
+    # and begins with the last sentence from which it has: another run where its last sentence isn't needed from there on
+    end = np.arange(SPAN, len(bounds))
+    begin = np.minimum(np.searchsorted(bounds, bounds[end] - LEAST_WORDS, side="right") - 1, end - SPAN)
+    end, begin = end[begin >= 0], begin[begin >= 0]
+    new = after[begin] != end
+    first, after = np.concatenate([first, begin[new]]), np.concatenate([after, end[new]])
+    in_order = np.lexsort((after, first))
+    first, after = first[in_order], after[in_order]
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(keys * _powers(_BASE, n), dtype=np.uint64)])
     hashed = (sums[bounds[after]] - sums[starts[first]]) * _powers(_INVERSE, n)[starts[first]]
     hashed = (hashed ^ (hashed >> np.uint64(29))) * _MIX

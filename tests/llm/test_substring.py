@@ -59,3 +59,11 @@ def test_sentences_make_up_the_text():
         for first, after in zip(found.first, found.after):
             begin = found.ends[first - 1] if first else 0
             assert after - first >= S.SPAN and len(text[begin : found.ends[after - 1]].split()) >= S.LEAST_WORDS
+
+
+def test_a_passage_goes_to_its_last_sentence(docs):
+    passage = "One two three four five six seven eight nine ten eleven. A b c d e. F g h i. J k. "
+    rows = [(1, "Alpha beta gamma delta. " + passage + "Rest of the first."), (2, "Other words stand here. " + passage + "Second ends so.")]
+    got = {r.doc_id: r for r in S.remove_repeats(docs(rows)).collect()}
+    assert got[1].text == rows[0][1]
+    assert got[2].text == "Other words stand here. Second ends so." and got[2].n_removed == 4
