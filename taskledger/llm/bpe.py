@@ -75,7 +75,7 @@ def chunk_key(chunk: bytes) -> tuple[int, int]:
 
 
 class Codec:
-    """Encodes and decodes as the tokenizers library does, with a store of words' encodings."""
+    """Encodes and decodes as the tokenizers library does, with a store of words' encodings. Other kinds of tokenizers, such as byte-level ones, are refused."""
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
@@ -87,6 +87,10 @@ class Codec:
         self.digits = [str(i) for i in range(size)]
         self.known: dict[bytes, bytes] = {}
         self.held = 0
+        alone = [self.library.encode(w, add_special_tokens=False).ids for w in ("One", "two.")]
+        both = self.library.encode("One \n two.", add_special_tokens=False).ids
+        if both != sum(alone, []) or self.library.decode(both, skip_special_tokens=False) != self.decode(both):
+            raise ValueError(f"{path}: white space must end pre-tokens and be dropped, and decoding must join tokens with spaces")
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()

@@ -60,3 +60,9 @@ def test_digests_and_empty_table(docs):
     assert B.round_trip_digests(docs([]), PATH).count() == 0
     row = B.round_trip_digests(docs([(1, None)]), PATH).first()
     assert row.n_tokens == 0 and row.ids_sha256 == row.decoded_sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_tokenizers_that_keep_white_space_are_refused():
+    B.Codec(PATH)
+    with pytest.raises(ValueError):
+        B.Codec(public_tokenizers.path("byte_bpe_50k.json"))
