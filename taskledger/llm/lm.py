@@ -22,8 +22,6 @@ from .toxicity import fold_of
 
 #: Classes of words and of pairs, as powers of two: the size of the models, whatever the corpus.
 WORD_BITS, PAIR_BITS = 17, 19
-#: Labelled documents that the target model is fitted to, at most: those of least hash.
-MAX_TARGET = 50_000
 #: Share of the pair estimate, added count of each class of words, and how much a context's unseen pairs keep.
 SHARE, ADDED, KEPT = 0.6, 0.1, 2.0
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -84,14 +82,15 @@ def fit(docs: DataFrame) -> tuple[Model, Model]:
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) of every row of docs; losses are nats a word.
 
-    The target is the documents labelled 1 outside fold 0 of the held-out split, MAX_TARGET at
-    most; the background is every document. Empty and null
+    The target is every document labelled 1 outside fold 0 of the held-out split; the background
+    is every document. Empty and null
     texts have no words, and losses and score of zero; so has everything if there is no target.
     """
     good = labels.where((F.col(label_col) == 1) & (fold_of(F.col("doc_id")) != 0)).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TARGET)
+    good = good.select("doc_id", F.lit(0).cast("long").alias("salt"), F.lit(True).alias("target"))
     texts = ids_and_texts(docs)
-    marked = texts.join(F.broadcast(good.withColumn("target", F.lit(True))), "doc_id", "left")  # at most MAX_TARGET ids
+    salted = texts.withColumn("salt", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))  # rows without an id spread
+    marked = salted.join(good.hint("shuffle_hash"), ["doc_id", "salt"], "left")  # ids grow with the input: no broadcast
     target, background = fit(marked)
     context = docs.sparkSession.sparkContext
     both = context.broadcast((target, background))  # four arrays of as many numbers as classes

@@ -4,7 +4,10 @@ import zlib
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from taskledger.llm import lm as L
+from taskledger.llm.toxicity import fold_of
 
 from .conftest import ODD, WORDS
 
@@ -46,3 +49,9 @@ def test_odd_rows_and_no_labels(spark, docs):
     got = L.cross_entropy_difference(docs(ODD), none).collect()
     assert len(got) == len(ODD) and {r.score for r in got} == {0.0}
     assert L.cross_entropy_difference(docs([]), none).count() == 0
+
+
+def test_target_is_every_labelled_document(spark):
+    rows = spark.range(70_000).where(fold_of(F.col("id")) != 0).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id") % 97).alias("text"))
+    got = L.cross_entropy_difference(rows, rows.select("doc_id", F.lit(1).alias("quality")))
+    assert got.where("score <> 0 or n_words <> 2").count() == 0 < got.count() - 50_000  # both models count the same documents
