@@ -1,9 +1,13 @@
 """Language-model scores by cross-entropy difference.
 
 A target and a background model, both of word pairs interpolated with words, share one vocabulary:
-words and pairs are hashed to as many classes as the parameters say. The target's counts come from
-documents labelled as good, the background's from all documents. A document's score is the mean,
-over its words, of the background's loss less the target's: higher is more like the target.
+the words of all documents. The target's counts come from documents labelled as good, the
+background's from all documents. A document's score is the mean, over its words, of the
+background's loss less the target's: higher is more like the target.
+
+Words and pairs are rows of a count table that grows with the corpus. Documents are dealt to chunks
+of bounded size; a chunk sends each of its words and pairs once, with its counts, and gets back the
+whole corpus's counts of those that other chunks have too.
 """
 
 from __future__ import annotations
@@ -13,37 +17,46 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts
+from .common import ids_and_texts, partitions
 from .toxicity import fold_of
 
-#: Classes of words and of pairs, as powers of two: the size of the models, whatever the corpus.
+#: Classes of words and of pairs in count(), as powers of two. The scores don't use classes.
 WORD_BITS, PAIR_BITS = 17, 19
-#: Share of the pair estimate, added count of each class of words, and how much a context's unseen pairs keep.
+#: Bytes of text in a chunk, about.
+CHUNK_BYTES = 8_000_000
+#: Share of the pair estimate, added count of each word of the vocabulary, and how much a context's unseen pairs keep.
 SHARE, ADDED, KEPT = 0.6, 0.1, 2.0
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-def classes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of a text's words and of its neighbouring pairs; letter case doesn't count."""
+def hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of a text's words and of its neighbouring pairs; letter case doesn't count."""
     found = text.lower().encode().split()
     hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, found, repeat(0)), np.uint64, len(found))
-    pairs = (hashed[:-1] * _MULTIPLIER + hashed[1:]) * _MULTIPLIER
+    return hashed, (hashed[:-1] * _MULTIPLIER + hashed[1:]) * _MULTIPLIER
+
+
+def classes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of a text's words and of its neighbouring pairs; letter case doesn't count."""
+    hashed, pairs = hashes(text)
     return (hashed >> np.uint64(64 - WORD_BITS)).astype(np.int64), (pairs >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
 
 
 class Model:
-    """Log-probabilities of words and of pairs from counts of both."""
+    """Log-probabilities of words and of pairs from counts of both; total and vocabulary are those of the counts unless these are a part."""
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray) -> None:
-        self.words, self.pairs = words.astype(np.float32), pairs.astype(np.float32)
-        self.total = float(words.sum())
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, total: float | None = None, vocabulary: int | None = None) -> None:
+        self.words, self.pairs = words.astype(np.float64), pairs.astype(np.float64)
+        self.total = float(words.sum()) if total is None else float(total)
+        self.vocabulary = len(words) if vocabulary is None else vocabulary
 
     def log_probs(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        alone = (self.words[words] + ADDED) / (self.total + ADDED * len(self.words))
+        alone = (self.words[words] + ADDED) / (self.total + ADDED * self.vocabulary)
         after = self.pairs[pairs] / (self.words[words[:-1]] + KEPT)
         both = alone.copy()
         both[1:] = (1 - SHARE) * alone[1:] + SHARE * np.minimum(after, 1.0)
@@ -70,13 +83,22 @@ def count(docs: DataFrame) -> DataFrame:
     return docs.select("text", "target").mapInArrow(run, "model int, class long, n long").groupBy("model", "class").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame) -> tuple[Model, Model]:
-    """(target, background) models; what reaches the driver is bounded by the number of classes."""
-    sums = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS)))
-    table = count(docs).toArrow()
-    sums[table["model"].to_numpy(), table["class"].to_numpy()] = table["n"].to_numpy()
-    models = [Model(s[: 1 << WORD_BITS], s[1 << WORD_BITS :]) for s in sums]
-    return models[1], models[0]
+def _grams(texts: pa.Table, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: its distinct grams in order, their counts over all and over target texts, each gram's place, and where texts begin and how many words they have.
+
+    A gram is a hash whose last bit is 0 for words and 1 for pairs; a text's words come before its pairs.
+    """
+    target = pc.is_in(texts["doc_id"], value_set=pa.array(good, pa.int64())).to_numpy()
+    parts, n_words = [np.empty(0, np.uint64)], np.zeros(texts.num_rows, np.int64)
+    for i, text in enumerate(texts["text"]):
+        words, pairs = hashes(text.as_py())
+        n_words[i] = len(words)
+        parts += [words & ~np.uint64(1), pairs | np.uint64(1)]
+    sizes = n_words + np.maximum(n_words - 1, 0)
+    distinct, place = np.unique(np.concatenate(parts).view(np.int64), return_inverse=True)
+    n = np.bincount(place, minlength=len(distinct))
+    good_n = np.bincount(place[np.repeat(target, sizes)], minlength=len(distinct))
+    return distinct, n, good_n, place, np.cumsum(sizes) - sizes, n_words
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
@@ -87,25 +109,40 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label_col: str
     texts have no words, and losses and score of zero; so has everything if there is no target.
     """
     good = labels.where((F.col(label_col) == 1) & (fold_of(F.col("doc_id")) != 0)).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    good = good.select("doc_id", F.lit(0).cast("long").alias("salt"), F.lit(True).alias("target"))
     texts = ids_and_texts(docs)
-    salted = texts.withColumn("salt", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))  # rows without an id spread
-    marked = salted.join(good.hint("shuffle_hash"), ["doc_id", "salt"], "left")  # ids grow with the input: no broadcast
-    target, background = fit(marked)
-    context = docs.sparkSession.sparkContext
-    both = context.broadcast((target, background))  # four arrays of as many numbers as classes
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = both.value
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                words, pairs = classes(text.as_py())
-                if len(words) and target.total:
-                    a, b = -target.log_probs(words, pairs).mean(dtype=np.float64), -background.log_probs(words, pairs).mean(dtype=np.float64)
-                    rows.append((len(words), float(a), float(b), float(b - a)))
-                else:
-                    rows.append((len(words), 0.0, 0.0, 0.0))
-            yield pa.record_batch([batch.column(0), *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.float64(), pa.float64(), pa.float64())))], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
-
-    return texts.mapInArrow(run, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+    chunks = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES
+    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0)  # rows without an id spread
+    texts = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", salt), F.lit(chunks)))
+    good = good.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(0).cast("long")), F.lit(chunks)).alias("chunk"))
+
+    def send(texts: pa.Table, good: pa.Table) -> pa.Table:
+        distinct, n, good_n, *_ = _grams(texts, good["doc_id"].to_numpy())
+        chunk = np.full(len(distinct), texts["chunk"][0].as_py() if texts.num_rows else 0)
+        return pa.table({"chunk": pa.array(chunk, pa.int64()), "gram": distinct, "n": n, "good_n": good_n})
+
+    def score(texts: pa.Table, got: pa.Table) -> pa.Table:
+        kind, gram, all_n, all_good = (got[c].to_numpy() for c in ("kind", "gram", "n", "good_n"))
+        distinct, n, good_n, place, starts, n_words = _grams(texts, gram[kind == 2])
+        at = np.searchsorted(distinct, gram[kind == 0])
+        n[at], good_n[at] = all_n[kind == 0], all_good[kind == 0]
+        totals = np.flatnonzero(kind == 1)
+        losses = np.zeros((2, texts.num_rows))
+        if texts.num_rows and all_good[totals[0]]:
+            vocabulary = int(gram[totals[0]])
+            target, background = Model(good_n, good_n, all_good[totals[0]], vocabulary), Model(n, n, all_n[totals[0]], vocabulary)
+            for i in np.flatnonzero(n_words):
+                here = place[starts[i] : starts[i] + 2 * n_words[i] - 1]
+                words, pairs = here[: n_words[i]], here[n_words[i] :]
+                losses[:, i] = -target.log_probs(words, pairs).mean(), -background.log_probs(words, pairs).mean()
+        return pa.table({"doc_id": texts["doc_id"], "n_words": n_words, "target_loss": losses[0], "background_loss": losses[1], "score": losses[1] - losses[0]})
+
+    sent = texts.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(send, "chunk long, gram long, n long, good_n long").repartition(partitions(texts), "gram")
+    of_gram = Window.partitionBy("gram")  # a row a chunk at most
+    summed = sent.withColumns({"all_n": F.sum("n").over(of_gram), "all_good": F.sum("good_n").over(of_gram), "first": F.min("chunk").over(of_gram) == F.col("chunk")})
+    shared = summed.where("all_n > n").select("chunk", F.lit(0).alias("kind"), "gram", F.col("all_n").alias("n"), F.col("all_good").alias("good_n"))
+    word = F.col("gram").bitwiseAND(F.lit(1)) == 0
+    totals = summed.agg(*[F.coalesce(F.sum(F.when(word, v)), F.lit(0)).alias(k) for k, v in (("gram", F.col("first").cast("long")), ("n", F.col("n")), ("good_n", F.col("good_n")))])
+    to_all = docs.sparkSession.range(chunks).select(F.col("id").alias("chunk"), F.lit(1).alias("kind")).crossJoin(F.broadcast(totals))  # one row
+    ids = good.select("chunk", F.lit(2).alias("kind"), F.col("doc_id").alias("gram"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good_n"))
+    back = shared.union(to_all).union(ids)
+    return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, score double")

@@ -55,3 +55,31 @@ def test_target_is_every_labelled_document(spark):
     rows = spark.range(70_000).where(fold_of(F.col("id")) != 0).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id") % 97).alias("text"))
     got = L.cross_entropy_difference(rows, rows.select("doc_id", F.lit(1).alias("quality")))
     assert got.where("score <> 0 or n_words <> 2").count() == 0 < got.count() - 50_000  # both models count the same documents
+
+
+def test_scores_are_those_of_real_words_and_pairs(spark, docs, monkeypatch):
+    monkeypatch.setattr(L, "CHUNK_BYTES", 2_000)  # several chunks
+    monkeypatch.setattr(L, "WORD_BITS", 1)
+    monkeypatch.setattr(L, "PAIR_BITS", 1)
+    rows, labels = corpus()
+    rows = [*rows, rows[0], (None, "alpha beta"), (None, "alpha beta"), (1000, "Unseen alpha")]
+    good = {i for i, q in labels if q and zlib.crc32(str(i).encode()) % 5}
+    counts = [({}, {}), ({}, {})]
+    for i, t in rows:
+        found = t.lower().split()
+        for words, pairs in counts if i in good else counts[:1]:
+            for w in found:
+                words[w] = words.get(w, 0) + 1
+            for p in zip(found, found[1:]):
+                pairs[p] = pairs.get(p, 0) + 1
+
+    def loss(found, words, pairs):
+        total, size = sum(words.values()), len(counts[0][0])
+        alone = [(words.get(w, 0) + L.ADDED) / (total + L.ADDED * size) for w in found]
+        after = [pairs.get(p, 0) / (words.get(p[0], 0) + L.KEPT) for p in zip(found, found[1:])]
+        probs = [alone[0], *((1 - L.SHARE) * a + L.SHARE * b for a, b in zip(alone[1:], after))]
+        return -sum(map(math.log, probs)) / len(found)
+
+    want = sorted((i or -1, len(t.split()), *(round(loss(t.lower().split(), *counts[k]), 9) for k in (1, 0))) for i, t in rows)
+    got = L.cross_entropy_difference(docs(rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert sorted((r.doc_id or -1, r.n_words, round(r.target_loss, 9), round(r.background_loss, 9)) for r in got) == want
