@@ -230,27 +230,30 @@ def slots(wrapper: list) -> dict[str, bool]:
                 go(item[1], path)
 
     go(wrapper, ())
-    has_main = any(p.split(".")[0] in MAIN or "main" in p.split(".")[1:] for path in found for p in path)
-    return {"/".join(path): _is_article(path, has_main) for path in found}
+    return {"/".join(path): _standing(path)[0] for path in found}
 
 
-def _is_article(path: tuple[str, ...], has_main: bool) -> bool:
-    """By elements and marks; where the host marks an article, only what stands in it."""
+@lru_cache(65_536)
+def _standing(path: tuple[str, ...]) -> tuple[bool, bool]:
+    """Whether a path can be the article's, by elements and marks, and whether it then stands in an element that holds the article."""
     inside = False
     for element in path:
         name, *marks = element.split(".")
         if name in ("html", "body"):
             continue
         if name in ASIDE or name == "head" or MARKS & set(marks):
-            return False
+            return False, False
         if not inside and (name == "header" or OUTER_MARKS & set(marks)):
-            return False
+            return False, False
         inside = inside or name in MAIN or "main" in marks
-    return inside or not has_main
+    return True, inside
 
 
 def article(page: str, known: dict[str, bool]) -> str:
-    """The page's article: blocks in order, joined by line breaks. Slots that the wrapper lacks are judged by their path alone."""
+    """The page's article: blocks in order, joined by line breaks. Slots that the wrapper lacks are judged by their path alone.
+
+    If any text of this page stands in an element that holds the article, only such text is taken.
+    """
     blocks: list[str] = []
     now: list[str] = []
 
@@ -259,13 +262,23 @@ def article(page: str, known: dict[str, bool]) -> str:
             blocks.append(block)
         now.clear()
 
-    has_main = any(known.values()) and any(p.split(".")[0] in MAIN or ".main" in p for path, ok in known.items() if ok for p in path.split("/"))
+    read: list[tuple[str, bool, str]] = []  # signature, whether inside, text
+    has_main = False
     for sig, path, text in walk(page):
         if sig == SLOT:
             at = tuple(p for p in path if p.split(".")[0] in BLOCK)
             ok = known.get("/".join(at))
-            if _is_article(path, has_main) if ok is None or len(at) < len(path) else ok:
-                now.append(references.unescape(text))
+            passes, inside = _standing(path)
+            if passes if ok is None or len(at) < len(path) else ok:
+                text = references.unescape(text)
+                has_main = has_main or inside and bool(text.strip())
+                read.append((sig, inside, text))
+        else:
+            read.append((sig, False, ""))
+    for sig, inside, text in read:
+        if sig == SLOT:
+            if inside or not has_main:
+                now.append(text)
         elif (name := sig.lstrip("/").split(".")[0]) in BLOCK:
             end()
         elif name in VOID:

@@ -47,3 +47,11 @@ def test_large_wrappers_are_joined(spark, monkeypatch):
     monkeypatch.setattr(H, "BROADCAST_CHARS", -1)
     pages = spark.createDataFrame([(i, f"http://h{i % 3}.example/", f"<article><p>t{i}</p></article>") for i in range(20)], "page_id long, url string, html string")
     assert {r.text for r in H.extract_articles(pages).collect()} == {f"t{i}" for i in range(20)}
+
+
+def test_pages_of_a_host_without_main_element_keep_their_text(spark):
+    menu = "<div class='main-menu'>Menu</div>"
+    rows = [(1, "http://a.example/1", f"{menu}<div class=content><p>one</p></div>"), (2, "http://a.example/2", "<p>out</p><article><p>two</p></article>"), (3, None, "<p>three</p>"), (4, None, "<main>four</main>"),
+            (5, "http://b.example/", f"{menu}<div class=content><p>five</p></div>"), (6, "http://b.example/6", "<aside><article>teaser</article></aside><p>six</p><article> </article>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract_articles(pages).collect()} == {1: "one", 2: "two", 3: "three", 4: "four", 5: "five", 6: "six"}
