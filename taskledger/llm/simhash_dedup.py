@@ -178,6 +178,12 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return sparse.where("b is not null").union(dense).distinct()
 
 
+def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
+    """distinct (fp and what else, a row for each fingerprint) with `root`, the least fingerprint of the component."""
+    parts = connected_components(near_links(distinct, radius)).withColumnsRenamed({"node": "fp", "component": "root"})
+    return distinct.join(parts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3, words: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row of docs.
 
@@ -188,17 +194,27 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = SHINGLE) -> D
     has one. Extra columns are ignored; an empty table gives no rows.
     """
     marked = cut_lineage(document_fingerprints(docs, words))
-    distinct = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    parts = connected_components(near_links(distinct, radius)).withColumnsRenamed({"node": "fp", "component": "root"})
-    rooted = distinct.join(parts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = _rooted(cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))), radius)
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, words: int = SHINGLE) -> DataFrame:
-    """docs with one row of each component: that whose doc_id is the component's; of rows that repeat this doc_id, one."""
-    found = near_duplicates(docs, radius, words)
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(firsts, docs["doc_id"].cast("long").eqNullSafe(firsts["_kept"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    """docs with one row of each component: that of smallest doc_id, null last, and of rows that share it that of least text hash.
+
+    A row is known by doc_id and text hash, so rows without an id, or that share one, stay apart where their texts aren't near.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(2)), np.int64, batch.num_rows)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "hash", "fp"])
+
+    rows = ids_and_texts(docs).select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("hash"), "text").mapInArrow(run, "doc_id long, hash binary, fp long")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")).alias("first")
+    found = cut_lineage(rows.groupBy("fp").agg(first))  # of each fingerprint, the row that it would keep
+    kept = _rooted(found, radius).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("_kept"), F.col("first.hash").alias("_hash"))
+    hashed = docs.withColumn("_text_hash", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
+    same = hashed["doc_id"].cast("long").eqNullSafe(kept["_kept"]) & (hashed["_text_hash"] == kept["_hash"])
+    return hashed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")

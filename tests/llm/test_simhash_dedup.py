@@ -102,3 +102,9 @@ def test_keep_one(docs):
 
 def test_empty_table(docs):
     assert S.near_duplicates(docs([]), 3, 3).count() == 0
+
+
+def test_keep_one_of_rows_without_or_with_shared_ids(docs):
+    a, b, c, d = (" ".join(random.Random(k).choices(WORDS, k=60)) for k in range(4))
+    got = [(r.doc_id, r.text) for r in S.keep_one(docs([(None, a), (None, a), (None, b), (7, c), (7, d), (8, d), (9, b)]), 3, 3).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (9, b), (7, c), (7, d)], key=str)
