@@ -1,13 +1,10 @@
-"""What several operators share: reading, lineage cuts and streaming over sorted Arrow batches."""
+"""What several operators share: reading, lineage cuts, joins on hot keys."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,10 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session, from spark.checkpoint.dir; only where that is unset (tests on one machine) is a temporary one set."""
+    """The checkpoint folder of the session, from spark.checkpoint.dir.
+
+    Where that is unset, local mode (tests), whose tasks all share one machine, gets a temporary
+    folder; on a cluster it is an error, for no folder of one machine outlives its executor.
+    """
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getCheckpointDir()
 
 
@@ -37,6 +41,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this share of the rows of a join is joined by broadcast: so many keys there are at most.
+HOT_KEYS = 1_000
+
+
+def join_skewed(left: DataFrame, right: DataFrame, key: str, total: int) -> DataFrame:
+    """left and right's columns, inner, on `key` (not null); right has one row a key and `n`, its rows in left; total: rows in left.
+
+    Keys with over a thousandth of left's rows, a thousand at most, are broadcast, so that their rows stay
+    where they are; all others are shuffled. Both inputs are read twice.
+    """
+    bound = max(1, total // HOT_KEYS)
+    hot = F.broadcast(right.where(F.col("n") > bound).drop("n"))
+    cold = left.join(hot.select(key), key, "left_anti").join(right.where(F.col("n") <= bound).drop("n"), key)
+    return left.join(hot, key).unionByName(cold)
+
+
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string): whatever else docs carries can't clash with an operator's columns. A null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -55,33 +75,3 @@ def hex64(value: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of maximal runs free of ASCII white space; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-
-
-def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    """A column of longs without nulls."""
-    return batch.column(batch.schema.get_field_index(name)).to_numpy(zero_copy_only=False)
-
-
-def sorted_runs(batches: Iterator[pa.RecordBatch], names: list[str], keep: int) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
-    """Batches of a partition sorted by its first column, each with up to `keep` rows before it.
-
-    Yields (rows carried over, place of each row in its run of equal keys, the columns).
-    A run may be of any length: only its last `keep` rows and its length stay in memory.
-    """
-    carried: list[np.ndarray] = [np.empty(0, np.int64) for _ in names]
-    place = np.empty(0, np.int64)
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        old = len(place)
-        cols = [np.concatenate([c, column(batch, n).astype(np.int64, copy=False)]) for c, n in zip(carried, names)]
-        key = cols[0]
-        starts = np.ones(len(key), bool)
-        starts[1:] = key[1:] != key[:-1]
-        at = np.arange(len(key))
-        first = np.maximum.accumulate(np.where(starts, at, 0))
-        now = at - first
-        if old:  # the run that began before the carried rows
-            now[first == 0] += place[0]
-        yield old, now, cols
-        carried, place = [c[-keep:] for c in cols], now[-keep:]

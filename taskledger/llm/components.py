@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, join_skewed
 
 
 def _digest(edges: DataFrame) -> tuple:
@@ -27,13 +27,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     before = _digest(state)
     while before[0]:
         both = state.union(state.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        # each node's larger neighbours move to its smallest neighbour
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        # each node's larger neighbours move to its smallest neighbour; a star's centre is a hot key
+        large = join_skewed(both, least, "u", 2 * before[0]).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # each node and its smaller neighbours move to the smallest of them
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         state = cut_lineage(
-            large.join(small, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
+            join_skewed(large, small, "u", 2 * before[0]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).distinct()
         )
         now = _digest(state)
         if now == before:

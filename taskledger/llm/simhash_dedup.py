@@ -2,16 +2,20 @@
 
 Every fingerprint emits all its variants within half the radius; fingerprints that are near
 share a variant. For an odd radius 2h+1, balls of radius h meet up to distance 2h only, so each
-fingerprint is seen in three views that leave out one block of bits: some view leaves out a bit
-in which the two differ, and the rest differs in at most 2h. Colliding pairs are verified on all
-64 bits. Where more fingerprints than WINDOW share a variant, they are not paired but hashed again by
-whole balls of radii h and h+1, in which a variant's members hang on one centre that is within
-the radius of all of them: links grow with the members, not with their square.
+fingerprint is seen in three views that leave out one third of its bits: some view leaves out a bit
+in which the two differ, and the rest differs in at most 2h.
+
+Members of a variant differ by at most 2h in the view. So those with equal left-out thirds all hang
+on one of them, and of each third one member is looked up under the third's one-bit flips. Only
+differing bits that all lie in one third aren't met so: members with equal views are looked up under
+all flips of their third. Links are verified on all 64 bits; they grow with the members, never with
+their square, and a task sends on only a forest that spans them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import accumulate, combinations, repeat
 
 import numpy as np
@@ -20,14 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, hex64, ids_and_texts, partitions, sorted_runs
+from .common import cut_lineage, hex64, ids_and_texts, join_skewed, partitions
 from .components import connected_components
 
 BITS = 64
 SEED = 42
 SHINGLE = 5
-#: Members of a variant that are compared with each other; more of them go on to whole balls.
-WINDOW = 12
+#: Rows of one variant that a task holds before it keeps one member of each third only, and links before it keeps a forest only. Both change no result.
+HELD, LINKS = 1 << 18, 1 << 18
+#: Members with equal views that are compared each with each; more are looked up by flips.
+FEW = 64
 
 _PLACE = np.arange(8, dtype=np.int64) * 256
 _BIT_OF_BYTE = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
@@ -76,110 +82,186 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
-def _views(radius: int) -> list[list[int]]:
-    """Bits of each view: all of them for an even radius, all but a third for an odd one."""
+@dataclass(frozen=True)
+class View:
+    """Bits of a fingerprint that are seen; those left out hold the view's number in variants."""
+
+    number: int
+    low: int
+    high: int
+
+    @property
+    def width(self) -> int:
+        return self.high - self.low
+
+    @property
+    def left_out(self) -> int:
+        return (1 << self.high) - (1 << self.low)
+
+    @property
+    def mark(self) -> int:
+        return self.number << self.low if self.width else 0
+
+
+def _views(radius: int) -> list[View]:
+    """All bits for an even radius, all but a third for an odd one."""
     if radius % 2 == 0:
-        return [list(range(BITS))]
+        return [View(0, BITS, BITS)]
     cuts = [0, 21, 42, BITS]
-    return [[i for i in range(BITS) if not a <= i < b] for a, b in zip(cuts, cuts[1:])]
+    return [View(n, a, b) for n, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
 def _ball_variants(fps: DataFrame, radius: int) -> DataFrame:
     """(variant, fp): in each view, all variants within half the radius. The view's number stands in the bits that it leaves out, so views don't mix."""
     flips = []
-    for number, bits in enumerate(_views(radius)):
-        mask = sum(1 << i for i in bits)
-        free = [i for i in range(BITS) if i not in bits]
-        mark = sum(1 << free[k] for k in range(2) if number >> k & 1) if free else 0
+    for view in _views(radius):
+        bits = [i for i in range(BITS) if not view.low <= i < view.high]
         for weight in range(radius // 2 + 1):
-            flips += [(mask, sum(1 << i for i in c) | mark) for c in combinations(bits, weight)]
+            flips += [((1 << BITS) - 1 ^ view.left_out, sum(1 << i for i in c) | view.mark) for c in combinations(bits, weight)]
     each = F.explode(F.array(*[F.struct(F.lit(_signed(m)).alias("mask"), F.lit(_signed(f)).alias("flip")) for m, f in flips]))
     return fps.select("fp", each.alias("v")).select(F.col("fp").bitwiseAND(F.col("v.mask")).bitwiseXOR(F.col("v.flip")).alias("variant"), "fp")
 
 
-def _whole_ball_variants(fps: DataFrame, radius: int) -> DataFrame:
-    """(variant, far, fp): whole fingerprints with up to h flips (far 0), for an odd radius also h+1 flips (far 1).
-
-    For radius 3 two flips within one half suffice: of three differing bits, two lie in one half.
-    """
-    half = radius // 2
-    flips = [(0, c) for weight in range(half + 1) for c in combinations(range(BITS), weight)]
-    if radius % 2:
-        flips += [(1, c) for c in combinations(range(BITS), half + 1) if half != 1 or c[0] // 32 == c[1] // 32]
-    masks = [[_signed(sum(1 << i for i in c)) for far, c in flips if far == role] for role in (0, 1)]
-    parts = [
-        fps.select("fp", F.explode(F.array(*map(F.lit, m))).alias("flip")).select(F.col("fp").bitwiseXOR(F.col("flip")).alias("variant"), F.lit(role).alias("far"), "fp")
-        for role, m in enumerate(masks)
-        if m
-    ]
-    return parts[0].union(parts[1]) if len(parts) == 2 else parts[0]
-
-
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))  # of a negative number numpy counts the absolute value's bits
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.empty((0, 2), np.int64)
-
-
-def _as_links(found: list[np.ndarray], crowded: list[np.ndarray]) -> pa.RecordBatch:
-    links, many = np.concatenate([np.empty((0, 2), np.int64), *found]), np.unique(np.concatenate([np.empty(0, np.int64), *crowded]))
-    second = pa.array(np.concatenate([links[:, 1], np.zeros(len(many), np.int64)]), mask=np.arange(len(links) + len(many)) >= len(links))
-    return pa.record_batch([pa.array(np.concatenate([links[:, 0], many])), second], names=["a", "b"])
+def _forest(links: np.ndarray) -> np.ndarray:
+    """Of the links (rows of two), some that span the same components without a circle: Boruvka's rounds, in each of which every component takes its first link outward."""
+    if not len(links):
+        return links
+    nodes, ends = np.unique(links, return_inverse=True)
+    a, b = ends.reshape(-1, 2).T
+    parent, taken = np.arange(len(nodes)), []
+    at = np.arange(len(links))
+    while True:
+        at = at[parent[a[at]] != parent[b[at]]]
+        if not len(at):
+            return links[np.unique(np.concatenate([np.empty(0, np.int64), *taken]))]
+        first = np.full(len(nodes), len(links))
+        np.minimum.at(first, parent[a[at]], at)
+        np.minimum.at(first, parent[b[at]], at)
+        roots = np.flatnonzero(first < len(links))
+        chosen = first[roots]
+        taken.append(chosen)
+        other = np.where(parent[a[chosen]] == roots, parent[b[chosen]], parent[a[chosen]])
+        parent[roots] = other
+        both = roots[(parent[other] == roots) & (roots < other)]  # two that took the same link: the smaller is the root
+        parent[both] = both
+        while (up := parent[parent]) is not None and not np.array_equal(up, parent):
+            parent = up
+
+
+class _Members:
+    """Links among the members of whole variants: columns sorted by variant and fingerprint."""
+
+    def __init__(self, radius: int) -> None:
+        self.radius, self.half, self.views = radius, radius // 2, _views(radius)
+
+    def links(self, variant: np.ndarray, fp: np.ndarray) -> np.ndarray:
+        new = np.ones(len(variant), bool)
+        new[1:] = variant[1:] != variant[:-1]
+        run = np.cumsum(new) - 1
+        many = (np.bincount(run, minlength=1) > 1)[run]
+        variant, fp, run = variant[many], fp[many], run[many]
+        found = [np.empty((0, 2), np.int64)]
+        for view in self.views:
+            far = (variant ^ fp).view(np.uint64) & np.uint64((1 << BITS) - 1 ^ view.left_out)
+            distance = np.bitwise_count(far)
+            here = np.flatnonzero((distance <= self.half) & (variant & _signed(view.left_out) == _signed(view.mark)))
+            for a, b in self._of_view(view, run[here], fp[here], distance[here] == 0):
+                near = _differing(a, b) <= self.radius
+                found.append(np.stack([np.minimum(a, b)[near], np.maximum(a, b)[near]], 1))
+        return np.concatenate(found)
+
+    def _of_view(self, view: View, run: np.ndarray, fp: np.ndarray, exact: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        key = run << view.width | (fp >> view.low if view.width else fp & 0) & ((1 << view.width) - 1)
+        order = np.argsort(key, kind="stable")
+        sorted_key, sorted_fp = key[order], fp[order]
+        new = np.ones(len(key), bool)
+        new[1:] = sorted_key[1:] != sorted_key[:-1]
+        keys, firsts = sorted_key[new], sorted_fp[new]
+        hangs = np.flatnonzero(~new)
+        yield firsts[np.cumsum(new) - 1][hangs], sorted_fp[hangs]
+        yield from self._flipped(keys, firsts, [1 << i for i in range(view.width)])
+        if self.radius == 3:  # equal views, three bits of the third; fewer are met in other views
+            keys, fps, runs = key[exact], fp[exact], run[exact]
+            of_run = np.bincount(runs, minlength=1)[runs]
+            few = np.flatnonzero((of_run > 1) & (of_run <= FEW))
+            for step in range(1, min(FEW, len(few))):
+                i = few[step:][runs[few[step:]] == runs[few[:-step]]]
+                if not len(i):
+                    break
+                yield fps[i], fps[i - step]
+            crowd = np.flatnonzero(of_run > FEW)
+            if len(crowd):
+                in_order = crowd[np.argsort(keys[crowd])]
+                yield from self._flipped(keys[in_order], fps[in_order], [sum(1 << i for i in c) for c in combinations(range(view.width), 3)])
+
+    @staticmethod
+    def _flipped(keys: np.ndarray, fps: np.ndarray, masks: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs whose keys (sorted, no repeats) differ by a mask."""
+        for mask in masks if len(keys) > 1 else ():
+            other = keys ^ mask
+            i = np.flatnonzero(other > keys)
+            at = np.minimum(np.searchsorted(keys, other[i]), len(keys) - 1)
+            hit = keys[at] == other[i]
+            yield fps[i[hit]], fps[at[hit]]
+
+    def kept(self, variant: np.ndarray, fp: np.ndarray) -> np.ndarray:
+        """Of one variant's members, those that later ones must still meet: one of each third, and all with equal views; of either at most 2^22."""
+        keep = np.zeros(len(fp), bool)
+        for view in self.views:
+            distance = np.bitwise_count((variant ^ fp).view(np.uint64) & np.uint64((1 << BITS) - 1 ^ view.left_out))
+            keep |= distance == 0
+            keep[np.unique((fp >> view.low if view.width else fp & 0) & ((1 << view.width) - 1), return_index=True)[1]] = True
+        return keep
 
 
 def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
-    """(a, b) with a < b: links between distinct fingerprints (column fp long, no repeats needed) whose components are those of all pairs within the radius.
+    """(a, b) with a < b: links between distinct fingerprints (column fp long, no repeats needed) whose components are those of all pairs within the radius (0 to 3, or even).
 
-    Every link is verified. All pairs in a sparse neighbourhood are links; in a crowded one (more
-    than WINDOW fingerprints on a variant) a spanning subset is.
+    Every link is verified. A link may come more than once, at most once from each variant of a fingerprint.
     """
+    if radius > 3 and radius % 2:
+        raise ValueError("the radius must be 0 to 3, or even")
     parts = partitions(fps)
     fps = fps.select("fp").distinct().repartition(parts, "fp")  # few bytes, but many variants: not for a few tasks
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for old, place, (variant, fp) in sorted_runs(batches, ["variant", "fp"], WINDOW + 1):
-            found, crowded = [], []
-            for step in range(1, min(WINDOW, int(place.max())) + 1):
-                i = np.flatnonzero(place >= step)
-                i = i[i >= max(old, step)]
-                near = i[_differing(fp[i], fp[i - step]) <= radius]
-                found.append(_pairs(fp[near - step], fp[near]))
-            many = np.flatnonzero(place > WINDOW)
-            many = many[many >= old]
-            if len(many):
-                crowded.append(fp[many])
-                for i in many[place[many] == WINDOW + 1]:
-                    crowded.append(fp[i - WINDOW - 1 : i])
-            if any(map(len, found)) or crowded:
-                yield _as_links(found, crowded)
-
-    def hang(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre: tuple[int, int] | None = None  # of the last run, if it has one
-        for old, place, (variant, far, fp) in sorted_runs(batches, ["variant", "far", "fp"], 1):
-            starts = np.flatnonzero(place == 0)
-            first = np.full(len(place), -1)
-            first[starts] = starts
-            first = np.maximum.accumulate(first)
-            of = np.where(first >= 0, fp[first], centre[1] if centre else 0)
-            has = np.where(first >= 0, far[first] == 0, centre is not None and centre[0] == variant[0])
-            i = np.flatnonzero(has & (place > 0))
-            i = i[i >= old]
-            ok = i[_differing(fp[i], of[i]) <= radius]
-            centre = (int(variant[-1]), int(of[-1])) if has[-1] else None
-            if len(ok):
-                yield _as_links([_pairs(of[ok], fp[ok])], [])
-
-    sparse = _ball_variants(fps, radius).repartition(parts, "variant").sortWithinPartitions("variant", "fp").mapInArrow(compare, "a long, b long")
-    sparse = cut_lineage(sparse.distinct())
-    crowded = sparse.where("b is null").select(F.col("a").alias("fp"))
-    dense = _whole_ball_variants(crowded, radius).repartition(parts, "variant").sortWithinPartitions("variant", "far", "fp").mapInArrow(hang, "a long, b long")
-    return sparse.where("b is not null").union(dense).distinct()
+        members = _Members(radius)
+        variant, fp = np.empty(0, np.int64), np.empty(0, np.int64)  # of the variant that may go on
+        links, limit = np.empty((0, 2), np.int64), HELD  # sorted batches in, forests out
+
+        def sent() -> pa.RecordBatch:
+            return pa.record_batch([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            variant, fp = (np.concatenate([old, new.to_numpy(zero_copy_only=False)]) for old, new in zip((variant, fp), batch.columns))
+            begin = int(np.searchsorted(variant, variant[-1]))
+            links = np.concatenate([links, members.links(variant[:begin], fp[:begin])])
+            variant, fp = variant[begin:], fp[begin:]
+            if len(fp) > limit:
+                links = np.concatenate([links, members.links(variant, fp)])
+                keep = members.kept(variant, fp)
+                variant, fp = variant[keep], fp[keep]
+                limit = max(HELD, 2 * len(fp))
+            if len(links) > LINKS:
+                links = _forest(links)
+                if len(links) > LINKS // 2:
+                    yield sent()
+                    links = links[:0]
+        links = _forest(np.concatenate([links, members.links(variant, fp)]))
+        if len(links):
+            yield sent()
+
+    return _ball_variants(fps, radius).repartition(parts, "variant").sortWithinPartitions("variant", "fp").mapInArrow(compare, "a long, b long")
 
 
 def _rooted(distinct: DataFrame, radius: int) -> DataFrame:
-    """distinct (fp and what else, a row for each fingerprint) with `root`, the least fingerprint of the component."""
+    """distinct (fp and what else, a row for each fingerprint) with `root`, the least fingerprint of the component: one row each on either side of the join."""
     parts = connected_components(near_links(distinct, radius)).withColumnsRenamed({"node": "fp", "component": "root"})
     return distinct.join(parts, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -194,10 +276,11 @@ def near_duplicates(docs: DataFrame, radius: int = 3, words: int = SHINGLE) -> D
     has one. Extra columns are ignored; an empty table gives no rows.
     """
     marked = cut_lineage(document_fingerprints(docs, words))
-    rooted = _rooted(cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))), radius)
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
+    rooted = cut_lineage(_rooted(cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n_rows"))), radius))
+    total = rooted.agg(F.count("*").alias("fps"), F.sum("n_rows").alias("rows")).first()
+    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    named = cut_lineage(join_skewed(rooted, least, "root", total.fps).select("fp", "component_id", F.col("n_rows").alias("n")))
+    return join_skewed(marked, named, "fp", total.rows or 0).select("doc_id", hex64(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = 3, words: int = SHINGLE) -> DataFrame:

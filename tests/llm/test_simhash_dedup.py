@@ -3,8 +3,10 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from taskledger.llm import simhash_dedup as S
+from taskledger.llm.common import join_skewed
 from taskledger.llm.components import connected_components
 
 from .conftest import ODD, WORDS
@@ -60,17 +62,65 @@ def test_links_have_the_components_of_all_pairs(spark, radius):
     assert {v: got.get(v, v) for v in brute} == brute
 
 
-def test_crowded_neighbourhood(spark):
-    """More fingerprints than WINDOW around one: links stay far below all pairs and lose no component."""
-    draw = random.Random(5)
+def dense(seed=5):
+    """Many fingerprints around one: two flips anywhere, three in a row, and a code in the lowest third whose words differ in three bits or more."""
+    draw = random.Random(seed)
     centre = draw.getrandbits(63)
     values = {centre} | {centre ^ (1 << a) ^ (1 << b) for a in range(0, 62, 3) for b in range(1, 62, 4)} | {centre ^ 0b111 << i for i in range(0, 60, 2)}
-    links = [(r.a, r.b) for r in S.near_links(spark.createDataFrame([(v,) for v in values], "fp long"), 3).collect()]
-    assert len(links) < len(values) * 4 * S.WINDOW
+    other = draw.getrandbits(63) & ~0xFFFF
+    hamming = [v for v in range(1 << 13) if not sum((k + 1) * (v >> k & 1) for k in range(13)) % 16 and v.bit_count() % 2]
+    return values | {other ^ v << 1 for v in hamming}
+
+
+@pytest.mark.parametrize("held", [None, 8])
+def test_crowded_neighbourhood(spark, monkeypatch, held):
+    """Links and exploded rows grow with the members, and no component is lost, also where a task keeps few rows and links."""
+    values = dense()
+    fps = spark.createDataFrame([(v,) for v in values], "fp long")
+    assert S._ball_variants(fps, 3).count() == len(values) * (3 + 43 + 43 + 42)
+    if held:
+        near = S._ball_variants(fps, 3).orderBy("variant", "fp").toPandas()
+        variant, fp = near["variant"].to_numpy(), near["fp"].to_numpy()
+        members, old, links = S._Members(3), (np.empty(0, np.int64),) * 2, []
+        for at in range(0, len(variant), held):  # as a task does that holds next to nothing
+            v, f = (np.concatenate([a, b[at : at + held]]) for a, b in zip(old, (variant, fp)))
+            links += members.links(v, f).tolist()
+            begin = int(np.searchsorted(v, v[-1]))
+            keep = members.kept(v[begin:], f[begin:])
+            old = v[begin:][keep], f[begin:][keep]
+        links = S._forest(np.array(links)).tolist()
+    else:
+        links = [(r.a, r.b) for r in S.near_links(fps, 3).collect()]
+        assert len(links) < 3 * len(values)  # a forest from each of three tasks
+    assert all((a ^ b).bit_count() <= 3 for a, b in links)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {v: got.get(v, v) for v in values} == brute_components(values, 3)
 
 
+def test_forest_spans_and_has_no_circle():
+    draw = random.Random(1)
+    for n, m in ((2, 1), (10, 40), (200, 150), (300, 3_000)):
+        links = np.array([draw.sample(range(n), 2) for _ in range(m)])
+        forest = S._forest(links).tolist()
+        sets = {v: {v} for v in range(n)}
+        for a, b in forest:
+            assert [a, b] in links.tolist() and sets[a] is not sets[b]
+            sets[a] |= sets[b]
+            for v in sets[b]:
+                sets[v] = sets[a]
+        assert all(sets[a] is sets[b] for a, b in links.tolist())
+
+
+def test_hot_keys_and_odd_radius(spark):
+    left = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(3_000)], "k long, v long")
+    right = left.groupBy("k").count().withColumnRenamed("count", "n").withColumn("w", F.col("k") * 2)
+    want = left.join(right.drop("n"), "k")
+    got = join_skewed(left, right, "k", 3_000)
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    with pytest.raises(ValueError, match="radius"):
+        S.near_links(spark.createDataFrame([(1,)], "fp long"), 5)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (300, 301), (301, 300), (300, 301)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame([*edges, (None, 5)], "a long, b long")).collect()}
