@@ -6,14 +6,13 @@ again as the next stage's docs. All but the last return the columns of documents
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from taskledger.llm.bpe import round_trip_digests
-from taskledger.llm.common import table
+from taskledger.llm.common import shared_folder, table
 from taskledger.llm.mixing import mixed_documents
 from taskledger.llm.secrets import redact
 from taskledger.llm.simhash_dedup import keep_one
@@ -59,8 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what passes between them is written to the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4()}"
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
