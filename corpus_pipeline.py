@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from taskledger.llm.bpe import round_trip_digests
 from taskledger.llm.common import shared_folder, table
-from taskledger.llm.mixing import mixed_documents
+from taskledger.llm.mixing import in_shards, mixed_documents
 from taskledger.llm.secrets import redact
 from taskledger.llm.simhash_dedup import keep_one
 from taskledger.llm.toxicity import drop_toxic, learn_lexicon
@@ -35,8 +35,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents that it takes once, twice, or in part."""
-    return mixed_documents(docs).select(docs.columns)
+    """The mix of sources, shard by shard in random order: documents that it takes once, twice, or in part."""
+    return in_shards(mixed_documents(docs)).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
