@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut_lineage, ids_and_texts
+from .common import cut_lineage, ids_and_texts, join_salted
 
 #: Mean bytes of a chunk, as a power of two; bytes that the hash sees; how far a cut moves to white space.
 CHUNK_BITS, SEEN, REACH = 9, 8, 256
@@ -238,12 +238,12 @@ def shared_encodings(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     texts = ids_and_texts(docs)
     whole = texts.mapInArrow(cut_up, "doc_id long, packed binary, cuts array<int>")
     each = cut_lineage(texts.mapInArrow(occurrences, "doc_id long, h1 long, h2 long").groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")))
-    shared = cut_lineage(each.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("doc_id").alias("owner")).where("n > 1").drop("n"))
+    shared = cut_lineage(each.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("doc_id").alias("owner"), F.count("*").alias("docs")).where("n > 1"))
     owned = shared.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("owned"))  # bounded by the owner's text
     # a left join like that of the texts with `known`, so that Spark shuffles `whole` once for both
     once = whole.join(owned, "doc_id", "left").select("packed", "cuts", "owned").mapInArrow(encode_owned, "h1 long, h2 long, ids binary")
     once = once.groupBy("h1", "h2").agg(F.first("ids").alias("ids"))  # rows may repeat a doc_id
-    known = each.join(once, ["h1", "h2"]).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "ids")).alias("found"))
+    known = join_salted(each, once, ["h1", "h2"], shared.select("h1", "h2", F.col("docs").alias("n"))).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "ids")).alias("found"))
     return whole, known
 
 

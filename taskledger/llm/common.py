@@ -57,6 +57,20 @@ def join_skewed(left: DataFrame, right: DataFrame, key: str, total: int) -> Data
     return left.join(hot, key).unionByName(cold)
 
 
+def join_salted(left: DataFrame, right: DataFrame, keys: list[str], counts: DataFrame) -> DataFrame:
+    """left and right's columns, inner, on `keys` (not null); right has one row a key, of any size; counts: keys and `n`, their rows in left.
+
+    Keys with over a thousandth of left's rows, a thousand at most, are dealt out over salts: of those
+    keys alone, with their numbers of salts, is a broadcast.
+    """
+    bound = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // HOT_KEYS)
+    hot = F.broadcast(counts.where(F.col("n") > bound).select(*keys, F.ceil(F.col("n") / bound).cast("int").alias("_salts")))
+    spread = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*left.columns), F.col("_salts"))).otherwise(0)
+    asks = left.join(hot, keys, "left").withColumn("_salt", spread.cast("int")).drop("_salts")
+    holds = right.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))).drop("_salts")
+    return asks.join(holds, [*keys, "_salt"]).drop("_salt")
+
+
 def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id long, text string): whatever else docs carries can't clash with an operator's columns. A null text is empty."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -6,6 +6,8 @@ occurrences times the length of its words. The fingerprint has the bits with mor
 
 Tables: the bits are cut into blocks; fingerprints within radius r agree in at least blocks - r of
 them, so that for one of the tables, each with another choice of blocks in front, the front is equal.
+Fingerprints with equal fronts are compared inside a task, a stated set of queries with all, and a pair
+counts in the first table that it meets in: no pair is a row.
 """
 
 from __future__ import annotations
@@ -17,15 +19,21 @@ from itertools import accumulate, combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, ids_and_texts, partitions
+from .common import cut_lineage, ids_and_texts, join_skewed, partitions
 
 BITS, BYTES = 128, 16
 SEED = 42
 #: Differing bits within which fingerprints are near, and blocks that they are cut into.
-RADIUS, BLOCKS = 6, 8
+RADIUS, BLOCKS = 6, 7
+#: The registered search: fingerprints of rows whose doc_id is divisible by EVERY, against those of all rows.
+EVERY = 100
+#: Queries, and fingerprints, of one front that meet in one group, about, where the front is crowded: has over this share of all rows.
+GROUP, HOT_SHARE = 4_096, 10_000
+#: One fingerprint in so many tells which fronts are crowded. This deals out work and changes no result.
+SAMPLED = 16
 #: A term's weight grows with its words' letters up to so many.
 MAX_LETTERS = 16
 
@@ -102,14 +110,28 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row.
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within) of every row.
 
     The next document is that of the next doc_id, rising, rows of equal doc_id by text; after the
     last row comes the first, and a null doc_id stands before all others. A single row follows
     itself. Rows are dealt out in ranges of doc_id and each task reads its range in order; where a
     range ends, its last text meets the first text of the next range in a second step that has
     two rows a range.
+
+    n_within: for each doc_id divisible by EVERY, how many other rows have a fingerprint within
+    RADIUS bits, found by the block tables; null for other rows.
     """
+    rows = _edited(docs)
+    queries = F.coalesce(F.col("doc_id") % EVERY == 0, F.lit(False))
+    fps = rows.groupBy(F.unhex("fingerprint").alias("fp")).agg(F.count("*").alias("n"), F.count(F.when(queries, 1)).alias("asked"))
+    counted = count_within(cut_lineage(fps))
+    counted = cut_lineage(counted.select(F.lower(F.hex("fp")).alias("fingerprint"), (F.col("n_within") - 1).alias("n_within"), F.col("asked").alias("n")))
+    asked = join_skewed(rows.where(queries), counted, "fingerprint", counted.agg(F.sum("n")).first()[0] or 0)
+    return rows.where(~queries).withColumn("n_within", F.lit(None).cast("long")).unionByName(asked)
+
+
+def _edited(docs: DataFrame) -> DataFrame:
+    """The columns of edited_likeness() but n_within, kept in the checkpoint folder."""
     inner = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
     ends = pa.schema([*inner, ("range", pa.int32()), ("edge", pa.string()), ("text", pa.string())])
 
@@ -148,44 +170,98 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     firsts = firsts.select((F.row_number().over(order) - 1).alias("at"), F.col("text").alias("following"))
     lasts = lasts.select((F.row_number().over(order) % F.count("*").over(Window.partitionBy())).alias("at"), "doc_id", "text")
     met = lasts.join(firsts, "at").select("doc_id", "text", "following").mapInArrow(meet, _RESULT)
-    return found.where("edge is null").select(*inner.names).union(met)
+    return found.where("edge is null").select(*inner.names).union(cut_lineage(met))
+
+
+class Tables:
+    """Fronts of fingerprints: every choice of blocks - radius blocks is a table whose front they make, so that no pair within the radius is missed."""
+
+    def __init__(self, radius: int, blocks: int) -> None:
+        if not 0 <= radius < blocks:
+            raise ValueError("the radius must be less than the number of blocks")
+        cuts = [BITS * i // blocks for i in range(blocks + 1)]
+        self.places = [np.concatenate([np.arange(cuts[i], cuts[i + 1]) for i in front]) for front in combinations(range(blocks), blocks - radius)]
+        if max(map(len, self.places)) + len(self.places).bit_length() > 63:
+            raise ValueError("fronts are too long: choose fewer blocks in front")
+
+    def fronts(self, fps: np.ndarray) -> np.ndarray:
+        """(fingerprints, tables): a number for the front of each fingerprint (rows of BYTES bytes) in each table; tables don't share numbers."""
+        bits = np.unpackbits(fps, axis=1, bitorder="little").astype(np.int64)
+        return np.stack([(bits[:, p] @ (1 << np.arange(len(p)))) * len(self.places) + n for n, p in enumerate(self.places)], 1)
+
 
+def _bytes(fps) -> np.ndarray:
+    return np.frombuffer(b"".join(fps), np.uint8).reshape(-1, BYTES)
 
-def within_radius(queries: DataFrame, fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, tables: int | None = None) -> DataFrame:
-    """(query fp, fp, bits) of all pairs of a query and a fingerprint within the radius, each distinct fingerprint once; equal ones too.
 
-    Every choice of blocks - radius blocks is a table whose front they make; with as many tables
-    as choices no pair is missed. Choose blocks so that blocks - radius is one or two.
+def count_within(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+    """(fp, asked, n_within) of each query: over all fingerprints within the radius, itself included, the sum of n.
+
+    fps: (fp binary of BYTES bytes, n long, asked long), a row for each fingerprint; queries are those with
+    asked > 0, and rows with a null fp are left out. Rows are sorted by front, queries first, and each task
+    compares a front's queries with its fingerprints as they pass; a crowded front is dealt out to
+    several tasks, both ways. More blocks make longer fronts: for many more fingerprints than
+    2^(bits of a front), choose them so that blocks - radius is two.
     """
-    if not 0 <= radius < blocks:
-        raise ValueError("the radius must be less than the number of blocks")
-    cuts = [BITS * i // blocks for i in range(blocks + 1)]
-    fronts = list(combinations(range(blocks), blocks - radius))
+    tables = Tables(radius, blocks)
+    fps = fps.select("fp", "n", "asked").where("fp is not null")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number, key, fp = [], [], []
-            for raw in batch.column(0).to_pylist():
-                bits = int.from_bytes(raw, "little")
-                part = [bits >> a & ((1 << b - a) - 1) for a, b in zip(cuts, cuts[1:])]
-                for n, front in enumerate(fronts):
-                    value = 0
-                    for i in front:
-                        value = value << (cuts[i + 1] - cuts[i]) | part[i]
-                    number.append(n)
-                    key.append(value.to_bytes(BYTES, "little"))
-                    fp.append(raw)
-            yield pa.record_batch([pa.array(number, pa.int32()), pa.array(key, pa.binary()), pa.array(fp, pa.binary())], names=["number", "front", "fp"])
-
-    def rows(df: DataFrame) -> DataFrame:
-        return df.select("fp").distinct().mapInArrow(emit, "number int, front binary, fp binary")
-
-    pairs = rows(queries).withColumnRenamed("fp", "query").join(rows(fps), ["number", "front"])
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(a, b, differing(a, b)) for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-            out = [x for x in out if x[2] <= radius]
-            yield pa.record_batch([pa.array([x[i] for x in out], t) for i, t in ((0, pa.binary()), (1, pa.binary()), (2, pa.int32()))], names=["query", "fp", "bits"])
+            fronts = tables.fronts(_bytes(batch.column(0).to_pylist()))
+            every = pa.array(np.repeat(np.arange(batch.num_rows), fronts.shape[1]))
+            yield pa.record_batch([pa.array(fronts.ravel()), *[c.take(every) for c in batch.columns]], names=["front", "fp", "n", "asked"])
+
+    def with_fronts(some: DataFrame) -> DataFrame:
+        return some.mapInArrow(emit, "front long, fp binary, n long, asked long")
+
+    sample = with_fronts(fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0)).groupBy("front")
+    sizes = sample.agg(F.count("*").alias("held"), F.count(F.when(F.col("asked") > 0, 1)).alias("asks"))
+    bound = max(GROUP, fps.count() * len(tables.places) // HOT_SHARE)
+    hot = sizes.where(F.col("held") * SAMPLED > bound)  # HOT_SHARE rows at most
+    hot = F.broadcast(cut_lineage(hot.select("front", *[F.greatest(F.lit(1), F.ceil(F.col(c) * SAMPLED / GROUP)).cast("int").alias(k) for c, k in (("held", "e"), ("asks", "q"))])))
+    rows = with_fronts(fps).join(hot, "front", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("e", "q")})
 
-    return pairs.select("query", "fp").mapInArrow(verify, "query binary, fp binary, bits int").distinct()
+    def part(of: str) -> Column:
+        return F.pmod(F.xxhash64("fp"), F.col(of)).cast("int").alias(of)
+
+    def every(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(of) - 1)).alias(of)
+
+    asks = rows.where("asked > 0").select("front", "fp", part("q"), "e").select("front", "q", every("e"), F.lit(0).cast("long").alias("n"), "fp")
+    holds = rows.select("front", "fp", "n", part("e"), "q").select("front", every("q"), "e", "n", "fp")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, asked, fronts = None, np.empty((0, BYTES), np.uint8), None  # of the front that may go on
+        for batch in batches:
+            front, q, e, n = (batch.column(i).to_numpy() for i in range(4))
+            fp = _bytes(batch.column(4).to_pylist())
+            new = np.ones(len(front), bool)
+            new[1:] = (front[1:] != front[:-1]) | (q[1:] != q[:-1]) | (e[1:] != e[:-1])
+            starts = np.flatnonzero(new)
+            ends = np.append(starts[1:], len(front))
+            queries = np.add.reduceat((n == 0).astype(np.int64), starts) if len(starts) else starts
+            found, sums = [], []
+            for at in np.flatnonzero((queries > 0) | (starts == 0)):
+                low, high, many = starts[at], ends[at], queries[at]
+                here = (front[low], q[low], e[low])
+                if here != key:
+                    asked = fp[:0]
+                key, asked = here, np.concatenate([asked, fp[low : low + many]])
+                theirs, weights = fp[low + many : high], n[low + many : high]
+                table = int(here[0] % len(tables.places))
+                fronts = tables.fronts(theirs)[:, :table] if len(asked) and len(theirs) else None
+                for own in asked if fronts is not None else ():
+                    near = np.flatnonzero(np.bitwise_count(theirs ^ own).sum(1) <= radius)
+                    met = (fronts[near] == tables.fronts(own[None, :])[:, :table]).any(1)  # in an earlier table
+                    if total := int(weights[near[~met]].sum()):
+                        found.append(own.tobytes())
+                        sums.append(total)
+            if len(starts) and (front[-1], q[-1], e[-1]) != key:
+                key, asked = None, fp[:0]
+            if found:
+                yield pa.record_batch([pa.array(found, pa.binary()), pa.array(sums, pa.int64())], names=["fp", "n_within"])
+
+    both = asks.unionByName(holds).repartition(partitions(fps), "front", "q", "e").sortWithinPartitions("front", "q", "e", "n")
+    sums = both.mapInArrow(compare, "fp binary, n_within long").groupBy("fp").agg(F.sum("n_within").alias("n_within"))
+    return sums.join(fps.where("asked > 0").select("fp", "asked"), "fp")

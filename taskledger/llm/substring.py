@@ -105,7 +105,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text, n_removed) of every row: text without the sentences that a repeated run covers, and how many these are.
 
     Rows that share a doc_id count as one document and each keeps what is first there; a null
-    doc_id is before all others. Null and empty texts are empty. What remains is unchanged, its
+    doc_id is before all others, as one document with the least id that there can be. Null and empty texts are empty. What remains is unchanged, its
     white space included; a document whose every sentence repeats keeps its row with an empty text.
     """
 
@@ -123,7 +123,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc_id, text, inner, foreign in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, none, text, inner, foreign in zip(*(c.to_pylist() for c in batch.columns)):
                 removed = 0
                 if inner or foreign:
                     found = spans(text)
@@ -138,12 +138,12 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     removed = int((~keep).sum())
                     begins = np.concatenate([[0], found.ends[:-1]])
                     text = "".join(text[a:b] for a, b in zip(begins[keep].tolist(), found.ends[keep].tolist())) if removed else text
-                out.append((None if doc_id == _LEAST_ID else doc_id, text, removed))
+                out.append((None if none else doc_id, text, removed))
             yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["doc_id", "text", "n_removed"])
 
-    texts = ids_and_texts(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(_LEAST_ID)))
-    runs = written(texts.mapInArrow(emit, "doc_id long, h long, again boolean"), "runs")
+    texts = ids_and_texts(docs).withColumn("none", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(_LEAST_ID)))
+    runs = written(texts.select("doc_id", "text").mapInArrow(emit, "doc_id long, h long, again boolean"), "runs")
     shared = runs.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("within")).where("first < last or within").select("h", "first")
     # what a document holds again: of its own runs, or of those that an earlier document has; bounded by its text
     later = runs.join(shared, "h").groupBy("doc_id").agg(F.max("again").alias("inner"), F.collect_set(F.when(F.col("doc_id") > F.col("first"), F.col("h"))).alias("foreign"))
-    return texts.join(later, "doc_id", "left").select("doc_id", "text", "inner", "foreign").mapInArrow(clean, "doc_id long, text string, n_removed long")
+    return texts.join(later, "doc_id", "left").select("doc_id", "none", "text", "inner", "foreign").mapInArrow(clean, "doc_id long, text string, n_removed long")

@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import pytest
+import xxhash
+
 from taskledger.llm import fingerprints as P
 
 from .conftest import ODD, WORDS
@@ -15,16 +18,36 @@ def test_equal_texts_and_small_edits():
     assert P.edited("abcdefghij", "XY") == "abcdefghXY" and P.edited("abcdefghij", "X") == "abcdefghX" and P.edited("abc", "XYZ") == "abc"
 
 
+def brute_fingerprint(text):
+    """Votes bit by bit: a pair of words votes with the length of its words, MAX_LETTERS at most; a lone word with one."""
+    found = text.lower().encode().split()
+    pairs = [(b" ".join(p), min(sum(map(len, p)), P.MAX_LETTERS)) for p in zip(found, found[1:])] or [(w, 1) for w in found]
+    votes = [0] * P.BITS
+    for term, weight in pairs:
+        h = int.from_bytes(xxhash.xxh3_128_digest(term, P.SEED), "little")
+        for b in range(P.BITS):
+            votes[b] += weight if h >> b & 1 else -weight
+    return sum(1 << b for b in range(P.BITS) if votes[b] > 0)
+
+
+def test_votes_bit_by_bit():
+    draw = random.Random(3)
+    for text in ["", "one", "A b", *(t or "" for _, t in ODD[:11]), *(" ".join(draw.choices(WORDS, k=k)) for k in (2, 3, 50, 300))]:
+        assert int.from_bytes(P.fingerprint(text), "little") == brute_fingerprint(text)
+
+
 def test_next_document_over_all_ranges(docs):
     draw = random.Random(5)
-    rows = [*ODD, *((i, " ".join(draw.choices(WORDS, k=draw.randrange(1, 80)))) for i in range(100, 160))]
+    rows = [*ODD, (200, "one"), (300, "one"), *((i, " ".join(draw.choices(WORDS, k=draw.randrange(1, 80)))) for i in range(100, 160))]
     order = sorted(((i is not None, i or 0, (t or "").encode()) for i, t in rows))
     want = []
+    prints = [brute_fingerprint(raw.decode()) for _, _, raw in order]
     for n, (has, i, raw) in enumerate(order):
         text, following = raw.decode(), order[(n + 1) % len(order)][2].decode()
         changed = P.edited(text, following)
         own, new, theirs = map(P.fingerprint, (text, changed, following))
-        want.append((i if has else None, len(text), hashlib.sha256(changed.encode()).hexdigest(), own.hex(), new.hex(), P.likeness(own, new), P.likeness(own, theirs)))
+        near = sum((prints[n] ^ v).bit_count() <= P.RADIUS for v in prints) - 1 if has and i % P.EVERY == 0 else None
+        want.append((i if has else None, len(text), hashlib.sha256(changed.encode()).hexdigest(), own.hex(), new.hex(), P.likeness(own, new), P.likeness(own, theirs), near))
     assert sorted(map(tuple, P.edited_likeness(docs(rows)).collect()), key=str) == sorted(want, key=str)
 
 
@@ -33,14 +56,20 @@ def test_one_document_follows_itself(docs):
     assert P.edited_likeness(docs([])).count() == 0
 
 
-def test_block_tables_find_all_within_the_radius(spark):
+@pytest.mark.parametrize("group", [4096, 3])
+def test_block_tables_count_all_within_the_radius(spark, monkeypatch, group):
+    """Against all pairs; with a small group every front is crowded and dealt out both ways."""
+    monkeypatch.setattr(P, "GROUP", group)
+    monkeypatch.setattr(P, "HOT_SHARE", P.HOT_SHARE if group > 3 else 1_000_000)
+    monkeypatch.setattr(P, "SAMPLED", P.SAMPLED if group > 3 else 1)
     draw = random.Random(6)
     values = [draw.getrandbits(P.BITS) for _ in range(30)]
     for v in values[:15]:
-        for n in (1, 3, 5, 6, 9):
+        for n in (1, 1, 2, 3, 5, 6, 7, 9) * 3:
             values.append(v ^ sum(1 << b for b in draw.sample(range(P.BITS), n)))
-    raw = [v.to_bytes(P.BYTES, "little") for v in values]
-    table = spark.createDataFrame([(bytearray(r),) for r in raw + raw[:3]], "fp binary")
-    got = {(bytes(r.query), bytes(r.fp), r.bits) for r in P.within_radius(table.limit(20), table, radius=5, blocks=7).collect()}
-    queries = {bytes(r.fp) for r in table.limit(20).collect()}
-    assert got == {(a, b, P.differing(a, b)) for a in queries for b in raw if P.differing(a, b) <= 5}
+    rows = {v: (draw.randrange(1, 5), draw.randrange(2)) for v in values}
+    table = spark.createDataFrame([(None, 1, 1), *((bytearray(v.to_bytes(P.BYTES, "little")), *r) for v, r in rows.items())], "fp binary, n long, asked long").repartition(5)
+    for radius, blocks in ((P.RADIUS, P.BLOCKS), (5, 7), (3, 5)):
+        got = {int.from_bytes(r.fp, "little"): r.n_within for r in P.count_within(table, radius, blocks).collect()}
+        assert got == {v: sum(n for w, (n, _) in rows.items() if (v ^ w).bit_count() <= radius) for v, (_, asked) in rows.items() if asked}
+    assert P.count_within(table.limit(0)).count() == 0

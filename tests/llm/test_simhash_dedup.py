@@ -6,7 +6,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from taskledger.llm import simhash_dedup as S
-from taskledger.llm.common import join_skewed
+from taskledger.llm.common import join_salted, join_skewed
 from taskledger.llm.components import connected_components
 
 from .conftest import ODD, WORDS
@@ -117,6 +117,10 @@ def test_hot_keys_and_odd_radius(spark):
     want = left.join(right.drop("n"), "k")
     got = join_skewed(left, right, "k", 3_000)
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    right = right.withColumn("k2", F.lit(1))
+    want = left.withColumn("k2", F.lit(1)).join(right.drop("n"), ["k", "k2"])
+    got = join_salted(left.withColumn("k2", F.lit(1)), right.drop("n"), ["k", "k2"], right.select("k", "k2", "n"))
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     with pytest.raises(ValueError, match="radius"):
         S.near_links(spark.createDataFrame([(1,)], "fp long"), 5)
 
