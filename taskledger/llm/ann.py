@@ -25,13 +25,14 @@ from .common import cut_lineage
 
 #: Vectors that codebooks are fitted to, at most, and sample queries by which the walk's length is set; those of least hash.
 MAX_TRAIN, SAMPLE_QUERIES = 20_000, 200
-#: Centroids of a half: a sixteenth of the square root of the entries, within these bounds.
-LEAST_CENTROIDS, MOST_CENTROIDS = 16, 256
+#: Centroids of a half: a sixteenth of the square root of the entries, within these bounds. The table of cells, which tasks get, has their square: 8 MB at most.
+LEAST_CENTROIDS, MOST_CENTROIDS = 16, 1_024
 #: Recall that the walk is set for on sample queries, above the 0.9 that is promised.
 RECALL = 0.96
 #: Entries, and queries, that meet in one group at most, about.
 GROUP = 4096
 STEPS = 12
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 @dataclass
@@ -87,30 +88,38 @@ def _matrix(batch_column: pa.Array) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding): rows with an id whose vector isn't null, empty, zero, and has neither null nor non-finite components; of several lengths only the commonest (of equally common ones the shortest)."""
+    """(vec_id, embedding): rows with an id whose vector isn't null, empty, zero, and has neither null nor non-finite components."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
-    size = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.col("count").desc(), "n").first()
-    return rows.where(F.size("embedding") == (size.n if size else -1))
+    return rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & F.exists("embedding", lambda x: x != 0))
 
 
 def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, the k nearest found of all other ids by largest inner product in double precision; ties go to smaller vec_id.
 
     Fewer candidates than k: all of them. Repeated vec_ids name one query and one candidate for
-    each different vector. No usable vectors: no rows.
+    each different vector. Vectors of another length have no inner product with a query and are no
+    candidates of it: each length has an index of its own. No usable vectors: no rows.
     """
-    rows = usable(vectors)
+    rows = usable(vectors).withColumn("_length", F.size("embedding"))
+    found = vectors.sparkSession.createDataFrame([], RESULT)
+    lengths = [r._length for r in rows.select("_length").distinct().orderBy("_length").collect()]  # one, but for odd tables
+    for n, length in enumerate(lengths):
+        here = _of_one_length(rows.where(F.col("_length") == length).drop("_length"), k, every)
+        found = found.union(here) if n else here
+    if len(lengths) > 1:  # a repeated id may be a query in several
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        each = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        found = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found
+
+
+def _of_one_length(rows: DataFrame, k: int, every: int) -> DataFrame:
     by_vector = Window.partitionBy("embedding").orderBy("vec_id")
     least = rows.distinct().withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1)  # Spark cuts these before the shuffle, too
     entries = cut_lineage(least.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")).withColumn("entry", F.element_at("ids", 1)))
     total = entries.count()
-    spark = vectors.sparkSession
-    result = "query_id long, rank int, vec_id long, score double"
-    if not total:
-        return spark.createDataFrame([], result)
-
+    spark = rows.sparkSession
     sample = entries.select("entry", "embedding").orderBy(F.xxhash64("entry"), "entry").limit(MAX_TRAIN).collect()  # bounded
     train = np.array([r.embedding for r in sample], np.float64)
     size = int(min(MOST_CENTROIDS, max(LEAST_CENTROIDS, total**0.5 / 16)))
@@ -157,22 +166,27 @@ def neighbours(vectors: DataFrame, k: int = 20, every: int = 20) -> DataFrame:
     def rerank(asks: pd.DataFrame, holds: pd.DataFrame) -> pd.DataFrame:
         if not len(asks) or not len(holds):
             return pd.DataFrame({"query_id": [], "entry": [], "score": [], "ids": []})
-        holds = holds.sort_values("entry", ignore_index=True)
-        matrix, c2, entry = np.stack(holds["embedding"].to_numpy()), holds["c2"].to_numpy(), holds["entry"].to_numpy()
+        holds = holds.sort_values(["c2", "entry"], ignore_index=True)
+        matrix, entry = np.stack(holds["embedding"].to_numpy()), holds["entry"].to_numpy()
+        cells, begins = np.unique(holds["c2"].to_numpy(), return_index=True)
         out = []
         for low in range(0, len(asks), 512):
             part = asks.iloc[low : low + 512]
             seen = np.zeros((len(part), width), bool)
             for i, visited in enumerate(part["visited"]):
                 seen[i, visited] = True
-            scores = np.where(seen[:, c2], np.stack(part["embedding"].to_numpy()) @ matrix.T, -np.inf)
+            vectors = np.stack(part["embedding"].to_numpy())
+            scores = np.full((len(part), len(entry)), -np.inf)
+            for cell, a, b in zip(cells, begins, [*begins[1:], len(entry)]):  # only cells that the walk has passed
+                i = np.flatnonzero(seen[:, cell])
+                scores[i, a:b] = vectors[i] @ matrix[a:b].T
             for query_id, row in zip(part["query_id"].to_numpy(), scores):
                 if len(row) > k + 1:
                     at = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1])
                 else:
                     at = np.arange(len(row))
                 at = at[row[at] > -np.inf]
-                at = at[np.argsort(-row[at], kind="stable")][: k + 1]
+                at = at[np.lexsort((entry[at], -row[at]))][: k + 1]
                 out.append((np.full(len(at), query_id), at, row[at]))
         ids, at, score = (np.concatenate(x) for x in zip(*out))
         return pd.DataFrame({"query_id": ids, "entry": entry[at], "score": score, "ids": holds["ids"].to_numpy()[at]})
@@ -204,14 +218,22 @@ def _enough(placed: DataFrame, books: Codebooks, counts: np.ndarray, sample: lis
 
     found = placed.select("embedding", "entry", "c1", "c2").mapInArrow(nearest, "probe int, score double, c1 int, c2 int")
     order = Window.partitionBy("probe").orderBy(F.col("score").desc(), "c1", "c2")
-    true = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("probe", "c1", "c2").collect()  # SAMPLE_QUERIES * k rows
-    needed = []
-    for i, probe in enumerate(probes):
-        passed, held = {}, 0
-        for cell in books.walk(probe, counts, total):
-            held += int(counts[cell])
-            passed[cell] = held
-        needed += [passed[r.c1, r.c2] for r in true if r.probe == i]
-    needed.sort()
+    true = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("probe", "c1", "c2")
+
+    def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Vectors in the cells that a walk passes up to each true neighbour's, that included."""
+        half = books.first.shape[1]
+        for batch in batches:
+            probe, a, b = (batch.column(i).to_numpy() for i in range(3))
+            held = np.zeros(len(probe), np.int64)
+            for p in np.unique(probe):
+                cost = -(books.first @ probes[p][:half])[:, None] - (books.second @ probes[p][half:])[None, :]
+                in_order = np.argsort(cost, axis=None)
+                upto = np.cumsum(counts.ravel()[in_order])
+                mine = np.flatnonzero(probe == p)
+                held[mine] = upto[np.searchsorted(cost.ravel()[in_order], cost[a[mine], b[mine]], side="right") - 1]
+            yield pa.record_batch([pa.array(held)], names=["held"])
+
+    needed = sorted(r.held for r in true.mapInArrow(passed, "held long").collect())  # SAMPLE_QUERIES * k numbers
     at = needed[min(len(needed) - 1, int(RECALL * len(needed)))] if needed else total
     return max(at, min(total, 50 * (k + 1)))

@@ -43,7 +43,7 @@ def test_recall_scores_and_ranks(spark):
 
 def test_copies_ties_and_odd_vectors(spark):
     rows = vectors(60)
-    rows += [(1000 + i, rows[0][1]) for i in range(50)] + [(2000, None), (2020, [0.0] * 8), (2040, [1.0, None] + [0.0] * 6), (2060, [float("nan")] * 8), (2080, [float("inf")] + [1.0] * 7), (None, [1.0] * 8), (2100, []), (2120, [1.0] * 3)]
+    rows += [(1000 + i, rows[0][1]) for i in range(50)] + [(2000, None), (2020, [0.0] * 8), (2040, [1.0, None] + [0.0] * 6), (2060, [float("nan")] * 8), (2080, [float("inf")] + [1.0] * 7), (None, [1.0] * 8), (2100, [])]
     got = {}
     for r in A.neighbours(table(spark, rows)).collect():
         got.setdefault(r.query_id, {})[r.rank] = r.vec_id
@@ -51,6 +51,35 @@ def test_copies_ties_and_odd_vectors(spark):
     assert {q: [f[k] for k in sorted(f)] for q, f in got.items()} == {q: [i for i, _ in f] for q, f in want.items()}
 
 
+def test_each_length_is_searched_by_itself(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, draw.normal(size=4 if i % 3 else 6).tolist()) for i in range(0, 60, 5)] + [(40, draw.normal(size=6).tolist())]
+    want = {}
+    for q, v in rows:
+        if q % 20 == 0:
+            for i, w in rows:
+                if i != q and len(v) == len(w):
+                    want.setdefault(q, {}).setdefault(i, []).append(float(np.dot(v, w)))
+    got = {}
+    for r in A.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, round(r.score, 9)))
+    for q, found in want.items():
+        best = sorted((-round(max(s), 9), i) for i, s in found.items())
+        assert sorted(got[q]) == [(n, i, -s) for n, (s, i) in enumerate(best, 1)]
+
+
+def test_recall_of_queries_that_the_walk_was_not_set_on(spark, monkeypatch):
+    """Vectors without clusters, few sample queries: all other queries are held out."""
+    monkeypatch.setattr(A, "SAMPLE_QUERIES", 40)
+    draw = np.random.default_rng(9)
+    rows = [(i, draw.normal(size=8).tolist()) for i in range(4_000)]
+    want = {q: {i for i, _ in f} for q, f in brute(rows).items()}
+    got = {}
+    for r in A.neighbours(table(spark, rows)).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert sum(len(got[q] & w) for q, w in want.items()) / (20 * len(want)) >= 0.9
+
+
 def test_few_rows_and_none(spark):
     assert A.neighbours(table(spark, [])).count() == 0
     got = A.neighbours(table(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5])])).collect()
