@@ -1,13 +1,14 @@
 """Language-model scores by cross-entropy difference.
 
-A target and a background model, both of word pairs interpolated with words, share one vocabulary:
-the words of all documents. The target's counts come from documents labelled as good, the
-background's from all documents. A document's score is the mean, over its words, of the
-background's loss less the target's: higher is more like the target.
-
-Words and pairs are rows of a count table that grows with the corpus. Documents are dealt to chunks
-of bounded size; a chunk sends each of its words and pairs once, with its counts, and gets back the
-whole corpus's counts of those that other chunks have too.
+A target and a background model, both of word pairs backed by words, share one vocabulary: the words
+of all documents and an end of text. The target's counts come from documents labelled as good, the
+background's from all documents, scaled to the target's size so that both are smoothed alike. A
+document's score is the mean, over its words, of the background's loss less the target's: higher
+is more like the target.
+
+Words and pairs ("grams") are counted one by one over the whole corpus; their number grows with it. Documents are dealt to
+chunks of bounded size. A chunk sends each of its grams once, with its counts, in sorted and packed lists,
+one for each range of hashes; ranges add up what all chunks have sent and return the sums in each chunk's own order.
 """
 
 from __future__ import annotations
@@ -19,94 +20,108 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, partitions
+from .common import cut_lineage, ids_and_texts
 from .toxicity import fold_of
 
-#: Classes of words and of pairs in count(), as powers of two. The scores don't use classes.
-WORD_BITS, PAIR_BITS = 17, 19
-#: Bytes of text in a chunk, about.
-CHUNK_BYTES = 8_000_000
-#: Share of the pair estimate, added count of each word of the vocabulary, and how much a context's unseen pairs keep.
-SHARE, ADDED, KEPT = 0.6, 0.1, 2.0
+#: Bytes of text in a chunk, and behind a range of hashes, about.
+CHUNK_BYTES = 12_000_000
+#: Count added to each word of the vocabulary, and weight of the words' distribution against a context's pairs.
+ADDED, BACKING = 0.1, 2.0
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+_END = np.uint64(xxhash.xxh3_64_intdigest(b" end of text ", 0))  # no word: it holds spaces
 
 
-def hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of a text's words and of its neighbouring pairs; letter case doesn't count."""
-    found = text.lower().encode().split()
-    hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, found, repeat(0)), np.uint64, len(found))
-    return hashed, (hashed[:-1] * _MULTIPLIER + hashed[1:]) * _MULTIPLIER
-
+def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words and of its pairs, from (first word, second) to (last word, end of text); letter case doesn't count.
 
-def classes(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of a text's words and of its neighbouring pairs; letter case doesn't count."""
-    hashed, pairs = hashes(text)
-    return (hashed >> np.uint64(64 - WORD_BITS)).astype(np.int64), (pairs >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+    63 bits tell grams apart: words are even, pairs odd. No words: no pairs.
+    """
+    found = text.lower().encode().split()
+    words = np.fromiter(map(xxhash.xxh3_64_intdigest, found, repeat(0)), np.uint64, len(found))
+    after = np.append(words[1:], _END)[: len(words)]
+    return (words & ~np.uint64(1)).view(np.int64), ((words * _MULTIPLIER + after) * _MULTIPLIER | np.uint64(1)).view(np.int64)
 
 
 class Model:
-    """Log-probabilities of words and of pairs from counts of both; total and vocabulary are those of the counts unless these are a part."""
-
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, total: float | None = None, vocabulary: int | None = None) -> None:
-        self.words, self.pairs = words.astype(np.float64), pairs.astype(np.float64)
-        self.total = float(words.sum()) if total is None else float(total)
-        self.vocabulary = len(words) if vocabulary is None else vocabulary
-
-    def log_probs(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-        alone = (self.words[words] + ADDED) / (self.total + ADDED * self.vocabulary)
-        after = self.pairs[pairs] / (self.words[words[:-1]] + KEPT)
-        both = alone.copy()
-        both[1:] = (1 - SHARE) * alone[1:] + SHARE * np.minimum(after, 1.0)
-        return np.log(both)
-
-
-def count(docs: DataFrame) -> DataFrame:
-    """(target, kind, class, n) summed over all rows of docs (text, target boolean): target rows count for both models; kind 0 is words, 1 pairs."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, (1 << WORD_BITS) + (1 << PAIR_BITS)), np.int64)
-        for batch in batches:
-            for text, target in zip(batch.column(0), batch.column(1).to_pylist()):
-                words, pairs = classes(text.as_py())
-                at = np.concatenate([words, pairs + (1 << WORD_BITS)])
-                for model in (0, 1) if target else (0,):
-                    np.add.at(sums[model], at, 1)
-        for model in (0, 1):
-            at = np.flatnonzero(sums[model])
-            for low in range(0, len(at), 1 << 16):
-                part = at[low : low + (1 << 16)]
-                yield pa.record_batch([pa.array(np.full(len(part), model, np.int32)), pa.array(part), pa.array(sums[model, part])], names=["model", "class", "n"])
-
-    return docs.select("text", "target").mapInArrow(run, "model int, class long, n long").groupBy("model", "class").agg(F.sum("n").alias("n"))
+    """Log-probabilities from counts, scaled: of words p(w) = (n(w) + ADDED) / (total + ADDED * vocabulary), of words after a word p(w|v) = (n(v, w) + BACKING * p(w)) / (n(v) + BACKING).
 
+    Each sums to 1 over the vocabulary, the end of text included.
+    """
 
-def _grams(texts: pa.Table, good: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a chunk: its distinct grams in order, their counts over all and over target texts, each gram's place, and where texts begin and how many words they have.
+    def __init__(self, total: float, vocabulary: int, scale: float = 1.0) -> None:
+        self.total, self.vocabulary, self.scale = total * scale, vocabulary, scale
 
-    A gram is a hash whose last bit is 0 for words and 1 for pairs; a text's words come before its pairs.
-    """
-    target = pc.is_in(texts["doc_id"], value_set=pa.array(good, pa.int64())).to_numpy()
-    parts, n_words = [np.empty(0, np.uint64)], np.zeros(texts.num_rows, np.int64)
-    for i, text in enumerate(texts["text"]):
-        words, pairs = hashes(text.as_py())
-        n_words[i] = len(words)
-        parts += [words & ~np.uint64(1), pairs | np.uint64(1)]
-    sizes = n_words + np.maximum(n_words - 1, 0)
-    distinct, place = np.unique(np.concatenate(parts).view(np.int64), return_inverse=True)
-    n = np.bincount(place, minlength=len(distinct))
-    good_n = np.bincount(place[np.repeat(target, sizes)], minlength=len(distinct))
-    return distinct, n, good_n, place, np.cumsum(sizes) - sizes, n_words
+    def log_probs(self, words: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """Of each word of a text, given the counts of its words and of the pairs that end with its second word and on."""
+        words, pairs = self.scale * words, self.scale * pairs
+        probs = (words + ADDED) / (self.total + ADDED * self.vocabulary)
+        probs[1:] = (pairs + BACKING * probs[1:]) / (words[:-1] + BACKING)
+        return np.log(probs)
+
+
+class Chunk:
+    """A chunk's texts as places in its sorted distinct grams, with their counts over all its texts and over those of the target."""
+
+    def __init__(self, texts: pa.Table, good: np.ndarray) -> None:
+        target = pc.is_in(texts["doc_id"], value_set=pa.array(good, pa.int64())).to_numpy()
+        parts, self.n_words = [np.empty(0, np.int64)], np.zeros(texts.num_rows, np.int64)
+        for i, text in enumerate(texts["text"]):
+            words, pairs = grams(text.as_py())
+            self.n_words[i] = len(words)
+            parts += [words, pairs]
+        end = (_END & ~np.uint64(1)).view(np.int64)
+        parts.append(np.full(np.count_nonzero(self.n_words), end))
+        flat = np.concatenate(parts)
+        parts.clear()
+        self.distinct, place = np.unique(flat, return_inverse=True)
+        del flat
+        self.place = place.astype(np.int32)
+        del place
+        self.starts = np.cumsum(2 * self.n_words) - 2 * self.n_words
+        good_texts = np.repeat(target, 2 * self.n_words)
+        ends = target[self.n_words > 0]
+        self.n = np.bincount(self.place, minlength=len(self.distinct))
+        self.good = np.bincount(self.place[np.concatenate([good_texts, ends])], minlength=len(self.distinct))
+
+    def of_text(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of text i's words, and of its pairs but that with the end of text."""
+        a, n = self.starts[i], self.n_words[i]
+        return self.place[a : a + n], self.place[a + n : a + 2 * n - 1]
+
+    def ranges(self, ranges: int) -> Iterator[tuple[int, slice]]:
+        """(range, its grams) of each range of hashes that holds any."""
+        bounds = np.searchsorted(self.distinct, _bounds(ranges))
+        for at, (a, b) in enumerate(zip(bounds, [*bounds[1:], len(self.distinct)])):
+            if b > a:
+                yield at, slice(a, b)
+
+
+def _bounds(ranges: int) -> np.ndarray:
+    """Least gram of each range: signed longs in equal parts."""
+    return np.array([-(1 << 63) + (1 << 64) * i // ranges for i in range(ranges)], np.int64)
+
+
+def _pack(values: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    """Numbers of 64 bits, compressed byte place by byte place."""
+    return press.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view(np.int64).ravel()
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
     """(doc_id, n_words, target_loss, background_loss, score) of every row of docs; losses are nats a word.
 
-    The target is every document labelled 1 outside fold 0 of the held-out split; the background
-    is every document. Empty and null
-    texts have no words, and losses and score of zero; so has everything if there is no target.
+    The target is every document labelled 1 outside fold 0 of the held-out split, labelled twice or
+    not; the background is every row. Empty and null texts have no words, and losses and score of
+    zero; so has everything if there is no target. Rows that repeat count each time; rows without
+    an id are background only.
     """
     good = labels.where((F.col(label_col) == 1) & (fold_of(F.col("doc_id")) != 0)).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     texts = ids_and_texts(docs)
@@ -116,33 +131,48 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label_col: str
     good = good.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(0).cast("long")), F.lit(chunks)).alias("chunk"))
 
     def send(texts: pa.Table, good: pa.Table) -> pa.Table:
-        distinct, n, good_n, *_ = _grams(texts, good["doc_id"].to_numpy())
-        chunk = np.full(len(distinct), texts["chunk"][0].as_py() if texts.num_rows else 0)
-        return pa.table({"chunk": pa.array(chunk, pa.int64()), "gram": distinct, "n": n, "good_n": good_n})
+        chunk, press, rows = Chunk(texts, good["doc_id"].to_numpy()), zstandard.ZstdCompressor(level=1), []
+        for at, part in chunk.ranges(chunks):
+            deltas = np.diff(chunk.distinct[part], prepend=_bounds(chunks)[at])
+            rows.append((texts["chunk"][0].as_py(), at, _pack(deltas, press), _pack(chunk.n[part], press), _pack(chunk.good[part], press)))
+        columns = zip(*rows) if rows else [()] * 5
+        return pa.table({k: pa.array(c, t) for (k, t), c in zip((("chunk", pa.int64()), ("range", pa.int64()), ("grams", pa.binary()), ("n", pa.binary()), ("good", pa.binary())), columns)})
+
+    def add_up(sent: pa.Table) -> pa.Table:
+        press, first = zstandard.ZstdCompressor(level=1), _bounds(chunks)[sent["range"][0].as_py()]
+        lists = [first + np.cumsum(_unpack(x)) for x in sent["grams"].to_pylist()]
+        distinct, place = np.unique(np.concatenate(lists), return_inverse=True)
+        sums = [np.bincount(place, np.concatenate([_unpack(x) for x in sent[c].to_pylist()]).astype(np.float64), len(distinct)).astype(np.int64) for c in ("n", "good")]
+        ends = np.cumsum([0, *map(len, lists)])
+        back = [[_pack(s[place[a:b]], press) for a, b in zip(ends, ends[1:])] for s in sums]
+        word = distinct & 1 == 0
+        whole = [np.array([word.sum(), sums[0][word].sum(), sums[1][word].sum()]).astype(np.int64).tobytes()]
+        return pa.table({"chunk": [*sent["chunk"].to_pylist(), -1], "range": [*sent["range"].to_pylist(), -1], "n": pa.array(back[0] + whole, pa.binary()), "good": pa.array([*back[1], None], pa.binary())})
 
     def score(texts: pa.Table, got: pa.Table) -> pa.Table:
-        kind, gram, all_n, all_good = (got[c].to_numpy() for c in ("kind", "gram", "n", "good_n"))
-        distinct, n, good_n, place, starts, n_words = _grams(texts, gram[kind == 2])
-        at = np.searchsorted(distinct, gram[kind == 0])
-        n[at], good_n[at] = all_n[kind == 0], all_good[kind == 0]
-        totals = np.flatnonzero(kind == 1)
+        of_range = got["range"].to_pylist()
+        ids = [r["doc_id"] for r in got.select(["range", "doc_id"]).to_pylist() if r["range"] == -2]
+        chunk = Chunk(texts, np.array(ids, np.int64))
         losses = np.zeros((2, texts.num_rows))
-        if texts.num_rows and all_good[totals[0]]:
-            vocabulary = int(gram[totals[0]])
-            target, background = Model(good_n, good_n, all_good[totals[0]], vocabulary), Model(n, n, all_n[totals[0]], vocabulary)
-            for i in np.flatnonzero(n_words):
-                here = place[starts[i] : starts[i] + 2 * n_words[i] - 1]
-                words, pairs = here[: n_words[i]], here[n_words[i] :]
-                losses[:, i] = -target.log_probs(words, pairs).mean(), -background.log_probs(words, pairs).mean()
-        return pa.table({"doc_id": texts["doc_id"], "n_words": n_words, "target_loss": losses[0], "background_loss": losses[1], "score": losses[1] - losses[0]})
-
-    sent = texts.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(send, "chunk long, gram long, n long, good_n long").repartition(partitions(texts), "gram")
-    of_gram = Window.partitionBy("gram")  # a row a chunk at most
-    summed = sent.withColumns({"all_n": F.sum("n").over(of_gram), "all_good": F.sum("good_n").over(of_gram), "first": F.min("chunk").over(of_gram) == F.col("chunk")})
-    shared = summed.where("all_n > n").select("chunk", F.lit(0).alias("kind"), "gram", F.col("all_n").alias("n"), F.col("all_good").alias("good_n"))
-    word = F.col("gram").bitwiseAND(F.lit(1)) == 0
-    totals = summed.agg(*[F.coalesce(F.sum(F.when(word, v)), F.lit(0)).alias(k) for k, v in (("gram", F.col("first").cast("long")), ("n", F.col("n")), ("good_n", F.col("good_n")))])
-    to_all = docs.sparkSession.range(chunks).select(F.col("id").alias("chunk"), F.lit(1).alias("kind")).crossJoin(F.broadcast(totals))  # one row
-    ids = good.select("chunk", F.lit(2).alias("kind"), F.col("doc_id").alias("gram"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("good_n"))
-    back = shared.union(to_all).union(ids)
+        row_of = {r: i for i, r in enumerate(of_range)}
+        whole = [r for r in (got["whole"][i].as_py() for i, r in enumerate(of_range) if r == -1)]
+        vocabulary, total, total_good = whole[0] if whole else (0, 0, 0)
+        if texts.num_rows and total_good:
+            for at, part in chunk.ranges(chunks):
+                chunk.n[part], chunk.good[part] = _unpack(got["n"][row_of[at]].as_py()), _unpack(got["good"][row_of[at]].as_py())
+            models = (Model(total_good, vocabulary), chunk.good), (Model(total, vocabulary, total_good / total), chunk.n)
+            for i in np.flatnonzero(chunk.n_words):
+                words, pairs = chunk.of_text(i)
+                losses[:, i] = [-model.log_probs(n[words], n[pairs]).mean() for model, n in models]
+        return pa.table({"doc_id": texts["doc_id"], "n_words": chunk.n_words, "target_loss": losses[0], "background_loss": losses[1], "score": losses[1] - losses[0]})
+
+    sent = texts.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(send, "chunk long, range long, grams binary, n binary, good binary")
+    summed = cut_lineage(sent.groupBy("range").applyInArrow(add_up, "chunk long, range long, n binary, good binary"))
+    whole = [sum(x) for x in zip(*(np.frombuffer(r.n, np.int64).tolist() for r in summed.where("chunk = -1").select("n").collect()))]  # three numbers a range
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("n", "binary"), ("good", "binary"))]
+    no_id, no_sums = F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("array<long>").alias("whole")
+    to_all = docs.sparkSession.range(chunks).select(F.col("id").alias("chunk"), F.lit(-1).cast("long").alias("range"), *nothing, no_id, F.array(*[F.lit(x).cast("long") for x in whole]).alias("whole") if whole else no_sums)
+    ids = good.select("chunk", F.lit(-2).cast("long").alias("range"), *nothing, "doc_id", no_sums)
+    back = summed.where("chunk >= 0").select("chunk", "range", "n", "good", no_id, no_sums).union(ids)
+    back = back.union(to_all) if whole else back
     return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, score double")

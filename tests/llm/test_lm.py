@@ -1,9 +1,10 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
-
+import zstandard
 from pyspark.sql import functions as F
 
 from taskledger.llm import lm as L
@@ -26,22 +27,27 @@ def test_difference_tells_the_target_apart_on_held_out(spark, docs):
     assert all(math.isclose(r.score, r.background_loss - r.target_loss) for r in got.values())
 
 
-def test_counts_cover_all_documents(spark, docs):
-    rows, _ = corpus()
-    counted = L.count(spark.createDataFrame([(t, i % 2 == 0) for i, t in rows], "text string, target boolean").repartition(5)).collect()
-    words = sum(len(t.split()) for _, t in rows)
-    assert sum(r.n for r in counted if r.model == 0) == 2 * words - len(rows)
-    brute = {}
-    for i, t in rows:
-        w, p = L.classes(t)
-        for c in [*w.tolist(), *(p + (1 << L.WORD_BITS)).tolist()]:
-            brute[c] = brute.get(c, 0) + 1
-    assert brute == {r["class"]: r.n for r in counted if r.model == 0}
+def test_each_model_sums_to_one():
+    """Over the vocabulary and the end of text, after any word and by itself, whatever the scale."""
+    texts = ["a b a c", "b a", "c"]
+    counted, pairs = Counter(), Counter()
+    for t in texts:
+        found = t.split()
+        counted.update([*found, "end"])
+        pairs.update(zip(found, [*found[1:], "end"]))
+    for scale in (1.0, 0.1):
+        model = L.Model(sum(counted.values()), len(counted), scale)
+        words = np.array([counted[w] for w in counted])
+        assert math.isclose(sum(math.exp(model.log_probs(np.array([n]), np.empty(0))[0]) for n in words), 1)
+        for v in "abc":
+            after = [math.exp(model.log_probs(np.array([counted[v], counted[w]]), np.array([pairs[v, w]]))[1]) for w in counted]
+            assert math.isclose(sum(after), 1)
 
 
-def test_probabilities_are_positive_and_bounded():
-    model = L.Model(np.zeros(1 << L.WORD_BITS), np.zeros(1 << L.PAIR_BITS))
-    assert np.isfinite(model.log_probs(*L.classes("never seen words"))).all()
+def test_packed_lists_come_back():
+    draw = np.random.default_rng(1)
+    for values in (np.empty(0, np.int64), np.array([-1, 1 << 62]), draw.integers(-(1 << 63), (1 << 63) - 1, 1_000)):
+        assert (L._unpack(L._pack(values, zstandard.ZstdCompressor())) == values).all()
 
 
 def test_odd_rows_and_no_labels(spark, docs):
@@ -57,29 +63,30 @@ def test_target_is_every_labelled_document(spark):
     assert got.where("score <> 0 or n_words <> 2").count() == 0 < got.count() - 50_000  # both models count the same documents
 
 
-def test_scores_are_those_of_real_words_and_pairs(spark, docs, monkeypatch):
-    monkeypatch.setattr(L, "CHUNK_BYTES", 2_000)  # several chunks
-    monkeypatch.setattr(L, "WORD_BITS", 1)
-    monkeypatch.setattr(L, "PAIR_BITS", 1)
+def test_scores_are_those_of_brute_force(spark, docs, monkeypatch):
+    """Several chunks and ranges, repeated rows, ids labelled twice, no ids, and a very long text."""
+    monkeypatch.setattr(L, "CHUNK_BYTES", 2_000)
     rows, labels = corpus()
-    rows = [*rows, rows[0], (None, "alpha beta"), (None, "alpha beta"), (1000, "Unseen alpha")]
-    good = {i for i, q in labels if q and zlib.crc32(str(i).encode()) % 5}
-    counts = [({}, {}), ({}, {})]
+    rows = [*rows, rows[0], (None, "alpha beta"), (None, "alpha beta"), (1000, "Unseen alpha"), (1001, "mu " * 20_000), (1002, None)]
+    labels = [*labels, labels[0], (3, 0), (None, 1), (4_000, 1)]
+    good = {i for i, q in labels if i is not None and q and zlib.crc32(str(i).encode()) % 5}
+    counts = [(Counter(), Counter()), (Counter(), Counter())]
     for i, t in rows:
-        found = t.lower().split()
+        found = (t or "").lower().split()
         for words, pairs in counts if i in good else counts[:1]:
-            for w in found:
-                words[w] = words.get(w, 0) + 1
-            for p in zip(found, found[1:]):
-                pairs[p] = pairs.get(p, 0) + 1
-
-    def loss(found, words, pairs):
-        total, size = sum(words.values()), len(counts[0][0])
-        alone = [(words.get(w, 0) + L.ADDED) / (total + L.ADDED * size) for w in found]
-        after = [pairs.get(p, 0) / (words.get(p[0], 0) + L.KEPT) for p in zip(found, found[1:])]
-        probs = [alone[0], *((1 - L.SHARE) * a + L.SHARE * b for a, b in zip(alone[1:], after))]
+            words.update([*found, "end of text"] if found else [])
+            pairs.update(zip(found, [*found[1:], "end of text"]))
+    totals = [sum(words.values()) for words, _ in counts]
+
+    def loss(found, model):
+        (words, pairs), scale = counts[model], totals[1] / totals[model]
+        if not found:
+            return 0.0
+        alone = [(scale * words[w] + L.ADDED) / (scale * totals[model] + L.ADDED * len(counts[0][0])) for w in found]
+        probs = alone[:1] + [(scale * pairs[p] + L.BACKING * a) / (scale * words[p[0]] + L.BACKING) for p, a in zip(zip(found, found[1:]), alone[1:])]
         return -sum(map(math.log, probs)) / len(found)
 
-    want = sorted((i or -1, len(t.split()), *(round(loss(t.lower().split(), *counts[k]), 9) for k in (1, 0))) for i, t in rows)
+    want = sorted((i or -1, len((t or "").split()), *(round(loss((t or "").lower().split(), k), 9) for k in (1, 0))) for i, t in rows)
     got = L.cross_entropy_difference(docs(rows), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
     assert sorted((r.doc_id or -1, r.n_words, round(r.target_loss, 9), round(r.background_loss, 9)) for r in got) == want
+    assert all(math.isclose(r.score, r.background_loss - r.target_loss, abs_tol=1e-12) for r in got)
