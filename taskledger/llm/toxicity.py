@@ -33,10 +33,8 @@ HOMOGLYPHS = {
 #: Code points that are not seen and are dropped: soft hyphen, zero-width characters, word joiner, byte order mark.
 INVISIBLE = {0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF}
 
-#: Labelled rows that the model is learned from, at most: those of least hash.
+#: Labelled rows that the model is learned from, at most: those of least hash. Terms and phrases have no bound but what these rows hold.
 MAX_TRAIN = 20_000
-#: Terms that are weighed against each other, terms chosen, and exception phrases, at most.
-MAX_CANDIDATES, MAX_TERMS, MAX_EXCEPTIONS = 5_000, 1_000, 1_000
 #: Labelled documents that a term must be in at least, and how much likelier it must be in toxic ones.
 MIN_DOCS, MIN_RATIO = 4, 8.0
 #: How much less a document counts for the choice of terms with each that it has.
@@ -132,10 +130,12 @@ class Matcher:
         return found
 
     def features(self, text: str) -> tuple[float, float]:
-        """(weight of hits, the same for each of the square root of a hundred words)."""
-        hits = self.hits(fold(text))
-        total = sum(w for _, _, w in hits)
-        length = max(1.0, len(text) / 6)
+        return self.features_of(fold(text), len(text))
+
+    def features_of(self, folded: str, length: int) -> tuple[float, float]:
+        """(weight of hits, the same for each of the square root of a hundred words) of a folded text and the length it had."""
+        total = sum(w for _, _, w in self.hits(folded))
+        length = max(1.0, length / 6)
         return total, total / math.sqrt(max(length, 25.0) / 100)
 
     def score(self, text: str) -> float:
@@ -157,13 +157,21 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label_col: str = "toxic")
     one by one for the toxic documents that earlier ones are seldom in, so that words that only
     happen to stand in the same documents (or in near copies of one) stay out.
     Without labels of both kinds the lexicon is empty and every score the same.
-    A doc_id labelled twice with different labels counts as toxic.
+    A doc_id labelled twice with different labels counts as toxic. Of equally good terms the longest
+    is taken, then the last by code points. A text is folded once.
     """
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
     ids = ids.where(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (fold_of(F.col("doc_id")) != 0)).groupBy("doc_id").agg(F.max("label").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_TRAIN)
     rows = ids_and_texts(docs).join(F.broadcast(ids), "doc_id")  # at most MAX_TRAIN rows of two numbers
-    rows = cut_lineage(rows.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("label").alias("label"))).select("text", "label")
+    rows = rows.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+
+    def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            yield pa.record_batch([pa.array(map(fold, texts), pa.string()), batch.column(1), pa.array(map(len, texts), pa.int64())], names=["folded", "label", "length"])
+
+    rows = cut_lineage(rows.mapInArrow(folded, "folded string, label int, length long"))
     total = rows.agg(F.sum("label").alias("bad"), F.count("*").alias("n")).first()
     if not 0 < (total.bad or 0) < total.n:
         return Lexicon({})
@@ -175,7 +183,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label_col: str = "toxic")
             for batch in batches:
                 both = (Counter(), Counter())
                 for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    both[label].update(terms(words(fold(text))))
+                    both[label].update(terms(words(text)))
                 for label, found in enumerate(both):
                     n = pa.array(found.values(), pa.int64())
                     yield pa.record_batch([pa.array(found.keys(), pa.string()), n if label else pa.array([0] * len(found), pa.int64()), n], names=["term", "bad", "n"])
@@ -185,11 +193,11 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label_col: str = "toxic")
 
     expected = F.col("n") * bad / total.n
     likely = counted(terms_of).where((F.col("odds") >= math.log(MIN_RATIO)) & (F.col("bad") - expected >= 4 * F.sqrt(expected + 0.5)))
-    candidates = {r.term: (int(r.bad), float(r.odds)) for r in likely.orderBy((F.col("bad") * F.col("odds")).desc(), "term").limit(MAX_CANDIDATES).collect()}
+    candidates = {r.term: (int(r.bad), float(r.odds)) for r in likely.collect()}  # of MAX_TRAIN rows
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([pa.array([[t for t in terms_of(words(fold(x))) if t in candidates] for x in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["terms"])
+            yield pa.record_batch([pa.array([[t for t in terms_of(words(x)) if t in candidates] for x in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["terms"])
 
     toxic = rows.where("label = 1").mapInArrow(present, "terms array<string>").collect()  # at most MAX_TRAIN rows of candidates
     weights = _cover([set(r.terms) for r in toxic], candidates)
@@ -201,13 +209,13 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label_col: str = "toxic")
 
     # phrases around a term that are rarely toxic although the term is
     mild = counted(lambda found: {f"{a} {b}" for a, b in zip(found, found[1:]) if in_known(a) or in_known(b)}).where(F.col("odds") <= 0)
-    exceptions = [r.term for r in mild.orderBy(F.col("n").desc(), "term").limit(MAX_EXCEPTIONS).collect()]
+    exceptions = [r.term for r in mild.orderBy("term").collect()]  # of MAX_TRAIN rows
     lexicon = Lexicon(weights, exceptions)
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
         for batch in batches:
-            both = [matcher.features(t.as_py()) for t in batch.column(0)]
+            both = [matcher.features_of(t.as_py(), n) for t, n in zip(batch.column(0), batch.column(2).to_pylist())]
             yield pa.record_batch([pa.array([round(math.log1p(d), 1) for _, d in both]), pa.array([round(math.log1p(t), 1) for t, _ in both]), batch.column(1)], names=["dense", "total", "label"])
 
     cells = rows.mapInArrow(bins, "dense double, total double, label int").groupBy("dense", "total", "label").count().collect()  # rounded: a few thousand cells at most
@@ -223,7 +231,7 @@ def _cover(toxic: list[set[str]], candidates: dict[str, tuple[int, float]]) -> d
     """
     chosen: dict[str, float] = {}
     left = [(1.0, terms) for terms in toxic if terms]
-    while left and len(chosen) < MAX_TERMS:
+    while left:  # each term takes a hundredth of the toxic documents, so there are some hundreds at most
         adds: Counter[str] = Counter()
         for share, terms in left:
             for t in terms:
