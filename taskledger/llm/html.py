@@ -1,11 +1,15 @@
 """Main text of web pages by wrappers: union-free regular expressions inferred for each host.
 
-A page becomes a stream of elements (with class and id) and text slots. Elements and groups of them
+A page becomes a stream of elements (with words of class and id) and text slots. Elements and groups of them
 that follow each other again fold into a repeated group. Streams of a host are aligned one after
 the other: what both have stays, what only one has becomes optional, and what is repeated in one
-is repeated. The
-wrapper's text slots, known by the path of elements that they stand in, are the article's or are
-not; pages are then read slot by slot.
+is repeated. Slots carry what their texts were on all pages of the host: on how many pages they stood, their
+characters, those in links, and whether they were the same on every page.
+
+A page is then read by fitting it to its host's wrapper. Slots whose text never changes, or is links,
+are furniture. Of the rest, the article is in the element that holds most of the text that such
+slots hold over the host's pages. Names of classes only weigh in: they make an element less
+likely to be that one, and inside of it they tell what is set aside, if it is short.
 """
 
 from __future__ import annotations
@@ -13,49 +17,77 @@ from __future__ import annotations
 import html as references
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, join_salted
 
-#: Fixed values of HTML: elements without content, with raw text, and that begin or end a block.
+#: Fixed values of HTML: elements without content, with text that is never shown, and that begin or end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object canvas noframes select".split())
+RAW = frozenset("script style template textarea title iframe noframes select".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Elements that another start tag of the same group ends.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-#: Elements that hold the article, and that hold none of it wherever they stand.
+#: Elements out of which another start tag ends nothing.
+_SCOPES = frozenset("table ul ol dl article main".split())
+#: Elements that are said to hold the article, that can hold one, and that hold none of it wherever they stand.
 MAIN = frozenset(("article", "main"))
-ASIDE = frozenset("nav footer aside form menu dialog button label input".split())
-#: Words of class, id and role that mark what isn't the article; those of the second kind only outside of it.
+HOLDERS = MAIN | frozenset("html body div section center table tbody tr td details figure blockquote form".split())
+ASIDE = frozenset("nav footer aside form menu dialog button label input head".split())
+#: Words of class, id and role that say that an element isn't the article: those of the second kind are heeded inside of the article only where its part is small.
 MARKS = frozenset(
-    "ad ads adv advert advertisement advertising advertorial adsense banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup paywall nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside widget footer comment comments disqus respond replies share sharing social related recommended toolbar complementary contentinfo search".split()
+    "ad ads adv advert advertisement advertising advertorial adsense sponsor sponsored cookie cookies consent gdpr paywall newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside footer comment comments disqus respond replies complementary contentinfo".split()
 )
+WEAK_MARKS = frozenset("banner promo promotion notice notices alert popup modal overlay widget share sharing social related recommended toolbar search".split())
 OUTER_MARKS = frozenset("header masthead top topbar head logo branding".split())
+#: Containers without a class of their own: two of them are alike if they hold the same kinds of elements.
+PLAIN = frozenset(("div", "section", "td", "center", "blockquote"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _MARK = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
+_MASK = (1 << 62) - 1
 SLOT = "#"
-#: Items of a repeated group, and elements within each other, at most.
-LONGEST_GROUP, DEEPEST = 8, 64
-#: Tasks that a host's streams are aligned in before their wrappers meet.
-SALTS = 16
+#: Elements within each other that a stream tells apart; all that is deeper belongs to the slots of the element at this depth.
+DEEPEST = 64
+#: Streams that are aligned in one group, about, in each round.
+FAN = 64
 #: Up to so many characters all wrappers are broadcast; beyond, pages are joined to them by host.
 BROADCAST_CHARS = 16_000_000
+#: Pages on which a slot must stand with the same text to count as furniture, the share of links that makes it a menu, and of all text that makes it too much for furniture.
+SAME_ON, LINKS, MOST = 3, 0.5, 0.5
+#: Share of the text that an element holds to be gone into, what names and elements weigh, and the share from which a weak name inside of the article is not heeded.
+HELD, MARKED, SAID, LARGE = 0.6, 0.1, 10.0, 0.25
+
+
+@lru_cache(65_536)
+def _tag(tag: str) -> tuple[str, str, str]:
+    """(kind, name, signature) of a tag: the signature is the name with the words of class, id and role."""
+    named = _NAME.match(tag)
+    if not named:
+        return "none", "", ""
+    name = named[1].lower()
+    if tag[1] == "/":
+        return "close", name, f"/{name}"
+    if name in RAW:
+        return "none" if tag.endswith("/>") else "raw", name, ""
+    marks = sorted({w for m in _MARK.finditer(tag) for w in _SPLIT.split(next((g for g in m.groups()[1:] if g is not None), "").lower()) if w})
+    return "void" if name in VOID else "open", name, ".".join([name, *marks])
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """(kind, signature, text): kinds are open, close, void and text. Raw elements and comments are left out whole."""
+    """(kind, name, signature), and (text, SLOT, the text). Raw elements and comments are left out whole."""
     at, n = 0, len(page)
     while at < n:
         found = _TOKEN.search(page, at)
@@ -65,235 +97,392 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if found.start() > at:
             yield "text", SLOT, page[at : found.start()]
         at = found.end()
-        tag = found[0]
-        named = _NAME.match(tag)
-        if not named:
-            continue
-        name = named[1].lower()
-        if tag[1] == "/":
-            yield "close", name, ""
-        elif name in RAW:
+        kind, name, sig = _tag(found[0])
+        if kind == "raw":
             end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if not tag.endswith("/>"):
-                at = end.end() if end else n
-            if name == "noscript" and not end:
-                at = n
-        else:
-            marks = sorted({w for m in _MARK.finditer(tag) for w in _SPLIT.split(next((g for g in m.groups()[1:] if g is not None), "").lower()) if w})
-            yield "void" if name in VOID else "open", name + "".join(f".{m}" for m in marks), ""
+            at = end.end() if end else n
+        elif kind != "none":
+            yield kind, name, sig
 
 
-def walk(page: str) -> Iterator[tuple[str, tuple[str, ...], str]]:
-    """Tokens with the path of open elements: (signature, path, text). Elements end where HTML ends them."""
+def walk(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
+    """(name, signature, path of open elements) of each tag, and (SLOT, text, path). Elements end where HTML ends them."""
     path: list[str] = []
-    for kind, sig, text in tokens(page):
-        name = sig.split(".")[0]
-        if kind == "text":
-            yield SLOT, tuple(path), text
-        elif kind == "void":
-            yield sig, tuple(path), ""
-        elif kind == "open":
-            names = [p.split(".")[0] for p in path]
+    names: list[str] = []
+    now: tuple[str, ...] = ()
+    for kind, name, sig in tokens(page):
+        if kind == "open":
             ends = ("p",) if name in BLOCK else ()
             for other in (*ends, *CLOSES.get(name, ())):
-                if other in names and not {"table", "ul", "ol", "dl", "article", "main"} & set(names[len(names) - names[::-1].index(other) :]):
+                if other in names:
                     cut = len(names) - 1 - names[::-1].index(other)
-                    del path[cut:], names[cut:]
+                    if not _SCOPES & set(names[cut + 1 :]):
+                        del path[cut:], names[cut:]
             path.append(sig)
-            yield sig, tuple(path), ""
-        else:
-            names = [p.split(".")[0] for p in path]
-            if name in names:
-                cut = len(names) - 1 - names[::-1].index(name)
-                if name in BLOCK or not any(x in BLOCK for x in names[cut + 1 :]):
-                    del path[cut:]
-            yield f"/{name}", tuple(path), ""
+            names.append(name)
+            now = tuple(path)
+        elif kind == "close" and name in names:
+            cut = len(names) - 1 - names[::-1].index(name)
+            if name in BLOCK or not any(x in BLOCK for x in names[cut + 1 :]):
+                del path[cut:], names[cut:]
+                now = tuple(path)
+        yield name, sig, now
 
 
-# --- wrappers: sequences of slots, elements ["e", signature, sequence], and groups ["+", sequence] or ["?", sequence]
+@lru_cache(65_536)
+def _blocks(path: tuple[str, ...]) -> tuple[tuple[str, ...], bool, bool]:
+    """(path of blocks down to DEEPEST, whether that is all of it, whether in a link)."""
+    whole = tuple(p for p in path if p.split(".")[0] in BLOCK)
+    return whole[:DEEPEST], len(whole) <= DEEPEST, any(p == "a" or p.startswith("a.") for p in path)
 
 
-def fold(items: list) -> list:
-    """The sequence with what repeats at once folded: elements of one signature first, then groups of several, the shortest first."""
-    out: list = []
-    for item in items:
-        if out and _key(item) == _key(out[-1]) != SLOT and _single(item) and _single(out[-1]):
-            out[-1] = _both(["+", [out[-1]]] if out[-1][0] == "e" else out[-1], item)
-        elif not (out and item == SLOT == out[-1]):
-            out.append(item)
-    for size in range(2, min(LONGEST_GROUP, len(out) // 2) + 1):
-        i = 0
-        while i + 2 * size <= len(out):
-            if list(map(_key, out[i : i + size])) == list(map(_key, out[i + size : i + 2 * size])):
-                group = align(out[i : i + size], out[i + size : i + 2 * size])
-                out[i : i + 2 * size] = [group[0] if len(group) == 1 and group[0][0] == "+" else ["+", group]]
-                while list(map(_key, out[i + 1 : i + 1 + size])) == list(map(_key, group)):
-                    group = align(group, out[i + 1 : i + 1 + size])
-                    out[i : i + 1 + size] = [["+", group]]
-            i += 1
-    return out
+# --- streams and wrappers: sequences of slots [SLOT, ...], elements ["e", signature, sequence], and groups ["+", sequence] or ["?", sequence]
+# A page's slot is [SLOT, characters, those in links, hash of the text, numbers of its pieces of text],
+# a wrapper's [SLOT, pages, characters, those in links, hash or null if the text isn't always the same].
 
+Join = Callable[[list, list], list]
 
-def _single(item) -> bool:
-    return item != SLOT and (item[0] == "e" or len(item[1]) == 1)
 
+def _in_page(a: list, b: list) -> list:
+    return [SLOT, a[1] + b[1], a[2] + b[2], (a[3] + b[3]) & _MASK, a[4] + b[4]]
 
-def _key(item) -> str:
-    """What two items must share to be put on each other: a group goes with what it begins with."""
-    while item[0] in "+?" and item != SLOT:
-        item = item[1][0]
-    return SLOT if item == SLOT else item[1]
+
+def _over_pages(a: list, b: list) -> list:
+    return [SLOT, a[1] + b[1], a[2] + b[2], a[3] + b[3], a[4] if a[4] == b[4] else None]
 
 
-def _both(a, b):
-    """One item for two with equal keys."""
-    if a == b:
-        return a
-    if a[0] == b[0] == "e":
-        return ["e", a[1], align(a[2], b[2])]
+def _opened(item: list) -> tuple[bool, bool, list]:
+    """(repeated, optional, sequence) of a group, or of one item."""
     repeated = optional = False
-    bodies = []
-    for x in (a, b):
-        while x != SLOT and x[0] in "+?":
-            repeated, optional = repeated or x[0] == "+", optional or x[0] == "?"
-            if len(x[1]) > 1:
-                break
-            x = x[1][0]
-        bodies.append(x[1] if x != SLOT and x[0] in "+?" else [x])
-    body = [_both(bodies[0][0], bodies[1][0])] if len(bodies[0]) == len(bodies[1]) == 1 else align(*bodies)
-    body = [["+", body]] if repeated else body
-    return ["?", body] if optional else body[0] if len(body) == 1 else ["?", body]
+    while item[0] in "+?":
+        repeated, optional = repeated or item[0] == "+", optional or item[0] == "?"
+        if len(item[1]) > 1:
+            return repeated, optional, item[1]
+        item = item[1][0]
+    return repeated, optional, [item]
+
+
+def _sign(item: list) -> str:
+    """The signature of an element, or of what a group begins with."""
+    while item[0] in "+?":
+        item = item[1][0]
+    return SLOT if item[0] == SLOT else item[1]
+
+
+def _key(item: list) -> str:
+    """What items that are put on each other share: the signature, and for plain containers the kinds of elements in them."""
+    while item[0] in "+?":
+        item = item[1][0]
+    if item[0] == SLOT:
+        return SLOT
+    return f"{item[1]} {' '.join(sorted(set(map(_sign, item[2]))))}" if item[1] in PLAIN else item[1]
+
 
+def _alike(a: list, b: list, ka: str, kb: str) -> int:
+    """How well two items go with each other: 2, 1 for plain containers that share a kind of element, or 0."""
+    if ka == kb:
+        return 2
+    if _sign(a) != _sign(b):
+        return 0
+    return int(bool(set(ka.split()[1:]) & set(kb.split()[1:])))
 
-def align(a: list, b: list) -> list:
-    """The least sequence found that both fit: longest common subsequence of keys, the rest optional."""
-    if a == b:
-        return a
-    n, m = len(a), len(b)
+
+def pairs(a: list, b: list) -> list[tuple[list | None, list | None]]:
+    """Items of both sequences in order, those that go with each other together: the heaviest alignment."""
     ka, kb = list(map(_key, a)), list(map(_key, b))
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
-    out: list = []
+    low = 0
+    while low < min(len(a), len(b)) and ka[low] == kb[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and ka[-1 - high] == kb[-1 - high]:
+        high += 1
+    out = list(zip(a[:low], b[:low]))
+    n, m = len(a) - low - high, len(b) - low - high
+    if n and m:
+        like = [[_alike(a[low + i], b[low + j], ka[low + i], kb[low + j]) for j in range(m)] for i in range(n)]
+        best = [[0] * (m + 1) for _ in range(n + 1)]
+        for i in range(n - 1, -1, -1):
+            for j in range(m - 1, -1, -1):
+                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + like[i][j] if like[i][j] else 0)
     i = j = 0
     while i < n or j < m:
-        if i < n and j < m and ka[i] == kb[j]:
-            out.append(_both(a[i], b[j]))
+        if i < n and j < m and like[i][j] and best[i][j] == best[i + 1][j + 1] + like[i][j]:
+            out.append((a[low + i], b[low + j]))
             i, j = i + 1, j + 1
-            continue
-        if j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            lone, i = a[i], i + 1
+        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
+            out.append((a[low + i], None))
+            i += 1
+        else:
+            out.append((None, b[low + j]))
+            j += 1
+    return out + list(zip(a[len(a) - high :], b[len(b) - high :]))
+
+
+def align(a: list, b: list, join: Join) -> list:
+    """The sequence that both fit: what goes with each other is joined, the rest optional."""
+    if len(a) == len(b) == 1 and a[0][0] == b[0][0] == SLOT:
+        return [join(a[0], b[0])]
+    return [_both(x, y, join) if x and y else lone if (lone := x or y)[0] == "?" else ["?", [lone]] for x, y in pairs(a, b)]
+
+
+def _both(a: list, b: list, join: Join) -> list:
+    (ra, oa, in_a), (rb, ob, in_b) = _opened(a), _opened(b)
+    if len(in_a) == len(in_b) == 1 and in_a[0][0] == in_b[0][0]:
+        x, y = in_a[0], in_b[0]
+        body = [join(x, y) if x[0] == SLOT else ["e", x[1], align(x[2], y[2], join)]]
+    else:
+        body = align(in_a, in_b, join)
+    repeated, optional = ra or rb, oa or ob
+    body = [["+", body]] if repeated else body
+    return ["?", body] if optional or len(body) > 1 else body[0]
+
+
+def fold(items: list, join: Join) -> list:
+    """The sequence with what repeats at once folded: items of one key first, then groups of several, the shortest first."""
+    out: list = []
+    keys: list[str] = []
+    for item in items:
+        key = _key(item)
+        if out and key == keys[-1] != SLOT and len(_opened(out[-1])[2]) == len(_opened(item)[2]) == 1:
+            one = _both(out[-1], item, join)
+            out[-1] = one if one[0] == "+" else ["+", [one]]
+            keys[-1] = _key(one)
         else:
-            lone, j = b[j], j + 1
-        out.append(lone if lone[0] == "?" else ["?", [lone]])
+            out.append(item)
+            keys.append(key)
+    size = 2
+    while 2 * size <= len(out) and len(set(keys)) < len(keys):
+        number = np.unique(keys, return_inverse=True)[1]
+        again = np.convolve(number[size:] == number[:-size], np.ones(size, int), "valid") == size  # places from which `size` items come again
+        if not again.any():
+            size += 1
+            continue
+        i = int(again.argmax())
+        group, end = out[i : i + size], i + size
+        while end + size <= len(out) and (number[end : end + size] == number[i : i + size]).all():
+            group = [_both(x, y, join) for x, y in zip(group, out[end : end + size])]
+            end += size
+        out[i:end] = [["+", group]]
+        keys[i:end] = [_key(out[i])]
     return out
 
 
-def skeleton(page: str) -> list:
-    """A page's elements of blocks and its slots, folded. Slots of white space only, and inline tags, are left out; elements deeper than DEEPEST are left to their path."""
+def parse(page: str) -> tuple[list, list[tuple[str, int | None]]]:
+    """(stream, pieces): the folded elements of blocks and slots, and the page's texts with their number, block ends as (line break, None).
+
+    White space alone is of no slot; inline tags aren't told apart, but for links.
+    """
     root: list = []
     open_: list[tuple[tuple[str, ...], list]] = [((), root)]  # paths of blocks, and what stands in them
+    pieces: list[tuple[str, int | None]] = []
+    fresh = True  # whether a block has begun or ended since the last text
 
     def close() -> None:
         _, inside = open_.pop()
-        inside[:] = fold(inside)
+        inside[:] = fold(inside, _in_page)
 
-    for sig, path, text in walk(page):
-        at = tuple(p for p in path if p.split(".")[0] in BLOCK)[:DEEPEST]
-        opens = sig != SLOT and sig[0] != "/" and sig.split(".")[0] in BLOCK and len(at) <= DEEPEST
+    for name, sig, path in walk(page):
+        if name in VOID or name != SLOT and name not in BLOCK:
+            if name in VOID:
+                pieces.append(("\n" if name in BLOCK else " ", None))
+                fresh = fresh or name in BLOCK
+            continue
+        at, whole, in_link = _blocks(path)
+        opens = name != SLOT and sig[0] != "/" and whole
         parent = at[:-1] if opens else at
         while len(open_[-1][0]) > len(parent) or open_[-1][0] != parent[: len(open_[-1][0])]:
             close()
-        if opens and len(path) <= DEEPEST:
-            inside: list = []
-            open_[-1][1].append(["e", sig, inside])
-            open_.append((at, inside))
-        elif sig == SLOT and text.strip() and open_[-1][0] == at and (not open_[-1][1] or open_[-1][1][-1] != SLOT):
-            open_[-1][1].append(SLOT)
+        if name != SLOT:
+            pieces.append(("\n", None))
+            fresh = True
+            if opens:
+                inside: list = []
+                open_[-1][1].append(["e", sig, inside])
+                open_.append((at, inside))
+            continue
+        text = references.unescape(sig)
+        bare = text.strip()
+        pieces.append((text, len(pieces) if bare else None))
+        if bare:
+            slot = [SLOT, len(bare), len(bare) * in_link, xxhash.xxh3_64_intdigest(bare.encode()) & _MASK, [len(pieces) - 1]]
+            items = open_[-1][1]
+            if not fresh and items and items[-1][0] == SLOT:
+                items[-1] = _in_page(items[-1], slot)
+            else:
+                items.append(slot)
+            fresh = False
     while len(open_) > 1:
         close()
-    return fold(root)
+    return fold(root, _in_page), pieces
 
 
-def slots(wrapper: list) -> dict[str, bool]:
-    """Whether each path of block elements at which the wrapper has a slot is the article's."""
-    found: set[tuple[str, ...]] = set()
+def wrapper_of(stream: list) -> list:
+    """A page's stream as a wrapper of this page alone."""
+    return [[SLOT, 1, *x[1:4]] if x[0] == SLOT else [x[0], *x[1:-1], wrapper_of(x[-1])] for x in stream]
 
-    def go(items: list, path: tuple[str, ...]) -> None:
-        for item in items:
-            if item == SLOT:
-                found.add(path)
-            elif item[0] == "e":
-                go(item[2], (*path, item[1]))
+
+def flat(wrapper: list) -> tuple[str, list[list]]:
+    """(shape, slots): the wrapper without what its slots carry, as JSON, and that, in order."""
+    slots: list[list] = []
+
+    def shape(items: list) -> list:
+        out = []
+        for x in items:
+            if x[0] == SLOT:
+                slots.append(x[1:])
+                out.append(SLOT)
             else:
-                go(item[1], path)
+                out.append([x[0], *x[1:-1], shape(x[-1])])
+        return out
 
-    go(wrapper, ())
-    return {"/".join(path): _standing(path)[0] for path in found}
+    return json.dumps(shape(wrapper), ensure_ascii=False, separators=(",", ":")), slots
 
 
-@lru_cache(65_536)
-def _standing(path: tuple[str, ...]) -> tuple[bool, bool]:
-    """Whether a path can be the article's, by elements and marks, and whether it then stands in an element that holds the article."""
-    inside = False
-    for element in path:
-        name, *marks = element.split(".")
-        if name in ("html", "body"):
-            continue
-        if name in ASIDE or name == "head" or MARKS & set(marks):
-            return False, False
-        if not inside and (name == "header" or OUTER_MARKS & set(marks)):
-            return False, False
-        inside = inside or name in MAIN or "main" in marks
-    return True, inside
+def built(shape: str, slots: list[list]) -> list:
+    """The wrapper of flat()."""
+    left = iter(slots)
+
+    def build(items: list) -> list:
+        return [[SLOT, *next(left)] if x == SLOT else [x[0], *x[1:-1], build(x[-1])] for x in items]
+
+    return build(json.loads(shape))
+
+
+def _merged(found: dict[str, list[list]], shape: str, slots: list[list]) -> None:
+    """found with one more wrapper; equal shapes are one."""
+    old = found.get(shape)
+    found[shape] = [_over_pages([SLOT, *a], [SLOT, *b])[1:] for a, b in zip(old, slots)] if old else slots
 
 
-def article(page: str, known: dict[str, bool]) -> str:
-    """The page's article: blocks in order, joined by line breaks. Slots that the wrapper lacks are judged by their path alone.
+def judged(wrapper: list) -> list:
+    """The wrapper with [SLOT, whether it is furniture, characters a page outside of links] for each slot.
 
-    If any text of this page stands in an element that holds the article, only such text is taken.
+    Furniture is text that stands on SAME_ON pages or more and is the same on all, and text of
+    links alone; but nothing that is most of the host's text.
     """
-    blocks: list[str] = []
-    now: list[str] = []
-
-    def end() -> None:
-        if block := " ".join("".join(now).split()):
-            blocks.append(block)
-        now.clear()
-
-    read: list[tuple[str, bool, str]] = []  # signature, whether inside, text
-    has_main = False
-    for sig, path, text in walk(page):
-        if sig == SLOT:
-            at = tuple(p for p in path if p.split(".")[0] in BLOCK)
-            ok = known.get("/".join(at))
-            passes, inside = _standing(path)
-            if passes if ok is None or len(at) < len(path) else ok:
-                text = references.unescape(text)
-                has_main = has_main or inside and bool(text.strip())
-                read.append((sig, inside, text))
+    every: list[list] = []
+
+    def go(items: list) -> list:
+        out = []
+        for x in items:
+            if x[0] == SLOT:
+                every.append(x)
+                out.append([SLOT, x])
+            else:
+                out.append([x[0], *x[1:-1], go(x[-1])])
+        return out
+
+    tree = go(wrapper)
+    total = sum(x[2] for x in every)
+
+    def settle(items: list) -> None:
+        for x in items:
+            if x[0] == SLOT:
+                _, pages, chars, links, text = x[1]
+                same = pages >= SAME_ON and text is not None
+                x[1:] = [(same or links > LINKS * chars) and chars < MOST * total, (chars - links) / pages]
+            else:
+                settle(x[-1])
+
+    settle(tree)
+    return tree
+
+
+def _name(sig: str) -> str:
+    return sig.split(".")[0]
+
+
+def _marks(sig: str) -> set[str]:
+    return set(sig.split(".")[1:])
+
+
+class _Reader:
+    """Fits one page's stream to a judged wrapper and chooses its slots."""
+
+    def __init__(self, stream: list, wrapper: list) -> None:
+        self.known: dict[int, list] = {}  # by a slot's first piece
+        self.fit(stream, wrapper)
+        self.kept: set[int] = set()
+        self.masses: dict[tuple[int, bool], float] = {}
+        self.choose(["e", "", stream])
+
+    def fit(self, items: list, wrapper: list) -> None:
+        for x, y in pairs(items, wrapper):
+            if not x or not y:
+                continue
+            (_, _, a), (_, _, b) = _opened(x), _opened(y)
+            if len(a) == len(b) == 1 and a[0][0] == b[0][0]:
+                if a[0][0] == SLOT:
+                    self.known[a[0][4][0]] = b[0]
+                else:
+                    self.fit(a[0][2], b[0][2])
+            else:
+                self.fit(a, b)
+
+    def mass(self, item: list, heed: bool = True) -> float:
+        """Text that a host's pages have, on average, where this item has slots; furniture has none. heed: whether names and elements weigh in."""
+        if (found := self.masses.get((id(item), heed))) is None:
+            found = self.masses[id(item), heed] = self._mass(item, heed)
+        return found
+
+    def _mass(self, item: list, heed: bool) -> float:
+        if item[0] == SLOT:
+            furniture, chars = self.known[item[4][0]][1:] if item[4][0] in self.known else (False, item[1] - item[2])
+            return 0.0 if furniture else max(chars, 0.5)
+        if item[0] in "+?":
+            return sum(self.mass(x, heed) for x in item[1])
+        name, marks = _name(item[1]), _marks(item[1])
+        if name in ASIDE:
+            return 0.0
+        inner = sum(self.mass(x, heed) for x in item[2])
+        if heed and name not in ("html", "body"):
+            inner *= (SAID if name in MAIN else 1.0) * (MARKED if name == "header" or marks & (MARKS | WEAK_MARKS | OUTER_MARKS) else 1.0)
+        return inner
+
+    def choose(self, root: list) -> None:
+        """From the root into the element that holds most, as long as there is one; a first heading on the way is kept."""
+        holder, total = root, self.mass(root)
+        while total:
+            inner = [x for item in holder[2] for x in _opened(item)[2] if x[0] == "e" and _name(x[1]) in HOLDERS]
+            most = max(inner, key=self.mass, default=None)
+            if most is None or self.mass(most) < HELD * total:
+                break
+            for x in holder[2][: next(i for i, item in enumerate(holder[2]) if most in _opened(item)[2])]:
+                if x[0] == "e" and _name(x[1]) == "h1" and not _marks(x[1]) & MARKS and self.mass(x):
+                    self.keep(x, set(), 0.0)
+            holder, total = most, self.mass(most)
+        outer = OUTER_MARKS if _name(holder[1]) in ("", "html", "body") else set()
+        total = sum(self.mass(item, heed=False) for item in holder[2])
+        for item in holder[2]:
+            self.keep(item, outer, total)
+
+    def keep(self, item: list, outer: set[str], total: float) -> None:
+        if item[0] == SLOT:
+            if self.mass(item):
+                self.kept.update(item[4])
+        elif item[0] in "+?":
+            for x in item[1]:
+                self.keep(x, outer, total)
         else:
-            read.append((sig, False, ""))
-    for sig, inside, text in read:
-        if sig == SLOT:
-            if inside or not has_main:
-                now.append(text)
-        elif (name := sig.lstrip("/").split(".")[0]) in BLOCK:
-            end()
-        elif name in VOID:
-            now.append(" ")
-    end()
-    return "\n".join(blocks)
+            name, marks = _name(item[1]), _marks(item[1])
+            small = self.mass(item, heed=False) < LARGE * total
+            if name in ASIDE or marks & MARKS or outer and name == "header" or small and marks & (WEAK_MARKS | outer):
+                return
+            for x in item[2]:
+                self.keep(x, outer, total)
 
 
-@lru_cache(4096)
-def _known(wrapper: str) -> dict[str, bool]:
-    return slots(json.loads(wrapper))
+def article(page: str, wrapper: list) -> str:
+    """The page's article by a judged wrapper: blocks in order, joined by line breaks."""
+    stream, pieces = parse(page)
+    kept = _Reader(stream, wrapper).kept
+    blocks = "".join(text if text == "\n" and number is None else " ".join(text.split("\n")) if number is None or number in kept else "" for text, number in pieces)
+    return "\n".join(block for line in blocks.split("\n") if (block := " ".join(line.split())))
 
 
-def _compact(items: list) -> str:
-    return json.dumps(items, ensure_ascii=False, separators=(",", ":"))
+@lru_cache(4096)
+def _known(shape: str, slots: str) -> list:
+    return judged(built(shape, json.loads(slots)))
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -303,40 +492,52 @@ def with_host(pages: DataFrame) -> DataFrame:
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper): a wrapper, as JSON, for each host of all its pages.
+    """(host, shape, slots): a wrapper, as JSON, for each host of all its pages.
 
-    Equal folded streams of a host meet before the shuffle; the different ones are aligned in SALTS
-    parts, whose wrappers are aligned last.
+    Pages of equal shape meet before the shuffle. The shapes of a host are aligned in groups of
+    about FAN, and what comes of these again, until one is left: no host is one task's, however many shapes it has.
     """
+    schema = "host string, shape string, slots string"
 
     def streams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = {(h, _compact(skeleton(p.as_py()))) for h, p in zip(batch.column(0).to_pylist(), batch.column(1))}
-            a, b = zip(*both) if both else ((), ())
-            yield pa.record_batch([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["host", "wrapper"])
+            found: dict[str, dict[str, list]] = {}
+            for host, page in zip(batch.column(0).to_pylist(), batch.column(1)):
+                _merged(found.setdefault(host, {}), *flat(wrapper_of(parse(page.as_py())[0])))
+            rows = [(host, shape, json.dumps(slots)) for host, shapes in found.items() for shape, slots in shapes.items()]
+            yield pa.record_batch([pa.array([r[i] for r in rows], pa.string()) for i in range(3)], names=["host", "shape", "slots"])
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        found = sorted(rows["wrapper"], key=lambda w: (len(w), w))
-        wrapper = json.loads(found[0])
-        for other in found[1:]:
-            wrapper = align(wrapper, json.loads(other))
-        return pd.DataFrame({"host": [rows["host"].iloc[0]], "wrapper": [_compact(wrapper)]})
-
-    distinct = pages.select("host", "html").mapInArrow(streams, "host string, wrapper string").distinct()
-    salted = distinct.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(SALTS)))
-    return salted.groupBy("host", "salt").applyInPandas(merge, "host string, wrapper string").groupBy("host").applyInPandas(merge, "host string, wrapper string")
+        found: dict[str, list[list]] = {}
+        for shape, slots in zip(rows["shape"], rows["slots"]):
+            _merged(found, shape, json.loads(slots))
+        first, *others = sorted(found, key=lambda x: (len(x), x))
+        wrapper = built(first, found[first])
+        for shape in others:
+            wrapper = align(wrapper, built(shape, found[shape]), _over_pages)
+        shape, slots = flat(wrapper)
+        return pd.DataFrame({"host": [rows["host"].iloc[0]], "shape": [shape], "slots": [json.dumps(slots)]})
+
+    found = cut_lineage(pages.select("host", "html").mapInArrow(streams, schema))
+    while (most := found.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
+        part = F.pmod(F.xxhash64("shape"), F.lit(-(-most // FAN)))
+        found = cut_lineage(found.groupBy("host", part.alias("part")).applyInPandas(merge, schema))
+    return found
 
 
 def extract_articles(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every row of pages; a null or empty html, or one without an article, has an empty text. Other columns are ignored."""
     rows = with_host(pages)
-    wrappers = cut_lineage(infer_wrappers(rows))
-    size = wrappers.agg(F.sum(F.length("wrapper") + F.length("host"))).first()[0] or 0
-    known = F.broadcast(wrappers) if size <= BROADCAST_CHARS else wrappers
+    wrappers = infer_wrappers(rows)
+    size = wrappers.agg(F.sum(F.length("shape") + F.length("slots") + F.length("host"))).first()[0] or 0
+    if size <= BROADCAST_CHARS:
+        both = rows.join(F.broadcast(wrappers), "host")
+    else:
+        both = join_salted(rows, wrappers, ["host"], rows.groupBy("host").agg(F.count("*").alias("n")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [article(p.as_py(), _known(w.as_py())) for p, w in zip(batch.column(2), batch.column(3))]
+            texts = [article(p.as_py(), _known(a.as_py(), b.as_py())) for p, a, b in zip(*batch.columns[2:])]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return rows.join(known, "host").select("page_id", "url", "html", "wrapper").mapInArrow(read, "page_id long, url string, text string, n_chars long")
+    return both.select("page_id", "url", "html", "shape", "slots").mapInArrow(read, "page_id long, url string, text string, n_chars long")
