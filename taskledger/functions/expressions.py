@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,11 +52,22 @@ def backoff_window(attempt: Column, base_ms: int, max_ms: int) -> Column:
     return F.least(F.lit(float(max_ms)), F.lit(float(base_ms)) * F.pow(F.lit(2.0), F.greatest(attempt - 1, F.lit(0)))).cast("long")
 
 
-def backoff_delay(attempt: Column, base_ms: int, max_ms: int, random: Column) -> Column:
-    """Half of the window, and a random share (0 to 1) of the rest."""
+def backoff_delay(attempt: Column, base_ms: int, max_ms: int, random: Column, retryable: Column | bool = True) -> Column:
+    """Half of the window, and a random share (0 to 1) of the rest; 0 for what isn't retried."""
     window = backoff_window(attempt, base_ms, max_ms)
     half = F.floor(window / 2)
-    return (half + F.floor(random * (window - half))).cast("long")
+    retryable = F.lit(retryable) if isinstance(retryable, bool) else retryable
+    return F.when(retryable, half + F.floor(random * (window - half))).otherwise(0).cast("long")
+
+
+def checked(value: Column, holds: Callable[[Column], Column], message: str) -> Column:
+    """The value; where it doesn't hold the query ends with the message."""
+    return F.when(F.coalesce(holds(value), F.lit(True)), value).otherwise(F.raise_error(message).cast("long"))
+
+
+def json_object_or(value: Column, other: str) -> Column:
+    """The value if it is null or a JSON object, else the other."""
+    return F.when(value.isNull() | (F.json_object_keys(value).isNotNull() & value.rlike(r"^\s*\{")), value).otherwise(other)
 
 
 def payload_bytes() -> Column:

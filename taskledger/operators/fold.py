@@ -1,78 +1,113 @@
-"""Ordered command logs folded into final task states, inside the JVM.
+"""Ordered command logs folded into final task states.
 
-A command is (id, seq, op, worker, now_ms, and arguments). All commands of a task meet in one
-group; its log is ordered by seq and folded by `aggregate`, without Python. An owned command whose
-worker doesn't hold the lease changes nothing and counts as lost.
+A command is (id, seq, op, worker, now_ms, and arguments). A task's row and its commands, in order of
+seq, pass through one task of the cluster, which holds the current state alone: a log may be of any length.
+An owned command whose worker doesn't hold the lease changes nothing and counts as lost.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from ..schema import CANCELED, FAILED, QUEUED, RUNNING, SUCCEEDED
+from ..schema import CANCELED, FAILED, LEASE_EXPIRED, QUEUED, RUNNING, SUCCEEDED
 
 COMMANDS = ("claim", "heartbeat", "progress", "complete", "succeed", "fail", "cancel", "retry", "expire")
 OWNED = ("heartbeat", "progress", "complete", "succeed", "fail")
 #: Columns that a fold carries, with their types.
 STATE = {
-    "status": "string", "attempt": "int", "max_attempts": "int", "worker_id": "string", "lease_until_ms": "bigint", "run_at_ms": "bigint",
-    "cancel_requested_at_ms": "bigint", "progress": "double", "completed_at_ms": "bigint", "updated_at_ms": "bigint", "applied": "bigint", "lost": "bigint",
+    "status": "string", "result": "string", "error": "string", "progress": "double", "message": "string", "attempt": "int", "max_attempts": "int", "worker_id": "string", "lease_until_ms": "bigint",
+    "run_at_ms": "bigint", "cancel_requested_at_ms": "bigint", "completed_at_ms": "bigint", "updated_at_ms": "bigint", "applied": "bigint", "lost": "bigint",
 }
+#: Arguments of commands, with their types; those that a log lacks are null.
+ARGUMENTS = {"op": "string", "worker": "string", "now_ms": "bigint", "progress": "double", "message": "string", "result": "string", "error": "string", "retryable": "boolean", "delay_ms": "bigint"}
 
 
-def _step(lease_ms: int, delay_ms: int):
-    def step(s: Column, c: Column) -> Column:
-        op, now = c["op"], c["now_ms"]
-        running = s["status"] == RUNNING
-        holds = running & (s["worker_id"] == c["worker"]) & (s["lease_until_ms"] > now)
-        stop = s["cancel_requested_at_ms"].isNotNull()
-        left = s["attempt"] < s["max_attempts"]
-        claims = (op == "claim") & (s["status"] == QUEUED) & (s["run_at_ms"] <= now)
-        beats, reports = (op == "heartbeat") & holds, (op == "progress") & holds
-        completes, succeeds, fails = (op == "complete") & holds, (op == "succeed") & holds, (op == "fail") & holds
-        expires = (op == "expire") & running & (s["lease_until_ms"] <= now)
-        again = (fails | expires) & ~stop & left
-        gone = (fails | expires) & ~again
-        drops, asks = (op == "cancel") & (s["status"] == QUEUED), (op == "cancel") & running
-        retries = (op == "retry") & s["status"].isin(FAILED, CANCELED)
-        done = succeeds | (completes & ~stop)
-        ends = succeeds | completes | gone | drops
-        changed = F.coalesce(claims | beats | reports | ends | again | asks | retries, F.lit(False))
-        yes = {k: F.coalesce(v, F.lit(False)) for k, v in dict(claims=claims, beats=beats, reports=reports, again=again, drops=drops, asks=asks, retries=retries, done=done, ends=ends, stop=stop, gone=gone).items()}
-        leaves = yes["ends"] & ~yes["drops"] | yes["again"]
-        values = {
-            "status": F.when(yes["claims"], RUNNING).when(yes["done"], SUCCEEDED).when(yes["again"] | yes["retries"], QUEUED).when(yes["ends"] & (yes["stop"] | yes["drops"]), CANCELED).when(yes["gone"], FAILED).otherwise(s["status"]),
-            "attempt": F.when(yes["claims"], s["attempt"] + 1).otherwise(s["attempt"]),
-            "max_attempts": s["max_attempts"],
-            "worker_id": F.when(yes["claims"], c["worker"]).when(~(yes["again"] | yes["retries"]), s["worker_id"]),
-            "lease_until_ms": F.when(yes["claims"] | yes["beats"], now + lease_ms).when(~(leaves | yes["retries"]), s["lease_until_ms"]),
-            "run_at_ms": F.when(yes["again"] & (op == "fail"), now + delay_ms).when(yes["again"] | yes["retries"], now).otherwise(s["run_at_ms"]),
-            "cancel_requested_at_ms": F.when(yes["asks"], now).when(~yes["retries"], s["cancel_requested_at_ms"]),
-            "progress": F.when(yes["reports"], F.coalesce(c["progress"], s["progress"])).when(yes["done"], 1.0).when(~(yes["again"] | yes["retries"]), s["progress"]),
-            "completed_at_ms": F.when(yes["ends"], now).when(~(yes["retries"] | (yes["again"] & (op == "fail"))), s["completed_at_ms"]),
-            "updated_at_ms": F.when(changed, now).otherwise(s["updated_at_ms"]),
-            "applied": s["applied"] + changed.cast("bigint"),
-            "lost": s["lost"] + (op.isin(*OWNED) & ~F.coalesce(holds, F.lit(False))).cast("bigint"),
-        }
-        return F.struct(*[values[k].cast(t).alias(k) for k, t in STATE.items()])
-
-    return step
+def step(s: dict, c: dict, lease_ms: int, delay_ms: int) -> None:
+    """The state s after the command c: the same effects as those of transitions.py. A command without `retryable` is retryable, one without `delay_ms` waits delay_ms."""
+    op, now = c["op"], c["now_ms"]
+    holds = s["status"] == RUNNING and c["worker"] is not None and s["worker_id"] == c["worker"] and s["lease_until_ms"] > now
+    if op in OWNED and not holds:
+        s["lost"] += 1
+        return
+    stop = s["cancel_requested_at_ms"] is not None
+    again = not stop and s["attempt"] < s["max_attempts"] and (op != "fail" or c["retryable"] is not False)
+    ended = {"lease_until_ms": None, "completed_at_ms": now}
+    if op == "claim" and s["status"] == QUEUED and s["run_at_ms"] <= now:
+        new = {"status": RUNNING, "worker_id": c["worker"], "lease_until_ms": now + lease_ms, "attempt": s["attempt"] + 1}
+    elif op == "heartbeat":
+        new = {"lease_until_ms": now + lease_ms}
+    elif op == "progress":
+        new = {k: c[k] for k in ("progress", "message") if c[k] is not None}
+    elif op == "succeed":
+        new = ended | {"status": SUCCEEDED, "result": c["result"], "progress": 1.0, "message": s["message"] if c["message"] is None else c["message"]}
+    elif op == "complete":
+        new = ended | ({"status": CANCELED} if stop else {"status": SUCCEEDED, "result": c["result"], "progress": 1.0})
+    elif op == "fail" or op == "expire" and s["status"] == RUNNING and s["lease_until_ms"] <= now:
+        new = {"error": c["error"]} if op == "fail" else {} if stop or again else {"error": LEASE_EXPIRED}
+        if again:
+            wait = 0 if op == "expire" else delay_ms if c["delay_ms"] is None else c["delay_ms"]
+            new |= {"status": QUEUED, "progress": None, "message": None, "worker_id": None, "lease_until_ms": None, "run_at_ms": now + wait} | ({"completed_at_ms": None} if op == "fail" else {})
+        else:
+            new |= ended | {"status": CANCELED if stop else FAILED}
+    elif op == "cancel" and s["status"] == QUEUED:
+        new = {"status": CANCELED, "completed_at_ms": now}
+    elif op == "cancel" and s["status"] == RUNNING:
+        new = {"cancel_requested_at_ms": now}
+    elif op == "retry" and s["status"] in (FAILED, CANCELED):
+        new = {"status": QUEUED, "run_at_ms": now} | dict.fromkeys(("error", "progress", "message", "worker_id", "lease_until_ms", "cancel_requested_at_ms", "completed_at_ms"))
+    else:
+        return
+    s.update(new, updated_at_ms=now, applied=s["applied"] + 1)
 
 
 def fold_commands(tasks: DataFrame, commands: DataFrame, lease_ms: int = 30_000, delay_ms: int = 1_000) -> DataFrame:
-    """(id, and the columns of STATE) of every task that has a command, after all of them.
+    """(id, and the columns of STATE) of every id that has a command, after all of them.
 
-    commands: (id, seq, op, worker, now_ms, progress). applied and lost count commands. Commands of unknown tasks are dropped.
+    commands: (id, seq, and some of ARGUMENTS). applied and lost count commands. An id without a task
+    has no state, and all its commands are lost. Commands with a null id are dropped.
     """
-    log = commands.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "op", "worker", "now_ms", "progress"))).alias("log"))
-    start = F.struct(*[(F.lit(0) if k in ("applied", "lost") else F.col(k)).cast(t).alias(k) for k, t in STATE.items()])
-    return tasks.join(log, "id").select("id", F.aggregate("log", start, _step(lease_ms, delay_ms)).alias("s")).select("id", "s.*")
+    state = F.struct(*[(F.lit(0) if k in ("applied", "lost") else F.col(k)).cast(t).alias(k) for k, t in STATE.items()])
+    given = F.struct(*[(F.col(k) if k in commands.columns else F.lit(None)).cast(t).alias(k) for k, t in ARGUMENTS.items()])
+    log = commands.where("id is not null")
+    asked = tasks.join(log.select("id").distinct(), "id", "left_semi")
+    starts = asked.select("id", F.lit(None).cast(log.schema["seq"].dataType).alias("seq"), state.alias("s"), F.lit(None).cast(_type(ARGUMENTS)).alias("c"))
+    both = starts.unionByName(log.select("id", "seq", F.lit(None).cast(_type(STATE)).alias("s"), given.cast(_type(ARGUMENTS)).alias("c")))
+    out = StructType.fromDDL("id string, " + ", ".join(f"{k} {t}" for k, t in STATE.items()))
+    schema = to_arrow_schema(out)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, s = None, {}
+        for batch in batches:
+            done = []
+            for id_, start, c in zip(*(x.to_pylist() for x in batch.columns)):
+                if id_ != at:
+                    done += [{"id": at, **s}] if at is not None else []
+                    at, s = id_, start or dict.fromkeys(STATE) | {"applied": 0, "lost": 0}
+                if c is not None and s["status"] is None:
+                    s["lost"] += 1
+                elif c is not None:
+                    step(s, c, lease_ms, delay_ms)
+            yield pa.RecordBatch.from_pylist(done, schema)
+        if at is not None:
+            yield pa.RecordBatch.from_pylist([{"id": at, **s}], schema)
+
+    in_order = both.repartition("id").sortWithinPartitions("id", F.col("seq").asc_nulls_first())
+    return in_order.select("id", "s", "c").mapInArrow(fold, out)
+
+
+def _type(columns: dict[str, str]) -> str:
+    return "struct<" + ",".join(f"{k}:{t}" for k, t in columns.items()) + ">"
 
 
 def apply_fold(tasks: DataFrame, folded: DataFrame) -> DataFrame:
     """tasks with folded states in place."""
     carried = [k for k in STATE if k in tasks.columns]
-    new = folded.select(F.col("id"), F.struct(*carried).alias("_new"))
+    new = folded.where("status is not null").select(F.col("id"), F.struct(*carried).alias("_new"))
     rows = tasks.join(new, "id", "left")
     return rows.select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in carried else F.col(c) for c in tasks.columns])

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .transitions import cancel, insert_tasks
 from ..schema import CONFLICTS, QUEUED, RUNNING, SUCCEEDED
 
 INSERTED, RETURNED, REJECTED = "insert", "return", "reject"
@@ -15,8 +18,8 @@ def resolve(submissions: DataFrame, keys: DataFrame, tasks: DataFrame, conflict:
 
     decision: insert, return or reject. task_id: the task that the submission ends up with, null if
     rejected. cancels: the task that replace puts out. The first submission of a key is decided by
-    the task that its key has; a key whose task is gone is free. Later ones follow from the first,
-    so that no key's submissions are folded in one task.
+    the task that its key has; a key whose task is gone is free. Later ones follow from the first
+    and the one before, by a window that sorts each key's submissions and spills: none is folded or collected.
     """
     if conflict not in CONFLICTS:
         raise ValueError(f"unknown conflict strategy {conflict!r}")
@@ -43,6 +46,29 @@ def resolve(submissions: DataFrame, keys: DataFrame, tasks: DataFrame, conflict:
     return rows.select("seq", "key", "new_id", decision.alias("decision"), task_id.alias("task_id"), cancels.alias("cancels"))
 
 
+class Submitted(NamedTuple):
+    """What a submission does: rows of tasks as they are afterwards, new and canceled ones, pointers (key, task_id) that are put in place, and each submission's decision."""
+
+    changes: DataFrame
+    pointers: DataFrame
+    decisions: DataFrame
+
+
+def submit(submissions: DataFrame, keys: DataFrame, tasks: DataFrame, now: int, conflict: str) -> Submitted:
+    """Submissions (seq, key, and what insert_tasks takes) put in as one operation, as if they came one by one in order of seq. A null key has no conflicts and no pointer."""
+    keyed = submissions.where("key is not null")
+    decisions = resolve(keyed.select("seq", "key", F.col("id").alias("new_id")), keys, tasks, conflict)
+    free = submissions.where("key is null").select("seq", "key", F.col("id").alias("new_id"), F.lit(INSERTED).alias("decision"), F.col("id").alias("task_id"), F.lit(None).cast("string").alias("cancels"))
+    decisions = decisions.unionByName(free)
+    made = decisions.where(F.col("decision") == INSERTED)
+    inserted = insert_tasks(submissions.join(made.select(F.col("new_id").alias("id")), "id", "left_semi"), now)
+    stopped = decisions.where("cancels is not null").select(F.col("cancels").alias("id"))
+    canceled = cancel(tasks.select(*inserted.columns).unionByName(inserted), now, stopped)  # replace puts out new ones, too
+    changes = inserted.join(stopped, "id", "left_anti").unionByName(canceled)
+    pointers = made.where("key is not null").groupBy("key").agg(F.max_by("new_id", "seq").alias("task_id"))
+    return Submitted(changes, pointers, decisions)
+
+
 def upsert_keys(keys: DataFrame, pointers: DataFrame, now: int) -> DataFrame:
     """keys with each pointer (key, task_id) put in or, where the key is there, put in place of its task; created_at_ms stays."""
     new = pointers.select("key", F.col("task_id").alias("_to"))

@@ -24,7 +24,7 @@ def get_key(keys: DataFrame, key: str) -> DataFrame:
 
 
 def get_by_key(tasks: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """The task that the key points to now: a row or none."""
+    """The task that the key points to now: a row or none. A key is there once."""
     return tasks.join(F.broadcast(get_key(keys, key).limit(1)), F.col("id") == F.col("task_id"), "left_semi")
 
 
@@ -99,6 +99,31 @@ def claim_by_quota(tasks: DataFrame, quotas: dict[str, int], now: int, queues: S
     return ranked.where((F.col("place") <= most) & (F.col("place") <= quota)).select("id", "name", "place")
 
 
+def claim_by_budget(tasks: DataFrame, quotas: dict[str, int], now: int, budget: int, start: int = 0, queues: Sequence[str] | None = None) -> DataFrame:
+    """(id, name, place): draws for the names in turn, from that at `start` (modulo their number) on; each gets up to its quota of what the names before have left of the budget."""
+    names = list(quotas)
+    turn = F.lit(None).cast("int")
+    for i, name in enumerate(names[start % len(names) :] + names[: start % len(names)] if names else []):
+        turn = F.when(F.col("name") == name, i).otherwise(turn)
+    drawn = claim_by_quota(tasks, quotas, now, queues).withColumn("_turn", turn)
+    before = Window.orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)  # a row a name
+    left = drawn.groupBy("_turn").agg(F.count("*").alias("_n")).select("_turn", (F.lit(budget) - F.coalesce(F.sum("_n").over(before), F.lit(0))).alias("_left"))
+    return drawn.join(F.broadcast(left), "_turn").where(F.col("place") <= F.col("_left")).select("id", "name", "place")
+
+
+def within_bytes(claimed: DataFrame, budget: int) -> DataFrame:
+    """(id, name, bytes): of each name's claimed tasks, in order of claims, those whose payloads together fit the budget; the first in any case."""
+    order = Window.partitionBy("name").orderBy(F.col("priority").desc(), "run_at_ms", "id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = claimed.withColumn("bytes", payload_bytes()).withColumns({"_sum": F.sum("bytes").over(order), "_n": F.count("*").over(order)})
+    return rows.where((F.col("_sum") <= budget) | (F.col("_n") == 1)).select("id", "name", "bytes")
+
+
+def percentiles(rows: DataFrame, by: str, value: str, shares: Sequence[float] = (0.5, 0.95)) -> DataFrame:
+    """(by, share, value) by nearest rank: the least value that at least the share of the group's values doesn't exceed."""
+    found = F.array(*[F.struct(F.lit(p).alias("share"), F.expr(f"percentile_disc({p}D) within group (order by `{value}`)").alias("value")) for p in shares])
+    return rows.groupBy(by).agg(found.alias("p")).select(by, F.explode("p").alias("p")).select(by, "p.share", F.col("p.value").alias("value"))
+
+
 def payload_sizes(tasks: DataFrame) -> DataFrame:
     return tasks.groupBy("name").agg(F.sum(payload_bytes()).alias("bytes"), F.count("*").alias("n"))
 

@@ -6,13 +6,15 @@ Times are milliseconds; one `now` holds for a whole operation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import cancel_asked, is_due, is_expired, is_owned, is_terminal, one_of, will_retry
-from ..schema import CANCELED, FAILED, LEASE_EXPIRED, QUEUED, RUNNING, SUCCEEDED, TASK_COLUMNS, TERMINAL
+from ..functions.expressions import cancel_asked, checked, is_due, is_expired, is_owned, is_terminal, json_object_or, one_of, will_retry
+from .reads import deliveries
+from ..schema import CANCELED, FAILED, LEASE_EXPIRED, QUEUED, RUNNING, SUCCEEDED, TASK_COLUMNS, TERMINAL, UNWRITABLE_ERROR
 
 
 def _null(kind: str) -> Column:
@@ -24,7 +26,7 @@ def _ms(value: int) -> Column:
 
 
 def insert_tasks(submissions: DataFrame, now: int) -> DataFrame:
-    """Queued rows for submissions (id, name, payload; optionally queue, metadata, max_attempts, priority, delay_ms, parent_id, root_id, correlation_id). A task without a root is its own."""
+    """Queued rows for submissions (id, name, payload; optionally queue, metadata, max_attempts, priority, delay_ms, parent_id, root_id, correlation_id). A task without a root is its own. A row with max_attempts under 1 or a negative delay ends the query with an error."""
     have = set(submissions.columns)
 
     def given(name: str, default: Column) -> Column:
@@ -32,13 +34,33 @@ def insert_tasks(submissions: DataFrame, now: int) -> DataFrame:
 
     values = {
         "id": F.col("id"), "name": F.col("name"), "queue": given("queue", F.lit("default")), "status": F.lit(QUEUED), "payload": F.col("payload"), "result": _null("string"), "error": _null("string"),
-        "metadata": given("metadata", F.lit("{}")), "progress": _null("double"), "message": _null("string"), "attempt": F.lit(0), "max_attempts": given("max_attempts", F.lit(3)).cast("int"),
-        "priority": given("priority", F.lit(0)).cast("int"), "worker_id": _null("string"), "lease_until_ms": _null("long"), "run_at_ms": _ms(now) + given("delay_ms", F.lit(0)), "cancel_requested_at_ms": _null("long"),
+        "metadata": given("metadata", F.lit("{}")), "progress": _null("double"), "message": _null("string"), "attempt": F.lit(0), "max_attempts": checked(given("max_attempts", F.lit(3)).cast("int"), lambda n: n >= 1, "max_attempts must be at least 1"),
+        "priority": given("priority", F.lit(0)).cast("int"), "worker_id": _null("string"), "lease_until_ms": _null("long"), "run_at_ms": _ms(now) + checked(given("delay_ms", F.lit(0)).cast("long"), lambda n: n >= 0, "delay_ms must not be negative"), "cancel_requested_at_ms": _null("long"),
         "parent_id": given("parent_id", _null("string")), "root_id": given("root_id", F.col("id")), "correlation_id": given("correlation_id", _null("string")), "created_at_ms": _ms(now), "updated_at_ms": _ms(now), "completed_at_ms": _null("long"),
     }
     return submissions.select(*[values[c].alias(c) for c in TASK_COLUMNS])
 
 
+def spawn(tasks: DataFrame, children: DataFrame, now: int) -> DataFrame:
+    """Queued rows for the children (parent_id, and children: an array of structs that insert_tasks takes, with an id) of tasks: of their parent's root, and of its correlation unless a child has its own. Children of unknown parents are dropped."""
+    fields = [f.name for f in children.schema["children"].dataType.elementType.fields]
+    each = children.select("parent_id", F.explode("children").alias("child")).select("parent_id", *[F.col(f"child.`{c}`").alias(c) for c in fields])
+    parents = tasks.select(F.col("id").alias("parent_id"), F.coalesce("root_id", "id").alias("root_id"), F.col("correlation_id").alias("_correlation"))
+    rows = each.join(parents, "parent_id")
+    own = F.coalesce("correlation_id", "_correlation") if "correlation_id" in fields else F.col("_correlation")
+    return insert_tasks(rows.withColumn("correlation_id", own).drop("_correlation"), now)
+
+
+def handle(claimed: DataFrame, batch_sizes: dict[str, int], handler: Callable[[str, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What `handler(name, tasks)` makes of each delivery (see reads.deliveries): rows of `schema`, as outcomes for complete() or fail(). A delivery has its name's batch size at most, and goes to one call."""
+    dealt = claimed.join(deliveries(claimed, batch_sizes).withColumnRenamed("name", "_name"), "id")
+
+    def call(rows: pd.DataFrame) -> pd.DataFrame:
+        return handler(rows["_name"].iloc[0], rows.drop(columns=["_name", "chunk"]))
+
+    return dealt.groupBy("_name", "chunk").applyInPandas(call, schema)
+
+
 def claim(tasks: DataFrame, worker: str, now: int, lease_ms: int, limit: int, queues: Sequence[str] | None = None, names: Sequence[str] | None = None) -> DataFrame:
     """The due tasks of highest priority, then earliest run_at_ms, then least id, leased to the worker.
 
@@ -119,19 +141,19 @@ def complete(tasks: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:
 
 
 def fail(tasks: DataFrame, failures: DataFrame, now: int) -> DataFrame:
-    """failures: (id, worker, error, retryable, delay_ms). Canceled if that was asked, queued again after the delay if it is retryable and attempts are left, else failed; the error is recorded in any case."""
+    """failures: (id, worker, error, retryable, delay_ms). Canceled if that was asked, queued again after the delay if it is retryable (or null) and attempts are left, else failed; the error is recorded in any case, a stand-in where it is no JSON object."""
     rows = _of(tasks, failures, now)
-    again = will_retry(F.col("_retryable"))
+    again = will_retry(F.coalesce(F.col("_retryable"), F.lit(True)))
     return _tasks_only(
         rows.withColumns(
             {
                 "status": F.when(cancel_asked(), CANCELED).when(again, QUEUED).otherwise(FAILED),
-                "error": F.col("_error"),
+                "error": json_object_or(F.col("_error"), UNWRITABLE_ERROR),
                 "progress": F.when(~again, F.col("progress")),
                 "message": F.when(~again, F.col("message")),
                 "worker_id": F.when(~again, F.col("worker_id")),
                 "lease_until_ms": _null("long"),
-                "run_at_ms": F.when(again, now + F.col("_delay_ms")).otherwise(F.col("run_at_ms")).cast("long"),
+                "run_at_ms": F.when(again, now + F.coalesce(F.col("_delay_ms"), F.lit(0))).otherwise(F.col("run_at_ms")).cast("long"),
                 "completed_at_ms": F.when(~again, now).cast("long"),
                 "updated_at_ms": _ms(now),
             }

@@ -1,5 +1,5 @@
-"""How changes become the next version of a table."""
+"""Versions of tables."""
 
-from .versions import apply_changes, drop_purged, read_version, write_version
+from .versions import apply_changes, drop_purged, latest_version, read_version, write_changes, write_version
 
-__all__ = ["apply_changes", "drop_purged", "read_version", "write_version"]
+__all__ = ["apply_changes", "drop_purged", "latest_version", "read_version", "write_changes", "write_version"]

@@ -1,6 +1,8 @@
 """Versions of a table: the rows that changed replace those that were.
 
-A version is a Parquet folder that is written once and never changed; its number is the writer's.
+A version is either the whole table or the rows that changed since the version before; it is a Parquet folder that
+is written once, and its number is the writer's. A folder counts once Spark has marked its
+writing as ended; one that a writer has left half-way is written anew.
 """
 
 from __future__ import annotations
@@ -11,6 +13,8 @@ from pyspark.sql.types import StructType
 
 from ..schema import TERMINAL
 
+WHOLE, CHANGES = "version", "changes"
+
 
 def apply_changes(tasks: DataFrame, changes: DataFrame) -> DataFrame:
     """tasks with the rows of changes (the same columns, an id at most once) in place of those with their ids; new ids are added."""
@@ -22,13 +26,55 @@ def drop_purged(tasks: DataFrame, keys: DataFrame, purged: DataFrame) -> tuple[D
     return tasks.join(purged, "id", "left_anti"), keys.join(purged.select(F.col("id").alias("task_id")), "task_id", "left_anti").select(*keys.columns)
 
 
+def ended(spark: SparkSession, root: str, kind: str) -> list[int]:
+    """Numbers of the versions of a kind whose writing has ended, by Spark's own mark in their folders, rising."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{kind}=*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found or [])
+
+
+def latest_version(spark: SparkSession, root: str) -> int | None:
+    return max(ended(spark, root, WHOLE) + ended(spark, root, CHANGES), default=None)
+
+
+def _class():
+    return F.when(F.col("status").isin(*TERMINAL), "terminal").otherwise("live")
+
+
+def _write(rows: DataFrame, root: str, kind: str, version: int) -> None:
+    if version in ended(rows.sparkSession, root, kind):
+        raise ValueError(f"{kind} {version} is there already")
+    rows.write.mode("overwrite").partitionBy("class").parquet(f"{root}/{kind}={version}")
+
+
 def write_version(tasks: DataFrame, root: str, version: int) -> None:
-    """Live and terminal tasks apart, so that claims, probes and recovery scan live ones only and purges the others. An existing version raises."""
-    part = F.when(F.col("status").isin(*TERMINAL), "terminal").otherwise("live")
-    tasks.withColumn("class", part).repartition("class", F.xxhash64("id") % 64).sortWithinPartitions("class", "queue", "status", F.col("priority").desc(), "run_at_ms", "id").write.mode("errorifexists").partitionBy("class").parquet(f"{root}/version={version}")
+    """The whole table; live and terminal tasks apart, so that claims, probes and recovery scan live ones only and purges the others. Spark cuts either into files of like size."""
+    apart = tasks.withColumn("class", _class()).hint("rebalance", "class")
+    _write(apart.sortWithinPartitions("class", "queue", "status", F.col("priority").desc(), "run_at_ms", "id"), root, WHOLE, version)
+
+
+def write_changes(changes: DataFrame, root: str, version: int) -> None:
+    """The rows (an id at most once) that differ from the version before."""
+    _write(changes.withColumn("class", _class()), root, CHANGES, version)
 
 
 def read_version(spark: SparkSession, root: str, version: int, schema: StructType, part: str | None = None) -> DataFrame:
-    """The version, or its live or terminal part alone."""
-    rows = spark.read.schema(StructType([*schema.fields]).add("class", "string")).parquet(f"{root}/version={version}")
-    return (rows if part is None else rows.where(F.col("class") == part)).drop("class")
+    """The version, or its live or terminal part alone: the last whole table up to it, and what changed since, the latest row of each id."""
+    base = max((n for n in ended(spark, root, WHOLE) if n <= version), default=None)
+    since = [n for n in ended(spark, root, CHANGES) if (base is None or n > base) and n <= version]
+    if base is None or max([base, *since]) != version:
+        raise ValueError(f"no version {version}")
+    full = StructType([*schema.fields]).add("class", "string")
+
+    def here(rows: DataFrame) -> DataFrame:
+        return rows if part is None else rows.where(F.col("class") == part)
+
+    rows = here(spark.read.schema(full).parquet(f"{root}/{WHOLE}={base}"))
+    if since:
+        numbered = [spark.read.schema(full).parquet(f"{root}/{CHANGES}={n}").withColumn("_n", F.lit(n)) for n in since]
+        changed = numbered[0]
+        for more in numbered[1:]:
+            changed = changed.unionByName(more)
+        last = changed.groupBy("id").agg(F.max_by(F.struct(*full.fieldNames()), "_n").alias("_row")).select("_row.*")
+        rows = rows.join(last.select("id"), "id", "left_anti").unionByName(here(last))
+    return rows.drop("class")

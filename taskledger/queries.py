@@ -343,6 +343,20 @@ def retry_by_key(spark, d):
     return move.retry(tasks(spark, d), NOW_MID, keyed.ids_of(task_keys(spark, d), wanted))
 
 
+@query(
+    _changed(
+        "t where t.status in ('queued', 'running') and t.id in (select task_id from k where key like 'cust:%5')",
+        status="case when t.status = 'queued' then 'canceled' else t.status end",
+        cancel_requested_at_ms=f"case when t.status = 'queued' then t.cancel_requested_at_ms else {NOW_MID} end",
+        completed_at_ms=f"case when t.status = 'queued' then {NOW_MID} else t.completed_at_ms end",
+        updated_at_ms=str(NOW_MID),
+    )
+)
+def cancel_by_key(spark, d):
+    wanted = task_keys(spark, d).where(F.col("key").like("cust:%5"))
+    return move.cancel(tasks(spark, d), NOW_MID, keyed.ids_of(task_keys(spark, d), wanted))
+
+
 def _purge_sql(where: str = "true", now: int = NOW_MID, older: int = 86_400_000) -> str:
     return f"select id from t where status in ('succeeded', 'failed', 'canceled') and completed_at_ms < {now - older} and {where} order by completed_at_ms, id limit 1000"
 
@@ -415,6 +429,48 @@ def quota_draws(spark, d):
     return reads.claim_by_quota(tasks(spark, d), {"embed": 256, "render": 16}, NOW_MID)
 
 
+_DRAWN = f"""
+, p as (select *, row_number() over (partition by name order by priority desc, run_at_ms, id) as place,
+    case name when 'summarize' then 0 when 'embed' then 1 else 2 end as turn
+  from t where status = 'queued' and run_at_ms <= {NOW_LATE} and name in ('embed', 'render', 'summarize')),
+q as (select * from p where place <= case name when 'embed' then 40 when 'render' then 30 else 20 end),
+b as (select turn, 50 - coalesce(sum(n) over (order by turn rows between unbounded preceding and 1 preceding), 0) as free from (select turn, count(*) as n from q group by turn))
+select id, name, place from q join b using (turn) where place <= free
+"""
+
+
+@query(_DRAWN)
+def shared_draws(spark, d):
+    return reads.claim_by_budget(tasks(spark, d), {"embed": 40, "render": 30, "summarize": 20}, NOW_LATE, budget=50, start=2)
+
+
+@query(
+    "select id, name, bytes from (select id, name, strlen(payload) as bytes, sum(strlen(payload)) over w as s, row_number() over w as n from t where status = 'running'"
+    " window w as (partition by name order by priority desc, run_at_ms, id rows between unbounded preceding and current row)) where s <= 4096 or n = 1"
+)
+def byte_budget(spark, d):
+    return reads.within_bytes(tasks(spark, d).where("status = 'running'"), 4096)
+
+
+@query(
+    "select queue, share, value from (select queue, strlen(payload) as value, row_number() over (partition by queue order by strlen(payload)) as r, count(*) over (partition by queue) as n from t)"
+    " cross join (select unnest([cast(0.5 as double), cast(0.95 as double)]) as share) where r = greatest(1, cast(ceil(share * n) as bigint))"
+)
+def payload_percentiles(spark, d):
+    return reads.percentiles(tasks(spark, d).withColumn("bytes", F.octet_length("payload").cast("long")), "queue", "bytes")
+
+
+@query(
+    "select id, worker_id as worker, concat('{\"name\":\"', name, '\",\"bytes\":', cast(strlen(payload) as varchar), '}') as result from t where status = 'running'"
+)
+def batch_handler(spark, d):
+    def sizes(name, rows):
+        result = '{"name":"' + name + '","bytes":' + rows["payload"].str.encode("utf-8").str.len().astype(str) + "}"
+        return rows[["id"]].assign(worker=rows["worker_id"], result=result)
+
+    return move.handle(tasks(spark, d).where("status = 'running'"), {"embed": 256, "render": 8, "summarize": 64, "reindex": 64}, sizes, "id string, worker string, result string")
+
+
 @query("select id, cast(least(30000, 1000 * pow(2, greatest(0, attempt - 1))) as bigint) as window_ms from t")
 def backoff(spark, d):
     return tasks(spark, d).select("id", backoff_window(F.col("attempt"), 1000, 30_000).alias("window_ms"))
@@ -501,6 +557,38 @@ def submit_insert(spark, d):
     return move.insert_tasks(rows, NOW_MID)
 
 
+_STOPPED = "select case when rn > 1 then prev when cur_status in ('queued', 'running') then cur end as id from n"
+
+
+@query(
+    f"{_DECIDED}, x as ({_STOPPED}), "
+    "i as (select new_id as id, 'queued' as status, cast(null as bigint) as asked, cast(null as bigint) as ended from n union all select id, status, cancel_requested_at_ms, completed_at_ms from t where id in (select id from x)) "
+    f"select id, case when stopped and status = 'queued' then 'canceled' else status end as status, case when stopped and status = 'running' then {NOW_MID} else asked end as cancel_requested_at_ms, "
+    f"case when stopped and status = 'queued' then {NOW_MID} else ended end as completed_at_ms, {NOW_MID} as updated_at_ms from (select *, id in (select id from x where id is not null) as stopped from i)"
+)
+def submit(spark, d):
+    """All submissions under replace, as one operation: every new task and every one that is put out."""
+    rows = submissions(spark, d).select("seq", "key", F.col("new_id").alias("id"), F.lit("embed").alias("name"), F.lit("{}").alias("payload"))
+    changes = keyed.submit(rows, task_keys(spark, d), tasks(spark, d), NOW_MID, "replace").changes
+    return changes.select("id", "status", "cancel_requested_at_ms", "completed_at_ms", "updated_at_ms")
+
+
+@query(f"{_DECIDED} select key, last(new_id order by rn) as task_id from n group by key")
+def submit_pointers(spark, d):
+    rows = submissions(spark, d).select("seq", "key", F.col("new_id").alias("id"), F.lit("embed").alias("name"), F.lit("{}").alias("payload"))
+    return keyed.submit(rows, task_keys(spark, d), tasks(spark, d), NOW_MID, "replace").pointers
+
+
+_CHILD = _INSERTED | dict(id="concat(t.id, '/', cast(t.n as varchar))", name="case t.n when 0 then 'embed' else 'render' end", parent_id="t.id", root_id="t.root_id", correlation_id="t.correlation_id")
+
+
+@query(", c as (select *, unnest([0, 1]) as n from t where status = 'succeeded') " + _changed("c t", **_CHILD))
+def spawn(spark, d):
+    child = [F.struct(F.concat_ws("/", "id", F.lit(str(n))).alias("id"), F.lit(name).alias("name"), F.lit("{}").alias("payload")) for n, name in enumerate(("embed", "render"))]
+    children = tasks(spark, d).where("status = 'succeeded'").select(F.col("id").alias("parent_id"), F.array(*child).alias("children"))
+    return move.spawn(tasks(spark, d), children, NOW_MID)
+
+
 @query(
     f"select coalesce(p.key, k.key) as key, coalesce(p.task_id, k.task_id) as task_id, coalesce(case when k.key is not null then {NOW_EARLY} end, {NOW_MID}) as created_at_ms, case when p.key is not null then {NOW_MID} else {NOW_EARLY} end as updated_at_ms"
     " from k full join (select concat('cust:', cast(c_custkey as varchar)) as key, concat('new_', cast(c_custkey as varchar)) as task_id from customer where c_custkey % 3 = 0) p on p.key = k.key"
@@ -526,11 +614,55 @@ def change_feed(spark, d):
     return reads.change_feed(rows, apply_changes(rows, move.recover_leases(rows, NOW_MID)))
 
 
+_FOLD = f"""
+with recursive c as (
+  select concat('user_', cast(user_id as varchar)) as id, row_number() over (partition by user_id order by ts, event_id) as seq, epoch_us(ts) // 1000 as now,
+    case event_type when 'view' then case when event_id % 2 = 0 then 'heartbeat' else 'progress' end when 'click' then 'claim'
+      when 'purchase' then case when event_id % 3 = 0 then 'succeed' else 'complete' end when 'error' then 'fail'
+      else case event_id % 3 when 0 then 'cancel' when 1 then 'retry' else 'expire' end end as op,
+    case when event_id % 5 = 0 then 'worker_b' else 'worker_a' end as worker, event_id % 4 / cast(4 as double) as new_progress, concat('m', cast(event_id % 5 as varchar)) as new_message,
+    concat('{{"event":', cast(event_id as varchar), '}}') as new_result, concat('{{"code":', cast(event_id % 3 as varchar), '}}') as new_error, event_id % 3 <> 0 as retryable, 1000 * (event_id % 2) as delay_ms
+  from events),
+f as (
+  select distinct id, cast(0 as bigint) as n, 'queued' as status, cast(null as varchar) as result, cast(null as varchar) as error, cast(null as double) as progress, cast(null as varchar) as message, 0 as attempt, 3 as max_attempts,
+    cast(null as varchar) as worker_id, cast(null as bigint) as lease_until_ms, cast(0 as bigint) as run_at_ms, cast(null as bigint) as cancel_requested_at_ms, cast(null as bigint) as completed_at_ms, cast(0 as bigint) as updated_at_ms,
+    cast(0 as bigint) as applied, cast(0 as bigint) as lost
+  from c
+  union all
+  select id, n + 1,
+    case kind when 'claim' then 'running' when 'done' then 'succeeded' when 'again' then 'queued' when 'retry' then 'queued' when 'stop' then 'canceled' when 'drop' then 'canceled' when 'gone' then 'failed' else status end,
+    case kind when 'done' then new_result else result end,
+    case when kind in ('again', 'stop', 'gone') and op = 'fail' then new_error when kind = 'gone' then '{LEASE_EXPIRED}' when kind = 'retry' then null else error end,
+    case kind when 'progress' then new_progress when 'done' then 1.0 when 'again' then null when 'retry' then null else progress end,
+    case when kind = 'progress' or kind = 'done' and op = 'succeed' then new_message when kind in ('again', 'retry') then null else message end,
+    case kind when 'claim' then attempt + 1 else attempt end, max_attempts,
+    case kind when 'claim' then worker when 'again' then null when 'retry' then null else worker_id end,
+    case when kind in ('claim', 'beat') then now + 86400000 when kind in ('done', 'stop', 'gone', 'again', 'retry') then null else lease_until_ms end,
+    case when kind = 'again' and op = 'fail' then now + delay_ms when kind in ('again', 'retry') then now else run_at_ms end,
+    case kind when 'ask' then now when 'retry' then null else cancel_requested_at_ms end,
+    case when kind in ('done', 'stop', 'gone', 'drop') then now when kind = 'retry' or kind = 'again' and op = 'fail' then null else completed_at_ms end,
+    case when kind in ('none', 'lost') then updated_at_ms else now end, applied + case when kind in ('none', 'lost') then 0 else 1 end, lost + case when kind = 'lost' then 1 else 0 end
+  from (
+    select *, case
+      when op in ('heartbeat', 'progress', 'complete', 'succeed', 'fail') and not holds then 'lost'
+      when op = 'claim' then case when status = 'queued' and run_at_ms <= now then 'claim' else 'none' end
+      when op = 'heartbeat' then 'beat' when op = 'progress' then 'progress' when op = 'succeed' then 'done'
+      when op = 'complete' then case when asked then 'stop' else 'done' end
+      when op = 'fail' then case when asked then 'stop' when retryable and attempt < max_attempts then 'again' else 'gone' end
+      when op = 'expire' then case when status <> 'running' or lease_until_ms > now then 'none' when asked then 'stop' when attempt < max_attempts then 'again' else 'gone' end
+      when op = 'cancel' then case status when 'queued' then 'drop' when 'running' then 'ask' else 'none' end
+      else case when status in ('failed', 'canceled') then 'retry' else 'none' end end as kind
+    from (select f.*, c.* exclude (id, seq), coalesce(status = 'running' and worker_id = worker and lease_until_ms > now, false) as holds, cancel_requested_at_ms is not null as asked from f join c on c.id = f.id and c.seq = f.n + 1)))
+select f.* exclude (n) from f join (select id, max(seq) as last from c group by id) m on f.id = m.id and f.n = m.last
+"""
+
+
 @query(None)
 def command_fold(spark, d):
     log = commands(spark, d)
-    start = log.select("id").distinct().selectExpr(
-        "id", "'queued' as status", "0 as attempt", "3 as max_attempts", "cast(null as string) as worker_id", "cast(null as bigint) as lease_until_ms", "0L as run_at_ms", "cast(null as bigint) as cancel_requested_at_ms",
-        "cast(null as double) as progress", "cast(null as bigint) as completed_at_ms", "0L as updated_at_ms",
-    )
+    empty = [f"cast(null as {k}) as {c}" for c, k in (("result", "string"), ("error", "string"), ("progress", "double"), ("message", "string"), ("worker_id", "string"), ("lease_until_ms", "bigint"), ("cancel_requested_at_ms", "bigint"), ("completed_at_ms", "bigint"))]
+    start = log.select("id").distinct().selectExpr("id", "'queued' as status", "0 as attempt", "3 as max_attempts", "0L as run_at_ms", "0L as updated_at_ms", *empty)
     return fold.fold_commands(start, log, lease_ms=86_400_000)
+
+
+ORACLE_SQL["command_fold"] = _FOLD

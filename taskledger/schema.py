@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+#: The statuses.
 QUEUED, RUNNING, SUCCEEDED, FAILED, CANCELED = STATUSES = ("queued", "running", "succeeded", "failed", "canceled")
 TERMINAL = (SUCCEEDED, FAILED, CANCELED)
-#: What a keyed submission does when its key has a task already.
+#: What a keyed submission does when its key has a task already.
 CONFLICTS = ("reuse", "reuse-succeeded", "reject", "replace")
 
 TASK_SCHEMA = T.StructType(
@@ -44,3 +45,5 @@ KEY_SCHEMA = T.StructType([T.StructField("key", T.StringType(), False), T.Struct
 
 #: Fixed value: the error that lease recovery records.
 LEASE_EXPIRED = '{"type":"LeaseExpired","code":"lease_expired","message":"task lease expired and max attempts reached","retryable":false,"details":{}}'
+#: The error that stands for one that is no JSON object.
+UNWRITABLE_ERROR = '{"type":"EncodingError","code":"error_not_serializable","message":"the error could not be written as JSON","retryable":false,"details":{}}'

@@ -67,10 +67,11 @@ def outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, seq, op, worker, now_ms, progress): the events of each user as commands to a task of theirs."""
+    """(id, seq, op, worker, now_ms, and arguments): the events of each user as commands to a task of theirs."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    op = "case event_type when 'view' then 'heartbeat' when 'click' then 'claim' when 'purchase' then 'complete' when 'error' then 'fail' else 'cancel' end"
+    op = "case event_type when 'view' then if(event_id % 2 = 0, 'heartbeat', 'progress') when 'click' then 'claim' when 'purchase' then if(event_id % 3 = 0, 'succeed', 'complete') when 'error' then 'fail' else element_at(array('cancel', 'retry', 'expire'), cast(event_id % 3 as int) + 1) end"
     return events.selectExpr(
-        "concat('user_', cast(user_id as string)) as id", "row_number() over (partition by user_id order by ts, event_id) as seq", f"{op} as op", "concat('worker_', cast(event_id % 4 as string)) as worker",
-        "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) as now_ms", "cast(null as double) as progress",
+        "concat('user_', cast(user_id as string)) as id", "row_number() over (partition by user_id order by ts, event_id) as seq", f"{op} as op", "if(event_id % 5 = 0, 'worker_b', 'worker_a') as worker",
+        "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) as now_ms", "event_id % 4 / 4.0D as progress", "concat('m', cast(event_id % 5 as string)) as message",
+        """concat('{"event":', cast(event_id as string), '}') as result""", """concat('{"code":', cast(event_id % 3 as string), '}') as error""", "event_id % 3 <> 0 as retryable", "1000 * (event_id % 2) as delay_ms",
     )

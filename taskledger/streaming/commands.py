@@ -1,36 +1,43 @@
-"""A stream of commands applied to a task table: each micro-batch is folded and becomes a version.
+"""A stream of commands applied to a task table: each micro-batch is folded, and the rows that change become a version.
 
 A version carries the number of the batch that made it. A batch that is run again, after a failure
-or a restart, finds its version there and changes nothing: commands are applied exactly once.
+or a restart, finds its version there and changes nothing: commands are applied exactly once. One
+whose writing had not ended is written anew. Every so many batches the whole table is written, so
+that a version is read from one table and few changes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.fold import apply_fold, fold_commands
-from ..plans import read_version, write_version
+from ..operators.fold import ARGUMENTS, apply_fold, fold_commands
+from ..plans import latest_version, read_version, write_changes, write_version
+from ..plans.versions import WHOLE, ended
 from ..schema import TASK_SCHEMA
 
-COMMAND_SCHEMA = "id string, seq long, op string, worker string, now_ms long, progress double"
+COMMAND_SCHEMA = "id string, seq long, " + ", ".join(f"{k} {t}" for k, t in ARGUMENTS.items())
+#: Batches after which the whole table is written.
+COMPACT = 16
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    """The greatest version whose writing has ended, by Spark's own mark in its folder."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/version=*/_SUCCESS")
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
-    return max((int(f.getPath().getParent().getName().split("=")[1]) for f in found or []), default=None)
+def apply_stream(commands: DataFrame, root: str, checkpoint: str, lease_ms: int = 30_000, delay_ms: int = 1_000, compact: int = COMPACT, **trigger) -> StreamingQuery:
+    """Starts the stream; version 0 under root is the table that it begins with, version n + 1 that after batch n.
 
-
-def apply_stream(commands: DataFrame, root: str, checkpoint: str, lease_ms: int = 30_000, delay_ms: int = 1_000, **trigger) -> StreamingQuery:
-    """Starts the stream; version 0 under root is the table that it begins with, version n + 1 that after batch n."""
+    Commands that changed nothing, those of unknown tasks among them, are counted by id under root/lost=<version>.
+    """
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        if (latest_version(spark, root) or 0) > number:
-            return
-        tasks = read_version(spark, root, number, TASK_SCHEMA)
-        write_version(apply_fold(tasks, fold_commands(tasks, batch, lease_ms, delay_ms)), root, number + 1)
+        spark, version = batch.sparkSession, number + 1
+        if (latest_version(spark, root) or 0) < version:
+            tasks = read_version(spark, root, number, TASK_SCHEMA)
+            touched = tasks.join(batch.select("id").distinct(), "id", "left_semi")
+            folded = fold_commands(touched, batch, lease_ms, delay_ms).persist()
+            folded.where("lost > 0").select("id", "lost", F.col("status").isNull().alias("unknown")).write.mode("overwrite").parquet(f"{root}/lost={version}")
+            write_changes(apply_fold(touched, folded).join(folded.where("applied > 0").select("id"), "id", "left_semi"), root, version)
+            folded.unpersist()
+        if version % compact == 0 and version not in ended(spark, root, WHOLE):
+            write_version(read_version(spark, root, version, TASK_SCHEMA), root, version)
 
     return commands.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -69,12 +69,12 @@ def test_complete_and_cancel(spark, table):
 
 
 def test_fail_branches(spark, table):
-    bad = write(spark, id="t0", worker="w", error="e", retryable=True, delay_ms=7)
+    bad = write(spark, id="t0", worker="w", error='{"e":1}', retryable=True, delay_ms=7)
     r = one(move.fail(table(running(progress=0.5, message="m")), bad, NOW))
-    assert (r.status, r.error, r.progress, r.message, r.worker_id, r.run_at_ms, r.completed_at_ms) == ("queued", "e", None, None, None, NOW + 7, None)
+    assert (r.status, r.error, r.progress, r.message, r.worker_id, r.run_at_ms, r.completed_at_ms) == ("queued", '{"e":1}', None, None, None, NOW + 7, None)
     for state, failure, status in ((running(attempt=3), bad, "failed"), (running(), bad.withColumn("retryable", F.lit(False)), "failed"), (running(cancel_requested_at_ms=1), bad, "canceled")):
         r = one(move.fail(table(state), failure, NOW))
-        assert (r.status, r.error, r.completed_at_ms, r.worker_id, r.lease_until_ms) == (status, "e", NOW, "w", None)
+        assert (r.status, r.error, r.completed_at_ms, r.worker_id, r.lease_until_ms) == (status, '{"e":1}', NOW, "w", None)
 
 
 def test_recover_branches(table):
@@ -175,3 +175,54 @@ def test_versions(spark, table, tmp_path):
     assert read_version(spark, str(tmp_path), 1, TASK_SCHEMA, "live").count() == 3
     with pytest.raises(Exception):
         write_version(t, str(tmp_path), 1)
+
+
+def test_submissions_are_checked(spark, table):
+    def inserted(**more):
+        return move.insert_tasks(write(spark, id="a", name="x", payload="{}", **more), NOW)
+
+    assert one(inserted(delay_ms=5)).run_at_ms == NOW + 5
+    with pytest.raises(Exception, match="delay_ms must not be negative"):
+        inserted(delay_ms=-1).collect()
+    with pytest.raises(Exception, match="max_attempts must be at least 1"):
+        move.insert_tasks(spark.createDataFrame([("a", "x", "{}", 0)], "id string, name string, payload string, max_attempts int"), NOW).collect()
+
+
+def test_submit_is_one_operation(spark, table):
+    tasks = table(dict(), running())
+    keys = spark.createDataFrame([("a", "t0", 1, 1), ("b", "t1", 1, 1)], KEY_SCHEMA)
+    rows = spark.createDataFrame([(1, "a", "n1", "x", "{}"), (2, "a", "n2", "x", "{}"), (3, "b", "n3", "x", "{}"), (4, None, "n4", "x", "{}"), (5, None, "n5", "x", "{}")], "seq int, key string, id string, name string, payload string")
+    done = keyed.submit(rows, keys, tasks, NOW, "replace")
+    after = {r.id: r for r in apply_changes(tasks, done.changes).collect()}
+    assert {i: r.status for i, r in after.items()} == {"t0": "canceled", "t1": "running", "n1": "canceled", "n2": "queued", "n3": "queued", "n4": "queued", "n5": "queued"}
+    assert after["t1"].cancel_requested_at_ms == NOW
+    assert {(r.key, r.task_id) for r in done.pointers.collect()} == {("a", "n2"), ("b", "n3")}
+    done = keyed.submit(rows, keys, tasks, NOW, "reuse")
+    assert {r.id for r in done.changes.collect()} == {"n4", "n5"} and done.pointers.count() == 0
+    assert {r.decision for r in done.decisions.where("key is not null").collect()} == {"return"}
+
+
+def test_children_and_errors(spark, table):
+    tasks = table(running(root_id="r", correlation_id="c"), running())
+    children = spark.createDataFrame([("t0", [("k1", "x", "{}", None), ("k2", "y", "{}", "own")]), ("t1", [("k3", "x", "{}", None)]), ("none", [("k4", "x", "{}", None)]), ("t1", None)], "parent_id string, children array<struct<id:string,name:string,payload:string,correlation_id:string>>")
+    got = {r.id: (r.parent_id, r.root_id, r.correlation_id) for r in move.spawn(tasks, children, NOW).collect()}
+    assert got == {"k1": ("t0", "r", "c"), "k2": ("t0", "r", "own"), "k3": ("t1", "t1", None)}
+    for error, kept in (('{"a":1}', True), ("[1]", False), ("not json", False), (None, True)):
+        r = one(move.fail(table(running(attempt=3)), spark.createDataFrame([("t0", "w", error, None, None)], "id string, worker string, error string, retryable boolean, delay_ms long"), NOW))
+        assert r.status == "failed" and (r.error == error) == kept
+        assert r.error is None or json.loads(r.error)
+    assert one(spark.range(1).select(backoff_delay(F.lit(3), 100, 1_000, F.lit(0.5), F.lit(False)).alias("d"))).d == 0
+
+
+def test_a_handler_gets_whole_deliveries(spark, table):
+    tasks = table(*[dict(name="x", priority=i) for i in range(7)], dict(name="y"), dict(name="y"))
+    got = move.handle(tasks, {"x": 3}, lambda name, rows: rows[["id"]].assign(n=len(rows), name=name), "id string, n long, name string").collect()
+    assert sorted((r.name, r.n) for r in got) == [("x", 1), *[("x", 3)] * 6, ("y", 1), ("y", 1)]
+    assert {r.id for r in got if r.n == 1 and r.name == "x"} == {"t0"}
+
+
+def test_draws_share_a_budget_in_turn(table):
+    t = table(*[dict(name=n) for n in "aaabbbccc"])
+    for start, want in ((0, "aaab"), (1, "bbca"), (2, "caaa"), (4, "bbca")):
+        assert "".join(sorted(r.name for r in reads.claim_by_budget(t, {"a": 3, "b": 2, "c": 1}, NOW, 4, start).collect())) == "".join(sorted(want))
+    assert reads.claim_by_budget(t, {}, NOW, 4).count() == 0
