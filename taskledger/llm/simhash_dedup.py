@@ -226,7 +226,7 @@ def near_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     if radius > 3 and radius % 2:
         raise ValueError("the radius must be 0 to 3, or even")
     parts = partitions(fps)
-    fps = fps.select("fp").distinct().repartition(parts, "fp")  # few bytes, but many variants: not for a few tasks
+    fps = fps.select("fp").distinct().repartition(parts, F.xxhash64("fp"))  # few bytes, but many variants: not for the few tasks that Spark would take by size
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members = _Members(radius)
