@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, ids_and_texts
+from .common import ids_and_texts
 from .toxicity import fold_of
 
 #: Bytes of text in a chunk, and behind a range of hashes, about.
@@ -146,8 +146,9 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label_col: str
         ends = np.cumsum([0, *map(len, lists)])
         back = [[_pack(s[place[a:b]], press) for a, b in zip(ends, ends[1:])] for s in sums]
         word = distinct & 1 == 0
-        whole = [np.array([word.sum(), sums[0][word].sum(), sums[1][word].sum()]).astype(np.int64).tobytes()]
-        return pa.table({"chunk": [*sent["chunk"].to_pylist(), -1], "range": [*sent["range"].to_pylist(), -1], "n": pa.array(back[0] + whole, pa.binary()), "good": pa.array([*back[1], None], pa.binary())})
+        words = [int(word.sum()), int(sums[0][word].sum()), int(sums[1][word].sum())]
+        rows = [*sent["chunk"].to_pylist(), -1], [*sent["range"].to_pylist(), -1], [*back[0], None], [*back[1], None], [*[None] * len(lists), words]
+        return pa.table({k: pa.array(r, t) for (k, t), r in zip((("chunk", pa.int64()), ("range", pa.int64()), ("n", pa.binary()), ("good", pa.binary()), ("words", pa.list_(pa.int64()))), rows)})
 
     def score(texts: pa.Table, got: pa.Table) -> pa.Table:
         of_range = got["range"].to_pylist()
@@ -167,12 +168,11 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label_col: str
         return pa.table({"doc_id": texts["doc_id"], "n_words": chunk.n_words, "target_loss": losses[0], "background_loss": losses[1], "score": losses[1] - losses[0]})
 
     sent = texts.groupBy("chunk").cogroup(good.groupBy("chunk")).applyInArrow(send, "chunk long, range long, grams binary, n binary, good binary")
-    summed = cut_lineage(sent.groupBy("range").applyInArrow(add_up, "chunk long, range long, n binary, good binary"))
-    whole = [sum(x) for x in zip(*(np.frombuffer(r.n, np.int64).tolist() for r in summed.where("chunk = -1").select("n").collect()))]  # three numbers a range
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("n", "binary"), ("good", "binary"))]
-    no_id, no_sums = F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("array<long>").alias("whole")
-    to_all = docs.sparkSession.range(chunks).select(F.col("id").alias("chunk"), F.lit(-1).cast("long").alias("range"), *nothing, no_id, F.array(*[F.lit(x).cast("long") for x in whole]).alias("whole") if whole else no_sums)
-    ids = good.select("chunk", F.lit(-2).cast("long").alias("range"), *nothing, "doc_id", no_sums)
-    back = summed.where("chunk >= 0").select("chunk", "range", "n", "good", no_id, no_sums).union(ids)
-    back = back.union(to_all) if whole else back
+    summed = sent.groupBy("range").applyInArrow(add_up, "chunk long, range long, n binary, good binary, words array<long>")
+    # one job, in which Spark shuffles the texts, and what the chunks send, once for both uses
+    whole = summed.where("chunk = -1").agg(F.array(*[F.coalesce(F.sum(F.col("words")[i]), F.lit(0)) for i in range(3)]).alias("whole"))
+    no_sums, no_id, no_words = [F.lit(None).cast("binary").alias(c) for c in ("n", "good")], F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("array<long>").alias("whole")
+    to_all = docs.sparkSession.range(chunks).select(F.col("id").alias("chunk"), F.lit(-1).cast("long").alias("range"), *no_sums, no_id).crossJoin(F.broadcast(whole))  # one row
+    ids = good.select("chunk", F.lit(-2).cast("long").alias("range"), *no_sums, "doc_id", no_words)
+    back = summed.where("chunk >= 0").select("chunk", "range", "n", "good", no_id, no_words).union(ids).union(to_all)
     return texts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(score, "doc_id long, n_words long, target_loss double, background_loss double, score double")
