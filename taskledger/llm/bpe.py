@@ -280,12 +280,12 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, text) of (doc_id, ids); null ids give an empty text."""
+    """(doc_id, text) of (doc_id, ids); null ids give an empty text, and ids that the vocabulary lacks are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
         for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([tool.decode(ids or []) for ids in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
+            yield pa.record_batch([batch.column(0), pa.array([tool.decode([i for i in ids or () if i is not None and 0 <= i < len(tool.tokens)]) for ids in batch.column(1).to_pylist()], pa.string())], names=["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
 

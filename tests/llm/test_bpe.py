@@ -62,6 +62,12 @@ def test_digests_and_empty_table(docs):
     assert row.n_tokens == 0 and row.ids_sha256 == row.decoded_sha256 == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 
 
+def test_decoding_of_odd_ids(spark):
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [5, -1, 10_000_000, None, 6]), (None, [5])], "doc_id long, ids array<int>")
+    got = {r.doc_id: r.text for r in B.decode_documents(rows, PATH).collect()}
+    assert got == {1: "", 2: "", 3: LIBRARY.decode([5, 6], skip_special_tokens=False), None: LIBRARY.decode([5], skip_special_tokens=False)}
+
+
 def test_tokenizers_that_keep_white_space_are_refused():
     B.Codec(PATH)
     with pytest.raises(ValueError):

@@ -67,3 +67,45 @@ def test_a_passage_goes_to_its_last_sentence(docs):
     got = {r.doc_id: r for r in S.remove_repeats(docs(rows)).collect()}
     assert got[1].text == rows[0][1]
     assert got[2].text == "Other words stand here. Second ends so." and got[2].n_removed == 4
+
+
+def brute_removed(rows):
+    """The rows' texts by plain loops: every run of sentences as a tuple of words, its first document, and what later runs cover."""
+    least = -(1 << 63)
+    cut = []
+    for i, t in rows:
+        ends = S.spans(t or "").ends.tolist()
+        parts = [(t or "")[a:b] for a, b in zip([0, *ends], ends)]
+        sizes = [len(p.split()) for p in parts]
+        enough = lambda a, b, n=sizes: b - a >= S.SPAN and sum(n[a:b]) >= S.LEAST_WORDS
+        runs = set()
+        for at in range(len(parts) + 1):
+            runs |= {(at, b) for b in range(at, len(parts) + 1) if enough(at, b) and not enough(at, b - 1)}
+            runs |= {(a, at) for a in range(at) if enough(a, at) and not enough(a + 1, at)}
+        cut.append((least if i is None else i, parts, [(a, b, tuple("".join(parts[a:b]).lower().split())) for a, b in sorted(runs)]))
+    first = {}
+    for i, _, runs in cut:
+        for *_, words in runs:
+            first[words] = min(i, first.get(words, i))
+    out = []
+    for (i, parts, runs), (doc_id, t) in zip(cut, rows):
+        seen, gone = set(), set()
+        for a, b, words in runs:
+            if words in seen or i > first[words]:
+                gone |= set(range(a, b))
+            seen.add(words)
+        out.append((doc_id, "".join(p for n, p in enumerate(parts) if n not in gone) if gone else t or "", len(gone)))
+    return out
+
+
+def test_rows_are_those_of_brute_force(docs):
+    """Passages in many documents and within one, repeated rows, ids that repeat, no ids and the least id that there is, and odd texts."""
+    draw = random.Random(11)
+    passages = [prose(draw, draw.randrange(4, 9)) for _ in range(5)]
+    rows = []
+    for i in range(60):
+        parts = [prose(draw, draw.randrange(0, 5)), *draw.choices(passages, k=draw.randrange(0, 4)), prose(draw, draw.randrange(0, 4))]
+        rows.append((draw.choice([None, -(1 << 63), i, i // 2]), draw.choice([" ", "\n", "  "]).join(parts)))
+    rows += [*ODD[:8], *rows[:4]]
+    got = [(r.doc_id, r.text, r.n_removed) for r in S.remove_repeats(docs(rows)).collect()]
+    assert sorted(got, key=str) == sorted(brute_removed(rows), key=str) and sum(n for *_, n in got) > 200

@@ -139,3 +139,12 @@ def test_odd_rows_and_no_labels(spark, docs):
     assert T.toxicity(docs([]), none).count() == 0
     kept = T.drop_toxic(docs([*ODD, (50, "you clown")]), T.Lexicon({"clown": 9.0}, [], (-2.0, 5.0, 0.0)))
     assert kept.count() == len(ODD) and kept.columns == docs([]).columns
+
+
+def test_very_long_texts_and_ties(spark, docs):
+    """A whole text counts, however long; texts of equal content score alike, also at the threshold."""
+    lexicon = T.Lexicon({"clown": 9.0}, [], (0.0, 5.0, 0.0))
+    long = "word " * 200_000
+    got = {r.doc_id: r.score for r in T.score_documents(docs([(1, long), (2, long + "clown"), (3, "fine"), (4, "fine"), (5, "clown " * 100_000)]), lexicon).collect()}
+    assert got[1] == got[3] == got[4] == 0.5 < got[2] < got[5]
+    assert T.drop_toxic(docs([(3, "fine"), (4, "fine")]), lexicon).count() == 0  # at the threshold is rejected
