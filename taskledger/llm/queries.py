@@ -28,21 +28,25 @@ def query(f):
 
 @query
 def op1_simhash_dedup(spark, sf_dir):
+    """Every row of documents with its fingerprint and component, over three-word shingles. Null, empty, repeated and very long texts, ties and clashing columns: as near_duplicates() says."""
     return near_duplicates(table(spark, sf_dir, "documents"), radius=3, words=3)
 
 
 @query
 def op4_toxicity(spark, sf_dir):
+    """Every row of documents with its score; learned from labels outside fold 0. Odd rows, and no labels: as learn_lexicon() and score_documents() say."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query
 def op2_bpe(spark, sf_dir):
+    """Every row of documents with its token count and digests. A null text is empty; rows that repeat each give a row."""
     return round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 @query
 def op7_mixing(spark, sf_dir):
+    """Every row of documents with the words that the mix takes of it. Null sources, repeated rows, empty tables: as mix() says."""
     return mix(table(spark, sf_dir, "documents"))
 
 
@@ -79,6 +83,7 @@ from d join g on d.source is not distinct from g.source join p on d.source is no
 
 @query
 def op5_secrets(spark, sf_dir):
+    """Every row of documents with its spans. A null text has none; time grows with the text, however many or long its candidates."""
     return secret_spans(table(spark, sf_dir, "documents"))
 
 
@@ -135,24 +140,29 @@ ORACLE_SQL["op5_secrets"] = _secrets_sql()
 
 @query
 def op10_fingerprints(spark, sf_dir):
+    """Every row of documents with both fingerprints, and for each hundredth the rows within the radius. Null and repeated ids, single rows: as edited_likeness() says."""
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
 @query
 def op8_nearest(spark, sf_dir):
+    """Up to 20 neighbours of every twentieth vector. Odd vectors, ties, repeated ids, few rows: as neighbours() says."""
     return neighbours(table(spark, sf_dir, "embeddings"))
 
 
 @query
 def op6_html(spark, sf_dir):
+    """Every row of pages with its main text. Null and broken pages and odd URLs: as extract_articles() and with_host() say."""
     return extract_articles(table(spark, sf_dir, "pages"))
 
 
 @query
 def op3_substring_dedup(spark, sf_dir):
+    """Every row of documents without its repeated passages. Null and repeated ids, empty texts, texts that repeat whole: as remove_repeats() says."""
     return remove_repeats(table(spark, sf_dir, "documents"))
 
 
 @query
 def op9_lm_scores(spark, sf_dir):
+    """Every row of documents with both losses and their difference. No target, empty texts, repeated rows and labels: as cross_entropy_difference() says."""
     return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
