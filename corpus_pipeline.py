@@ -57,7 +57,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what passes between them is written to the shared checkpoint folder."""
+    """All stages over documents; what passes between them is written to the shared checkpoint folder.
+
+    Rows with null or repeated ids are rows like others: a row is known by its id and text. Null
+    texts are empty, and of empty ones, which are copies of each other, one is kept; the mix takes
+    words, so a text without any isn't in it. An empty table gives no rows.
+    """
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
