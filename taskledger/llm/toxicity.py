@@ -207,8 +207,12 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label_col: str = "toxic")
     def in_known(word: str) -> bool:
         return word in weights or any(f"{word[:n]}*" in weights for n in STEMS)
 
+    def phrases(found: list[str]) -> set[str]:
+        known = set(filter(in_known, set(found)))
+        return {f"{a} {b}" for a, b in zip(found, found[1:]) if a in known or b in known} if known else set()
+
     # phrases around a term that are rarely toxic although the term is
-    mild = counted(lambda found: {f"{a} {b}" for a, b in zip(found, found[1:]) if in_known(a) or in_known(b)}).where(F.col("odds") <= 0)
+    mild = counted(phrases).where(F.col("odds") <= 0)
     exceptions = [r.term for r in mild.orderBy("term").collect()]  # of MAX_TRAIN rows
     lexicon = Lexicon(weights, exceptions)
 
