@@ -26,8 +26,10 @@ from .common import cut_lineage, ids_and_texts, join_skewed, partitions
 
 BITS, BYTES = 128, 16
 SEED = 42
-#: Differing bits within which fingerprints are near, and blocks that they are cut into.
-RADIUS, BLOCKS = 6, 7
+#: Differing bits within which fingerprints are near.
+RADIUS = 6
+#: Fingerprints for each value of a front, on average, up to which fronts of one block do; for more, fronts have two. Either finds the same.
+PER_FRONT = 16
 #: The registered search: fingerprints of rows whose doc_id is divisible by EVERY, against those of all rows.
 EVERY = 100
 #: Queries, and fingerprints, of one front that meet in one group, about, where the front is crowded: has over this share of all rows.
@@ -194,17 +196,19 @@ def _bytes(fps) -> np.ndarray:
     return np.frombuffer(b"".join(fps), np.uint8).reshape(-1, BYTES)
 
 
-def count_within(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
+def count_within(fps: DataFrame, radius: int = RADIUS, blocks: int | None = None) -> DataFrame:
     """(fp, asked, n_within) of each query: over all fingerprints within the radius, itself included, the sum of n.
 
     fps: (fp binary of BYTES bytes, n long, asked long), a row for each fingerprint; queries are those with
     asked > 0, and rows with a null fp are left out. Rows are sorted by front, queries first, and each task
     compares a front's queries with its fingerprints as they pass; a crowded front is dealt out to
-    several tasks, both ways. More blocks make longer fronts: for many more fingerprints than
-    2^(bits of a front), choose them so that blocks - radius is two.
+    several tasks, both ways. blocks, if not given: such that fronts grow with the number of fingerprints.
     """
-    tables = Tables(radius, blocks)
     fps = fps.select("fp", "n", "asked").where("fp is not null")
+    total = fps.count()
+    if blocks is None:
+        blocks = radius + (1 if total <= PER_FRONT << BITS // (radius + 1) else 2)
+    tables = Tables(radius, blocks)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +221,7 @@ def count_within(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) ->
 
     sample = with_fronts(fps.where(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0)).groupBy("front")
     sizes = sample.agg(F.count("*").alias("held"), F.count(F.when(F.col("asked") > 0, 1)).alias("asks"))
-    bound = max(GROUP, fps.count() * len(tables.places) // HOT_SHARE)
+    bound = max(GROUP, total * len(tables.places) // HOT_SHARE)
     hot = sizes.where(F.col("held") * SAMPLED > bound)  # HOT_SHARE rows at most
     hot = F.broadcast(cut_lineage(hot.select("front", *[F.greatest(F.lit(1), F.ceil(F.col(c) * SAMPLED / GROUP)).cast("int").alias(k) for c, k in (("held", "e"), ("asks", "q"))])))
     rows = with_fronts(fps).join(hot, "front", "left").withColumns({c: F.coalesce(c, F.lit(1)) for c in ("e", "q")})

@@ -69,7 +69,7 @@ def test_block_tables_count_all_within_the_radius(spark, monkeypatch, group):
             values.append(v ^ sum(1 << b for b in draw.sample(range(P.BITS), n)))
     rows = {v: (draw.randrange(1, 5), draw.randrange(2)) for v in values}
     table = spark.createDataFrame([(None, 1, 1), *((bytearray(v.to_bytes(P.BYTES, "little")), *r) for v, r in rows.items())], "fp binary, n long, asked long").repartition(5)
-    for radius, blocks in ((P.RADIUS, P.BLOCKS), (5, 7), (3, 5)):
+    for radius, blocks in ((P.RADIUS, None), (P.RADIUS, 8), (5, 7), (3, 5)):
         got = {int.from_bytes(r.fp, "little"): r.n_within for r in P.count_within(table, radius, blocks).collect()}
         assert got == {v: sum(n for w, (n, _) in rows.items() if (v ^ w).bit_count() <= radius) for v, (_, asked) in rows.items() if asked}
     assert P.count_within(table.limit(0)).count() == 0
