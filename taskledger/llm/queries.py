@@ -8,6 +8,7 @@ from . import secrets
 from .ann import neighbours
 from .bpe import round_trip_digests
 from .common import table
+from .conversations import Repair, damage
 from .fingerprints import edited_likeness
 from .html import extract_articles
 from .lm import cross_entropy_difference
@@ -166,3 +167,9 @@ def op3_substring_dedup(spark, sf_dir):
 def op9_lm_scores(spark, sf_dir):
     """Every row of documents with both losses and their difference. No target, empty texts, repeated rows and labels: as cross_entropy_difference() says."""
     return cross_entropy_difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_conversation_repair(spark, sf_dir):
+    """Every conversation, after damage, with its faults, the cheapest edits and a digest of what they give. Nulls, repeated rows, odd roles: as damage() and Repair say."""
+    return Repair(damage(table(spark, sf_dir, "conversations"))).report()
