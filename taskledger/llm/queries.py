@@ -7,6 +7,7 @@ import public_tokenizers
 from . import secrets
 from .ann import neighbours
 from .bpe import round_trip_digests
+from .collocations import collocations
 from .common import table
 from .conversations import Repair, damage
 from .fingerprints import edited_likeness
@@ -173,3 +174,38 @@ def op9_lm_scores(spark, sf_dir):
 def op11_conversation_repair(spark, sf_dir):
     """Every conversation, after damage, with its faults, the cheapest edits and a digest of what they give. Nulls, repeated rows, odd roles: as damage() and Repair say."""
     return Repair(damage(table(spark, sf_dir, "conversations"))).report()
+
+
+@query
+def op13_collocations(spark, sf_dir):
+    """Each language's first 2,000 phrases. Null langs and texts, repeated rows, no candidates: as collocations() says."""
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op13_collocations"] = r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, doc, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from (select row_number() over () as doc, lang, text from documents)),
+lists as (select lang, list_filter(string_split_regex(piece, '[\x20\x09]'), lambda w: w <> '') as w from pieces),
+grams as (
+  select lang, 1 as k, unnest(w) as phrase from lists
+  union all select lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) from lists where len(w) > 1
+  union all select lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) from lists where len(w) > 2),
+f as (select lang, k, phrase, count(*) as n from grams group by all),
+total as (select lang, cast(sum(n) as bigint) as n from f where k = 1 group by lang),
+c as (select lang, k, phrase, n as a, string_split(phrase, ' ') as w from f where k > 1 and n >= 10),
+cuts as (
+  select *, w[1] as head, array_to_string(w[2:], ' ') as tail, 1 as cut from c
+  union all select *, w[1] || ' ' || w[2], w[3], 2 from c where k = 3),
+scored as (
+  select cuts.lang, cuts.k, cuts.phrase, a, w, cut, l.n as l, r.n as r, (cast(1000000 as hugeint) * a * a) // (cast(l.n as hugeint) * r.n) as score
+  from cuts join f l on l.lang = cuts.lang and l.phrase = head and l.k = cut join f r on r.lang = cuts.lang and r.phrase = tail and r.k = cuts.k - cut),
+best as (select * from scored qualify row_number() over (partition by lang, k, phrase order by score, cut) = 1),
+longer as (
+  select lang, part, max(a) as a from (
+    select lang, w[1] || ' ' || w[2] as part, a from c where k = 3 union all select lang, w[2] || ' ' || w[3], a from c where k = 3) group by all),
+kept as (select best.* from best left join longer on longer.lang = best.lang and part = phrase and best.k = 2 where longer.a is null or 100 * longer.a < 50 * best.a)
+select kept.lang, row_number() over (partition by kept.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, total.n as n, cast(score as bigint) as score
+from kept join total on total.lang = kept.lang
+qualify rank <= 2000
+"""
