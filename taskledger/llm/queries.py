@@ -14,6 +14,7 @@ from .fingerprints import edited_likeness
 from .html import extract_articles
 from .lm import cross_entropy_difference
 from .mixing import mix
+from .quality import quality
 from .secrets import secret_spans
 from .simhash_dedup import near_duplicates
 from .substring import remove_repeats
@@ -209,3 +210,9 @@ select kept.lang, row_number() over (partition by kept.lang order by score desc,
 from kept join total on total.lang = kept.lang
 qualify rank <= 2000
 """
+
+
+@query
+def op12_quality(spark, sf_dir):
+    """Every row of documents with its score; learned from labels outside fold 1 of three. Odd rows, and no labels: as learn_quality() and score_quality() say."""
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
