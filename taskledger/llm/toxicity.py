@@ -80,6 +80,18 @@ def terms_of(found: list[str]) -> set[str]:
     return one | {f"{w[:n]}*" for w in one for n in STEMS if n < len(w)}
 
 
+def _outside(found: list[tuple[int, int, float]], spans: list[tuple[int, int]]) -> list[tuple[int, int, float]]:
+    """Hits that no span holds whole; both are in order of their ends, and one sweep from the last keeps the least start of the spans that end there or later."""
+    kept, at, least = [], len(spans) - 1, math.inf
+    for hit in reversed(found):
+        while at >= 0 and spans[at][1] >= hit[1]:
+            least = min(least, spans[at][0])
+            at -= 1
+        if least > hit[0]:
+            kept.append(hit)
+    return kept[::-1]
+
+
 @dataclass
 class Lexicon:
     """Weights by term, exception phrases (folded words joined by one space), and the curve's three numbers."""
@@ -125,9 +137,7 @@ class Matcher:
                     spared.append((start, end))
                 else:
                     found.append((start, end, weight))
-        if spared:
-            found = [h for h in found if not any(a <= h[0] and h[1] <= b for a, b in spared)]
-        return found
+        return _outside(found, spared) if spared else found
 
     def features(self, text: str) -> tuple[float, float]:
         return self.features_of(fold(text), len(text))
