@@ -32,6 +32,8 @@ RADIUS = 6
 PER_FRONT = 16
 #: The registered search: fingerprints of rows whose doc_id is divisible by EVERY, against those of all rows.
 EVERY = 100
+#: Characters of a text by which rows of one doc_id are ordered before a hash.
+PREFIX = 64
 #: Queries, and fingerprints, of one front that meet in one group, about, where the front is crowded: has over this share of all rows.
 GROUP, HOT_SHARE = 4_096, 10_000
 #: One fingerprint in so many tells which fronts are crowded. This deals out work and changes no result.
@@ -114,9 +116,9 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def edited_likeness(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, n_within) of every row.
 
-    The next document is that of the next doc_id, rising, rows of equal doc_id by text; after the
+    The next document is that of the next doc_id, rising, rows of equal doc_id in an order by text; after the
     last row comes the first, and a null doc_id stands before all others. A single row follows
-    itself. Rows are dealt out in ranges of doc_id and each task reads its range in order; where a
+    itself. Rows are dealt out in ranges of doc_id, then text (its first PREFIX characters, then a hash), so that an id of very many rows is many ranges, and each task reads its range in order; where a
     range ends, its last text meets the first text of the next range in a second step that has
     two rows a range.
 
@@ -162,8 +164,9 @@ def _edited(docs: DataFrame) -> DataFrame:
                 rows = [_compared(row["doc_id"], row["text"], fingerprint(row["text"]), row["following"], fingerprint(row["following"]))]
                 yield _batch(rows, inner)
 
-    rows = ids_and_texts(docs).repartitionByRange(partitions(docs), F.col("doc_id").asc_nulls_first()).withColumn("range", F.spark_partition_id())
-    found = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInArrow(run, f"{_RESULT}, range int, edge string, text string")
+    order = [F.col("doc_id").asc_nulls_first(), F.left("text", F.lit(PREFIX)), F.xxhash64("text"), F.col("copy")]
+    rows = ids_and_texts(docs).withColumn("copy", F.monotonically_increasing_id()).repartitionByRange(partitions(docs), *order).withColumn("range", F.spark_partition_id())
+    found = rows.sortWithinPartitions(*order).select("doc_id", "text", "range").mapInArrow(run, f"{_RESULT}, range int, edge string, text string")
     found = cut_lineage(found)
     edges = found.where("edge is not null")
     firsts, lasts = edges.where("edge = 'first'"), edges.where("edge = 'last'")
