@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut_lineage, ids_and_texts, join_salted
+from .common import crowded_ids, cut_lineage, ids_and_texts, in_parts, join_salted
 
 #: Mean bytes of a chunk, as a power of two; bytes that the hash sees; how far a cut moves to white space.
 CHUNK_BITS, SEEN, REACH = 9, 8, 256
@@ -198,26 +198,26 @@ def codec(path: str) -> Codec:
 
 
 def shared_encodings(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Two tables: `whole` (doc_id, packed, cuts, keys) of every document, cut up and compressed; `known` (doc_id, found array of (h1, h2, ids)) of documents with chunks that occur more than once."""
+    """Two tables: `whole` (doc_id, part, none, packed, cuts) of every document, cut up and compressed; `known` (doc_id, part, found array of (h1, h2, ids)) of documents with chunks that occur more than once; for part and none see in_parts()."""
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc_id, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = text.as_buffer().to_pybytes()
-                rows += [(doc_id, *key) for key in map(chunk_key, pieces(raw, chunk_cuts(raw))) if doc_id is not None]
-            a, b, c = zip(*rows) if rows else ((), (), ())
-            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], names=["doc_id", "h1", "h2"])
+                rows += [(doc_id, part, *key) for key in map(chunk_key, pieces(raw, chunk_cuts(raw)))]
+            columns = zip(*rows) if rows else [()] * 4
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()))], names=["doc_id", "part", "h1", "h2"])
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             packed, cuts = [], []
-            for text in batch.column(1):
+            for text in batch.column(3):
                 raw = text.as_buffer().to_pybytes()
                 packed.append(press.compress(raw))
                 cuts.append(chunk_cuts(raw))
-            yield pa.record_batch([batch.column(0), pa.array(packed, pa.binary()), pa.array(cuts, pa.list_(pa.int32()))], names=["doc_id", "packed", "cuts"])
+            yield pa.record_batch([*batch.columns[:3], pa.array(packed, pa.binary()), pa.array(cuts, pa.list_(pa.int32()))], names=["doc_id", "part", "none", "packed", "cuts"])
 
     def encode_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
@@ -236,14 +236,16 @@ def shared_encodings(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
                 yield pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(ids, pa.binary())], names=["h1", "h2", "ids"])
 
     texts = ids_and_texts(docs)
-    whole = texts.mapInArrow(cut_up, "doc_id long, packed binary, cuts array<int>")
-    each = cut_lineage(texts.mapInArrow(occurrences, "doc_id long, h1 long, h2 long").groupBy("doc_id", "h1", "h2").agg(F.count("*").alias("n")))
-    shared = cut_lineage(each.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("doc_id").alias("owner"), F.count("*").alias("docs")).where("n > 1"))
-    owned = shared.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_list(F.struct("h1", "h2")).alias("owned"))  # bounded by the owner's text
+    texts = in_parts(texts, crowded_ids(texts)).select("doc_id", "part", "none", "text")
+    whole = texts.mapInArrow(cut_up, "doc_id long, part int, none boolean, packed binary, cuts array<int>")
+    each = cut_lineage(texts.select("doc_id", "part", "text").mapInArrow(occurrences, "doc_id long, part int, h1 long, h2 long").groupBy("doc_id", "part", "h1", "h2").agg(F.count("*").alias("n")))
+    shared = each.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "part")).alias("owner"), F.count("*").alias("docs")).where("n > 1")
+    shared = cut_lineage(shared.select("h1", "h2", "docs", "owner.doc_id", "owner.part"))
+    owned = shared.groupBy("doc_id", "part").agg(F.collect_list(F.struct("h1", "h2")).alias("owned"))  # bounded by the text of one part of an id
     # a left join like that of the texts with `known`, so that Spark shuffles `whole` once for both
-    once = whole.join(owned, "doc_id", "left").select("packed", "cuts", "owned").mapInArrow(encode_owned, "h1 long, h2 long, ids binary")
+    once = whole.join(owned, ["doc_id", "part"], "left").select("packed", "cuts", "owned").mapInArrow(encode_owned, "h1 long, h2 long, ids binary")
     once = once.groupBy("h1", "h2").agg(F.first("ids").alias("ids"))  # rows may repeat a doc_id
-    known = join_salted(each, once, ["h1", "h2"], shared.select("h1", "h2", F.col("docs").alias("n"))).groupBy("doc_id").agg(F.collect_list(F.struct("h1", "h2", "ids")).alias("found"))
+    known = join_salted(each, once, ["h1", "h2"], shared.select("h1", "h2", F.col("docs").alias("n"))).groupBy("doc_id", "part").agg(F.collect_list(F.struct("h1", "h2", "ids")).alias("found"))
     return whole, known
 
 
@@ -265,7 +267,8 @@ def encoded_texts(docs: DataFrame, path: str, schema: str, finish) -> DataFrame:
                 tool.learn(new)
                 yield finish(tool, batch.column(0), [tool.unpack(tool.joined(*p)) for p in parts])
 
-    return whole.join(known, "doc_id", "left").select("doc_id", "packed", "cuts", "found").mapInArrow(run, schema)
+    doc_id = F.when(~F.col("none"), F.col("doc_id")).alias("doc_id")
+    return whole.join(known, ["doc_id", "part"], "left").select(doc_id, "packed", "cuts", "found").mapInArrow(run, schema)
 
 
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:

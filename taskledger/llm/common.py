@@ -89,3 +89,27 @@ def hex64(value: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of maximal runs free of ASCII white space; null counts as empty."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+
+
+#: Bytes of text under one id, about, from which its rows are dealt to parts.
+CROWDED_BYTES = 1_000_000
+#: Stands for a null id.
+LEAST_ID = -(2**63)
+
+
+def crowded_ids(texts: DataFrame, bound: int = CROWDED_BYTES) -> DataFrame:
+    """(doc_id, parts) of ids whose rows of texts (doc_id, text) hold more than `bound` bytes together; a null id is LEAST_ID."""
+    known = texts.select(F.coalesce("doc_id", F.lit(LEAST_ID)).alias("doc_id"), F.octet_length("text").cast("long").alias("bytes"))
+    sizes = known.groupBy("doc_id").agg(F.sum("bytes").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > bound) & (F.col("n") > 1))
+    return written(sizes.select("doc_id", F.ceil(F.col("bytes") / bound).cast("int").alias("parts")), "crowded")
+
+
+def in_parts(texts: DataFrame, crowded: DataFrame) -> DataFrame:
+    """texts (doc_id, text) with `none`, whether the id is null, LEAST_ID in its place, and `part`: 0, but for crowded ids a number by the text.
+
+    So (doc_id, part) is a key that no id makes hot, unless by rows that agree in text. Spark broadcasts the
+    crowded ids if they are few, and joins them by a shuffle if they aren't.
+    """
+    known = texts.withColumns({"none": F.col("doc_id").isNull(), "doc_id": F.coalesce("doc_id", F.lit(LEAST_ID))})
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("text"), F.col("parts"))).cast("int")
+    return known.join(crowded, "doc_id", "left").withColumn("part", part).drop("parts")

@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts
+from .common import crowded_ids, ids_and_texts, in_parts
 from .toxicity import fold_of
 
 #: Bytes of text in a chunk, and behind a range of hashes, about.
@@ -102,7 +102,9 @@ class Chunk:
 
 def _bounds(ranges: int) -> np.ndarray:
     """Least gram of each range: signed longs in equal parts."""
-    return np.array([-(1 << 63) + (1 << 64) * i // ranges for i in range(ranges)], np.int64)
+    whole, rest = divmod(1 << 64, ranges)
+    at = np.arange(ranges, dtype=np.uint64)
+    return (at * np.uint64(whole & 0xFFFFFFFFFFFFFFFF) + at * np.uint64(rest) // np.uint64(ranges) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def _pack(values: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
@@ -119,21 +121,23 @@ def cross_entropy_difference(docs: DataFrame, labels: DataFrame, label_col: str
     """(doc_id, n_words, target_loss, background_loss, score) of every row of docs; losses are nats a word.
 
     The target is every document labelled 1 outside fold 0 of the held-out split, labelled twice or
-    not; the background is every row. Empty and null texts have no words, and losses and score of
+    not, every row of its id; the background is every row. Empty and null texts have no words, and losses and score of
     zero; so has everything if there is no target. Rows that repeat count each time; rows without
     an id are background only.
     """
     good = labels.where((F.col(label_col) == 1) & (fold_of(F.col("doc_id")) != 0)).select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
     texts = ids_and_texts(docs)
+    crowded = crowded_ids(texts, CHUNK_BYTES)
     chunks = 1 + (texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES
-    salt = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0)  # rows without an id spread
-    texts = texts.withColumn("chunk", F.pmod(F.xxhash64("doc_id", salt), F.lit(chunks)))
-    good = good.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(0).cast("long")), F.lit(chunks)).alias("chunk"))
+    chunk = F.pmod(F.xxhash64("doc_id", "part"), F.lit(chunks)).alias("chunk")
+    texts = in_parts(texts, crowded).select(F.when(~F.col("none"), F.col("doc_id")).alias("doc_id"), "text", chunk)
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    good = good.join(crowded, "doc_id", "left").select("doc_id", every).select("doc_id", chunk).distinct()
 
     def send(texts: pa.Table, good: pa.Table) -> pa.Table:
-        chunk, press, rows = Chunk(texts, good["doc_id"].to_numpy()), zstandard.ZstdCompressor(level=1), []
+        chunk, press, rows, least = Chunk(texts, good["doc_id"].to_numpy()), zstandard.ZstdCompressor(level=1), [], _bounds(chunks)
         for at, part in chunk.ranges(chunks):
-            deltas = np.diff(chunk.distinct[part], prepend=_bounds(chunks)[at])
+            deltas = np.diff(chunk.distinct[part], prepend=least[at])
             rows.append((texts["chunk"][0].as_py(), at, _pack(deltas, press), _pack(chunk.n[part], press), _pack(chunk.good[part], press)))
         columns = zip(*rows) if rows else [()] * 5
         return pa.table({k: pa.array(c, t) for (k, t), c in zip((("chunk", pa.int64()), ("range", pa.int64()), ("grams", pa.binary()), ("n", pa.binary()), ("good", pa.binary())), columns)})

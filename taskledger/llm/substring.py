@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ids_and_texts, written
+from .common import crowded_ids, ids_and_texts, in_parts, written
 
 #: Sentences and words that a run has at least.
 SPAN, LEAST_WORDS = 3, 20
@@ -29,7 +29,6 @@ LONGEST, NEAR, EQUAL = 12, 3, 8
 
 _WORD = re.compile(r"\S+\s*")
 _END = re.compile(r"[.!?…。！？]+[\"'”’)\]]*(?=\s)|\n")
-_LEAST_ID = -(1 << 63)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -111,14 +110,15 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, again = [], [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            ids, parts, hashes, again = [], [], [], []
+            for doc_id, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 found, n = np.unique(spans(text.as_py()).hashes, return_counts=True)
                 ids.append(np.full(len(found), doc_id, np.int64))
+                parts.append(np.full(len(found), part, np.int32))
                 hashes.append(found)
                 again.append(n > 1)
             if ids:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, hashes, again)], names=["doc_id", "h", "again"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (ids, parts, hashes, again)], names=["doc_id", "part", "h", "again"])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -141,9 +141,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                 out.append((None if none else doc_id, text, removed))
             yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["doc_id", "text", "n_removed"])
 
-    texts = ids_and_texts(docs).withColumn("none", F.col("doc_id").isNull()).withColumn("doc_id", F.coalesce("doc_id", F.lit(_LEAST_ID)))
-    runs = written(texts.select("doc_id", "text").mapInArrow(emit, "doc_id long, h long, again boolean"), "runs")
+    texts = ids_and_texts(docs)
+    texts = in_parts(texts, crowded_ids(texts))
+    runs = written(texts.select("doc_id", "part", "text").mapInArrow(emit, "doc_id long, part int, h long, again boolean"), "runs")
     shared = runs.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.max("again").alias("within")).where("first < last or within").select("h", "first")
-    # what a document holds again: of its own runs, or of those that an earlier document has; bounded by its text
-    later = runs.join(shared, "h").groupBy("doc_id").agg(F.max("again").alias("inner"), F.collect_set(F.when(F.col("doc_id") > F.col("first"), F.col("h"))).alias("foreign"))
-    return texts.join(later, "doc_id", "left").select("doc_id", "none", "text", "inner", "foreign").mapInArrow(clean, "doc_id long, text string, n_removed long")
+    # what a row holds again: of its own runs, or of those that an earlier document has; bounded by the text of one part of an id
+    later = runs.join(shared, "h").groupBy("doc_id", "part").agg(F.max("again").alias("inner"), F.collect_set(F.when(F.col("doc_id") > F.col("first"), F.col("h"))).alias("foreign"))
+    return texts.join(later, ["doc_id", "part"], "left").select("doc_id", "none", "text", "inner", "foreign").mapInArrow(clean, "doc_id long, text string, n_removed long")
