@@ -23,14 +23,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_salted, partitions, written
+from .common import partitions, written
 
 #: Words of the longest phrases, least count of a candidate, share (in %) of its count that drops it for a longer one, rows a language.
 LONGEST, LEAST, COVERED, ROWS = 3, 10, 50, 2000
 #: Bytes of text whose phrases are counted before they leave a mapper.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 12_000_000
 #: Phrases that a shard's task holds at a time, about.
 SHARD_ROWS = 1 << 20
+#: Tasks that phrases with one word in one place are dealt over.
+SALTS = 8
 #: Bits of the bitmap of frequent words or phrases: sixteen for each, in these bounds; beyond, more phrases are followed that turn out to be rare.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 
@@ -326,9 +328,13 @@ def _with_cuts(counted: DataFrame, levels: list[DataFrame], length: int) -> Data
 
 
 def _look_up(rows: DataFrame, level: DataFrame, keys: list[str], values: list) -> DataFrame:
-    """rows with values of the phrase of a lower level that `keys` name; a part of very many phrases is dealt out."""
+    """rows with values of the phrase of a lower level that `keys` name. A word may be part of very many phrases, which are dealt over SALTS; longer parts are left to Spark's splitting."""
     own = level.select(*[F.col(f"k{i + 1}").alias(k) for i, k in enumerate(keys)], *values)
-    return join_salted(rows, own, keys, rows.groupBy(*keys).agg(F.count("*").alias("n")))
+    if len(keys) > 1:
+        return rows.join(own, keys)
+    others = [c for c in rows.columns if c.startswith("k") and c not in keys]
+    asks = rows.withColumn("_salt", F.pmod(F.xxhash64(*others), F.lit(SALTS)).cast("int"))
+    return asks.join(own.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*keys, "_salt"]).drop("_salt")
 
 
 def _uncovered(rows: DataFrame, longer: DataFrame, length: int, covered: int) -> DataFrame:
