@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import is_due, is_expired, one_of, payload_bytes
+from ..plans.ranges import numbered
 from ..schema import QUEUED, STATUSES
 
 
@@ -79,13 +80,18 @@ def queue_depth(tasks: DataFrame, queue: str, max_depth: int) -> DataFrame:
     return tasks.where((F.col("queue") == queue) & (F.col("status") == QUEUED)).limit(max_depth).agg((F.lit(max_depth) - F.count("*")).cast("long").alias("headroom"))
 
 
-def deliveries(claimed: DataFrame, batch_sizes: dict[str, int]) -> DataFrame:
-    """(id, name, chunk): claimed tasks in calls of at most their name's batch size, one by one for names without."""
+def with_chunks(claimed: DataFrame, batch_sizes: dict[str, int]) -> DataFrame:
+    """claimed with `chunk`: calls of at most their name's batch size, one by one for names without. A name of very many tasks is numbered by ranges."""
     size = F.lit(1)
     for name, n in batch_sizes.items():
         size = F.when(F.col("name") == name, n).otherwise(size)
-    order = Window.partitionBy("name").orderBy(F.col("priority").desc(), "run_at_ms", "id")
-    return claimed.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size).cast("long")).select("id", "name", "chunk")
+    places = numbered(claimed, ["name"], [F.col("priority").desc(), F.col("run_at_ms"), F.col("id")])
+    return places.withColumn("chunk", F.floor(F.col("place") / size).cast("long")).drop("place")
+
+
+def deliveries(claimed: DataFrame, batch_sizes: dict[str, int]) -> DataFrame:
+    """(id, name, chunk) of with_chunks()."""
+    return with_chunks(claimed.select("id", "name", "priority", "run_at_ms"), batch_sizes).select("id", "name", "chunk")
 
 
 def claim_by_quota(tasks: DataFrame, quotas: dict[str, int], now: int, queues: Sequence[str] | None = None) -> DataFrame:
@@ -111,11 +117,31 @@ def claim_by_budget(tasks: DataFrame, quotas: dict[str, int], now: int, budget:
     return drawn.join(F.broadcast(left), "_turn").where(F.col("place") <= F.col("_left")).select("id", "name", "place")
 
 
-def within_bytes(claimed: DataFrame, budget: int) -> DataFrame:
-    """(id, name, bytes): of each name's claimed tasks, in order of claims, those whose payloads together fit the budget; the first in any case."""
-    order = Window.partitionBy("name").orderBy(F.col("priority").desc(), "run_at_ms", "id").rowsBetween(Window.unboundedPreceding, 0)
-    rows = claimed.withColumn("bytes", payload_bytes()).withColumns({"_sum": F.sum("bytes").over(order), "_n": F.count("*").over(order)})
-    return rows.where((F.col("_sum") <= budget) | (F.col("_n") == 1)).select("id", "name", "bytes")
+def within_bytes(claimed: DataFrame, budget: int, in_flight: DataFrame | None = None) -> DataFrame:
+    """(id, name, bytes): of each name's claimed tasks, in order of claims, those whose payloads fit what the budget leaves beside those of its tasks in flight. With nothing in flight the first goes in any case, alone if it is oversized."""
+    rows = numbered(claimed.select("id", "name", "priority", "run_at_ms", payload_bytes().alias("bytes")), ["name"], [F.col("priority").desc(), F.col("run_at_ms"), F.col("id")], ["bytes"])
+    held = F.lit(0)
+    if in_flight is not None:
+        rows = rows.join(in_flight.groupBy("name").agg(F.sum(payload_bytes()).alias("_held")), "name", "left")
+        held = F.coalesce("_held", F.lit(0))
+    return rows.where((F.col("before_bytes") + F.col("bytes") + held <= budget) | (F.col("place") == 0) & (held == 0)).select("id", "name", "bytes")
+
+
+def admitted(arrivals: DataFrame, tasks: DataFrame, limits: int | dict[str, int], order: Sequence[str] = ("seq",)) -> DataFrame:
+    """arrivals (queue, and the columns of an order without ties) with `place`, from 0 in their queue, and `admitted`: whether the queue, which holds so many queued tasks at most, has room for it.
+
+    limits: one for every queue, or by queue, where queues without have none. Rows with a null queue go to `default`. A queue that most rows go to is numbered by ranges.
+    """
+    if any(n < 1 for n in (limits.values() if isinstance(limits, dict) else [limits])):
+        raise ValueError("a limit must be at least 1")
+    rows = arrivals.withColumn("queue", F.coalesce("queue", F.lit("default")))
+    depth = tasks.where(F.col("status") == QUEUED).groupBy("queue").agg(F.count("*").alias("_depth"))
+    most = F.lit(None).cast("long") if isinstance(limits, dict) else F.lit(limits)
+    for queue, n in limits.items() if isinstance(limits, dict) else ():
+        most = F.when(F.col("queue") == queue, n).otherwise(most)
+    places = numbered(rows, ["queue"], [F.col(c) for c in order]).join(depth, "queue", "left")
+    fits = F.col("place") + F.coalesce("_depth", F.lit(0)) < most
+    return places.withColumn("admitted", F.coalesce(fits, F.lit(True))).drop("_depth")
 
 
 def percentiles(rows: DataFrame, by: str, value: str, shares: Sequence[float] = (0.5, 0.95)) -> DataFrame:

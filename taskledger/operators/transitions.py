@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import cancel_asked, checked, is_due, is_expired, is_owned, is_terminal, json_object_or, one_of, will_retry
-from .reads import deliveries
+from .reads import with_chunks
 from ..schema import CANCELED, FAILED, LEASE_EXPIRED, QUEUED, RUNNING, SUCCEEDED, TASK_COLUMNS, TERMINAL, UNWRITABLE_ERROR
 
 
@@ -52,13 +52,12 @@ def spawn(tasks: DataFrame, children: DataFrame, now: int) -> DataFrame:
 
 
 def handle(claimed: DataFrame, batch_sizes: dict[str, int], handler: Callable[[str, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """What `handler(name, tasks)` makes of each delivery (see reads.deliveries): rows of `schema`, as outcomes for complete() or fail(). A delivery has its name's batch size at most, and goes to one call."""
-    dealt = claimed.join(deliveries(claimed, batch_sizes).withColumnRenamed("name", "_name"), "id")
+    """What `handler(name, tasks)` makes of each delivery (see reads.deliveries): rows of `schema`. A delivery has its name's batch size at most, and goes to one call. A handler that raises ends the query: settle.deliver() makes outcomes of that."""
 
     def call(rows: pd.DataFrame) -> pd.DataFrame:
-        return handler(rows["_name"].iloc[0], rows.drop(columns=["_name", "chunk"]))
+        return handler(rows["name"].iloc[0], rows.drop(columns="chunk"))
 
-    return dealt.groupBy("_name", "chunk").applyInPandas(call, schema)
+    return with_chunks(claimed, batch_sizes).groupBy("name", "chunk").applyInPandas(call, schema)
 
 
 def claim(tasks: DataFrame, worker: str, now: int, lease_ms: int, limit: int, queues: Sequence[str] | None = None, names: Sequence[str] | None = None) -> DataFrame:
@@ -126,39 +125,47 @@ def report_progress(tasks: DataFrame, reports: DataFrame, now: int) -> DataFrame
     return _tasks_only(rows.withColumns({"progress": F.coalesce("_progress", "progress"), "message": F.coalesce("_message", "message"), "updated_at_ms": _ms(now)}))
 
 
+def succeeded_values(now: int) -> dict[str, Column]:
+    """What success in any case changes, given _result and _message."""
+    return {"status": F.lit(SUCCEEDED), "result": F.col("_result"), "progress": F.lit(1.0), "message": F.coalesce("_message", "message"), **_settled(now)}
+
+
+def completed_values(now: int) -> dict[str, Column]:
+    """What completion changes, given _result."""
+    stop = cancel_asked()
+    values = {"status": F.when(stop, CANCELED).otherwise(SUCCEEDED), "result": F.when(stop, F.col("result")).otherwise(F.col("_result")), "progress": F.when(stop, F.col("progress")).otherwise(1.0)}
+    return values | _settled(now)
+
+
+def failed_values(now: int) -> dict[str, Column]:
+    """What a failure changes, given _error, _retryable and _delay_ms."""
+    again = will_retry(F.coalesce(F.col("_retryable"), F.lit(True)))
+    return {
+        "status": F.when(cancel_asked(), CANCELED).when(again, QUEUED).otherwise(FAILED),
+        "error": json_object_or(F.col("_error"), UNWRITABLE_ERROR),
+        "progress": F.when(~again, F.col("progress")),
+        "message": F.when(~again, F.col("message")),
+        "worker_id": F.when(~again, F.col("worker_id")),
+        "lease_until_ms": _null("long"),
+        "run_at_ms": F.when(again, now + F.coalesce(F.col("_delay_ms"), F.lit(0))).otherwise(F.col("run_at_ms")).cast("long"),
+        "completed_at_ms": F.when(~again, now).cast("long"),
+        "updated_at_ms": _ms(now),
+    }
+
+
 def succeed(tasks: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:
     """outcomes: (id, worker, result, message). Succeeded whatever was asked since."""
-    rows = _of(tasks, outcomes, now)
-    return _tasks_only(rows.withColumns({"status": F.lit(SUCCEEDED), "result": F.col("_result"), "progress": F.lit(1.0), "message": F.coalesce("_message", "message"), **_settled(now)}))
+    return _tasks_only(_of(tasks, outcomes, now).withColumns(succeeded_values(now)))
 
 
 def complete(tasks: DataFrame, outcomes: DataFrame, now: int) -> DataFrame:
     """outcomes: (id, worker, result). Canceled if that was asked, then without result; else succeeded."""
-    rows = _of(tasks, outcomes, now)
-    stop = cancel_asked()
-    values = {"status": F.when(stop, CANCELED).otherwise(SUCCEEDED), "result": F.when(stop, F.col("result")).otherwise(F.col("_result")), "progress": F.when(stop, F.col("progress")).otherwise(1.0)}
-    return _tasks_only(rows.withColumns(values | _settled(now)))
+    return _tasks_only(_of(tasks, outcomes, now).withColumns(completed_values(now)))
 
 
 def fail(tasks: DataFrame, failures: DataFrame, now: int) -> DataFrame:
     """failures: (id, worker, error, retryable, delay_ms). Canceled if that was asked, queued again after the delay if it is retryable (or null) and attempts are left, else failed; the error is recorded in any case, a stand-in where it is no JSON object."""
-    rows = _of(tasks, failures, now)
-    again = will_retry(F.coalesce(F.col("_retryable"), F.lit(True)))
-    return _tasks_only(
-        rows.withColumns(
-            {
-                "status": F.when(cancel_asked(), CANCELED).when(again, QUEUED).otherwise(FAILED),
-                "error": json_object_or(F.col("_error"), UNWRITABLE_ERROR),
-                "progress": F.when(~again, F.col("progress")),
-                "message": F.when(~again, F.col("message")),
-                "worker_id": F.when(~again, F.col("worker_id")),
-                "lease_until_ms": _null("long"),
-                "run_at_ms": F.when(again, now + F.coalesce(F.col("_delay_ms"), F.lit(0))).otherwise(F.col("run_at_ms")).cast("long"),
-                "completed_at_ms": F.when(~again, now).cast("long"),
-                "updated_at_ms": _ms(now),
-            }
-        )
-    )
+    return _tasks_only(_of(tasks, failures, now).withColumns(failed_values(now)))
 
 
 def lost_leases(tasks: DataFrame, writes: DataFrame, now: int) -> DataFrame:

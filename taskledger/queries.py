@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import documents
 from .functions.expressions import backoff_window
-from .operators import fold, keys as keyed, reads, transitions as move
+from .operators import fold, keys as keyed, reads, settle, transitions as move
 from .plans import apply_changes
 from .schema import LEASE_EXPIRED, TASK_COLUMNS
 from .sources.fixtures import NOW_EARLY, NOW_LATE, NOW_MID, commands, outcomes, task_keys, tasks
@@ -471,6 +473,87 @@ def batch_handler(spark, d):
     return move.handle(tasks(spark, d).where("status = 'running'"), {"embed": 256, "render": 8, "summarize": 64, "reindex": 64}, sizes, "id string, worker string, result string")
 
 
+def _ends(call: settle.Delivery) -> object:
+    """A handler that ends in every way there is, by the numbers of its tasks."""
+    numbers = {id: int(id[5:]) for id in call.tasks["id"]}
+    first = next(iter(numbers.values()))
+    if call.name == "embed":
+        for id, n in numbers.items():
+            if n % 5 == 0:
+                call.succeed(id, {"early": n}, "early")
+                call.fail(id, "too late")
+            elif n % 5 == 1:
+                call.fail(id, "no source", retryable=False)
+        return {id: {"n": n} for id, n in numbers.items() if n % 5 < 3}
+    if call.name == "render":
+        if first % 3 == 0:
+            raise ValueError("bad batch")
+        if first % 3 == 1:
+            raise settle.LostLease
+        return ["no mapping"]
+    if call.name == "summarize":
+        if first % 4 == 1:
+            raise settle.TaskError("bad input", code="bad_input")
+        if first % 4 == 2:
+            raise settle.TaskError("come again", retryable=True)
+        return {"n": first} if first % 4 else float("nan")
+    if first % 997 == 1:
+        time.sleep(60)
+    if first % 3 == 0:
+        raise LookupError("gone")
+    return first
+
+
+def _envelope_sql(type: str, code: str, message: str, retryable: bool) -> str:
+    return "'" + documents.envelope(type, code, message, retryable) + "'"
+
+
+_ENDS = f"""
+, r as (select *, cast(substr(id, 6) as bigint) as n, (row_number() over (partition by name order by priority desc, run_at_ms, id) - 1) // 8 as chunk from t where status = 'running'),
+f as (select *, first_value(n) over (partition by name, chunk order by priority desc, run_at_ms, id) as head from r),
+e as (
+  select *, case name
+      when 'embed' then case n % 5 when 0 then 'succeed' when 1 then 'fail' else 'complete' end
+      when 'render' then case head % 3 when 0 then 'fail' when 1 then 'lost' else 'complete' end
+      when 'summarize' then case when n % 4 = 3 then 'complete' else 'fail' end
+      else case when n % 997 = 1 or n % 3 = 0 then 'fail' else 'complete' end end as kind,
+    case name when 'embed' then case n % 5 when 0 then concat('{{"early":', cast(n as varchar), '}}') when 2 then concat('{{"n":', cast(n as varchar), '}}') end
+      when 'summarize' then concat('{{"n":', cast(n as varchar), '}}') when 'reindex' then cast(n as varchar) end as new_result,
+    case name when 'embed' then {_envelope_sql("TaskError", "task_error", "no source", False)}
+      when 'render' then {_envelope_sql("ValueError", "handler_error", "bad batch", True)}
+      when 'summarize' then case n % 4 when 0 then '{settle.UNSERIALIZABLE.replace("'", "''")}' when 1 then {_envelope_sql("TaskError", "bad_input", "bad input", False)} else {_envelope_sql("TaskError", "task_error", "come again", True)} end
+      else case when n % 997 = 1 then {_envelope_sql("HandlerTimeout", "handler_timeout", "a call of reindex ran longer than 2000 ms", True)} else {_envelope_sql("LookupError", "handler_error", "gone", True)} end end as new_error,
+    name = 'render' or name = 'reindex' or name = 'summarize' and n % 4 = 2 as retryable,
+    least(30000, 1000 * cast(pow(2, greatest(0, attempt - 1)) as bigint)) as wide
+  from f where lease_until_ms > {NOW_EARLY}),
+x as (
+  select *, case when kind = 'succeed' or kind = 'complete' and cancel_requested_at_ms is null then 'done' when cancel_requested_at_ms is not null then 'stopped' when retryable and attempt < max_attempts then 'again' else 'gone' end as became
+  from e where kind <> 'lost') """
+
+
+@query(
+    _ENDS
+    + _changed(
+        "x t",
+        status="case t.became when 'done' then 'succeeded' when 'stopped' then 'canceled' when 'again' then 'queued' else 'failed' end",
+        result="case when t.became = 'done' then t.new_result else t.result end",
+        error="case when t.kind = 'fail' then t.new_error else t.error end",
+        progress="case when t.became = 'done' then 1.0 when t.became = 'again' then null else t.progress end",
+        message="case when t.kind = 'succeed' then 'early' when t.became = 'again' then null else t.message end",
+        worker_id="case when t.became <> 'again' then t.worker_id end",
+        lease_until_ms="cast(null as bigint)",
+        run_at_ms=f"case when t.became = 'again' then {NOW_EARLY} + t.wide // 2 + cast(floor(0.5 * (t.wide - t.wide // 2)) as bigint) else t.run_at_ms end",
+        completed_at_ms=f"case when t.became <> 'again' then {NOW_EARLY} end",
+        updated_at_ms=str(NOW_EARLY),
+    )
+)
+def settlement(spark, d):
+    """Every running task after a call of its handler, whatever became of the call."""
+    rows = tasks(spark, d)
+    ended = settle.deliver(rows.where("status = 'running'"), {"embed": 256, "render": 8}, _ends, max_run_ms=2000)
+    return settle.settle(rows, ended, NOW_EARLY, random=F.lit(0.5))
+
+
 @query("select id, cast(least(30000, 1000 * pow(2, greatest(0, attempt - 1))) as bigint) as window_ms from t")
 def backoff(spark, d):
     return tasks(spark, d).select("id", backoff_window(F.col("attempt"), 1000, 30_000).alias("window_ms"))
@@ -524,6 +607,31 @@ def _submitted(spark: SparkSession, d: str, conflict: str) -> DataFrame:
     return keyed.resolve(submissions(spark, d), task_keys(spark, d), tasks(spark, d), conflict).drop("seq")
 
 
+def _admitted_sql(limit: str) -> str:
+    return f"""
+, a as (select case l_suppkey % 7 when 0 then 'rpc' when 1 then 'gpu' when 2 then 'new' else 'default' end as queue, {_NEW_ID} as id, {_SEQ} from lineitem),
+d as (select queue, count(*) as depth from t where status = 'queued' group by queue),
+p as (select a.queue, id, row_number() over (partition by a.queue order by {_SEQ}) - 1 as place, coalesce(depth, 0) as depth from a left join d on d.queue = a.queue)
+select queue, id, place, coalesce(place + depth < {limit}, true) as admitted from p"""
+
+
+def _admitted(spark: SparkSession, d: str, limits: int | dict[str, int]) -> DataFrame:
+    queue = F.expr("case seq.l_suppkey % 7 when 0 then 'rpc' when 1 then 'gpu' when 2 then 'new' when 3 then null else 'default' end")
+    arrivals = submissions(spark, d).select(queue.alias("queue"), F.col("new_id").alias("id"), *[F.col(f"seq.{c}").alias(c) for c in _SEQ.split(", ")])
+    return reads.admitted(arrivals, tasks(spark, d), limits, _SEQ.split(", ")).select("queue", "id", "place", "admitted")
+
+
+@query(_admitted_sql("case p.queue when 'rpc' then 5000 when 'gpu' then 900000 when 'new' then 40 end"))
+def admission(spark, d):
+    """Line items that arrive at queues with limits of their own, one without."""
+    return _admitted(spark, d, {"rpc": 5000, "gpu": 900_000, "new": 40})
+
+
+@query(_admitted_sql("6000"))
+def admission_one_limit(spark, d):
+    return _admitted(spark, d, 6000)
+
+
 @query(_decided_sql("coalesce(cur_status in ('queued', 'running'), false)", "return"))
 def submit_reuse(spark, d):
     return _submitted(spark, d, "reuse")
