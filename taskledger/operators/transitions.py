@@ -21,12 +21,12 @@ def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-def _ms(value: int) -> Column:
-    return F.lit(value).cast("long")
+def _ms(value: int | Column) -> Column:
+    return (value if isinstance(value, Column) else F.lit(value)).cast("long")
 
 
-def insert_tasks(submissions: DataFrame, now: int) -> DataFrame:
-    """Queued rows for submissions (id, name, payload; optionally queue, metadata, max_attempts, priority, delay_ms, parent_id, root_id, correlation_id). A task without a root is its own. A row with max_attempts under 1 or a negative delay ends the query with an error."""
+def insert_tasks(submissions: DataFrame, now: int | Column) -> DataFrame:
+    """Queued rows, put in at one time or at a column's, for submissions (id, name, payload; optionally queue, metadata, max_attempts, priority, delay_ms, parent_id, root_id, correlation_id). A task without a root is its own. A row with max_attempts under 1 or a negative delay ends the query with an error."""
     have = set(submissions.columns)
 
     def given(name: str, default: Column) -> Column:

@@ -13,7 +13,7 @@ from .functions.expressions import backoff_window
 from .operators import fold, keys as keyed, reads, settle, transitions as move
 from .plans import apply_changes
 from .schema import LEASE_EXPIRED, TASK_COLUMNS
-from .sources.fixtures import NOW_EARLY, NOW_LATE, NOW_MID, commands, outcomes, task_keys, tasks
+from .sources.fixtures import NOW_EARLY, NOW_LATE, NOW_MID, commands, keyed_log as mixed_log, keyed_start, outcomes, task_keys, tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -774,3 +774,99 @@ def command_fold(spark, d):
 
 
 ORACLE_SQL["command_fold"] = _FOLD
+
+
+def _recursion(name: str, log: str, start: str, numbers: str, states: str) -> str:
+    """CTEs that fold `log` (grp, seq, ...) by grp from `start` (grp, cur, status, ...): `name` has the state after each row, what the row did, and what was before. Rows to a `target` other than the present task do nothing."""
+    null = "cast(null as {0}) as {1}".format
+    fields = [null("varchar", "result"), null("varchar", "error"), null("double", "progress"), null("varchar", "message"), "0 as attempt", "3 as max_attempts", null("varchar", "worker_id"), null("bigint", "lease_until_ms"), "cast(0 as bigint) as run_at_ms"]
+    fields += [null("bigint", "cancel_requested_at_ms"), null("bigint", "completed_at_ms"), "cast(0 as bigint) as updated_at_ms", "cast(0 as bigint) as applied", "cast(0 as bigint) as lost"]
+    return f"""
+{numbers} as (select *, row_number() over (partition by grp order by seq) as rn from {log}),
+{name} as (
+  select grp, cast(0 as bigint) as n, cur, status, {", ".join(fields)}, cast(null as varchar) as did, cast(null as varchar) as was, false as active, cast(null as bigint) as at_seq, cast(null as bigint) as at_now, cast(null as varchar) as new_task from ({start})
+  union all
+  select grp, n + 1, case when kind = 'insert' then own_task else cur end,
+    case kind when 'insert' then 'queued' when 'claim' then 'running' when 'done' then 'succeeded' when 'again' then 'queued' when 'retry' then 'queued' when 'stop' then 'canceled' when 'drop' then 'canceled' when 'gone' then 'failed' else status end,
+    case kind when 'insert' then null when 'done' then new_result else result end,
+    case when kind = 'insert' then null when kind in ('again', 'stop', 'gone') and op = 'fail' then new_error when kind = 'gone' then '{LEASE_EXPIRED}' when kind = 'retry' then null else error end,
+    case kind when 'progress' then new_progress when 'done' then 1.0 when 'again' then null when 'retry' then null when 'insert' then null else progress end,
+    case when kind = 'progress' or kind = 'done' and op = 'succeed' then new_message when kind in ('again', 'retry', 'insert') then null else message end,
+    case kind when 'claim' then attempt + 1 when 'insert' then 0 else attempt end, case kind when 'insert' then new_max else max_attempts end,
+    case kind when 'claim' then worker when 'again' then null when 'retry' then null when 'insert' then null else worker_id end,
+    case when kind in ('claim', 'beat') then now + 86400000 when kind in ('done', 'stop', 'gone', 'again', 'retry', 'insert') then null else lease_until_ms end,
+    case when kind = 'insert' then now + wait when kind = 'again' and op = 'fail' then now + delay_ms when kind in ('again', 'retry') then now else run_at_ms end,
+    case kind when 'ask' then now when 'retry' then null when 'insert' then null else cancel_requested_at_ms end,
+    case when kind in ('done', 'stop', 'gone', 'drop') then now when kind in ('retry', 'insert') or kind = 'again' and op = 'fail' then null else completed_at_ms end,
+    case when kind in ('none', 'lost') then updated_at_ms else now end, case when kind = 'insert' then 0 when kind in ('none', 'lost') then applied else applied + 1 end, lost + case when kind = 'lost' then 1 else 0 end,
+    kind, cur, coalesce(status in ('queued', 'running'), false), seq, now, own_task
+  from (
+    select *, case
+      when op = 'submit' then case when coalesce(case conflict when 'reuse' then status in ('queued', 'running') when 'reuse-succeeded' then status in ('queued', 'running', 'succeeded') when 'reject' then cur is not null else false end, false) then 'none' else 'insert' end
+      when target is distinct from cur then 'none'
+      when status is null then 'lost'
+      when op in ('heartbeat', 'progress', 'complete', 'succeed', 'fail') and not holds then 'lost'
+      when op = 'claim' then case when status = 'queued' and run_at_ms <= now then 'claim' else 'none' end
+      when op = 'heartbeat' then 'beat' when op = 'progress' then 'progress' when op = 'succeed' then 'done'
+      when op = 'complete' then case when asked then 'stop' else 'done' end
+      when op = 'fail' then case when asked then 'stop' when retryable and attempt < max_attempts then 'again' else 'gone' end
+      when op = 'expire' then case when status <> 'running' or lease_until_ms > now then 'none' when asked then 'stop' when attempt < max_attempts then 'again' else 'gone' end
+      when op = 'cancel' then case status when 'queued' then 'drop' when 'running' then 'ask' else 'none' end
+      else case when status in ('failed', 'canceled') then 'retry' else 'none' end end as kind
+    from (select f.* exclude (did, was, active, at_seq, at_now, new_task), c.* exclude (grp), coalesce(status = 'running' and worker_id = worker and lease_until_ms > now, false) as holds, cancel_requested_at_ms is not null as asked
+      from {name} f join {numbers} c on c.grp = f.grp and c.rn = f.n + 1))),
+{states} as (select f.* from {name} f join (select grp, max(rn) as last from {numbers} group by grp) m on f.grp = m.grp and f.n = m.last)"""
+
+
+_MIXED = f"""
+with recursive ev as (
+  select *, case when event_id % 6 = 0 then concat('user_', cast(user_id as varchar), '/', cast(event_id as varchar)) end as new from events),
+ev2 as (select *, last_value(new ignore nulls) over w as last, row_number() over w as seq from ev window w as (partition by user_id order by ts, event_id)),
+log as (
+  select concat('user:', cast(user_id as varchar)) as key, seq, epoch_us(ts) // 1000 as now,
+    case when event_id % 6 = 0 then new when event_id % 4 = 0 or last is null then concat('user_', cast(user_id as varchar)) else last end as id,
+    case when event_id % 6 = 0 then 'submit' else case event_type when 'view' then case when event_id % 2 = 0 then 'heartbeat' else 'progress' end when 'click' then 'claim'
+      when 'purchase' then case when event_id % 3 = 0 then 'succeed' else 'complete' end when 'error' then 'fail'
+      else case event_id % 3 when 0 then 'cancel' when 1 then 'retry' else 'expire' end end end as op,
+    case when event_id % 5 = 0 then 'worker_b' else 'worker_a' end as worker, event_id % 4 / cast(4 as double) as new_progress, concat('m', cast(event_id % 5 as varchar)) as new_message,
+    concat('{{"event":', cast(event_id as varchar), '}}') as new_result, concat('{{"code":', cast(event_id % 3 as varchar), '}}') as new_error, event_id % 3 <> 0 as retryable, 1000 * (event_id % 2) as delay_ms,
+    case user_id % 4 when 0 then 'reuse' when 1 then 'reuse-succeeded' when 2 then 'reject' else 'replace' end as conflict, cast(1 + event_id % 3 as int) as new_max, 1000 * (event_id % 3) as wait,
+    case when event_id % 12 = 0 then 'embed' else 'render' end as name, user_id % 3 <> 0 as known, concat('user_', cast(user_id as varchar)) as first_task
+  from ev2),
+by_key as (select key as grp, seq, now, op, worker, new_progress, new_message, new_result, new_error, retryable, delay_ms, conflict, new_max, wait, id as own_task, id as target from log),
+{_recursion("k1", "by_key", "select distinct key as grp, case when known then first_task end as cur, case when known then 'queued' end as status from log", "k0", "k2")},
+made as (select new_task as id, at_seq as seq, at_now as now from k1 where did = 'insert'),
+put_out as (select was as id, at_seq as seq, at_now as now from k1 where did = 'insert' and active and grp in (select key from log where conflict = 'replace')),
+by_id as (
+  select id as grp, seq, now, op, worker, new_progress, new_message, new_result, new_error, retryable, delay_ms, 'always' as conflict, new_max, wait, id as own_task, id as target from log where op <> 'submit' or id in (select id from made)
+  union all select id, seq, now, 'cancel', null, null, null, null, null, null, null, null, null, null, null, id from put_out),
+{_recursion("i1", "by_id", "select grp, grp as cur, max(case when grp in (select first_task from log where known) then 'queued' end) as status from by_id group by grp", "i0", "i2")}
+"""
+_MIXED_STATE = ["status", "result", "error", "progress", "message", "attempt", "max_attempts", "worker_id", "lease_until_ms", "run_at_ms", "cancel_requested_at_ms", "completed_at_ms", "updated_at_ms"]
+
+
+def _mixed(spark: SparkSession, d: str) -> fold.Folded:
+    return fold.fold_log(*keyed_start(spark, d), mixed_log(spark, d), lease_ms=86_400_000)
+
+
+@query(None)
+def keyed_log(spark, d):
+    """Tasks that a log of commands and keyed submissions, of all four strategies, changes or puts in."""
+    return _mixed(spark, d).changes.select("id", "name", "created_at_ms", *_MIXED_STATE)
+
+
+ORACLE_SQL["keyed_log"] = f"""{_MIXED}
+select grp as id, coalesce(log.name, 'first') as name, coalesce(log.now, 0) as created_at_ms, {", ".join(f"i2.{c}" for c in _MIXED_STATE)}
+from i2 left join log on log.id = i2.grp and log.op = 'submit' where i2.status is not null and (applied > 0 or log.id is not null)"""
+
+
+@query(None)
+def keyed_log_decisions(spark, d):
+    """What becomes of each submission of that log."""
+    return _mixed(spark, d).decisions.select("key", "seq", "id", "decision", "task_id", "cancels")
+
+
+ORACLE_SQL["keyed_log_decisions"] = f"""{_MIXED}
+select k1.grp as key, at_seq as seq, new_task as id, case when did = 'insert' then 'insert' when conflict = 'reject' then 'reject' else 'return' end as decision,
+  case when did = 'insert' then new_task when conflict <> 'reject' then was end as task_id, case when did = 'insert' and active and conflict = 'replace' then was end as cancels
+from k1 join log on log.key = k1.grp and log.seq = k1.at_seq where log.op = 'submit'"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..schema import TASK_COLUMNS, TASK_SCHEMA
+
 #: Times at which operators run on the views: leases half over, leases alive, everything over.
 NOW_MID, NOW_EARLY, NOW_LATE = 883_612_800_000, 788_918_400_000, 1_009_843_200_000
 
@@ -75,3 +77,29 @@ def commands(spark: SparkSession, sf_dir: str) -> DataFrame:
         "timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts) as now_ms", "event_id % 4 / 4.0D as progress", "concat('m', cast(event_id % 5 as string)) as message",
         """concat('{"event":', cast(event_id as string), '}') as result""", """concat('{"code":', cast(event_id % 3 as string), '}') as error""", "event_id % 3 <> 0 as retryable", "1000 * (event_id % 2) as delay_ms",
     )
+
+
+def keyed_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, seq, op, and arguments of commands and submissions): every sixth event submits a task under its user's key; the others are commands to the user's first task or to the one that was last submitted before."""
+    own = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    base = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("new", F.expr("case when event_id % 6 = 0 then concat('user_', cast(user_id as string), '/', cast(event_id as string)) end"))
+    rows = base.withColumns({"last": F.last("new", ignorenulls=True).over(own), "n": F.row_number().over(own)}).selectExpr(
+        "case when event_id % 6 = 0 then new when event_id % 4 = 0 or last is null then concat('user_', cast(user_id as string)) else last end as id", "cast(n as bigint) as seq", "event_id", "user_id",
+        "if(event_id % 6 = 0, 'submit', null) as submit", "element_at(array('reuse', 'reuse-succeeded', 'reject', 'replace'), cast(user_id % 4 as int) + 1) as conflict", "concat('user:', cast(user_id as string)) as key",
+        "if(event_id % 12 = 0, 'embed', 'render') as name", "cast(1 + event_id % 3 as int) as max_attempts", "1000 * (event_id % 3) as start_delay_ms",
+    )
+    log = commands(spark, sf_dir).withColumnRenamed("id", "user").withColumn("seq", F.col("seq").cast("bigint"))
+    user = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
+    both = rows.withColumn("user", user).join(log, ["user", "seq"])
+    return both.withColumn("op", F.coalesce("submit", "op")).drop("submit", "user", "event_id", "user_id")
+
+
+def keyed_start(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tasks and keys that keyed_log() begins with: two in three users have a queued task under their key."""
+    users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct().where("user_id % 3 <> 0").selectExpr("concat('user_', cast(user_id as string)) as id", "concat('user:', cast(user_id as string)) as key")
+    tasks_ = users.selectExpr(*[f"{_FRESH.get(c, 'null')} as {c}" for c in TASK_COLUMNS])
+    keys_ = users.selectExpr("key", "id as task_id", "0L as created_at_ms", "0L as updated_at_ms")
+    return tasks_.select(*[F.col(f.name).cast(f.dataType) for f in TASK_SCHEMA]), keys_
+
+
+_FRESH = {"id": "id", "name": "'first'", "queue": "'default'", "status": "'queued'", "payload": "'{}'", "metadata": "'{}'", "attempt": "0", "max_attempts": "3", "priority": "0", "run_at_ms": "0", "root_id": "id", "created_at_ms": "0", "updated_at_ms": "0"}
