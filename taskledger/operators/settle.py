@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions.documents import dump, envelope, is_json
 from ..functions.expressions import backoff_delay
+from ..plans.ranges import kept
+from ..plans.versions import write_changes
 from .reads import with_chunks
-from .transitions import _of, _tasks_only, completed_values, failed_values, succeeded_values
+from .transitions import _of, _tasks_only, complete, completed_values, failed_values, succeeded_values
 
 #: Kinds of outcomes: finished unless a cancel was asked, finished in any case, failed.
 COMPLETE, SUCCEED, FAIL = "complete", "succeed", "fail"
@@ -180,3 +182,13 @@ def settle(tasks: DataFrame, outcomes: DataFrame, now: int, base_ms: int = BACKO
         for column, value in changed.items():
             values[column] = F.when(F.col("_kind") == kind, value).otherwise(values.get(column, F.col(column)))
     return _tasks_only(rows.withColumns(values))
+
+
+def complete_in(tasks: DataFrame, outcomes: DataFrame, own: dict[str, DataFrame], root: str, version: int, now: int) -> DataFrame:
+    """Completes tasks by outcomes (id, worker, result) and writes, as one version, what changes together with the caller's own rows (id, and what they like, by table) of the tasks that this completed.
+
+    Returns the outcomes whose worker had lost its task: of these nothing is written, as of the whole version if its writing doesn't end.
+    """
+    changes = kept(complete(tasks, outcomes, now))
+    write_changes(changes, root, version, {name: rows.join(changes.select("id"), "id", "left_semi") for name, rows in own.items()})
+    return outcomes.join(changes.select("id"), "id", "left_anti")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import cancel_asked, checked, is_due, is_expired, is_owned, is_terminal, json_object_or, one_of, will_retry
 from .reads import with_chunks
-from ..schema import CANCELED, FAILED, LEASE_EXPIRED, QUEUED, RUNNING, SUCCEEDED, TASK_COLUMNS, TERMINAL, UNWRITABLE_ERROR
+from ..schema import CANCELED, FAILED, LEASE_EXPIRED, QUEUED, RUNNING, SUCCEEDED, TASK_COLUMNS, TASK_SCHEMA, TERMINAL, UNWRITABLE_ERROR
 
 
 def _null(kind: str) -> Column:
@@ -38,7 +38,7 @@ def insert_tasks(submissions: DataFrame, now: int | Column) -> DataFrame:
         "priority": given("priority", F.lit(0)).cast("int"), "worker_id": _null("string"), "lease_until_ms": _null("long"), "run_at_ms": _ms(now) + checked(given("delay_ms", F.lit(0)).cast("long"), lambda n: n >= 0, "delay_ms must not be negative"), "cancel_requested_at_ms": _null("long"),
         "parent_id": given("parent_id", _null("string")), "root_id": given("root_id", F.col("id")), "correlation_id": given("correlation_id", _null("string")), "created_at_ms": _ms(now), "updated_at_ms": _ms(now), "completed_at_ms": _null("long"),
     }
-    return submissions.select(*[values[c].alias(c) for c in TASK_COLUMNS])
+    return submissions.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in TASK_SCHEMA])
 
 
 def spawn(tasks: DataFrame, children: DataFrame, now: int) -> DataFrame:

@@ -3,17 +3,24 @@
 A version is either the whole table or the rows that changed since the version before; it is a Parquet folder that
 is written once, and its number is the writer's. A folder counts once Spark has marked its
 writing as ended; one that a writer has left half-way is written anew.
+
+Other tables, such as keys or a caller's own rows, go into the same write, each as a class of its own: one mark
+holds for all, so that all of a version is read or none.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from ..schema import TERMINAL
 
 WHOLE, CHANGES = "version", "changes"
+#: Classes of tasks.
+PARTS = ("live", "terminal")
 
 
 def apply_changes(tasks: DataFrame, changes: DataFrame) -> DataFrame:
@@ -41,33 +48,63 @@ def _class():
     return F.when(F.col("status").isin(*TERMINAL), "terminal").otherwise("live")
 
 
-def _write(rows: DataFrame, root: str, kind: str, version: int) -> None:
+def _write(rows: DataFrame, root: str, kind: str, version: int, others: dict[str, DataFrame] | None = None) -> None:
     if version in ended(rows.sparkSession, root, kind):
         raise ValueError(f"{kind} {version} is there already")
+    for name, table in (others or {}).items():
+        if not name.isidentifier() or name in PARTS:
+            raise ValueError(f"a table can't be named {name!r}")
+        rows = rows.unionByName(table.select(F.lit(name).alias("class"), *[F.col(c).alias(f"{name}:{c}") for c in table.columns]), allowMissingColumns=True)
     rows.write.mode("overwrite").partitionBy("class").parquet(f"{root}/{kind}={version}")
 
 
-def write_version(tasks: DataFrame, root: str, version: int) -> None:
-    """The whole table; live and terminal tasks apart, so that claims, probes and recovery scan live ones only and purges the others. Spark cuts either into files of like size."""
+def write_version(tasks: DataFrame, root: str, version: int, others: dict[str, DataFrame] | None = None) -> None:
+    """The whole table, and other whole tables by name; live and terminal tasks apart, so that claims, probes and recovery scan live ones only and purges the others. Spark cuts either into files of like size."""
     apart = tasks.withColumn("class", _class()).hint("rebalance", "class")
-    _write(apart.sortWithinPartitions("class", "queue", "status", F.col("priority").desc(), "run_at_ms", "id"), root, WHOLE, version)
+    _write(apart.sortWithinPartitions("class", "queue", "status", F.col("priority").desc(), "run_at_ms", "id"), root, WHOLE, version, others)
 
 
-def write_changes(changes: DataFrame, root: str, version: int) -> None:
-    """The rows (an id at most once) that differ from the version before."""
-    _write(changes.withColumn("class", _class()), root, CHANGES, version)
+def write_changes(changes: DataFrame, root: str, version: int, others: dict[str, DataFrame] | None = None) -> None:
+    """The rows (an id at most once) that differ from the version before, and rows of other tables by name."""
+    _write(changes.withColumn("class", _class()), root, CHANGES, version, others)
 
 
-def read_version(spark: SparkSession, root: str, version: int, schema: StructType, part: str | None = None) -> DataFrame:
-    """The version, or its live or terminal part alone: the last whole table up to it, and what changed since, the latest row of each id."""
+def _since(spark: SparkSession, root: str, version: int) -> tuple[int, list[int]]:
+    """The last whole version up to this one, and the changes since; an error if there is no such version."""
     base = max((n for n in ended(spark, root, WHOLE) if n <= version), default=None)
     since = [n for n in ended(spark, root, CHANGES) if (base is None or n > base) and n <= version]
     if base is None or max([base, *since]) != version:
         raise ValueError(f"no version {version}")
+    return base, since
+
+
+def read_table(spark: SparkSession, root: str, version: int, name: str, schema: StructType, by: str | None = None) -> DataFrame:
+    """Another table as of the version: with `by`, the latest row of each value of that column; else all rows that versions up to this one have put in by changes."""
+    base, since = _since(spark, root, version)
+    stored = StructType([StructField(f"{name}:{f.name}", f.dataType) for f in schema]).add("class", "string")
+
+    def rows(kind: str, n: int) -> DataFrame:
+        found = spark.read.schema(stored).parquet(f"{root}/{kind}={n}").where(F.col("class") == name)
+        return found.select(*[F.col(f"`{name}:{c}`").alias(c) for c in schema.fieldNames()])
+
+    if by is None:
+        parts = [rows(CHANGES, n) for n in ended(spark, root, CHANGES) if n <= version]
+        return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+    latest = rows(WHOLE, base)
+    if since:
+        changed = reduce(DataFrame.unionByName, [rows(CHANGES, n).withColumn("_n", F.lit(n)) for n in since])
+        last = changed.groupBy(by).agg(F.max_by(F.struct(*schema.fieldNames()), "_n").alias("_row")).select("_row.*")
+        latest = latest.join(last.select(by), by, "left_anti").select(*schema.fieldNames()).unionByName(last)
+    return latest
+
+
+def read_version(spark: SparkSession, root: str, version: int, schema: StructType, part: str | None = None) -> DataFrame:
+    """The version, or its live or terminal part alone: the last whole table up to it, and what changed since, the latest row of each id."""
+    base, since = _since(spark, root, version)
     full = StructType([*schema.fields]).add("class", "string")
 
     def here(rows: DataFrame) -> DataFrame:
-        return rows if part is None else rows.where(F.col("class") == part)
+        return rows.where(F.col("class").isin(*PARTS) if part is None else F.col("class") == part)
 
     rows = here(spark.read.schema(full).parquet(f"{root}/{WHOLE}={base}"))
     if since:
@@ -75,6 +112,6 @@ def read_version(spark: SparkSession, root: str, version: int, schema: StructTyp
         changed = numbered[0]
         for more in numbered[1:]:
             changed = changed.unionByName(more)
-        last = changed.groupBy("id").agg(F.max_by(F.struct(*full.fieldNames()), "_n").alias("_row")).select("_row.*")
+        last = changed.where(F.col("class").isin(*PARTS)).groupBy("id").agg(F.max_by(F.struct(*full.fieldNames()), "_n").alias("_row")).select("_row.*")
         rows = rows.join(last.select("id"), "id", "left_anti").unionByName(here(last))
     return rows.drop("class")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from .functions import documents
 from .functions.expressions import backoff_window
 from .operators import fold, keys as keyed, reads, settle, transitions as move
-from .plans import apply_changes
-from .schema import LEASE_EXPIRED, TASK_COLUMNS
+from .plans import apply_changes, read_table, read_version, write_version
+from .plans.ranges import shared_folder
+from .schema import LEASE_EXPIRED, TASK_COLUMNS, TASK_SCHEMA
 from .sources.fixtures import NOW_EARLY, NOW_LATE, NOW_MID, commands, keyed_log as mixed_log, keyed_start, outcomes, task_keys, tasks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -607,6 +609,21 @@ def _submitted(spark: SparkSession, d: str, conflict: str) -> DataFrame:
     return keyed.resolve(submissions(spark, d), task_keys(spark, d), tasks(spark, d), conflict).drop("seq")
 
 
+@query(
+    f"select t.id, t.name, l.l_linenumber as line, l.l_quantity as quantity, o.result from lineitem l join t on t.id = concat('task_', lpad(cast(l.l_orderkey as varchar), 26, '0')) join o on o.id = t.id"
+    f" where t.status = 'running' and t.worker_id = o.worker and t.lease_until_ms > {NOW_EARLY} and t.cancel_requested_at_ms is null"
+)
+def complete_in(spark, d):
+    """Line items as a caller's own rows, written in one version with the completion of their order's task, and read back with it."""
+    root = f"{shared_folder(spark)}/ledger-{uuid.uuid4()}"
+    rows = tasks(spark, d)
+    write_version(rows, root, 0)
+    own = spark.read.parquet(f"{d}/lineitem.parquet").select(F.concat(F.lit("task_"), F.lpad(F.col("l_orderkey").cast("string"), 26, "0")).alias("id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity"))
+    settle.complete_in(rows, outcomes(spark, d).select("id", "worker", "result"), {"lines": own}, root, 1, NOW_EARLY)
+    lines = read_table(spark, root, 1, "lines", own.schema)
+    return lines.join(read_version(spark, root, 1, TASK_SCHEMA).where("status = 'succeeded'").select("id", "name", "result"), "id").select("id", "name", "line", "quantity", "result")
+
+
 def _admitted_sql(limit: str) -> str:
     return f"""
 , a as (select case l_suppkey % 7 when 0 then 'rpc' when 1 then 'gpu' when 2 then 'new' else 'default' end as queue, {_NEW_ID} as id, {_SEQ} from lineitem),

@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.fold import ARGUMENTS, apply_fold, fold_commands
-from ..plans import latest_version, read_version, write_changes, write_version
+from ..operators.fold import ARGUMENTS, SUBMISSION, SUBMIT, _with, fold_log
+from ..plans import latest_version, read_table, read_version, write_changes, write_version
 from ..plans.versions import WHOLE, ended
-from ..schema import TASK_SCHEMA
+from ..schema import KEY_SCHEMA, TASK_SCHEMA
 
 COMMAND_SCHEMA = "id string, seq long, " + ", ".join(f"{k} {t}" for k, t in ARGUMENTS.items())
+#: Of streams with keyed submissions among the commands.
+LOG_SCHEMA = f"{COMMAND_SCHEMA}, " + ", ".join(f"{k} {t}" for k, t in SUBMISSION.items())
 #: Batches after which the whole table is written.
 COMPACT = 16
 
@@ -25,19 +27,29 @@ COMPACT = 16
 def apply_stream(commands: DataFrame, root: str, checkpoint: str, lease_ms: int = 30_000, delay_ms: int = 1_000, compact: int = COMPACT, **trigger) -> StreamingQuery:
     """Starts the stream; version 0 under root is the table that it begins with, version n + 1 that after batch n.
 
-    Commands that changed nothing, those of unknown tasks among them, are counted by id under root/lost=<version>.
+    Tasks and keys (table `keys`) are of one version, which is there whole or not at all. Commands that changed nothing, those of unknown tasks or without
+    a time among them, are counted by id under root/lost=<version>; what became of submissions is under root/decisions=<version>.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark, version = batch.sparkSession, number + 1
-        if (latest_version(spark, root) or 0) < version:
+        keys = read_table(spark, root, number, "keys", KEY_SCHEMA, by="key") if (latest_version(spark, root) or 0) < version else None
+        if keys is not None:
             tasks = read_version(spark, root, number, TASK_SCHEMA)
-            touched = tasks.join(batch.select("id").distinct(), "id", "left_semi")
-            folded = fold_commands(touched, batch, lease_ms, delay_ms).persist()
-            folded.where("lost > 0").select("id", "lost", F.col("status").isNull().alias("unknown")).write.mode("overwrite").parquet(f"{root}/lost={version}")
-            write_changes(apply_fold(touched, folded).join(folded.where("applied > 0").select("id"), "id", "left_semi"), root, version)
-            folded.unpersist()
+            own = keys.join(_with(batch.where(F.col("op") == SUBMIT), SUBMISSION).select("key").distinct(), "key", "left_semi")
+            touched = tasks.join(batch.select("id").union(own.select("task_id")).distinct(), "id", "left_semi")
+            folded = fold_log(touched, own, batch, lease_ms, delay_ms)
+            folded.lost.write.mode("overwrite").parquet(f"{root}/lost={version}")
+            folded.decisions.write.mode("overwrite").parquet(f"{root}/decisions={version}")
+            write_changes(folded.changes, root, version, {"keys": _pointed(folded.decisions, own)})
         if version % compact == 0 and version not in ended(spark, root, WHOLE):
-            write_version(read_version(spark, root, version, TASK_SCHEMA), root, version)
+            write_version(read_version(spark, root, version, TASK_SCHEMA), root, version, {"keys": read_table(spark, root, version, "keys", KEY_SCHEMA, by="key")})
 
     return commands.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _pointed(decisions: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows of keys as the batch leaves them: those that a submission has pointed to its task."""
+    made = decisions.where("decision = 'insert' and key is not null").groupBy("key").agg(F.max_by(F.struct("task_id", "now_ms"), "seq").alias("to"), F.min("now_ms").alias("first"))
+    both = made.join(keys.select("key", "created_at_ms"), "key", "left")
+    return both.select("key", "to.task_id", F.coalesce("created_at_ms", "first").alias("created_at_ms"), F.col("to.now_ms").alias("updated_at_ms"))

@@ -94,3 +94,55 @@ def test_empty_log_and_poison(spark):
     assert [(r.id, r.status) for r in folded.changes.collect()] == [("t", "running")]
     assert [(r.id, r.lost) for r in folded.lost.collect()] == [("t", 1)]
     assert [r.decision for r in folded.decisions.collect()] == ["invalid"]
+
+
+def test_stream_with_submissions_and_restart(spark, tmp_path):
+    from taskledger.plans import read_table, read_version, write_version
+    from taskledger.streaming.commands import LOG_SCHEMA, apply_stream
+
+    tasks = {f"t{i}": BLANK | {"id": f"t{i}"} for i in range(6)}
+    keys = {"a": "t0", "b": "t1", "c": "t2"}
+    log = a_log(7, 240)
+    states, after, decisions, unknown = one_by_one(tasks, keys, log)
+    root, source, checkpoint = (str(tmp_path / n) for n in ("ledger", "log", "checkpoint"))
+    rows = spark.createDataFrame([tuple(t.get(c) for c in TASK_COLUMNS) for t in tasks.values()], TASK_SCHEMA)
+    write_version(rows, root, 0, {"keys": spark.createDataFrame([(k, t, 0, 0) for k, t in keys.items()], KEY_SCHEMA)})
+    for n, low in enumerate((0, 80, 160)):
+        part = [tuple(r.get(c) for c in FIELDS) for r in log[low : low + 80]]
+        spark.createDataFrame(part, LOG_SCHEMA).coalesce(1).write.mode("append").json(source)
+        query = apply_stream(spark.readStream.schema(LOG_SCHEMA).json(source), root, checkpoint, LEASE, DELAY, compact=2)
+        assert query.awaitTermination(240) and query.exception() is None
+    got = {r.id: r for r in read_version(spark, root, 3, TASK_SCHEMA).collect()}
+    carried = [k for k in STATE if k in TASK_COLUMNS]
+    assert {i: {k: r[k] for k in carried} for i, r in got.items()} == {i: {k: s[k] for k in carried} for i, s in states.items()}
+    assert {r.key: r.task_id for r in read_table(spark, root, 3, "keys", KEY_SCHEMA, by="key").collect()} == after
+    found = spark.read.parquet(*[f"{root}/decisions={n}" for n in (1, 2, 3)])
+    assert {r.seq: (r.decision, r.task_id, r.cancels) for r in found.collect()} == decisions
+
+
+def test_tables_of_a_version_are_there_together_or_not(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from taskledger.operators.settle import complete_in
+    from taskledger.plans import latest_version, read_table, read_version, write_version
+
+    root = str(tmp_path / "ledger")
+    tasks = spark.createDataFrame([tuple((BLANK | dict(id=f"t{i}", status="running", worker_id="w", lease_until_ms=100)).get(c) for c in TASK_COLUMNS) for i in range(20)], TASK_SCHEMA)
+    write_version(tasks, root, 0)
+    outcomes = spark.createDataFrame([(f"t{i}", "w" if i % 2 else "other", "{}") for i in range(10)], "id string, worker string, result string")
+    own = spark.createDataFrame([(f"t{i % 12}", i) for i in range(40)], "id string, n int").repartition(4)
+
+    def state():
+        version = latest_version(spark, root)
+        done = {r.id for r in read_version(spark, root, version, TASK_SCHEMA).where("status = 'succeeded'").collect()}
+        return version, done, sorted(r.n for r in read_table(spark, root, version, "own", own.schema).collect())
+
+    bad = own.withColumn("n", F.when(F.col("n") == 33, F.raise_error(F.lit("stopped")).cast("int")).otherwise(F.col("n")))
+    with pytest.raises(Exception, match="stopped"):
+        complete_in(tasks, outcomes, {"own": bad}, root, 1, 50)
+    assert state() == (0, set(), [])
+    lost = complete_in(tasks, outcomes, {"own": own}, root, 1, 50)
+    assert {r.id for r in lost.collect()} == {f"t{i}" for i in range(0, 10, 2)}
+    assert state() == (1, {f"t{i}" for i in range(1, 10, 2)}, [n for n in range(40) if n % 12 in range(1, 10, 2)])
+    with pytest.raises(ValueError, match="named"):
+        complete_in(tasks, outcomes, {"live": own}, root, 2, 50)
