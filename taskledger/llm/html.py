@@ -17,10 +17,10 @@ from __future__ import annotations
 import html as references
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -31,7 +31,7 @@ from .common import cut_lineage, join_salted
 
 #: Fixed values of HTML: elements without content, with text that is never shown, and that begin or end a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template textarea title iframe noframes select".split())
+RAW = frozenset("script style template textarea title iframe noframes select button".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -42,11 +42,12 @@ _SCOPES = frozenset("table ul ol dl article main".split())
 #: Elements that are said to hold the article, that can hold one, and that hold none of it wherever they stand.
 MAIN = frozenset(("article", "main"))
 HOLDERS = MAIN | frozenset("html body div section center table tbody tr td details figure blockquote form".split())
-ASIDE = frozenset("nav footer aside form menu dialog button label input head".split())
-#: Words of class, id and role that say that an element isn't the article: those of the second kind are heeded inside of the article only where its part is small.
+ASIDE = frozenset("nav footer aside form menu dialog head".split())
+#: Words of class, id and role that say that an element isn't the article. Inside of the article the first are heeded unless nearly all of its text is there, those of menus where links or what never changes bear them out, the weak ones where the part is small.
 MARKS = frozenset(
-    "ad ads adv advert advertisement advertising advertorial adsense sponsor sponsored cookie cookies consent gdpr paywall newsletter subscribe subscription signup nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar aside footer comment comments disqus respond replies complementary contentinfo".split()
+    "ad ads adv advert advertisement advertising advertorial adsense sponsor sponsored cookie cookies consent gdpr paywall newsletter subscribe subscription signup sidebar aside footer comment comments disqus respond replies complementary contentinfo".split()
 )
+MENU_MARKS = frozenset("nav navbar navigation menu breadcrumb breadcrumbs pagination pager".split())
 WEAK_MARKS = frozenset("banner promo promotion notice notices alert popup modal overlay widget share sharing social related recommended toolbar search".split())
 OUTER_MARKS = frozenset("header masthead top topbar head logo branding".split())
 #: Containers without a class of their own: two of them are alike if they hold the same kinds of elements.
@@ -59,16 +60,22 @@ _SPLIT = re.compile(r"[^a-z]+")
 
 _MASK = (1 << 62) - 1
 SLOT = "#"
-#: Elements within each other that a stream tells apart; all that is deeper belongs to the slots of the element at this depth.
-DEEPEST = 64
+#: Elements within each other that a stream tells apart; of what is deeper as many again that names or kinds tell of, such as menus and footers. The rest of what is deeper belongs to the slots of these.
+DEEPEST, TELLING = 64, 16
+#: Cells of a table by which two sequences are aligned exactly; longer ones are cut at what both have once, and else in halves.
+CELLS = 250_000
+#: Places before, of the same key, at which an item may end a group that comes again.
+RECENT = 16
 #: Streams that are aligned in one group, about, in each round.
 FAN = 64
 #: Up to so many characters all wrappers are broadcast; beyond, pages are joined to them by host.
 BROADCAST_CHARS = 16_000_000
 #: Pages on which a slot must stand with the same text to count as furniture, the share of links that makes it a menu, and of all text that makes it too much for furniture.
 SAME_ON, LINKS, MOST = 3, 0.5, 0.5
-#: Share of the text that an element holds to be gone into, what names and elements weigh, and the share from which a weak name inside of the article is not heeded.
+#: Share of the text that an element holds to be gone into, what names and elements weigh, and the share from which a weak name inside of the article isn't heeded.
 HELD, MARKED, SAID, LARGE = 0.6, 0.1, 10.0, 0.25
+#: Share of the article's text from which no name sets an element in it aside.
+NEARLY_ALL = 0.75
 
 
 @lru_cache(65_536)
@@ -105,35 +112,48 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield kind, name, sig
 
 
-def walk(page: str) -> Iterator[tuple[str, str, tuple[str, ...]]]:
-    """(name, signature, path of open elements) of each tag, and (SLOT, text, path). Elements end where HTML ends them."""
-    path: list[str] = []
-    names: list[str] = []
-    now: tuple[str, ...] = ()
-    for kind, name, sig in tokens(page):
-        if kind == "open":
-            ends = ("p",) if name in BLOCK else ()
-            for other in (*ends, *CLOSES.get(name, ())):
-                if other in names:
-                    cut = len(names) - 1 - names[::-1].index(other)
-                    if not _SCOPES & set(names[cut + 1 :]):
-                        del path[cut:], names[cut:]
-            path.append(sig)
-            names.append(name)
-            now = tuple(path)
-        elif kind == "close" and name in names:
-            cut = len(names) - 1 - names[::-1].index(name)
-            if name in BLOCK or not any(x in BLOCK for x in names[cut + 1 :]):
-                del path[cut:], names[cut:]
-                now = tuple(path)
-        yield name, sig, now
+def _telling(name: str, sig: str) -> bool:
+    return name in ASIDE or name in MAIN or bool(_marks(sig) & (MARKS | MENU_MARKS | WEAK_MARKS))
 
 
-@lru_cache(65_536)
-def _blocks(path: tuple[str, ...]) -> tuple[tuple[str, ...], bool, bool]:
-    """(path of blocks down to DEEPEST, whether that is all of it, whether in a link)."""
-    whole = tuple(p for p in path if p.split(".")[0] in BLOCK)
-    return whole[:DEEPEST], len(whole) <= DEEPEST, any(p == "a" or p.startswith("a.") for p in path)
+def walk(page: str) -> Iterator[tuple[str, str, tuple[str, ...], bool, bool]]:
+    """(name, signature, path of open blocks, whether the path ends with this element, whether in a link) of each tag, and the same of (SLOT, text). Elements end where HTML ends them.
+
+    The path has the outermost DEEPEST blocks, and TELLING of those within them that names or kinds tell of.
+    """
+    open_: list[tuple[str, tuple[str, ...], bool]] = []  # names, paths, whether in a link
+    count: dict[str, int] = {}
+    blocks = 0  # open elements that are blocks
+
+    def last(name: str) -> int:
+        return next(i for i in range(len(open_) - 1, -1, -1) if open_[i][0] == name)
+
+    def cut(at: int) -> None:
+        nonlocal blocks
+        for name, *_ in open_[at:]:
+            count[name] -= 1
+            blocks -= name in BLOCK
+        del open_[at:]
+
+    for kind, name, sig in tokens(page):
+        told = False
+        if kind == "open":
+            for other in (*(("p",) if name in BLOCK else ()), *CLOSES.get(name, ())):
+                if count.get(other):
+                    at = last(other)
+                    if not any(x in _SCOPES for x, *_ in open_[at + 1 :]):
+                        cut(at)
+            path, link = open_[-1][1:] if open_ else ((), False)
+            told = name in BLOCK and len(path) < DEEPEST + TELLING and (blocks < DEEPEST or _telling(name, sig))
+            open_.append((name, (*path, sig) if told else path, link or name == "a"))
+            count[name] = count.get(name, 0) + 1
+            blocks += name in BLOCK
+        elif kind == "close" and count.get(name):
+            at = last(name)
+            if name in BLOCK or not any(x in BLOCK for x, *_ in open_[at + 1 :]):
+                cut(at)
+        path, link = open_[-1][1:] if open_ else ((), False)
+        yield name, sig, path, told, link
 
 
 # --- streams and wrappers: sequences of slots [SLOT, ...], elements ["e", signature, sequence], and groups ["+", sequence] or ["?", sequence]
@@ -187,35 +207,85 @@ def _alike(a: list, b: list, ka: str, kb: str) -> int:
     return int(bool(set(ka.split()[1:]) & set(kb.split()[1:])))
 
 
-def pairs(a: list, b: list) -> list[tuple[list | None, list | None]]:
-    """Items of both sequences in order, those that go with each other together: the heaviest alignment."""
-    ka, kb = list(map(_key, a)), list(map(_key, b))
-    low = 0
-    while low < min(len(a), len(b)) and ka[low] == kb[low]:
+Pairs = list[tuple[list | None, list | None]]
+
+
+def pairs(a: list, b: list) -> Pairs:
+    """Items of both sequences in order, those that go with each other together: the heaviest alignment. Long sequences are cut up before, so that time grows with their length."""
+    return _pairs(a, b, list(map(_key, a)), list(map(_key, b)))
+
+
+def _pairs(a: list, b: list, ka: list[str], kb: list[str]) -> Pairs:
+    low, least = 0, min(len(a), len(b))
+    while low < least and ka[low] == kb[low]:
         low += 1
     high = 0
-    while high < min(len(a), len(b)) - low and ka[-1 - high] == kb[-1 - high]:
+    while high < least - low and ka[-1 - high] == kb[-1 - high]:
         high += 1
-    out = list(zip(a[:low], b[:low]))
-    n, m = len(a) - low - high, len(b) - low - high
-    if n and m:
-        like = [[_alike(a[low + i], b[low + j], ka[low + i], kb[low + j]) for j in range(m)] for i in range(n)]
-        best = [[0] * (m + 1) for _ in range(n + 1)]
-        for i in range(n - 1, -1, -1):
-            for j in range(m - 1, -1, -1):
-                best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + like[i][j] if like[i][j] else 0)
+    out: Pairs = list(zip(a[:low], b[:low]))
+    ends = list(zip(a[len(a) - high :], b[len(b) - high :]))
+    a, ka, b, kb = a[low : len(a) - high], ka[low : len(a) - high], b[low : len(b) - high], kb[low : len(b) - high]
+    if not a or not b:
+        return out + [(x, None) for x in a] + [(None, y) for y in b] + ends
+    if len(a) * len(b) <= CELLS:
+        return out + _heaviest(a, b, ka, kb) + ends
+    at = (0, 0)
+    for i, j in [*_anchors(ka, kb), (len(a), len(b))]:
+        if (i - at[0]) * (j - at[1]) > CELLS and (i, j) == (len(a), len(b)) and at == (0, 0):  # nothing to cut at
+            middle = len(a) // 2, len(b) // 2
+            out += _pairs(a[: middle[0]], b[: middle[1]], ka[: middle[0]], kb[: middle[1]])
+            at = middle
+        out += _pairs(a[at[0] : i], b[at[1] : j], ka[at[0] : i], kb[at[1] : j])
+        at = i, j
+    return out + ends
+
+
+def _anchors(ka: list[str], kb: list[str]) -> list[tuple[int, int]]:
+    """Places of runs of four keys that both sequences have once, in an order that is the same in both."""
+    places: list[dict[tuple, int]] = []
+    for keys in (ka, kb):
+        found: dict[tuple, int] = {}
+        for i, run in enumerate(zip(keys, keys[1:], keys[2:], keys[3:])):
+            found[run] = -1 if run in found else i
+        places.append(found)
+    both = [(i, j) for run, i in places[0].items() if i > 0 and (j := places[1].get(run, -1)) > 0]
+    tails: list[int] = []  # the longest rising sequence of places in the second, by its least ends
+    chain: list[tuple[int, int, int]] = []
+    held: list[int] = []
+    for i, j in both:
+        at = bisect_left(tails, j)
+        chain.append((i, j, held[at - 1] if at else -1))
+        if at == len(tails):
+            tails.append(j)
+            held.append(len(chain) - 1)
+        else:
+            tails[at], held[at] = j, len(chain) - 1
+    out, at = [], held[-1] if held else -1
+    while at >= 0:
+        i, j, at = chain[at]
+        out.append((i, j))
+    return out[::-1]
+
+
+def _heaviest(a: list, b: list, ka: list[str], kb: list[str]) -> Pairs:
+    n, m, out = len(a), len(b), []
+    like = [[_alike(a[i], b[j], ka[i], kb[j]) for j in range(m)] for i in range(n)]
+    best = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], best[i + 1][j + 1] + like[i][j] if like[i][j] else 0)
     i = j = 0
     while i < n or j < m:
         if i < n and j < m and like[i][j] and best[i][j] == best[i + 1][j + 1] + like[i][j]:
-            out.append((a[low + i], b[low + j]))
+            out.append((a[i], b[j]))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append((a[low + i], None))
+            out.append((a[i], None))
             i += 1
         else:
-            out.append((None, b[low + j]))
+            out.append((None, b[j]))
             j += 1
-    return out + list(zip(a[len(a) - high :], b[len(b) - high :]))
+    return out
 
 
 def align(a: list, b: list, join: Join) -> list:
@@ -237,34 +307,83 @@ def _both(a: list, b: list, join: Join) -> list:
     return ["?", body] if optional or len(body) > 1 else body[0]
 
 
+class _Folded:
+    """A sequence to which items are put one by one, and in which what repeats at once is folded: equal keys, and groups of any size whose last item is one of the RECENT ones of its key.
+
+    Sums of the keys' numbers tell in one step whether two runs are equal.
+    """
+
+    def __init__(self, join: Join) -> None:
+        self.items: list = []
+        self.join = join
+        self.keys: list[str] = []
+        self.sums = [0]
+        self.powers = [1]
+        self.places: dict[str, list[int]] = {}
+        self.groups: dict[int, list[str]] = {}  # keys of what groups of several hold, by their place
+
+    def put(self, item: list) -> None:
+        key = _key(item)
+        if self.items and key == self.keys[-1] != SLOT and len(_opened(self.items[-1])[2]) == len(_opened(item)[2]) == 1:
+            one = _both(self.items[-1], item, self.join)
+            self.drop(1)
+            item = one if one[0] == "+" else ["+", [one]]
+        self.push(item)
+        while self.again():
+            pass
+
+    def push(self, item: list) -> None:
+        key = _key(item)
+        self.places.setdefault(key, []).append(len(self.items))
+        self.items.append(item)
+        self.keys.append(key)
+        self.sums.append((self.sums[-1] * _BASE + xxhash.xxh3_64_intdigest(key)) % _PRIME)
+        if len(self.powers) < len(self.sums):
+            self.powers.append(self.powers[-1] * _BASE % _PRIME)
+
+    def drop(self, n: int) -> list:
+        gone = self.items[len(self.items) - n :]
+        for key in reversed(self.keys[len(self.keys) - n :]):
+            self.places[key].pop()
+        for at in range(len(self.items) - n, len(self.items)):
+            self.groups.pop(at, None)
+        del self.items[len(self.items) - n :], self.keys[len(self.keys) - n :], self.sums[len(self.sums) - n :]
+        return gone
+
+    def run(self, low: int, high: int) -> int:
+        return (self.sums[high] - self.sums[low] * self.powers[high - low]) % _PRIME
+
+    def again(self) -> bool:
+        """Folds what the last item ends, if it ends anything: one more turn of the group before, or a group that comes for the second time."""
+        n = len(self.items)
+        if self.groups:
+            at = next(reversed(self.groups))
+            keys = self.groups[at]
+            if n - 1 - at == len(keys) and self.keys[at + 1 :] == keys:
+                more = self.drop(len(keys))
+                group = self.items[at]
+                self.items[at] = ["+", [_both(x, y, self.join) for x, y in zip(group[1], more)]]
+                return True
+        for before in reversed(self.places[self.keys[-1]][-1 - RECENT : -1]):
+            size = n - 1 - before
+            if size > 1 and n >= 2 * size and self.run(n - size, n) == self.run(n - 2 * size, n - size):
+                keys, second = self.keys[n - size :], self.drop(size)
+                first = self.drop(size)
+                self.push(["+", [_both(x, y, self.join) for x, y in zip(first, second)]])
+                self.groups[len(self.items) - 1] = keys
+                return True
+        return False
+
+
+_BASE, _PRIME = 0x9E3779B97F4A7C15 % ((1 << 61) - 1), (1 << 61) - 1
+
+
 def fold(items: list, join: Join) -> list:
-    """The sequence with what repeats at once folded: items of one key first, then groups of several, the shortest first."""
-    out: list = []
-    keys: list[str] = []
+    """The sequence with what repeats at once folded, in time that grows with its length."""
+    out = _Folded(join)
     for item in items:
-        key = _key(item)
-        if out and key == keys[-1] != SLOT and len(_opened(out[-1])[2]) == len(_opened(item)[2]) == 1:
-            one = _both(out[-1], item, join)
-            out[-1] = one if one[0] == "+" else ["+", [one]]
-            keys[-1] = _key(one)
-        else:
-            out.append(item)
-            keys.append(key)
-    size = 2
-    while 2 * size <= len(out) and len(set(keys)) < len(keys):
-        number = np.unique(keys, return_inverse=True)[1]
-        again = np.convolve(number[size:] == number[:-size], np.ones(size, int), "valid") == size  # places from which `size` items come again
-        if not again.any():
-            size += 1
-            continue
-        i = int(again.argmax())
-        group, end = out[i : i + size], i + size
-        while end + size <= len(out) and (number[end : end + size] == number[i : i + size]).all():
-            group = [_both(x, y, join) for x, y in zip(group, out[end : end + size])]
-            end += size
-        out[i:end] = [["+", group]]
-        keys[i:end] = [_key(out[i])]
-    return out
+        out.put(item)
+    return out.items
 
 
 def parse(page: str) -> tuple[list, list[tuple[str, int | None]]]:
@@ -281,14 +400,12 @@ def parse(page: str) -> tuple[list, list[tuple[str, int | None]]]:
         _, inside = open_.pop()
         inside[:] = fold(inside, _in_page)
 
-    for name, sig, path in walk(page):
+    for name, sig, at, opens, in_link in walk(page):
         if name in VOID or name != SLOT and name not in BLOCK:
             if name in VOID:
                 pieces.append(("\n" if name in BLOCK else " ", None))
                 fresh = fresh or name in BLOCK
             continue
-        at, whole, in_link = _blocks(path)
-        opens = name != SLOT and sig[0] != "/" and whole
         parent = at[:-1] if opens else at
         while len(open_[-1][0]) > len(parent) or open_[-1][0] != parent[: len(open_[-1][0])]:
             close()
@@ -355,9 +472,9 @@ def _merged(found: dict[str, list[list]], shape: str, slots: list[list]) -> None
 
 
 def judged(wrapper: list) -> list:
-    """The wrapper with [SLOT, whether it is furniture, characters a page outside of links] for each slot.
+    """The wrapper with [SLOT, whether it never changes, whether it is links, characters a page outside of links] for each slot.
 
-    Furniture is text that stands on SAME_ON pages or more and is the same on all, and text of
+    Furniture is text that stands on SAME_ON pages or more and is the same on all, and outside of the article text of
     links alone; but nothing that is most of the host's text.
     """
     every: list[list] = []
@@ -380,7 +497,7 @@ def judged(wrapper: list) -> list:
             if x[0] == SLOT:
                 _, pages, chars, links, text = x[1]
                 same = pages >= SAME_ON and text is not None
-                x[1:] = [(same or links > LINKS * chars) and chars < MOST * total, (chars - links) / pages]
+                x[1:] = [same and chars < MOST * total, links > LINKS * chars and chars < MOST * total, (chars - links) / pages]
             else:
                 settle(x[-1])
 
@@ -404,6 +521,7 @@ class _Reader:
         self.fit(stream, wrapper)
         self.kept: set[int] = set()
         self.masses: dict[tuple[int, bool], float] = {}
+        self.inside = True  # of an element that isn't the whole page
         self.choose(["e", "", stream])
 
     def fit(self, items: list, wrapper: list) -> None:
@@ -425,10 +543,15 @@ class _Reader:
             found = self.masses[id(item), heed] = self._mass(item, heed)
         return found
 
+    def slot(self, item: list) -> tuple[bool, bool, float]:
+        """What the host knows of a slot: whether it never changes, whether it is links, characters."""
+        known = self.known.get(item[4][0])
+        return tuple(known[1:]) if known else (False, item[2] > LINKS * item[1], item[1] - item[2])
+
     def _mass(self, item: list, heed: bool) -> float:
         if item[0] == SLOT:
-            furniture, chars = self.known[item[4][0]][1:] if item[4][0] in self.known else (False, item[1] - item[2])
-            return 0.0 if furniture else max(chars, 0.5)
+            same, links, chars = self.slot(item)
+            return 0.0 if same or links and item[4][0] in self.known else max(chars, 0.5)
         if item[0] in "+?":
             return sum(self.mass(x, heed) for x in item[1])
         name, marks = _name(item[1]), _marks(item[1])
@@ -436,7 +559,7 @@ class _Reader:
             return 0.0
         inner = sum(self.mass(x, heed) for x in item[2])
         if heed and name not in ("html", "body"):
-            inner *= (SAID if name in MAIN else 1.0) * (MARKED if name == "header" or marks & (MARKS | WEAK_MARKS | OUTER_MARKS) else 1.0)
+            inner *= (SAID if name in MAIN else 1.0) * (MARKED if name == "header" or marks & (MARKS | MENU_MARKS | WEAK_MARKS | OUTER_MARKS) else 1.0)
         return inner
 
     def choose(self, root: list) -> None:
@@ -447,27 +570,43 @@ class _Reader:
             most = max(inner, key=self.mass, default=None)
             if most is None or self.mass(most) < HELD * total:
                 break
-            for x in holder[2][: next(i for i, item in enumerate(holder[2]) if most in _opened(item)[2])]:
+            for x in holder[2][: next(i for i, item in enumerate(holder[2]) if any(x is most for x in _opened(item)[2]))]:
                 if x[0] == "e" and _name(x[1]) == "h1" and not _marks(x[1]) & MARKS and self.mass(x):
                     self.keep(x, set(), 0.0)
             holder, total = most, self.mass(most)
-        outer = OUTER_MARKS if _name(holder[1]) in ("", "html", "body") else set()
+        self.inside = _name(holder[1]) not in ("", "html", "body")
         total = sum(self.mass(item, heed=False) for item in holder[2])
         for item in holder[2]:
-            self.keep(item, outer, total)
+            self.keep(item, set() if self.inside else OUTER_MARKS, total)
+
+    def shares(self, item: list) -> tuple[float, float]:
+        """(characters, those in links or that never change) of an item."""
+        if item[0] == SLOT:
+            same, links, _ = self.slot(item)
+            return item[1], item[1] if same or links else item[2]
+        parts = [self.shares(x) for x in item[-1]]
+        return sum(p[0] for p in parts), sum(p[1] for p in parts)
+
+    def aside(self, sig: str, item: list, outer: set[str], total: float) -> bool:
+        """Whether an element that holds no more than its part of the article's text (total) is set aside."""
+        name, marks, mass = _name(sig), _marks(sig), self.mass(item, heed=False)
+        if name in ASIDE or outer and (name == "header" or marks & MENU_MARKS):
+            return True
+        if marks & MENU_MARKS:
+            chars, linked = self.shares(item)
+            if linked > LINKS * chars:
+                return True
+        return bool(marks & MARKS and mass < NEARLY_ALL * total or marks & (WEAK_MARKS | outer) and mass < LARGE * total)
 
     def keep(self, item: list, outer: set[str], total: float) -> None:
         if item[0] == SLOT:
-            if self.mass(item):
+            same, links, _ = self.slot(item)
+            if not same and (self.inside or not links or item[4][0] not in self.known):
                 self.kept.update(item[4])
         elif item[0] in "+?":
             for x in item[1]:
                 self.keep(x, outer, total)
-        else:
-            name, marks = _name(item[1]), _marks(item[1])
-            small = self.mass(item, heed=False) < LARGE * total
-            if name in ASIDE or marks & MARKS or outer and name == "header" or small and marks & (WEAK_MARKS | outer):
-                return
+        elif not self.aside(item[1], item, outer, total):
             for x in item[2]:
                 self.keep(x, outer, total)
 

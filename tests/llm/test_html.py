@@ -152,3 +152,95 @@ def test_pages_of_a_host_without_main_element_keep_their_text(spark):
             (5, "http://b.example/", f"{menu}<div class=content><p>five</p></div>"), (6, "http://b.example/6", "<aside><article>teaser</article></aside><p>six</p><article> </article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert {r.page_id: r.text for r in H.extract_articles(pages).collect()} == {1: "one", 2: "two", 3: "three", 4: "four", 5: "five", 6: "six"}
+
+
+TEXT = "The market moved again today, and nobody could say why it did so. " * 5
+
+
+def test_no_name_drops_what_is_nearly_all_of_the_article():
+    page = f"<body><nav>n</nav><article><h1>T</h1><div class='editor-comment'><p>{TEXT}</p><p>{TEXT}</p></div><p>End.</p></article></body>"
+    assert alone(page) == f"T\n{TEXT.strip()}\n{TEXT.strip()}\nEnd."
+    page = f"<article><p>{TEXT}</p><div class=comments><div class=comment>{TEXT}</div><div class=comment>{TEXT}</div></div></article>"
+    assert alone(page) == TEXT.strip()
+
+
+def test_a_menu_of_dishes_is_text():
+    dishes = "".join(f"<li>Dish {i} with sauce</li>" for i in range(8))
+    page = f"<body><div class=menu><a href=/>Home</a> <a href=/x>News</a></div><article><h1>Eat</h1><p>We went there.</p><ul class=menu>{dishes}</ul><p>Good.</p><div class='page-menu'><a href=/1>One</a> <a href=/2>Two</a></div></article></body>"
+    assert alone(page) == "\n".join(["Eat", "We went there.", *[f"Dish {i} with sauce" for i in range(8)], "Good."])
+
+
+def test_linked_sources_in_the_article_stay(spark):
+    def page(i):
+        sources = "".join(f"<li><a href=/{i}/{k}>Source {i} {k} of the matter</a></li>" for k in range(4))
+        links = "".join(f"<li><a href=/m{k}>Page {k} {i}</a></li>" for k in range(9))
+        return f"<body><div><ul>{links}</ul></div><div class=text><h1>Title {i}</h1><p>{TEXT} {i}</p><ul>{sources}</ul></div></body>"
+
+    want = {i: "\n".join([f"Title {i}", f"{TEXT} {i}".replace("  ", " "), *[f"Source {i} {k} of the matter" for k in range(4)]]) for i in range(5)}
+    assert {i: alone(page(i)) for i in range(5)} == want
+    pages = spark.createDataFrame([(i, "http://a.example/", page(i)) for i in range(5)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract_articles(pages).collect()} == want
+
+
+def test_what_is_set_aside_is_so_at_any_depth():
+    for depth in (5, 10, 70, 200, 3000):
+        inner = f"<nav>menu</nav><p>{TEXT}</p><footer>end</footer><div><form>fill in</form><div class=comments><p>First!</p></div>tail</div>"
+        page = "<body><article>" + "<div>" * depth + inner + "</div>" * depth + "</article></body>"
+        assert alone(page) == f"{TEXT.strip()}\ntail", depth
+
+
+def test_time_grows_with_the_page():
+    import time
+
+    names = ["h1", "h2", "h3", "h4", "h5", "h6", "p", "pre", "address", "ul"]
+
+    def page(n, seed):
+        draw = random.Random(seed)
+        return "<body>" + "".join(f"<{x}>text {i} more</{x}>" for i, x in enumerate(draw.choices(names, k=n))) + "</body>"
+
+    big = page(40_000, 1)
+    assert len(big) > 900_000
+    began = time.time()
+    stream, pieces = H.parse(big)
+    took = time.time() - began
+    assert took < 10 and len([p for p in pieces if p[1] is not None]) == 40_000
+    other = H.wrapper_of(H.parse(page(40_000, 2))[0])
+    began = time.time()
+    wrapper = H.align(H.wrapper_of(stream), other, H._over_pages)
+    assert time.time() - began < 60
+    kinds = lambda items: sum(kinds(x[-1]) if x[0] != "#" else 1 for x in items)
+    assert kinds(wrapper) >= kinds(other)
+    began = time.time()
+    assert len(alone("<div>" * 100_000 + "text").split("\n")) == 1 and time.time() - began < 20
+
+
+def test_cut_alignments_keep_every_item_in_order(monkeypatch):
+    monkeypatch.setattr(H, "CELLS", 30)
+    draw = random.Random(3)
+    for _ in range(200):
+        a, b = ([["e", draw.choice("pqrstuv"), [["#"]]] for _ in range(draw.randrange(60))] for _ in range(2))
+        found = H.pairs(a, b)
+        assert [x for x, _ in found if x] == a and [y for _, y in found if y] == b
+        assert all(x[1] == y[1] for x, y in found if x and y)
+
+
+def test_folded_groups_of_any_size():
+    draw = random.Random(5)
+    for _ in range(60):
+        names = draw.sample("abcdefghijklmnopqrstuvwxyz", draw.randrange(2, 9))
+        row = "".join(f"<h1 class={n * 3}>x</h1>" for n in names)
+        times = draw.randrange(2, 6)
+        stream = bare(H.parse("<p>0</p>" + row * times + "end")[0])
+        assert stream == [["e", "p", ["#"]], ["+", [["e", f"h1.{n * 3}", ["#"]] for n in names]], "#"]
+
+
+def test_sites_whose_articles_have_marked_classes(spark):
+    """Names that are listed, on the elements that hold the articles of whole hosts."""
+    rows, want = [], {}
+    for seed, name in enumerate(["comment", "menu", "sidebar", "newsletter", "ads", "related", "search", "notice", "header"]):
+        pages, articles = site(100 + seed, f"m{seed}.example", 6)
+        for page, text in zip(pages, articles):
+            want[len(rows)] = text
+            rows.append((len(rows), f"https://m{seed}.example/{len(rows)}", page.replace("<div><h1>", f"<div class='{name}'><h1>")))
+    got = {r.page_id: r.text for r in H.extract_articles(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert sum(got[i] == want[i] for i in want) >= 0.95 * len(want)
