@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import cancel_asked, checked, is_due, is_expired, is_owned, is_terminal, json_object_or, one_of, will_retry
@@ -215,17 +215,31 @@ def purge(tasks: DataFrame, now: int, older_than_ms: int, limit: int = 1000, que
 
 
 def purge_by_rules(tasks: DataFrame, rules: DataFrame, now: int) -> DataFrame:
-    """Ids of terminal tasks that some rule (older_than_ms, and queue, status, name or null) lets go; a task that several match once.
+    """Ids of terminal tasks that some rule (older_than_ms, and queue, status, name or null, and perhaps limit) lets go; a task that several match once.
 
-    Rules are few and broadcast, which Spark needs for a join by inequality; their number is checked.
+    A rule with a limit lets go the longest completed of its tasks, so many at most, ties by id; a task counts under each rule that it matches.
+    Rules are few and broadcast, which Spark needs for a join by inequality; their number is checked. Each partition cuts a rule's tasks to the largest limit before they meet.
     """
-    if rules.limit(1001).count() > 1000:
+    given = rules.limit(1001).collect()
+    if len(given) > 1000:
         raise ValueError("more than 1000 retention rules")
-    rule = F.broadcast(rules.select(*[F.col(c).alias(f"_{c}") for c in ("older_than_ms", "queue", "status", "name")]))
+    limits = [r.limit for r in given if r.limit is not None] if "limit" in rules.columns else []
+    if any(n < 1 for n in limits):
+        raise ValueError("limit must be at least 1")
+    fields = ("older_than_ms", "queue", "status", "name")
+    schema = "_rule int, _older_than_ms long, _queue string, _status string, _name string, _limit int"
+    rows = [(i, *[r[c] if c in rules.columns else None for c in fields], r.limit if "limit" in rules.columns else None) for i, r in enumerate(given)]
+    rule = F.broadcast(tasks.sparkSession.createDataFrame(rows, schema))
     match = F.col("completed_at_ms") < F.lit(now) - F.col("_older_than_ms")
-    for c in ("queue", "status", "name"):
+    for c in fields[1:]:
         match = match & (F.col(f"_{c}").isNull() | (F.col(c) == F.col(f"_{c}")))
-    return tasks.where(is_terminal()).join(rule, match, "left_semi").select("id")
+    old = tasks.where(is_terminal())
+    gone = old.join(rule.where("_limit is null"), match, "left_semi").select("id")
+    if not limits:
+        return gone
+    first = Window.partitionBy("_rule").orderBy("completed_at_ms", "id")
+    bounded = old.join(rule.where("_limit is not null"), match).select("id", "completed_at_ms", "_rule", "_limit").withColumn("_n", F.row_number().over(first))
+    return gone.union(bounded.where((F.col("_n") <= max(limits)) & (F.col("_n") <= F.col("_limit"))).select("id")).distinct()
 
 
 def purged_keys(keys: DataFrame, purged: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import documents
 from .functions.expressions import backoff_window
-from .operators import fold, keys as keyed, reads, settle, transitions as move
+from .operators import fold, ingest, keys as keyed, reads, schedule, settle, transitions as move
 from .plans import apply_changes, read_table, read_version, write_version
 from .plans.ranges import shared_folder
 from .schema import LEASE_EXPIRED, TASK_COLUMNS, TASK_SCHEMA
@@ -727,6 +727,67 @@ def upsert_key(spark, d):
 # --- versions and folds
 
 
+_RULES = [(1000, "rpc", None, None, 300), (10**10, "jobs", "failed", None, 50), (1000, None, "failed", "embed", 200), (10**11, None, None, None, None)]
+
+
+@query(
+    ", rules as (select * from (values "
+    + ", ".join(f"({n}, {older}, {', '.join('null' if x is None else repr(x) for x in rest)})" for n, (older, *rest) in enumerate(_RULES))
+    + f") v(rule, older, q, s, nm, most)), m as (select id, rule, most, row_number() over (partition by rule order by completed_at_ms, id) as n from t join rules on status in ('succeeded', 'failed', 'canceled') and completed_at_ms < {NOW_MID} - older and (q is null or q = queue) and (s is null or s = status) and (nm is null or nm = name))"
+    " select distinct id from m where most is null or n <= most"
+)
+def retention_limits(spark, d):
+    """What overlapping rules with limits of their own let go."""
+    rules = spark.createDataFrame(_RULES, "older_than_ms long, queue string, status string, name string, limit int")
+    return move.purge_by_rules(tasks(spark, d), rules, NOW_MID)
+
+
+_HANDLERS = {"embed": dict(batch=16, concurrency=40, resource="gpu"), "render": dict(batch=8, resource="gpu"), "summarize": {}, "reindex": {}}
+_FREE, _GPU, _CLAIM_BATCH = 60, 45, 512
+
+
+@query(
+    f"""
+, s(turn, draw, batch, conc, gpu) as (values (0, 1, 8, null, true), (1, 2, 1, null, false), (2, 0, 16, 40, true)),
+due as (select id, name, case name when 'embed' then 0 when 'render' then 1 else 2 end as draw, priority, run_at_ms from t where status = 'queued' and run_at_ms <= {NOW_MID}),
+run as (select case name when 'embed' then 0 when 'render' then 1 else 2 end as draw, count(*) as n from t where status = 'running' and worker_id = 'worker_3' group by 1),
+x as (
+  select s.*, (select count(*) from due where due.draw = s.draw) as n, coalesce((select n from run where run.draw = s.draw), 0) as busy from s),
+y as (select *, cast(ceil(n / batch) as bigint) as want, cast(ceil(busy / batch) as bigint) as flying from x),
+r as (
+  with recursive r as (
+    select cast(0 as bigint) as turn, cast({_FREE} as bigint) as left_, cast(greatest(0, {_GPU} - (select coalesce(sum(flying), 0) from y where gpu)) as bigint) as room, cast(null as int) as draw, cast(0 as bigint) as calls
+    union all
+    select r.turn + 1, left_ - c, room - case when gpu then c else 0 end, draw_, c from (
+      select r.turn, r.left_, r.room, y.gpu, y.draw as draw_, greatest(0, least(r.left_, y.want, greatest(1, {_CLAIM_BATCH} // y.batch), coalesce(greatest(0, y.conc - y.flying), {_FREE}), case when y.gpu then r.room else {_FREE} end)) as c
+      from r join y on y.turn = r.turn) r)
+  select * from r),
+p as (select id, name, draw, (row_number() over (partition by draw order by priority desc, run_at_ms, id) - 1) // (select batch from s where s.draw = due.draw) as call from due)
+select p.id, p.name, p.draw, cast(p.call as bigint) as call from p join r on r.draw = p.draw where p.call < r.calls"""
+)
+def joint_ceilings(spark, d):
+    """What a worker draws for names of which two share a resource, from the second draw on."""
+    return schedule.claim_by_ceilings(tasks(spark, d), schedule.draws_of(_HANDLERS), "worker_3", NOW_MID, _FREE, {"gpu": _GPU}, start=1, claim_batch=_CLAIM_BATCH)
+
+
+_DOCUMENTS = ['{"a":1}', " [1, 2.50]", '{"a":NaN}', "{bad", '"x"', "", '{"k":"\u00e9", "k2":[]}']
+
+
+@query(
+    ", p as (select list_value(" + ", ".join("'" + x + "'" for x in _DOCUMENTS) + f") as docs), l as (select {_NEW_ID} as id, case when l_suppkey % 11 = 0 then '' else 'embed' end as name, docs[l_linenumber % 7 + 1] as payload, case l_partkey % 5 when 0 then '[]' when 1 then null else '{{}}' end as metadata,"
+    " cast(l_suppkey % 4 as int) as max_attempts, l_partkey % 13 - 1 as delay_ms from lineitem, p)"
+    " select id, payload, case when name = '' then 'name' when not json_valid(payload) or payload like '%NaN%' then 'payload' when metadata = '[]' then 'metadata_object' when max_attempts < 1 then 'max_attempts' when delay_ms < 0 then 'delay_ms' end as reason from l"
+)
+def ingest_split(spark, d):
+    """Line items as submissions, good and bad, each with the reason why it is set aside, or none."""
+    rows = submissions(spark, d).select(
+        F.col("new_id").alias("id"), F.expr("if(seq.l_suppkey % 11 = 0, '', 'embed')").alias("name"), F.element_at(F.array(*map(F.lit, _DOCUMENTS)), (F.col("seq.l_linenumber") % 7 + 1).cast("int")).alias("payload"),
+        F.expr("case seq.l_partkey % 5 when 0 then '[]' when 1 then null else '{}' end").alias("metadata"), F.expr("cast(seq.l_suppkey % 4 as int)").alias("max_attempts"), F.expr("seq.l_partkey % 13 - 1").alias("delay_ms"),
+    )
+    split = ingest.ingest(rows)
+    return split.valid.select("id", "payload", F.lit(None).cast("string").alias("reason")).unionByName(split.quarantined.select("id", "payload", "reason"))
+
+
 @query(f", r as ({_RECOVERED}) select status, count(*) as n, cast(sum(updated_at_ms) as bigint) as updated from (select * from t where id not in (select id from r) union all select * from r) group by status")
 def next_version(spark, d):
     rows = tasks(spark, d)
