@@ -759,7 +759,7 @@ r as (
     select cast(0 as bigint) as turn, cast({_FREE} as bigint) as left_, cast(greatest(0, {_GPU} - (select coalesce(sum(flying), 0) from y where gpu)) as bigint) as room, cast(null as int) as draw, cast(0 as bigint) as calls
     union all
     select r.turn + 1, left_ - c, room - case when gpu then c else 0 end, draw_, c from (
-      select r.turn, r.left_, r.room, y.gpu, y.draw as draw_, greatest(0, least(r.left_, y.want, greatest(1, {_CLAIM_BATCH} // y.batch), coalesce(greatest(0, y.conc - y.flying), {_FREE}), case when y.gpu then r.room else {_FREE} end)) as c
+      select r.turn, r.left_, r.room, y.gpu, y.draw as draw_, greatest(0, least(r.left_, y.want, greatest(1, {_CLAIM_BATCH} // y.batch), case when y.conc is null then {_FREE} else greatest(0, y.conc - y.flying) end, case when y.gpu then r.room else {_FREE} end)) as c
       from r join y on y.turn = r.turn) r)
   select * from r),
 p as (select id, name, draw, (row_number() over (partition by draw order by priority desc, run_at_ms, id) - 1) // (select batch from s where s.draw = due.draw) as call from due)
