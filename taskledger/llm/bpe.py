@@ -198,7 +198,7 @@ def codec(path: str) -> Codec:
 
 
 def shared_encodings(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Two tables: `whole` (doc_id, part, none, packed, cuts) of every document, cut up and compressed; `known` (doc_id, part, found array of (h1, h2, ids)) of documents with chunks that occur more than once; for part and none see in_parts()."""
+    """Two tables: `whole` (doc_id, part, packed, cuts) of every document, cut up and compressed; `known` (doc_id, part, found array of (h1, h2, ids)) of documents with chunks that occur more than once. For part see in_parts(); that of rows without an id is below 0."""
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,11 +213,11 @@ def shared_encodings(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             packed, cuts = [], []
-            for text in batch.column(3):
+            for text in batch.column(2):
                 raw = text.as_buffer().to_pybytes()
                 packed.append(press.compress(raw))
                 cuts.append(chunk_cuts(raw))
-            yield pa.record_batch([*batch.columns[:3], pa.array(packed, pa.binary()), pa.array(cuts, pa.list_(pa.int32()))], names=["doc_id", "part", "none", "packed", "cuts"])
+            yield pa.record_batch([*batch.columns[:2], pa.array(packed, pa.binary()), pa.array(cuts, pa.list_(pa.int32()))], names=["doc_id", "part", "packed", "cuts"])
 
     def encode_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
@@ -236,9 +236,10 @@ def shared_encodings(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
                 yield pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(ids, pa.binary())], names=["h1", "h2", "ids"])
 
     texts = ids_and_texts(docs)
-    texts = in_parts(texts, crowded_ids(texts)).select("doc_id", "part", "none", "text")
-    whole = texts.mapInArrow(cut_up, "doc_id long, part int, none boolean, packed binary, cuts array<int>")
-    each = cut_lineage(texts.select("doc_id", "part", "text").mapInArrow(occurrences, "doc_id long, part int, h1 long, h2 long").groupBy("doc_id", "part", "h1", "h2").agg(F.count("*").alias("n")))
+    part = F.when(F.col("none"), -1 - F.col("part")).otherwise(F.col("part")).alias("part")
+    texts = in_parts(texts, crowded_ids(texts)).select("doc_id", part, "text")
+    whole = texts.mapInArrow(cut_up, "doc_id long, part int, packed binary, cuts array<int>")
+    each = cut_lineage(texts.mapInArrow(occurrences, "doc_id long, part int, h1 long, h2 long").groupBy("doc_id", "part", "h1", "h2").agg(F.count("*").alias("n")))
     shared = each.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min(F.struct("doc_id", "part")).alias("owner"), F.count("*").alias("docs")).where("n > 1")
     shared = cut_lineage(shared.select("h1", "h2", "docs", "owner.doc_id", "owner.part"))
     owned = shared.groupBy("doc_id", "part").agg(F.collect_list(F.struct("h1", "h2")).alias("owned"))  # bounded by the text of one part of an id
@@ -267,7 +268,7 @@ def encoded_texts(docs: DataFrame, path: str, schema: str, finish) -> DataFrame:
                 tool.learn(new)
                 yield finish(tool, batch.column(0), [tool.unpack(tool.joined(*p)) for p in parts])
 
-    doc_id = F.when(~F.col("none"), F.col("doc_id")).alias("doc_id")
+    doc_id = F.when(F.col("part") >= 0, F.col("doc_id")).alias("doc_id")
     return whole.join(known, ["doc_id", "part"], "left").select(doc_id, "packed", "cuts", "found").mapInArrow(run, schema)
 
 

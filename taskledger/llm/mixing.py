@@ -230,5 +230,7 @@ def mixed_documents(docs: DataFrame, shards: int | None = None, seed: int = SEED
 
 
 def in_shards(mixed: DataFrame) -> DataFrame:
-    """Rows of mixed_documents() shard by shard, each in its random order. A task holds whole shards; sorting spills."""
-    return mixed.repartition("_shard").sortWithinPartitions("_shard", "_place")
+    """Rows of mixed_documents() shard by shard, each in its random order. Where the session has more partitions than there may be shards, a shard is several tasks, each with a run of that order; sorting spills."""
+    parts = -(-partitions(mixed) // MOST_SHARDS)
+    run = F.least(F.floor((F.col("_place").cast("double") / 2.0**64 + 0.5) * parts), F.lit(parts - 1)).cast("int")
+    return mixed.withColumn("_part", run).repartition("_shard", "_part").sortWithinPartitions("_shard", "_part", "_place").drop("_part")
