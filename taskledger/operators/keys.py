@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ranges import numbered
 from .transitions import cancel, insert_tasks
 from ..schema import CONFLICTS, QUEUED, RUNNING, SUCCEEDED
 
@@ -19,23 +20,22 @@ def resolve(submissions: DataFrame, keys: DataFrame, tasks: DataFrame, conflict:
     decision: insert, return or reject. task_id: the task that the submission ends up with, null if
     rejected. cancels: the task that replace puts out. The first submission of a key is decided by
     the task that its key has; a key whose task is gone is free. Later ones follow from the first
-    and the one before, by a window that sorts each key's submissions and spills: none is folded or collected.
+    and the one before, by ranges of keys and seq: a key that most submissions have is many ranges.
     """
     if conflict not in CONFLICTS:
         raise ValueError(f"unknown conflict strategy {conflict!r}")
     current = keys.select("key", F.col("task_id").alias("_id")).join(tasks.select(F.col("id").alias("_id"), F.col("status").alias("_status")), "_id")
-    order = Window.partitionBy("key").orderBy("seq")
-    rows = submissions.join(current, "key", "left").withColumn("_n", F.row_number().over(order))
+    rows = numbered(submissions.select("seq", "key", "new_id"), ["key"], [F.col("seq")], near=["new_id"]).join(current, "key", "left")
     active = F.col("_status").isin(QUEUED, RUNNING)
-    first = F.col("_n") == 1
+    first = F.col("place") == 0
     if conflict == "replace":
         decision = F.lit(INSERTED)
-        cancels = F.when(first, F.when(active, F.col("_id"))).otherwise(F.lag("new_id").over(order))
+        cancels = F.when(first, F.when(active, F.col("_id"))).otherwise(F.col("last_new_id"))
         task_id = F.col("new_id")
     else:
         stays = {"reuse": active, "reuse-succeeded": active | (F.col("_status") == SUCCEEDED), "reject": F.col("_id").isNotNull()}[conflict]
         kept = F.coalesce(stays, F.lit(False))
-        found = F.when(kept, F.col("_id")).otherwise(F.first("new_id").over(order))
+        found = F.when(kept, F.col("_id")).otherwise(F.col("first_new_id"))
         if conflict == "reject":
             decision = F.when(first & ~kept, INSERTED).otherwise(REJECTED)
             task_id = F.when(decision == INSERTED, F.col("new_id"))
@@ -81,5 +81,3 @@ def upsert_keys(keys: DataFrame, pointers: DataFrame, now: int) -> DataFrame:
 def ids_of(keys: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id) of the tasks that the wanted keys (key) point to: for cancel and retry by key."""
     return keys.join(wanted.select("key").distinct(), "key", "left_semi").select(F.col("task_id").alias("id"))
-
-

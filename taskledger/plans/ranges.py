@@ -26,17 +26,31 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Sequence[str] = ()) -> DataFrame:
-    """rows with `place`, from 0 within each group (columns that aren't null) in an order without ties, and `before_<c>`, the sum of c over the group's rows before.
+def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Sequence[str] = (), near: Sequence[str] = ()) -> DataFrame:
+    """rows with `place`, from 0 within each group (nulls are a group) in an order without ties, `before_<c>`, the sum of c over the group's rows before, and for columns `near` `first_<c>` and `last_<c>`, their values in the group's first row and in the row before.
 
     Rows are dealt out in ranges of group and order, so that a large group is many ranges; each is numbered apart, and a row for each group in a range says what comes before.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = kept(rows.repartitionByRange(partitions, *by, *order).withColumn("_range", F.spark_partition_id()))
     given = {"place": F.lit(1).cast("long")} | {f"before_{c}": F.col(c) for c in sums}
-    counts = ranged.groupBy(*by, "_range").agg(*[F.sum(v).alias(k) for k, v in given.items()])
-    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*by, "_range", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"_{k}") for k in given])
-    within = Window.partitionBy(*by, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    found = ranged.withColumns({k: F.coalesce(F.sum(v).over(within), F.lit(0)) for k, v in given.items()}).join(offsets, [*by, "_range"])
-    return found.withColumns({k: F.col(k) + F.col(f"_{k}") for k in given}).select(*rows.columns, *given)
+    ends = [F.first("_first").alias("_first"), F.last("_last").alias("_last")] if near else []
+    within = Window.partitionBy(*by, "_range").orderBy(*order)
+    before = within.rowsBetween(Window.unboundedPreceding, -1)
+    values = F.struct(*near) if near else F.lit(None)
+    every = ranged.withColumns({f"_{k}": F.coalesce(F.sum(v).over(before), F.lit(0)) for k, v in given.items()})
+    if near:
+        every = every.withColumns({"_last_one": F.lag(values).over(within), "_first": F.first(values).over(within), "_last": F.last(values).over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    counts = every.groupBy(*by, "_range").agg(*[F.sum(v).alias(k) for k, v in given.items()], *ends)
+    earlier = Window.partitionBy(*by).orderBy("_range")
+    offsets = [F.coalesce(F.sum(k).over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_more_{k}") for k in given]
+    offsets += [F.first("_first").over(earlier).alias("_begin"), F.lag("_last").over(earlier).alias("_end")] if near else []
+    counts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_in"), *offsets)
+    same = F.col("_range") == F.col("_in")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    found = every.drop("_first", "_last").join(counts, same)
+    new = {k: F.col(f"_{k}") + F.col(f"_more_{k}") for k in given}
+    for c in near:
+        new |= {f"first_{c}": F.col(f"_begin.{c}"), f"last_{c}": F.when(F.col("_place") > 0, F.col(f"_last_one.{c}")).otherwise(F.col(f"_end.{c}"))}
+    return found.select(*rows.columns, *[v.alias(k) for k, v in new.items()])

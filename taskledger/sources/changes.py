@@ -61,7 +61,7 @@ class ChangeReader(DataSourceStreamReader):
     def partitions(self, start: dict, end: dict) -> list[_File]:
         system, root = fs.FileSystem.from_uri(self.root) if "://" in self.root or self.root.startswith("file:") else (fs.LocalFileSystem(), self.root)
         versions = [n for n in self._ended() if start["version"] < n <= end["version"]]
-        selectors = [(n, fs.FileSelector(f"{root}/{CHANGES}={n}/class={part}", allow_not_found=True)) for n in versions for part in PARTS]
+        selectors = [(n, fs.FileSelector(f"{root}/{CHANGES}={n}/class={part}", allow_not_found=True, recursive=True)) for n in versions for part in PARTS]
         return [_File(f.path, n) for n, s in selectors for f in system.get_file_info(s) if f.base_name.endswith(".parquet")]
 
     def read(self, partition: _File) -> Iterator[pa.RecordBatch]:

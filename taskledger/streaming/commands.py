@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.fold import ARGUMENTS, SUBMISSION, SUBMIT, _with, fold_log
 from ..plans import latest_version, read_table, read_version, write_changes, write_version
+from ..plans.ranges import kept
 from ..plans.versions import WHOLE, ended
 from ..schema import KEY_SCHEMA, TASK_SCHEMA
 
@@ -27,17 +28,16 @@ COMPACT = 16
 def apply_stream(commands: DataFrame, root: str, checkpoint: str, lease_ms: int = 30_000, delay_ms: int = 1_000, compact: int = COMPACT, **trigger) -> StreamingQuery:
     """Starts the stream; version 0 under root is the table that it begins with, version n + 1 that after batch n.
 
-    Tasks and keys (table `keys`) are of one version, which is there whole or not at all. Commands that changed nothing, those of unknown tasks or without
+    A batch reads the buckets of the tasks and keys that it touches. Tasks and keys (table `keys`) are of one version, which is there whole or not at all. Commands that changed nothing, those of unknown tasks or without
     a time among them, are counted by id under root/lost=<version>; what became of submissions is under root/decisions=<version>.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark, version = batch.sparkSession, number + 1
-        keys = read_table(spark, root, number, "keys", KEY_SCHEMA, by="key") if (latest_version(spark, root) or 0) < version else None
-        if keys is not None:
-            tasks = read_version(spark, root, number, TASK_SCHEMA)
-            own = keys.join(_with(batch.where(F.col("op") == SUBMIT), SUBMISSION).select("key").distinct(), "key", "left_semi")
-            touched = tasks.join(batch.select("id").union(own.select("task_id")).distinct(), "id", "left_semi")
+        if (latest_version(spark, root) or 0) < version:
+            asked = _with(batch.where(F.col("op") == SUBMIT), SUBMISSION).select("key").distinct()
+            own = kept(read_table(spark, root, number, "keys", KEY_SCHEMA, by="key", only=asked))
+            touched = read_version(spark, root, number, TASK_SCHEMA, only=batch.select("id").union(own.select("task_id")).distinct())
             folded = fold_log(touched, own, batch, lease_ms, delay_ms)
             folded.lost.write.mode("overwrite").parquet(f"{root}/lost={version}")
             folded.decisions.write.mode("overwrite").parquet(f"{root}/decisions={version}")

@@ -146,3 +146,22 @@ def test_tables_of_a_version_are_there_together_or_not(spark, tmp_path):
     assert state() == (1, {f"t{i}" for i in range(1, 10, 2)}, [n for n in range(40) if n % 12 in range(1, 10, 2)])
     with pytest.raises(ValueError, match="named"):
         complete_in(tasks, outcomes, {"live": own}, root, 2, 50)
+
+
+def test_few_ids_read_few_buckets(spark, tmp_path):
+    from taskledger.plans import read_table, read_version, write_changes, write_version
+    from taskledger.plans.versions import bucket_of
+
+    root = str(tmp_path / "ledger")
+    tasks = spark.createDataFrame([tuple((BLANK | dict(id=f"t{i}", status="queued" if i % 3 else "failed")).get(c) for c in TASK_COLUMNS) for i in range(600)], TASK_SCHEMA)
+    keys = spark.createDataFrame([(f"k{i}", f"t{i}", 0, 0) for i in range(600)], KEY_SCHEMA)
+    write_version(tasks, root, 0, {"keys": keys})
+    write_changes(tasks.where("id in ('t5', 't9', 't77')").withColumn("message", tasks["id"]), root, 1, {"keys": keys.where("key = 'k5'").withColumn("task_id", keys["key"])})
+    only = spark.createDataFrame([("t5",), ("t6",), ("gone",)], "id string")
+    found = read_version(spark, root, 1, TASK_SCHEMA, only=only)
+    assert sorted((r.id, r.message) for r in found.collect()) == [("t5", "t5"), ("t6", None)]
+    buckets = {r[0] for r in only.select(bucket_of("id")).collect()}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and all(str(b) in plan.split("PartitionFilters")[1][:400] for b in buckets)
+    assert sorted((r.key, r.task_id) for r in read_table(spark, root, 1, "keys", KEY_SCHEMA, by="key", only=spark.createDataFrame([("k5",), ("k7",)], "key string")).collect()) == [("k5", "k5"), ("k7", "t7")]
+    assert read_version(spark, root, 1, TASK_SCHEMA).count() == 600 and read_version(spark, root, 1, TASK_SCHEMA, "terminal").count() == 200

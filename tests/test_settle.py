@@ -123,9 +123,10 @@ def test_settle(spark, more, outcome, want):
 def test_numbers_equal_a_window(spark, hot):
     rows = spark.range(3000).select((F.col("id") % 700 if not hot else F.when(F.col("id") % 50 == 0, F.col("id")).otherwise(-1)).alias("g"), F.pmod(F.xxhash64("id"), F.lit(97)).alias("a"), "id").repartition(5)
     order = Window.partitionBy("g").orderBy("a", "id")
-    want = rows.withColumns({"place": F.row_number().over(order) - 1, "before_a": F.coalesce(F.sum("a").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
-    got = numbered(rows, ["g"], [F.col("a"), F.col("id")], ["a"])
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    rows = rows.withColumn("x", F.when(F.col("id") % 3 > 0, F.col("id")))
+    want = rows.withColumns({"place": F.row_number().over(order) - 1, "before_a": F.coalesce(F.sum("a").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "first_x": F.first("x").over(order), "last_x": F.lag("x").over(order)})
+    got = numbered(rows, ["g"], [F.col("a"), F.col("id")], ["a"], ["x"])
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
 def test_admission(spark):
