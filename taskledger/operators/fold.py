@@ -122,12 +122,19 @@ def _given(commands: DataFrame):
 
 
 #: What a submission in a log carries besides id (the new task's), seq, op and now_ms; those that a log lacks are null.
-SUBMISSION = {"key": "string", "conflict": "string", "name": "string", "queue": "string", "payload": "string", "metadata": "string", "max_attempts": "int", "priority": "int", "start_delay_ms": "bigint", "parent_id": "string", "root_id": "string", "correlation_id": "string"}
+SUBMISSION = {
+    "key": "string", "conflict": "string", "name": "string", "queue": "string", "payload": "string", "metadata": "string", "max_attempts": "int", "priority": "int",
+    "start_delay_ms": "bigint", "parent_id": "string", "root_id": "string", "correlation_id": "string",
+}
 SUBMIT, INVALID = "submit", "invalid"
 
 
 class Folded(NamedTuple):
-    """What a log of commands and submissions comes to: rows of tasks as they are afterwards, changed and new; pointers (key, task_id) that are put in place; a decision for each submission; and (id, lost, unknown) of commands without effect."""
+    """What a log of commands and submissions comes to.
+
+    changes: rows of tasks as they are afterwards, changed and new. pointers: (key, task_id) that are put in place.
+    decisions: see decide(). lost: (id, lost, unknown), the commands without effect.
+    """
 
     changes: DataFrame
     pointers: DataFrame
@@ -143,7 +150,9 @@ def decide(tasks: DataFrame, keys: DataFrame, log: DataFrame, lease_ms: int = 30
     present task, stream through one task of the cluster, as they must.
     """
     submits = log.where(F.col("op") == SUBMIT)
-    valid = F.col("id").isNotNull() & F.col("now_ms").isNotNull() & F.coalesce(F.col("conflict").isin(*CONFLICTS) | F.col("key").isNull(), F.lit(False)) & (F.coalesce("max_attempts", F.lit(1)) >= 1) & (F.coalesce("start_delay_ms", F.lit(0)) >= 0)
+    known = F.coalesce(F.col("conflict").isin(*CONFLICTS) | F.col("key").isNull(), F.lit(False))
+    in_bounds = (F.coalesce("max_attempts", F.lit(1)) >= 1) & (F.coalesce("start_delay_ms", F.lit(0)) >= 0)
+    valid = F.col("id").isNotNull() & F.col("now_ms").isNotNull() & known & in_bounds
     submits = _with(submits, SUBMISSION).withColumn("valid", valid)
     seq_type = log.schema["seq"].dataType
     none = F.lit(None)
@@ -153,8 +162,9 @@ def decide(tasks: DataFrame, keys: DataFrame, log: DataFrame, lease_ms: int = 30
     current = keys.select("key", F.col("task_id").alias("id")).join(tasks, "id").join(submits.select("key").distinct(), "key", "left_semi")
     columns = {"key": "string", "seq": seq_type, "id": "string", "conflict": "string", "attempts": "int", "wait": "bigint", "s": _type(STATE), "c": _type(ARGUMENTS)}
     starts = current.select("key", none.alias("seq"), "id", none.alias("conflict"), none.alias("attempts"), none.alias("wait"), _state().alias("s"), none.alias("c"))
-    keyed = submits.where("valid and key is not null").select("key", "seq", "id", "conflict", F.coalesce("max_attempts", F.lit(3)).alias("attempts"), F.coalesce("start_delay_ms", F.lit(0)).alias("wait"), none.alias("s"), F.struct("now_ms").alias("c"))
-    keyed = keyed.withColumn("c", F.struct(*[(F.col("c.now_ms") if k == "now_ms" else F.lit(SUBMIT) if k == "op" else none).cast(t).alias(k) for k, t in ARGUMENTS.items()]))
+    when = F.struct(*[(F.col("now_ms") if k == "now_ms" else F.lit(SUBMIT) if k == "op" else none).cast(t).alias(k) for k, t in ARGUMENTS.items()])
+    given = F.coalesce("max_attempts", F.lit(3)).alias("attempts"), F.coalesce("start_delay_ms", F.lit(0)).alias("wait")
+    keyed = submits.where("valid and key is not null").select("key", "seq", "id", "conflict", *given, none.alias("s"), when.alias("c"))
     rows = asked.select("key", "seq", "id", none.alias("conflict"), none.alias("attempts"), none.alias("wait"), none.alias("s"), "c")
 
     def typed(df: DataFrame) -> DataFrame:
@@ -189,7 +199,9 @@ def decide(tasks: DataFrame, keys: DataFrame, log: DataFrame, lease_ms: int = 30
 
     in_order = every.repartition("key").sortWithinPartitions("key", F.col("seq").asc_nulls_first(), F.col("s").isNull())
     found = in_order.mapInArrow(walk, out)
-    rest = submits.where("not valid or key is null").select("key", "id", F.when(F.col("valid"), "insert").otherwise(INVALID).alias("decision"), F.when(F.col("valid"), F.col("id")).alias("task_id"), none.cast("string").alias("cancels"), F.col("now_ms").cast("long").alias("now_ms"), "seq")
+    decision = F.when(F.col("valid"), "insert").otherwise(INVALID).alias("decision")
+    task_id = F.when(F.col("valid"), F.col("id")).alias("task_id")
+    rest = submits.where("not valid or key is null").select("key", "id", decision, task_id, none.cast("string").alias("cancels"), F.col("now_ms").cast("long").alias("now_ms"), "seq")
     return found.unionByName(rest).select("seq", "key", "id", "decision", "task_id", "cancels", "now_ms")
 
 
@@ -207,7 +219,8 @@ def fold_log(tasks: DataFrame, keys: DataFrame, log: DataFrame, lease_ms: int =
     decisions = kept(decide(tasks, keys, log, lease_ms, delay_ms))
     inserts = decisions.where("decision = 'insert'").select("id", F.col("seq").alias("born"))
     fresh = _with(log.where(F.col("op") == SUBMIT), SUBMISSION).join(inserts, "id").where(F.col("seq").eqNullSafe(F.col("born")))
-    new = insert_tasks(fresh.drop("delay_ms").withColumnRenamed("start_delay_ms", "delay_ms").withColumns({"name": F.coalesce("name", F.lit("")), "payload": F.coalesce("payload", F.lit("{}"))}).drop("result", "error", "progress", "message", "worker"), F.col("now_ms"))
+    fresh = fresh.drop("delay_ms").withColumnRenamed("start_delay_ms", "delay_ms")
+    new = insert_tasks(fresh.withColumns({"name": F.coalesce("name", F.lit("")), "payload": F.coalesce("payload", F.lit("{}"))}), F.col("now_ms"))
     new = new.join(inserts, "id")
     others = log.where(F.coalesce(F.col("op") != SUBMIT, F.lit(True)))
     commands = others.select("id", "seq", *[k for k in ARGUMENTS if k in others.columns])

@@ -58,7 +58,8 @@ def submit(submissions: DataFrame, keys: DataFrame, tasks: DataFrame, now: int,
     """Submissions (seq, key, and what insert_tasks takes) put in as one operation, as if they came one by one in order of seq. A null key has no conflicts and no pointer."""
     keyed = submissions.where("key is not null")
     decisions = resolve(keyed.select("seq", "key", F.col("id").alias("new_id")), keys, tasks, conflict)
-    free = submissions.where("key is null").select("seq", "key", F.col("id").alias("new_id"), F.lit(INSERTED).alias("decision"), F.col("id").alias("task_id"), F.lit(None).cast("string").alias("cancels"))
+    inserted = F.lit(INSERTED).alias("decision"), F.col("id").alias("task_id"), F.lit(None).cast("string").alias("cancels")
+    free = submissions.where("key is null").select("seq", "key", F.col("id").alias("new_id"), *inserted)
     decisions = decisions.unionByName(free)
     made = decisions.where(F.col("decision") == INSERTED)
     inserted = insert_tasks(submissions.join(made.select(F.col("new_id").alias("id")), "id", "left_semi"), now)

@@ -60,7 +60,10 @@ def claim_by_ceilings(
         return F.least(F.lit(free).cast("long"), F.lit(free).cast("long"), *own)
 
     capacity = [F.greatest(F.lit(0).cast("long"), F.lit(resources[r]) - sum((calls("run", i) for i, d in enumerate(draws) if d.resource == r), F.lit(0))) for r in held]
-    steps = F.array(*[F.struct(F.lit(i).alias("draw"), ceiling(i).alias("most"), calls("due", i).alias("due"), F.lit(held.index(draws[i].resource) if draws[i].resource is not None else None).cast("int").alias("of")) for i in turns])
+    def resource(i: int) -> Column:
+        return F.lit(None if draws[i].resource is None else held.index(draws[i].resource)).cast("int")
+
+    steps = F.array(*[F.struct(F.lit(i).alias("draw"), ceiling(i).alias("most"), calls("due", i).alias("due"), resource(i).alias("of")) for i in turns])
     nothing = F.array().cast("array<struct<draw:int,calls:bigint>>")
     begin = F.struct(F.lit(free).cast("long").alias("left"), F.array(*capacity).cast("array<bigint>").alias("room"), nothing.alias("given"))
 

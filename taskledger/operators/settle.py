@@ -175,7 +175,8 @@ def settle(tasks: DataFrame, outcomes: DataFrame, now: int, base_ms: int = BACKO
     """
     rows = _of(tasks, outcomes.where(F.col("kind").isin(COMPLETE, SUCCEED, FAIL)), now)
     bad = F.col("_kind").isin(COMPLETE, SUCCEED) & ~is_json("_result")
-    rows = rows.withColumns({"_kind": F.when(bad, FAIL).otherwise(F.col("_kind")), "_error": F.when(bad, UNSERIALIZABLE).otherwise(F.col("_error")), "_retryable": F.when(bad, False).otherwise(F.coalesce("_retryable", F.lit(True)))})
+    retryable = F.when(bad, False).otherwise(F.coalesce("_retryable", F.lit(True)))
+    rows = rows.withColumns({"_kind": F.when(bad, FAIL).otherwise(F.col("_kind")), "_error": F.when(bad, UNSERIALIZABLE).otherwise(F.col("_error")), "_retryable": retryable})
     rows = rows.withColumn("_delay_ms", backoff_delay(F.col("attempt"), base_ms, max_ms, F.rand() if random is None else random, F.col("_retryable")))
     values: dict[str, Column] = {}
     for kind, changed in ((COMPLETE, completed_values(now)), (SUCCEED, succeeded_values(now)), (FAIL, failed_values(now))):

@@ -27,7 +27,10 @@ def kept(df: DataFrame) -> DataFrame:
 
 
 def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums: Sequence[str] = (), near: Sequence[str] = ()) -> DataFrame:
-    """rows with `place`, from 0 within each group (nulls are a group) in an order without ties, `before_<c>`, the sum of c over the group's rows before, and for columns `near` `first_<c>` and `last_<c>`, their values in the group's first row and in the row before.
+    """rows with `place`, from 0 within each group (nulls are a group) in an order without ties.
+
+    sums: columns whose sums over the group's rows before are `before_<c>`. near: columns whose values in the group's first row
+    are `first_<c>`, and in the row before `last_<c>`.
 
     Rows are dealt out in ranges of group and order, so that a large group is many ranges; each is numbered apart, and a row for each group in a range says what comes before.
     """
@@ -40,7 +43,8 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums:
     values = F.struct(*near) if near else F.lit(None)
     every = ranged.withColumns({f"_{k}": F.coalesce(F.sum(v).over(before), F.lit(0)) for k, v in given.items()})
     if near:
-        every = every.withColumns({"_last_one": F.lag(values).over(within), "_first": F.first(values).over(within), "_last": F.last(values).over(within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+        whole = within.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        every = every.withColumns({"_last_one": F.lag(values).over(within), "_first": F.first(values).over(within), "_last": F.last(values).over(whole)})
     counts = every.groupBy(*by, "_range").agg(*[F.sum(v).alias(k) for k, v in given.items()], *ends)
     earlier = Window.partitionBy(*by).orderBy("_range")
     offsets = [F.coalesce(F.sum(k).over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_more_{k}") for k in given]

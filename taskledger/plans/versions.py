@@ -63,12 +63,16 @@ def _write(rows: DataFrame, root: str, kind: str, version: int, others: dict[str
     for name, table in (others or {}).items():
         if not name.isidentifier() or name in PARTS:
             raise ValueError(f"a table can't be named {name!r}")
-        rows = rows.unionByName(table.select(F.lit(name).alias("class"), bucket_of(table.columns[0]).alias("bucket"), *[F.col(c).alias(f"{name}:{c}") for c in table.columns]), allowMissingColumns=True)
+        place = F.lit(name).alias("class"), bucket_of(table.columns[0]).alias("bucket")
+        rows = rows.unionByName(table.select(*place, *[F.col(c).alias(f"{name}:{c}") for c in table.columns]), allowMissingColumns=True)
     rows.write.mode("overwrite").partitionBy("class", "bucket").parquet(f"{root}/{kind}={version}")
 
 
 def write_version(tasks: DataFrame, root: str, version: int, others: dict[str, DataFrame] | None = None) -> None:
-    """The whole table, and other whole tables by name; live and terminal tasks apart, so that claims, probes and recovery scan live ones only and purges the others. Spark cuts either into files of like size."""
+    """The whole table, and other whole tables by name.
+
+    Live and terminal tasks lie apart, so that claims, probes and recovery scan live ones only and purges the others. Spark cuts either into files of like size.
+    """
     apart = tasks.withColumns({"class": _class(), "bucket": bucket_of("id")}).hint("rebalance", "class", "bucket")
     _write(apart.sortWithinPartitions("class", "bucket", "queue", "status", F.col("priority").desc(), "run_at_ms", "id"), root, WHOLE, version, others)
 
@@ -95,7 +99,10 @@ def _in_buckets(only: DataFrame | None) -> Column:
 
 
 def read_table(spark: SparkSession, root: str, version: int, name: str, schema: StructType, by: str | None = None, only: DataFrame | None = None) -> DataFrame:
-    """Another table as of the version: with `by`, the latest row of each value of that column; else all rows that versions up to this one have put in by changes. only: a column of values of the table's first column, to read the buckets of these alone, and these rows."""
+    """Another table as of the version: with `by`, the latest row of each value of that column; else all rows that versions up to this one have put in by changes.
+
+    only: a column of values of the table's first column, to read the buckets of these alone, and these rows.
+    """
     base, since = _since(spark, root, version)
     stored = StructType([StructField(f"{name}:{f.name}", f.dataType) for f in schema]).add("class", "string").add("bucket", "integer")
     here, key = _in_buckets(only), schema.fieldNames()[0]
@@ -118,7 +125,10 @@ def read_table(spark: SparkSession, root: str, version: int, name: str, schema:
 
 
 def read_version(spark: SparkSession, root: str, version: int, schema: StructType, part: str | None = None, only: DataFrame | None = None) -> DataFrame:
-    """The version, or its live or terminal part alone: the last whole table up to it, and what changed since, the latest row of each id. only: a column of ids, to read their buckets alone, and these tasks."""
+    """The version, or its live or terminal part alone: the last whole table up to it, and what changed since, the latest row of each id.
+
+    only: a column of ids, to read their buckets alone, and these tasks.
+    """
     base, since = _since(spark, root, version)
     full = StructType([*schema.fields]).add("class", "string").add("bucket", "integer")
     buckets = _in_buckets(only)

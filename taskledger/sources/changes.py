@@ -27,7 +27,10 @@ class _File(InputPartition):
 
 
 class ChangeSource(DataSource):
-    """Options: path, the ledger's root; queues, names with commas between, of which `queued` is told (of all if absent; `done` is told of all); after, the version to begin after (0); running, true if `running` is told, too."""
+    """Options: path, the ledger's root; queues, names with commas between, of which `queued` is told (of all if absent; `done` is told of all).
+
+    after: the version to begin after (0). running: true if `running` is told, too.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -73,10 +76,11 @@ class ChangeReader(DataSourceStreamReader):
                 if self.queues is not None:
                     queued = pc.and_(queued, pc.is_in(queue, pa.array(self.queues, pa.string())))
                 done = pc.is_in(status, pa.array(TERMINAL))
-                reason = pc.case_when(pc.make_struct(queued, done, pc.equal(status, "running") if self.running else pa.array([False] * len(batch))), pa.scalar("queued"), pa.scalar("done"), pa.scalar("running"))
-                told = pa.RecordBatch.from_arrays(
-                    [pa.array([partition.version] * len(batch), pa.int32()), reason, queue, batch.column("id"), batch.column("run_at_ms"), batch.column("lease_until_ms")], names=["version", "reason", "queue", "id", "run_at_ms", "lease_until_ms"]
-                )
+                running = pc.equal(status, "running") if self.running else pa.array([False] * len(batch))
+                reason = pc.case_when(pc.make_struct(queued, done, running), *map(pa.scalar, ("queued", "done", "running")))
+                version = pa.array([partition.version] * len(batch), pa.int32())
+                names = ["version", "reason", "queue", "id", "run_at_ms", "lease_until_ms"]
+                told = pa.RecordBatch.from_arrays([version, reason, queue, *[batch.column(c) for c in names[3:]]], names=names)
                 yield told.filter(pc.is_valid(reason))
 
     def commit(self, end: dict) -> None:
