@@ -65,6 +65,8 @@ def _write(rows: DataFrame, root: str, kind: str, version: int, others: dict[str
             raise ValueError(f"a table can't be named {name!r}")
         place = F.lit(name).alias("class"), bucket_of(table.columns[0]).alias("bucket")
         rows = rows.unionByName(table.select(*place, *[F.col(c).alias(f"{name}:{c}") for c in table.columns]), allowMissingColumns=True)
+    if others or kind == CHANGES:  # else each task would write a file to each bucket
+        rows = rows.hint("rebalance", "class", "bucket")
     rows.write.mode("overwrite").partitionBy("class", "bucket").parquet(f"{root}/{kind}={version}")
 
 
