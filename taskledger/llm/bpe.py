@@ -12,8 +12,12 @@ a growing window until its pre-tokens agree with those of the next chunk.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
+import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate, chain, groupby, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +33,20 @@ from .common import crowded_ids, cut_lineage, ids_and_texts, in_parts, join_salt
 CHUNK_BITS, SEEN, REACH = 9, 8, 256
 #: Words whose encodings a Python worker keeps before it starts anew, and their bytes.
 MAX_WORDS, MAX_HELD = 400_000, 50_000_000
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Words that are encoded as one text, and bytes of texts whose words are looked up together.
+WORDS_AT_ONCE, BYTES_AT_ONCE = 500, 1 << 20
+_MULTIPLIER, _CUT_BELOW = np.uint64(0x9E3779B97F4A7C15), np.uint64(1 << 64 - CHUNK_BITS)
 _SPACES = b" \t\n\r\x0b\x0c"
+_SPACE = re.compile(rb"[ \t\n\r\x0b\x0c]")
+#: Steps of a tokenizer whose pre-tokens in words of Latin-1 are told without it: there NFC changes nothing.
+_CATEGORIES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": _CATEGORIES}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_LATIN = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x100))]
+_OF_CATEGORY = {k: re.escape("".join(c for c in _LATIN if unicodedata.category(c)[0] == k)) for k in "LN"}
+_LATIN_WORD = re.compile("[" + re.escape("".join(_LATIN)) + "]+")
+_LATIN_TOKENS = re.compile(_CATEGORIES.replace(r"\p{L}", _OF_CATEGORY["L"]).replace(r"\p{N}", _OF_CATEGORY["N"]))
 
 
 def chunk_cuts(text: bytes) -> list[int]:
@@ -38,17 +54,13 @@ def chunk_cuts(text: bytes) -> list[int]:
     cuts: list[int] = []
     for at in range(0, len(text), 1 << 20):  # a megabyte at a time, each with the bytes around it
         low, high = max(0, at - SEEN), min(len(text), at + (1 << 20))
-        part = np.frombuffer(text, np.uint8, high - low, low)
-        if len(part) <= SEEN:
+        if high - low <= SEEN:
             continue
-        seen = np.lib.stride_tricks.sliding_window_view(part, SEEN)
-        hashed = np.ascontiguousarray(seen).view("<u8").ravel() * _MULTIPLIER >> np.uint64(64 - CHUNK_BITS)
-        for place in np.flatnonzero(hashed == 0).tolist():
+        seen = np.ndarray(high - low - SEEN + 1, "<u8", text, low, (1,))  # SEEN bytes from each place on, not copied
+        for place in np.flatnonzero(seen * _MULTIPLIER < _CUT_BELOW).tolist():
             p = low + place + SEEN
-            near = text[p : p + REACH]
-            space = min((i for i in map(near.find, _SPACE_BYTES) if i >= 0), default=-1)
-            if space >= 0:
-                cuts.append(p + space)
+            if space := _SPACE.search(text, p, p + REACH):
+                cuts.append(space.start())
             elif p + REACH < len(text) and _can_cut(text, p):
                 cuts.append(p)
     return sorted({c for c in cuts if 0 < c < len(text)})
@@ -69,6 +81,16 @@ def pieces(text: bytes, cuts: list[int]) -> list[bytes]:
     return [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)])]
 
 
+def runs(chunks: list[bytes], encoded: list[bytes | None]) -> tuple[list[bytes], list[bytes | None]]:
+    """Both, but that chunks which stand together and aren't encoded yet are one."""
+    texts, ids = [], []
+    for none, group in groupby(zip(chunks, encoded), lambda pair: pair[1] is None):
+        some, known = zip(*group)
+        texts += [b"".join(some)] if none else some
+        ids += [None] if none else known
+    return texts, ids
+
+
 def chunk_key(chunk: bytes) -> tuple[int, int]:
     digest = xxhash.xxh3_128_digest(chunk)
     return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
@@ -84,42 +106,80 @@ class Codec:
         size = self.library.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
         self.tokens = [self.library.id_to_token(i) or "" for i in range(size)]
-        self.digits = [str(i) for i in range(size)]
+        self.raw_tokens = [t.encode() for t in self.tokens]
+        self.digits = [b"%d" % i for i in range(size)]
+        self.coded = [self._pack([i]) for i in range(size)]
         self.known: dict[bytes, bytes] = {}
         self.held = 0
         alone = [self.library.encode(w, add_special_tokens=False).ids for w in ("One", "two.")]
         both = self.library.encode("One \n two.", add_special_tokens=False).ids
         if both != sum(alone, []) or self.library.decode(both, skip_special_tokens=False) != self.decode(both):
             raise ValueError(f"{path}: white space must end pre-tokens and be dropped, and decoding must join tokens with spaces")
+        spec = json.loads(self.library.to_str())
+        steps = (spec["normalizer"], spec["pre_tokenizer"], spec["model"]["type"], spec["model"].get("dropout"))
+        self.latin = steps == (_NORMALIZER, {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]}, "BPE", None) and all(t["content"].startswith("<|") for t in spec["added_tokens"])
+        self.letters = {ord(c): self.library.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LATIN} if self.latin else {}
 
     def _pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.dtype).tobytes()
 
     def learn(self, words: set[bytes]) -> None:
         """Encodes the words that aren't known, many in one text: white space keeps them apart."""
-        new = sorted(w for w in words if w not in self.known)
+        new = [w for w in words if w not in self.known]
         if new and (len(self.known) > MAX_WORDS or self.held > MAX_HELD):
             self.known.clear()
             self.held = 0
-            new = sorted(words)
-        for at in range(0, len(new), 5_000):
-            part = [w.decode() for w in new[at : at + 5_000]]
-            found = self.library.encode(" ".join(part), add_special_tokens=False)
-            ids, offsets, k, end = found.ids, found.offsets, 0, -1
-            for raw, word in zip(new[at : at + 5_000], part):
-                end += 1 + len(word)
-                first = k
-                while k < len(ids) and offsets[k][1] <= end:
-                    k += 1
-                self.known[raw] = self._pack(ids[first:k])
-                self.held += len(raw) + 2 * (k - first)
+            new = list(words)
+        if self.latin:
+            new = [w for w in new if not self._learn_latin(w)]
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            raw = new[at : at + WORDS_AT_ONCE]
+            text = b" ".join(raw).decode()
+            found = self.library.encode(text, add_special_tokens=False)
+            packed, size = self._pack(found.ids), self.dtype.itemsize
+            token_ends = np.fromiter(chain.from_iterable(found.offsets), np.int64, 2 * len(found.ids))[1::2]
+            word_ends = np.fromiter(accumulate((1 + len(w) for w in text.split(" ")), initial=-1), np.int64, len(raw) + 1)
+            # a word's tokens are those up to the first one that ends after it
+            ends = (np.searchsorted(np.maximum.accumulate(token_ends), word_ends, "right") * size).tolist()
+            self.known.update(zip(raw, (packed[a:b] for a, b in pairwise(ends))))
+            self.held += sum(map(len, raw)) + len(packed)
+
+    def _learn_latin(self, raw: bytes) -> bool:
+        """Encodes a word of Latin-1 from its pre-tokens, which are kept like words, for many words differ in marks and capitals only. False: not such a word."""
+        word = raw.decode()
+        if b"<|" in raw or not (word.isascii() and word.isprintable() or _LATIN_WORD.fullmatch(word)):
+            return False
+        parts, tokenize = [], self.library.model.tokenize
+        for token in _LATIN_TOKENS.findall(word.lower()):
+            key = token.encode()
+            ids = self.known.get(key)
+            if ids is None:
+                found = tokenize(token if token.isascii() else token.translate(self.letters))
+                ids = self.known[key] = b"".join([self.coded[t.id] for t in found])
+                self.held += len(key) + len(ids)
+            parts.append(ids)
+        self.known[raw] = ids = b"".join(parts)
+        self.held += len(raw) + len(ids)
+        return True
 
     def encode(self, text: bytes) -> bytes:
         """Ids of a text, packed."""
-        words = text.split()
-        if not all(map(self.known.__contains__, words)):
-            self.learn(set(words))
-        return b"".join(map(self.known.__getitem__, words))
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text, packed. Words are looked up for about a megabyte of texts together."""
+        out, at = [], 0
+        ends = np.cumsum([0, *map(len, texts)])
+        while at < len(texts):
+            end = max(at + 1, int(np.searchsorted(ends, ends[at] + BYTES_AT_ONCE, "right")) - 1)
+            words = [text.split() for text in texts[at:end]]
+            found = [list(map(self.known.get, w)) for w in words]
+            if new := {w for pair in zip(words, found) for w, ids in zip(*pair) if ids is None}:
+                self.learn(new)  # may drop others: what was found is kept here
+                found = [[self.known[w] if ids is None else ids for w, ids in zip(*pair)] for pair in zip(words, found)]
+            out += [b"".join(ids) for ids in found]
+            at = end
+        return out
 
     def unpack(self, packed: bytes) -> np.ndarray:
         return np.frombuffer(packed, self.dtype)
@@ -131,12 +191,9 @@ class Codec:
         """Ids of the whole text of the chunks, of which some are encoded already."""
         out: list[bytes] = []
         i = 0
+        chunks, encoded = runs(chunks, encoded)
         while i < len(chunks):
-            j = i + 1
-            if encoded[i] is None:  # what stands together is encoded together
-                while j < len(chunks) and encoded[j] is None:
-                    j += 1
-            text = b"".join(chunks[i:j])
+            j, text = i + 1, chunks[i]
             ids = self.encode(text) if encoded[i] is None else encoded[i]
             if j < len(chunks) and text[-1] not in _SPACES and chunks[j][0] not in _SPACES:
                 tail = text[max(text.rfind(b) for b in _SPACE_BYTES) + 1 :].decode()
@@ -230,9 +287,8 @@ def shared_encodings(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
                     for chunk in pieces(zstandard.decompress(packed), cuts) if wanted else ():
                         if (key := chunk_key(chunk)) in wanted:
                             found[key] = chunk
-                tool.learn({w for chunk in found.values() for w in chunk.split()})
                 keys = list(found)
-                ids = [tool.encode(chunk) for chunk in found.values()]
+                ids = tool.encode_all(list(found.values()))
                 yield pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(ids, pa.binary())], names=["h1", "h2", "ids"])
 
     texts = ids_and_texts(docs)
@@ -259,14 +315,14 @@ def encoded_texts(docs: DataFrame, path: str, schema: str, finish) -> DataFrame:
         for whole_batch in batches:
             for at in range(0, whole_batch.num_rows, 256):
                 batch = whole_batch.slice(at, 256)
-                parts, new = [], set()
+                rows = []
                 for packed, cuts, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
                     have = {(k["h1"], k["h2"]): k["ids"] for k in found or ()}
                     chunks = [c for c in pieces(zstandard.decompress(packed), cuts) if c]
-                    parts.append((chunks, [have.get(chunk_key(c)) for c in chunks] if have else [None] * len(chunks)))
-                    new.update(*(c.split() for c, ids in zip(*parts[-1]) if ids is None))
-                tool.learn(new)
-                yield finish(tool, batch.column(0), [tool.unpack(tool.joined(*p)) for p in parts])
+                    rows.append(runs(chunks, [have.get(chunk_key(c)) for c in chunks] if have else [None] * len(chunks)))
+                new = iter(tool.encode_all([t for texts, ids in rows for t, known in zip(texts, ids) if known is None]))
+                whole = [(texts, [next(new) if known is None else known for known in ids]) for texts, ids in rows]
+                yield finish(tool, batch.column(0), [tool.unpack(tool.joined(*r)) for r in whole])
 
     doc_id = F.when(F.col("part") >= 0, F.col("doc_id")).alias("doc_id")
     return whole.join(known, ["doc_id", "part"], "left").select(doc_id, "packed", "cuts", "found").mapInArrow(run, schema)
@@ -299,8 +355,8 @@ def round_trip_digests(docs: DataFrame, path: str) -> DataFrame:
 
     def finish(tool: Codec, doc_ids: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
         lists = [x.tolist() for x in ids]
-        written = [hashlib.sha256(" ".join(map(tool.digits.__getitem__, x)).encode()).hexdigest() for x in lists]
-        decoded = [hashlib.sha256(tool.decode(x).encode()).hexdigest() for x in lists]
+        written = [hashlib.sha256(b" ".join(map(tool.digits.__getitem__, x))).hexdigest() for x in lists]
+        decoded = [hashlib.sha256(b" ".join(map(tool.raw_tokens.__getitem__, x))).hexdigest() for x in lists]
         return pa.record_batch([doc_ids, pa.array(list(map(len, lists)), pa.int64()), pa.array(written), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return encoded_texts(docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", finish)

@@ -43,6 +43,45 @@ def test_shared_chunks_are_encoded_once(docs):
     assert whole.count() == 3
 
 
+class Counting:
+    """A tokenizer that notes the words which it is given."""
+
+    def __init__(self, library):
+        self.library, self.words = library, []
+
+    def __getattr__(self, name):
+        return getattr(self.library, name)
+
+    def encode(self, text, **options):
+        self.words += text.split()
+        return self.library.encode(text, **options)
+
+
+def test_words_that_differ_in_marks_and_capitals_are_encoded_by_their_parts(monkeypatch):
+    draw = random.Random(5)
+    stems = ["".join(draw.choices("abcdeéßü", k=9)) for _ in range(300)]
+    words = sorted({draw.choice(["", '"', "("]) + draw.choice([s, s.title(), s.upper() if "ß" not in s else s]) + draw.choice(["", ",", ".", "'s", "...", "$$$"]) for s in stems for _ in range(20)})
+    tool = B.Codec(PATH)
+    tool.library = counting = Counting(tool.library)
+    text = " ".join([*words, "日本", "a<|endoftext|>b"])
+    assert tool.unpack(tool.encode(text.encode())).tolist() == brute(text)
+    assert sorted(counting.words) == ["a<|endoftext|>b", "日本"]
+    tool.latin = False  # as for other tokenizers: all go to the library
+    tool.known.clear()
+    assert tool.unpack(tool.encode(text.encode())).tolist() == brute(text) and len(counting.words) == len(words) + 4
+
+
+@pytest.mark.parametrize("at_once", [1, 40, 1 << 20])
+def test_odd_words_in_groups_and_a_store_that_is_emptied(monkeypatch, at_once):
+    monkeypatch.setattr(B, "BYTES_AT_ONCE", at_once)
+    monkeypatch.setattr(B, "MAX_WORDS", 20)
+    draw = random.Random(at_once)
+    marks = [*"aZéÀßÿµª²½×İŉΣǅ'’<|>$.,1٣_\x00\x1c\x7f\x85\xad\u0301\u200b\u3000日\U0001f600 \t\n", "'s", "'LL", "\xa0", "<|endoftext|>", "<|"]
+    some = ["".join(draw.choices(marks, k=draw.randrange(30))) for _ in range(400)] + [""]
+    tool = B.Codec(PATH)
+    assert [tool.unpack(ids).tolist() for ids in tool.encode_all([t.encode() for t in some])] == [brute(t) for t in some]
+
+
 @pytest.mark.parametrize("text", texts())
 def test_cuts_follow_content_and_joins_are_repaired(text):
     raw = text.encode()
