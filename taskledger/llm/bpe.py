@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import crowded_ids, cut_lineage, ids_and_texts, in_parts, join_salted
+from .common import crowded_ids, cut_lineage, ids_and_texts, in_parts, in_slices, join_salted
 
 #: Mean bytes of a chunk, as a power of two; bytes that the hash sees; how far a cut moves to white space.
 CHUNK_BITS, SEEN, REACH = 9, 8, 256
@@ -258,7 +258,7 @@ def shared_encodings(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Two tables: `whole` (doc_id, part, packed, cuts) of every document, cut up and compressed; `known` (doc_id, part, found array of (h1, h2, ids)) of documents with chunks that occur more than once. For part see in_parts(); that of rows without an id is below 0."""
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             rows = []
             for doc_id, part, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 raw = text.as_buffer().to_pybytes()
@@ -268,7 +268,7 @@ def shared_encodings(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
-        for batch in batches:
+        for batch in in_slices(batches):
             packed, cuts = [], []
             for text in batch.column(2):
                 raw = text.as_buffer().to_pybytes()
@@ -278,18 +278,16 @@ def shared_encodings(docs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
 
     def encode_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
-        for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 256):
-                batch = whole_batch.slice(at, 256)
-                found: dict[tuple[int, int], bytes] = {}
-                for packed, cuts, owned in zip(*(c.to_pylist() for c in batch.columns)):
-                    wanted = {(k["h1"], k["h2"]) for k in owned or ()}
-                    for chunk in pieces(zstandard.decompress(packed), cuts) if wanted else ():
-                        if (key := chunk_key(chunk)) in wanted:
-                            found[key] = chunk
-                keys = list(found)
-                ids = tool.encode_all(list(found.values()))
-                yield pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(ids, pa.binary())], names=["h1", "h2", "ids"])
+        for batch in in_slices(batches):
+            found: dict[tuple[int, int], bytes] = {}
+            for packed, cuts, owned in zip(*(c.to_pylist() for c in batch.columns)):
+                wanted = {(k["h1"], k["h2"]) for k in owned or ()}
+                for chunk in pieces(zstandard.decompress(packed), cuts) if wanted else ():
+                    if (key := chunk_key(chunk)) in wanted:
+                        found[key] = chunk
+            keys = list(found)
+            ids = tool.encode_all(list(found.values()))
+            yield pa.record_batch([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array(ids, pa.binary())], names=["h1", "h2", "ids"])
 
     texts = ids_and_texts(docs)
     part = F.when(F.col("none"), -1 - F.col("part")).otherwise(F.col("part")).alias("part")
@@ -312,17 +310,15 @@ def encoded_texts(docs: DataFrame, path: str, schema: str, finish) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path)
-        for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, 256):
-                batch = whole_batch.slice(at, 256)
-                rows = []
-                for packed, cuts, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
-                    have = {(k["h1"], k["h2"]): k["ids"] for k in found or ()}
-                    chunks = [c for c in pieces(zstandard.decompress(packed), cuts) if c]
-                    rows.append(runs(chunks, [have.get(chunk_key(c)) for c in chunks] if have else [None] * len(chunks)))
-                new = iter(tool.encode_all([t for texts, ids in rows for t, known in zip(texts, ids) if known is None]))
-                whole = [(texts, [next(new) if known is None else known for known in ids]) for texts, ids in rows]
-                yield finish(tool, batch.column(0), [tool.unpack(tool.joined(*r)) for r in whole])
+        for batch in in_slices(batches):
+            rows = []
+            for packed, cuts, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                have = {(k["h1"], k["h2"]): k["ids"] for k in found or ()}
+                chunks = [c for c in pieces(zstandard.decompress(packed), cuts) if c]
+                rows.append(runs(chunks, [have.get(chunk_key(c)) for c in chunks] if have else [None] * len(chunks)))
+            new = iter(tool.encode_all([t for texts, ids in rows for t, known in zip(texts, ids) if known is None]))
+            whole = [(texts, [next(new) if known is None else known for known in ids]) for texts, ids in rows]
+            yield finish(tool, batch.column(0), [tool.unpack(tool.joined(*r)) for r in whole])
 
     doc_id = F.when(F.col("part") >= 0, F.col("doc_id")).alias("doc_id")
     return whole.join(known, ["doc_id", "part"], "left").select(doc_id, "packed", "cuts", "found").mapInArrow(run, schema)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +78,23 @@ def ids_and_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+#: Rows of Spark's Arrow batches that are taken together.
+ROWS_AT_ONCE = 256
+
+
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of the batches in order, ROWS_AT_ONCE at most at a time: what is made of them is small, however many rows Spark sends together.
+
+    After the last, Arrow's pool gives back what it holds unused: Python workers live on from task to
+    task and stage to stage, and so would that memory.
+    """
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+    batch = None
+    pa.default_memory_pool().release_unused()
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions that the session asks for, for repartition() by an expression."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

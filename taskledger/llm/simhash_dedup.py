@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, hex64, ids_and_texts, join_skewed, partitions
+from .common import cut_lineage, hex64, ids_and_texts, in_slices, join_skewed, partitions
 from .components import connected_components
 
 BITS = 64
@@ -71,7 +71,7 @@ def document_fingerprints(docs: DataFrame, words: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long) of every row of docs. An empty or null text has fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.int64, batch.num_rows)
             yield pa.record_batch([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 
@@ -290,7 +290,7 @@ def keep_one(docs: DataFrame, radius: int = 3, words: int = SHINGLE) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             found = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(2)), np.int64, batch.num_rows)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(found)], names=["doc_id", "hash", "fp"])
 

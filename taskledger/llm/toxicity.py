@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, ids_and_texts
+from .common import cut_lineage, ids_and_texts, in_slices
 
 #: Digits, symbols and letters of other scripts that are written for Latin letters.
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g"}
@@ -35,6 +35,8 @@ INVISIBLE = {0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF}
 
 #: Labelled rows that the model is learned from, at most: those of least hash. Terms and phrases have no bound but what these rows hold.
 MAX_TRAIN = 20_000
+#: Terms that a task counts before it sends their counts on.
+TERMS_HELD = 1 << 17
 #: Labelled documents that a term must be in at least, and how much likelier it must be in toxic ones.
 MIN_DOCS, MIN_RATIO = 4, 8.0
 #: How much less a document counts for the choice of terms with each that it has.
@@ -177,7 +179,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label_col: str = "toxic")
     rows = rows.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             texts = batch.column(0).to_pylist()
             yield pa.record_batch([pa.array(map(fold, texts), pa.string()), batch.column(1), pa.array(map(len, texts), pa.int64())], names=["folded", "label", "length"])
 
@@ -190,13 +192,20 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label_col: str = "toxic")
 
     def counted(terms) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                both = (Counter(), Counter())
-                for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    both[label].update(terms(words(text)))
+            both = (Counter(), Counter())
+
+            def sent() -> Iterator[pa.RecordBatch]:
                 for label, found in enumerate(both):
                     n = pa.array(found.values(), pa.int64())
                     yield pa.record_batch([pa.array(found.keys(), pa.string()), n if label else pa.array([0] * len(found), pa.int64()), n], names=["term", "bad", "n"])
+                    found.clear()
+
+            for batch in in_slices(batches):
+                for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+                    both[label].update(terms(words(text.as_py())))
+                    if sum(map(len, both)) > TERMS_HELD:
+                        yield from sent()
+            yield from sent()
 
         summed = rows.mapInArrow(run, "term string, bad long, n long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
         return summed.where(F.col("n") >= MIN_DOCS).withColumn("odds", log_odds)
@@ -206,7 +215,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label_col: str = "toxic")
     candidates = {r.term: (int(r.bad), float(r.odds)) for r in likely.collect()}  # of MAX_TRAIN rows
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in in_slices(batches):
             yield pa.record_batch([pa.array([[t for t in terms_of(words(x)) if t in candidates] for x in batch.column(0).to_pylist()], pa.list_(pa.string()))], names=["terms"])
 
     toxic = rows.where("label = 1").mapInArrow(present, "terms array<string>").collect()  # at most MAX_TRAIN rows of candidates
@@ -228,7 +237,7 @@ def learn_lexicon(docs: DataFrame, labels: DataFrame, label_col: str = "toxic")
 
     def bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
-        for batch in batches:
+        for batch in in_slices(batches):
             both = [matcher.features_of(t.as_py(), n) for t, n in zip(batch.column(0), batch.column(2).to_pylist())]
             yield pa.record_batch([pa.array([round(math.log1p(d), 1) for _, d in both]), pa.array([round(math.log1p(t), 1) for t, _ in both]), batch.column(1)], names=["dense", "total", "label"])
 
@@ -281,9 +290,8 @@ def score_documents(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            yield pa.record_batch([batch.column(0), pa.array([matcher.score(t) for t in texts], pa.float64())], names=["doc_id", "score"])
+        for batch in in_slices(batches):
+            yield pa.record_batch([batch.column(0), pa.array([matcher.score(t.as_py()) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
     return ids_and_texts(docs).mapInArrow(run, "doc_id long, score double")
 
@@ -301,8 +309,8 @@ def drop_toxic(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = lexicon.matcher()
-        for batch in batches:
-            keep = [matcher.score(t or "") < threshold for t in batch.column(at).to_pylist()]
+        for batch in in_slices(batches):
+            keep = [matcher.score(t.as_py() or "") < threshold for t in batch.column(at)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)
