@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 #: Fixed value: the base-32 alphabet of ids.
 ALPHABET = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+_ENCODER = json.JSONEncoder(separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
 def dump(value: object) -> str:
     """Compact JSON; NaN, infinities and values that JSON lacks raise ValueError or TypeError."""
-    return json.dumps(value, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return _ENCODER.encode(value)
 
 
 def envelope(type: str, code: str, message: str, retryable: bool, details: dict | None = None) -> str:

@@ -6,11 +6,18 @@ settles them all: each task is completed, succeeded, failed with backoff, failed
 
 from __future__ import annotations
 
+import gc
+import multiprocessing
+import os
 import signal
 import threading
 from collections.abc import Callable, Iterator
+from concurrent.futures import FIRST_COMPLETED, Future, ProcessPoolExecutor, wait
 from contextlib import contextmanager
+from functools import cached_property, partial
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +35,8 @@ OUTCOME = "id string, worker string, kind string, result string, message string,
 #: The error of a result that isn't JSON.
 UNSERIALIZABLE = envelope("SerializationError", "unserializable_result", "the handler's result is no JSON", False)
 BACKOFF_MS, BACKOFF_MAX_MS = 1_000, 30_000
+#: Calls that a task of the cluster makes at once; rows of whole deliveries that a process gets at a time at last, and outcomes that Spark does, at least.
+CALLS, PIECE, BATCH = 16, 128, 10_000
 
 
 class TaskError(Exception):
@@ -67,10 +76,16 @@ def reason(error: object, retryable: bool = True) -> tuple[str, bool]:
 
 
 class Delivery:
-    """A call's tasks (a pandas frame), and the means to settle some before the call ends. A task that is settled stays as it was settled first."""
+    """A call's tasks (a pandas frame) and their ids, and the means to settle some before the call ends. A task that is settled stays as it was settled first."""
 
-    def __init__(self, name: str, tasks: pd.DataFrame) -> None:
-        self.name, self.tasks, self.outcomes = name, tasks, {}
+    def __init__(self, name: str, tasks: pd.DataFrame | Callable[[], pd.DataFrame], ids: list[str] | None = None) -> None:
+        self.name, self._tasks, self.outcomes = name, tasks, {}
+        self.ids = self.tasks["id"].tolist() if ids is None else ids
+
+    @cached_property
+    def tasks(self) -> pd.DataFrame:
+        """Made when it is asked for: to cut a frame for each call takes longer than many a call."""
+        return self._tasks() if callable(self._tasks) else self._tasks
 
     def succeed(self, id: str, result: object = None, message: str | None = None) -> bool:
         return self._put(id, SUCCEED, result, message)
@@ -92,7 +107,7 @@ class Delivery:
 
     def run(self, handler: Callable[[Delivery], object], batched: bool, max_run_ms: int | None) -> None:
         """Calls the handler and settles by how that ends what it left unsettled."""
-        ids = self.tasks["id"].tolist()
+        ids = self.ids
         try:
             with _within(max_run_ms):
                 result = handler(self)
@@ -132,39 +147,115 @@ def _within(ms: int | None) -> Iterator[None]:
         signal.signal(signal.SIGALRM, before)
 
 
-def deliver(claimed: DataFrame, batch_sizes: dict[str, int], handler: Callable[[Delivery], object], max_run_ms: int | None = None) -> DataFrame:
+def deliver(claimed: DataFrame, batch_sizes: dict[str, int], handler: Callable[[Delivery], object], max_run_ms: int | None = None, calls: int = CALLS) -> DataFrame:
     """The outcomes (OUTCOME) of a call for each delivery of claimed tasks.
 
     A name with a batch size gets up to so many tasks a call, and what it returns maps ids to results; others get one, and return its
     result. Tasks whose call lost its lease have no outcome. A task of the cluster that is run again calls its handlers again: calls are made at least once.
+
+    calls: how many run at once in each task of the cluster, in processes of their own, so that a call that waits, or is ended only after max_run_ms, doesn't hold up the others. With 1 they run in the task's own process, one after another.
     """
     rows = with_chunks(claimed, batch_sizes)
     dealt = rows.repartition("name", "chunk").sortWithinPartitions("name", "chunk", F.col("priority").desc(), "run_at_ms", "id")
+    given = handler, frozenset(batch_sizes), max_run_ms
 
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for name, tasks in _deliveries(frames):
-            one = Delivery(name, tasks.drop(columns="chunk"))
-            one.run(handler, name in batch_sizes, max_run_ms)
-            worker = dict(zip(tasks["id"], tasks["worker_id"]))
-            yield pd.DataFrame([(id, worker[id], *outcome) for id, outcome in one.outcomes.items() if id in worker], columns=["id", "worker", "kind", "result", "message", "error", "retryable"])
+        found: list[tuple] = []
+        for outcomes in _called(_pieces(frames, max(calls, 1)), given, calls):
+            found += outcomes
+            if len(found) >= BATCH:
+                yield _rows(found)
+                found = []
+        yield _rows(found)
 
     return dealt.mapInPandas(call, OUTCOME)
 
 
-def _deliveries(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[str, pd.DataFrame]]:
-    """(name, tasks) of each delivery of a partition in order; one may go on in the next frame."""
+def _rows(outcomes: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(outcomes, columns=["id", "worker", "kind", "result", "message", "error", "retryable"], dtype=object)
+
+
+def _starts(frame: pd.DataFrame) -> np.ndarray:
+    """Where deliveries begin in rows in order."""
+    return np.flatnonzero((frame["name"] != frame["name"].shift()) | (frame["chunk"] != frame["chunk"].shift()))
+
+
+def _whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The frames of a partition in order, cut between deliveries: one may go on in the next frame."""
     held: list[pd.DataFrame] = []
     for frame in frames:
-        new = (frame["name"] != frame["name"].shift()) | (frame["chunk"] != frame["chunk"].shift())
-        starts = [*new.to_numpy().nonzero()[0], len(frame)]
-        for a, b in zip(starts, starts[1:]):
-            part = frame.iloc[a:b]
-            if held and (held[0]["name"].iloc[0], held[0]["chunk"].iloc[0]) != (part["name"].iloc[0], part["chunk"].iloc[0]):
-                yield held[0]["name"].iloc[0], pd.concat(held, ignore_index=True)
-                held = []
-            held.append(part)
+        starts = _starts(frame)
+        if held and len(frame) and (held[0]["name"].iloc[-1], held[0]["chunk"].iloc[-1]) == (frame["name"].iloc[0], frame["chunk"].iloc[0]):
+            starts = starts[1:]
+        if len(starts):
+            yield pd.concat([*held, frame.iloc[: starts[-1]]], ignore_index=True)
+            held, frame = [], frame.iloc[starts[-1] :]
+        held.append(frame)
     if held:
-        yield held[0]["name"].iloc[0], pd.concat(held, ignore_index=True)
+        yield pd.concat(held, ignore_index=True)
+
+
+def _pieces(frames: Iterator[pd.DataFrame], calls: int) -> Iterator[tuple[pd.DataFrame, list[int]]]:
+    """(rows, where deliveries begin, and the end): whole deliveries, first one by one, so that few slow calls run at once, too, then more and more together, PIECE rows at last."""
+    made = 0
+    for frame in _whole(frames):
+        ends = [*_starts(frame).tolist(), len(frame)] if len(frame) else []
+        rows, first = frame.drop(columns="chunk"), 0
+        for i, end in enumerate(ends):
+            if end - ends[first] >= min(PIECE, 1 + made // calls) or i == len(ends) - 1 > first:
+                yield rows.iloc[ends[first] : end], [e - ends[first] for e in ends[first : i + 1]]
+                first, made = i, made + 1
+
+
+def _calls(piece: tuple[pd.DataFrame, list[int]], handler: Callable[[Delivery], object], batched: frozenset[str], max_run_ms: int | None) -> list[tuple]:
+    """Rows of OUTCOME that calls for a piece's deliveries end with."""
+    rows, ends = piece[0].copy(), piece[1]  # columns of a kind in one block, which is fast to slice
+    rows.index = np.arange(len(rows)) - np.repeat(ends[:-1], np.diff(ends))  # each delivery's from 0
+    names, ids, workers, found = rows["name"].tolist(), rows["id"].tolist(), rows["worker_id"].tolist(), []
+    for a, b in pairwise(ends):
+        one = Delivery(names[a], partial(rows.iloc.__getitem__, slice(a, b)), ids[a:b])
+        one.run(handler, names[a] in batched, max_run_ms)
+        worker = dict(zip(ids[a:b], workers[a:b]))
+        found += [(id, worker[id], *outcome) for id, outcome in one.outcomes.items() if id in worker]
+    return found
+
+
+#: What a process that makes calls for a task of the cluster was started with.
+_given: tuple = ()
+
+
+def _start(*given) -> None:
+    """Begins a process that makes calls, and ends with the one that started it."""
+    global _given
+    _given = given
+    gc.freeze()  # else collecting garbage would copy what both share
+    threading.Thread(target=lambda: (multiprocessing.parent_process().join(), os._exit(1)), daemon=True).start()
+
+
+def _calls_here(piece: tuple[pd.DataFrame, list[int]]) -> list[tuple]:
+    return _calls(piece, *_given)
+
+
+def _called(pieces: Iterator[tuple[pd.DataFrame, list[int]]], given: tuple, calls: int) -> Iterator[list[tuple]]:
+    """What calls for the pieces end with, as it comes; twice as many pieces as calls are held at most."""
+    if calls <= 1:
+        yield from (_calls(piece, *given) for piece in pieces)
+        return
+    pool, running = None, set[Future]()
+    try:
+        for piece in pieces:
+            # forked, so that handlers needn't be pickled, and only where there is a call to make
+            pool = pool or ProcessPoolExecutor(calls, multiprocessing.get_context("fork"), _start, given)
+            running.add(pool.submit(_calls_here, piece))
+            if len(running) >= 2 * calls:
+                done, running = wait(running, return_when=FIRST_COMPLETED)
+                yield from (f.result() for f in done)
+        while running:
+            done, running = wait(running, return_when=FIRST_COMPLETED)
+            yield from (f.result() for f in done)
+    finally:
+        if pool:
+            pool.shutdown(cancel_futures=True)
 
 
 def settle(tasks: DataFrame, outcomes: DataFrame, now: int, base_ms: int = BACKOFF_MS, max_ms: int = BACKOFF_MAX_MS, random: Column | None = None) -> DataFrame:

@@ -8,6 +8,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: So many groups in ranges are broadcast to their rows at most.
+FEW = 20_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, from spark.checkpoint.dir. Local mode makes a folder of its own if none is set; on a cluster that is an error."""
@@ -35,6 +38,8 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums:
     Rows are dealt out in ranges of group and order, so that a large group is many ranges; each is numbered apart, and a row for each group in a range says what comes before.
     """
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if not sums and not near:
+        return _placed(rows, by, order, partitions)
     ranged = kept(rows.repartitionByRange(partitions, *by, *order).withColumn("_range", F.spark_partition_id()))
     given = {"place": F.lit(1).cast("long")} | {f"before_{c}": F.col(c) for c in sums}
     ends = [F.first("_first").alias("_first"), F.last("_last").alias("_last")] if near else []
@@ -50,11 +55,29 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[Column], sums:
     offsets = [F.coalesce(F.sum(k).over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"_more_{k}") for k in given]
     offsets += [F.first("_first").over(earlier).alias("_begin"), F.lag("_last").over(earlier).alias("_end")] if near else []
     counts = counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_in"), *offsets)
-    same = F.col("_range") == F.col("_in")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    found = every.drop("_first", "_last").join(counts, same)
+    found = every.drop("_first", "_last").join(counts, _same(by))
     new = {k: F.col(f"_{k}") + F.col(f"_more_{k}") for k in given}
     for c in near:
         new |= {f"first_{c}": F.col(f"_begin.{c}"), f"last_{c}": F.when(F.col("_place") > 0, F.col(f"_last_one.{c}")).otherwise(F.col(f"_end.{c}"))}
     return found.select(*rows.columns, *[v.alias(k) for k, v in new.items()])
+
+
+def _same(by: Sequence[str]) -> Column:
+    """Whether a row is of a group in a range."""
+    same = F.col("_range") == F.col("_in")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    return same
+
+
+def _placed(rows: DataFrame, by: Sequence[str], order: Sequence[Column], partitions: int) -> DataFrame:
+    """rows with `place` alone: rows are counted as they lie sorted in their range, so that they aren't dealt out by group and range, too."""
+    lie = {"_range": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}
+    ranged = kept(rows.repartitionByRange(partitions, *by, *order).sortWithinPartitions(*by, *order).withColumns(lie))
+    counts = ranged.groupBy(*by, "_range").agg(F.min("_row").alias("_start"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_start")
+    counts = kept(counts.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_range").alias("_in"), shift.alias("_shift")))
+    if counts.count() <= FEW:
+        counts = F.broadcast(counts)
+    return ranged.join(counts, _same(by)).select(*rows.columns, (F.col("_row") + F.col("_shift")).alias("place"))

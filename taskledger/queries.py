@@ -477,7 +477,7 @@ def batch_handler(spark, d):
 
 def _ends(call: settle.Delivery) -> object:
     """A handler that ends in every way there is, by the numbers of its tasks."""
-    numbers = {id: int(id[5:]) for id in call.tasks["id"]}
+    numbers = {id: int(id[5:]) for id in call.ids}
     first = next(iter(numbers.values()))
     if call.name == "embed":
         for id, n in numbers.items():

@@ -9,7 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from taskledger.operators import reads
-from taskledger.operators.settle import COMPLETE, FAIL, OUTCOME, SUCCEED, UNSERIALIZABLE, Delivery, LostLease, TaskError, deliver, reason, settle
+from taskledger.operators.settle import COMPLETE, FAIL, OUTCOME, SUCCEED, UNSERIALIZABLE, Delivery, LostLease, TaskError, _pieces, deliver, reason, settle
 from taskledger.plans.ranges import numbered
 from taskledger.schema import TASK_COLUMNS, TASK_SCHEMA, UNWRITABLE_ERROR
 
@@ -98,6 +98,31 @@ def test_deliver_and_settle(spark):
     assert after["t010"].run_at_ms == NOW + 500 + 499
 
 
+def test_calls_that_wait_or_run_too_long_dont_hold_up_others(spark):
+    def handler(one):
+        time.sleep(0.5 if one.ids[0] < "t024" else 60)
+
+    tasks = table(spark, *[dict(name="slow")] * 48)
+    began = time.time()
+    got = {r.id: r for r in deliver(tasks, {}, handler, max_run_ms=1000).collect()}
+    assert time.time() - began < 24  # one after another they take 36 seconds
+    assert [got[f"t{i:03}"].kind for i in range(48)] == [COMPLETE] * 24 + [FAIL] * 24
+    assert {json.loads(r.error)["code"] for r in got.values() if r.error} == {"handler_timeout"}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 100])
+def test_pieces_are_whole_deliveries(size):
+    rows = pd.DataFrame({"id": range(60), "name": ["a"] * 30 + ["b"] * 30, "chunk": [i // 7 for i in range(30)] + list(range(29)) + [28]})
+    got = [p.iloc[a:b]["id"].tolist() for p, ends in _pieces((rows.iloc[i : i + size] for i in range(0, 60, size)), 2) for a, b in zip(ends, ends[1:])]
+    assert got == [list(range(0, 7)), list(range(7, 14)), list(range(14, 21)), list(range(21, 28)), [28, 29], *[[i] for i in range(30, 58)], [58, 59]]
+    assert not list(_pieces(iter([]), 2)) and not list(_pieces(iter([rows.iloc[:0]]), 2))
+
+
+def test_in_the_tasks_own_process(spark):
+    rows = [(r.id, r.result) for r in deliver(table(spark, {}, {}), {}, lambda one: one.tasks.index.tolist(), calls=1).collect()]
+    assert sorted(rows) == [("t000", "[0]"), ("t001", "[0]")]
+
+
 @pytest.mark.parametrize("more,outcome,want", [
     ({}, (COMPLETE, "{}", None, None), dict(status="succeeded", result="{}", error=None)),
     ({}, (COMPLETE, "{bad", None, None), dict(status="failed", error=UNSERIALIZABLE)),
