@@ -25,8 +25,8 @@ def _ms(value: int | Column) -> Column:
     return (value if isinstance(value, Column) else F.lit(value)).cast("long")
 
 
-def insert_tasks(submissions: DataFrame, now: int | Column) -> DataFrame:
-    """Queued rows, put in at one time or at a column's, for submissions (id, name, payload; optionally queue, metadata, max_attempts, priority, delay_ms, parent_id, root_id, correlation_id). A task without a root is its own. A row with max_attempts under 1 or a negative delay ends the query with an error."""
+def insert_tasks(submissions: DataFrame, now: int | Column, *more: str) -> DataFrame:
+    """Queued rows, put in at one time or at a column's, for submissions (id, name, payload; optionally queue, metadata, max_attempts, priority, delay_ms, parent_id, root_id, correlation_id). A task without a root is its own. A row with max_attempts under 1 or a negative delay ends the query with an error. more: columns that stay beside them."""
     have = set(submissions.columns)
 
     def given(name: str, default: Column) -> Column:
@@ -38,7 +38,7 @@ def insert_tasks(submissions: DataFrame, now: int | Column) -> DataFrame:
         "priority": given("priority", F.lit(0)).cast("int"), "worker_id": _null("string"), "lease_until_ms": _null("long"), "run_at_ms": _ms(now) + checked(given("delay_ms", F.lit(0)).cast("long"), lambda n: n >= 0, "delay_ms must not be negative"), "cancel_requested_at_ms": _null("long"),
         "parent_id": given("parent_id", _null("string")), "root_id": given("root_id", F.col("id")), "correlation_id": given("correlation_id", _null("string")), "created_at_ms": _ms(now), "updated_at_ms": _ms(now), "completed_at_ms": _null("long"),
     }
-    return submissions.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in TASK_SCHEMA])
+    return submissions.select(*[values[f.name].cast(f.dataType).alias(f.name) for f in TASK_SCHEMA], *more)
 
 
 def spawn(tasks: DataFrame, children: DataFrame, now: int) -> DataFrame:
@@ -174,17 +174,21 @@ def lost_leases(tasks: DataFrame, writes: DataFrame, now: int) -> DataFrame:
     return writes.join(held, (writes["id"] == F.col("_id")) & (writes["worker"] == F.col("_worker")), "left_anti")
 
 
-def cancel(tasks: DataFrame, now: int, ids: DataFrame | None = None) -> DataFrame:
-    """Queued tasks canceled at once, running ones asked to stop; of `ids` (id) if given."""
-    rows = tasks if ids is None else tasks.join(ids.select("id").distinct(), "id", "left_semi")
+def canceled_values(now: int) -> dict[str, Column]:
+    """What a cancel changes of a queued or running task."""
     queued = F.col("status") == QUEUED
-    values = {
+    return {
         "status": F.when(queued, CANCELED).otherwise(F.col("status")),
         "cancel_requested_at_ms": F.when(queued, F.col("cancel_requested_at_ms")).otherwise(now).cast("long"),
         "completed_at_ms": F.when(queued, now).otherwise(F.col("completed_at_ms")).cast("long"),
         "updated_at_ms": _ms(now),
     }
-    return rows.where(F.col("status").isin(QUEUED, RUNNING)).withColumns(values)
+
+
+def cancel(tasks: DataFrame, now: int, ids: DataFrame | None = None) -> DataFrame:
+    """Queued tasks canceled at once, running ones asked to stop; of `ids` (id) if given."""
+    rows = tasks if ids is None else tasks.join(ids.select("id").distinct(), "id", "left_semi")
+    return rows.where(F.col("status").isin(QUEUED, RUNNING)).withColumns(canceled_values(now))
 
 
 def retry(tasks: DataFrame, now: int, ids: DataFrame | None = None, reset_attempts: bool = False) -> DataFrame:

@@ -6,7 +6,7 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import documents
@@ -583,9 +583,12 @@ def attempts_histogram(spark, d):
 def submissions(spark: SparkSession, d: str) -> DataFrame:
     """(seq, key, new_id): line items as submissions under the key of their part's number, in an order without ties."""
     rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.concat(F.lit("cust:"), F.col("l_partkey").cast("string")).alias("key"), *[F.col(c).alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")])
-    parts = [c for c in rows.columns if c != "key"]
-    seq = F.struct(*parts)
-    return rows.select("key", seq.alias("seq"), F.concat_ws("-", F.lit("new"), *[F.col(c).cast("decimal(18,2)").cast("string") for c in parts]).alias("new_id"))
+    seq = F.struct(*[c for c in rows.columns if c != "key"])
+    return rows.select("key", seq.alias("seq")).withColumn("new_id", _new_id(F.col("seq")))
+
+
+def _new_id(seq: Column) -> Column:
+    return F.concat_ws("-", F.lit("new"), *[seq[c].cast("decimal(18,2)").cast("string") for c in _SEQ.split(", ")])
 
 
 _SEQ = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
@@ -606,7 +609,7 @@ def _decided_sql(stays: str, repeat: str) -> str:
 
 
 def _submitted(spark: SparkSession, d: str, conflict: str) -> DataFrame:
-    return keyed.resolve(submissions(spark, d), task_keys(spark, d), tasks(spark, d), conflict).drop("seq")
+    return keyed.resolve(submissions(spark, d), task_keys(spark, d), tasks(spark, d), conflict, _new_id).drop("seq")
 
 
 @query(
@@ -693,15 +696,15 @@ _STOPPED = "select case when rn > 1 then prev when cur_status in ('queued', 'run
 )
 def submit(spark, d):
     """All submissions under replace, as one operation: every new task and every one that is put out."""
-    rows = submissions(spark, d).select("seq", "key", F.col("new_id").alias("id"), F.lit("embed").alias("name"), F.lit("{}").alias("payload"))
-    changes = keyed.submit(rows, task_keys(spark, d), tasks(spark, d), NOW_MID, "replace").changes
+    rows = submissions(spark, d).select("seq", "key", F.lit("embed").alias("name"), F.lit("{}").alias("payload"))
+    changes = keyed.submit(rows, task_keys(spark, d), tasks(spark, d), NOW_MID, "replace", _new_id).changes
     return changes.select("id", "status", "cancel_requested_at_ms", "completed_at_ms", "updated_at_ms")
 
 
 @query(f"{_DECIDED} select key, last(new_id order by rn) as task_id from n group by key")
 def submit_pointers(spark, d):
-    rows = submissions(spark, d).select("seq", "key", F.col("new_id").alias("id"), F.lit("embed").alias("name"), F.lit("{}").alias("payload"))
-    return keyed.submit(rows, task_keys(spark, d), tasks(spark, d), NOW_MID, "replace").pointers
+    rows = submissions(spark, d).select("seq", "key", F.lit("embed").alias("name"), F.lit("{}").alias("payload"))
+    return keyed.submit(rows, task_keys(spark, d), tasks(spark, d), NOW_MID, "replace", _new_id).pointers
 
 
 _CHILD = _INSERTED | dict(id="concat(t.id, '/', cast(t.n as varchar))", name="case t.n when 0 then 'embed' else 'render' end", parent_id="t.id", root_id="t.root_id", correlation_id="t.correlation_id")

@@ -51,3 +51,12 @@ def test_plans(spark):
     assert plan(QUERIES["stats"](spark, SF)).count("Exchange hash") == 1
     for name in QUERIES:
         assert "CartesianProduct" not in plan(QUERIES[name](spark, SF)), name
+
+
+@pytest.mark.parametrize("name", ["submit"])
+def test_submissions_are_dealt_out_once(spark, name):
+    """By key, to meet their keys' tasks; nothing is kept in the checkpoint folder."""
+    submitted = plan(QUERIES[name](spark, SF))
+    assert "Scan ExistingRDD" not in submitted
+    assert submitted.count("Exchange hashpartitioning(key#") <= 2 + 2 * (name == "submit")
+    assert "SortMergeJoin [id#" not in submitted.split("Union")[0]

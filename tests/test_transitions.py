@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from taskledger.functions import documents
 from taskledger.functions.expressions import backoff_delay, backoff_window
 from taskledger.operators import keys as keyed, reads, transitions as move
-from taskledger.plans import apply_changes, drop_purged, read_version, write_version
+from taskledger.plans import apply_changes, drop_purged, ranges, read_version, write_version
 from taskledger.schema import CONFLICTS, KEY_SCHEMA, LEASE_EXPIRED, TASK_COLUMNS, TASK_SCHEMA
 
 NOW = 1_000_000
@@ -139,6 +139,40 @@ def test_keyed_submission_in_order(spark, table, conflict):
         keyed.resolve(subs, keys, t, "other")
 
 
+@pytest.mark.parametrize("conflict", CONFLICTS)
+def test_a_key_that_most_submissions_have(spark, table, conflict, monkeypatch):
+    monkeypatch.setattr(ranges, "MANY", 20)
+    t = table({}, running(), dict(status="succeeded"))
+    keys = spark.createDataFrame([(f"k{i}", f"t{i}", 0, 0) for i in range(3)], KEY_SCHEMA)
+    seq = [("k1" if n % 5 < 2 else "hot" if n % 5 < 4 else f"k{n % 3}", f"n{n:03}") for n in range(150)]
+    subs = spark.createDataFrame([(n, k) for n, (k, _) in enumerate(seq)], "seq int, key string").repartition(4)
+    assert set(ranges.crowded(subs, "key")) == {"k1", "hot"}
+
+    def id_of(n):
+        return F.format_string("n%03d", n)
+
+    want = sorted(reference_submit({f"k{i}": (f"t{i}", s) for i, s in enumerate(("queued", "running", "succeeded"))}, seq, conflict))
+    for given, known in ((subs, id_of), (subs.withColumn("new_id", id_of(F.col("seq"))), None)):
+        assert sorted((r.new_id, r.decision, r.task_id, r.cancels) for r in keyed.resolve(given, keys, t, conflict, known).collect()) == want
+    rows = subs.withColumns({"id": id_of(F.col("seq")), "name": F.lit("x"), "payload": F.lit("{}")})
+    for given, known in ((rows, None), (rows.drop("id"), id_of)):
+        done = keyed.submit(given, keys, t, NOW, conflict, known)
+        assert sorted((r.new_id, r.decision, r.task_id, r.cancels) for r in done.decisions.collect()) == want
+        after = {r.id: (r.status, r.cancel_requested_at_ms) for r in done.changes.collect()}
+        gone = {c for *_, c in want if c}
+        assert after == {i: ("canceled", None) if i in gone else ("queued", None) for i, d, *_ in want if d == "insert"} | {i: ("running", NOW) if i == "t1" else ("canceled", None) for i in gone if i[0] == "t"}
+        last = {k: i for k, i in seq if i in {i for i, d, *_ in want if d == "insert"}}
+        assert {r.key: r.task_id for r in done.pointers.collect()} == last
+
+
+def test_null_keys_are_a_group(spark, table, monkeypatch):
+    monkeypatch.setattr(ranges, "MANY", 5)
+    subs = spark.createDataFrame([(n, None if n % 3 else "a", f"n{n}") for n in range(30)], "seq int, key string, new_id string")
+    assert ranges.crowded(subs, "key") == [None]
+    got = {r.new_id: (r.key, r.decision, r.cancels) for r in keyed.resolve(subs, spark.createDataFrame([], KEY_SCHEMA), table({}), "replace").collect()}
+    assert len(got) == 30 and got["n1"] == (None, "insert", None) and got["n4"] == (None, "insert", "n2") and got["n3"] == ("a", "insert", "n0")
+
+
 def test_reads(spark, table):
     t = table(*[dict(queue="q", created_at_ms=i) for i in range(5)])
     assert [r.id for r in reads.list_tasks(t, queue="q", limit=2, offset=1).collect()] == ["t3", "t2"]
