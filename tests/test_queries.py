@@ -53,7 +53,7 @@ def test_plans(spark):
         assert "CartesianProduct" not in plan(QUERIES[name](spark, SF)), name
 
 
-@pytest.mark.parametrize("name", ["submit", "submit_replace", "submit_reuse"])
+@pytest.mark.parametrize("name", ["submit", "submit_replace", "submit_reuse", "submit_reuse_succeeded", "submit_reject"])
 def test_submissions_are_dealt_out_once(spark, name):
     """By key, to meet their keys' tasks; nothing is kept in the checkpoint folder."""
     submitted = plan(QUERIES[name](spark, SF))
